@@ -10,6 +10,17 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 _NAMED = re.compile(r"\b(" + "|".join(TABLES) + r")\b")
 
 
+# tables whose rows are costly to process: text, or the rows texts are composed from
+TEXT_TABLES = {"documents", "pages", "conversations", "part", "customer", "benchmark"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a table has fewer splits than the cluster has slots; a large table already has
+    more splits than that and is read as it is."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -17,7 +28,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
 
     def sql(self, query: str) -> DataFrame:
         for name in sorted(set(_NAMED.findall(query))):

@@ -17,9 +17,9 @@ CORPUS_SCHEMA = "id string, domain string, jd string, expected map<string,string
 
 def scan_text_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """One row per .txt/.md file, its name as id; unreadable files are skipped."""
-    files = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.{txt,md}").option("recursiveFileLookup", True)
-             .option("ignoreCorruptFiles", True).text(folder))
-    return files.select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
+    files = (spark.read.option("pathGlobFilter", "*.{txt,md}").option("recursiveFileLookup", True)
+             .option("ignoreCorruptFiles", True).text(folder, wholetext=True))
+    return files.select(F.col("_metadata.file_name").alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def load_labelled_corpus(spark: SparkSession, folder: str) -> DataFrame:
