@@ -187,9 +187,8 @@ def answer_items(answer: Column, norm: Column) -> Column:
     # salary
     lo, hi, gq = number("$.salary.min"), number("$.salary.max"), s("$.salary.quote")
     cur = F.upper(tx.strip(F.coalesce(s("$.salary.currency"), F.lit(""))))
-    money = lambda c: F.coalesce(F.format_string("%.2f", c), F.lit(""))
     disordered = F.coalesce(lo <= 0, F.lit(False)) | F.coalesce(hi <= 0, F.lit(False)) | F.coalesce(lo > hi, F.lit(False))
-    salary_item = _item("salary", F.concat_ws("|", money(lo), money(hi), cur), gq, F.coalesce(
+    salary_item = _item("salary", F.concat_ws("|", rq.money_text(lo), rq.money_text(hi), cur), gq, F.coalesce(
         F.when(disordered, "amounts out of order"), F.when(~tx.matches(cur, "^[A-Z]{3}$"), "currency is not a 3-letter code"),
         grounded(gq, F.when(~tx.matches(gq, r"\d"), "no amount in quote"))))
 
@@ -253,10 +252,9 @@ SCALARS = ("title", "seniority", "min_years", "min_degree", "sponsorship_unavail
 def rule_values(requirements: DataFrame, key: str = "jd_id") -> DataFrame:
     """(key, field, value) of the rule record, blanks left out, spelled as grounded values are."""
     number = lambda c: F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
-    money = lambda c: F.coalesce(F.format_string("%.2f", c), F.lit(""))
     row = lambda f, v: F.struct(F.lit(f).alias("field"), F.nullif(v, F.lit("")).alias("value"))
     paid = F.col("salary_min").isNotNull() | F.col("salary_max").isNotNull()
-    pay = F.when(paid, F.concat_ws("|", money(F.col("salary_min")), money(F.col("salary_max")), F.coalesce("salary_currency", F.lit(""))))
+    pay = F.when(paid, F.concat_ws("|", rq.money_text(F.col("salary_min")), rq.money_text(F.col("salary_max")), F.coalesce("salary_currency", F.lit(""))))
     rows = F.array(
         row("title", F.col("jd_title")), row("seniority", F.col("seniority")), row("min_years", number(F.col("min_years"))),
         row("min_degree", F.col("min_degree")), row("sponsorship_unavailable", F.when(F.col("sponsorship_unavailable"), "true")), row("salary", pay))

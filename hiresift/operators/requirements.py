@@ -176,6 +176,10 @@ def salary(lines: Column) -> Column:
     return ar.first(F.filter(read, lambda r: r["pay"].isNotNull()))
 
 
+def money_text(amount: Column) -> Column:
+    return F.when(amount.isNotNull(), F.format_string("%.2f", amount)).otherwise("")
+
+
 def location(lines: Column) -> Column:
     """struct<place, line> from the first location phrase."""
     return ar.let(first_line(lines, LOCATION), lambda s: F.when(s.isNotNull(), F.struct(
@@ -244,11 +248,8 @@ def requirement_evidence(postings: DataFrame, *, text: str = "jd_text", key: str
     def maybe(present: Column, entry: Column) -> Column:
         return F.when(present, F.array(entry)).otherwise(F.filter(F.array(entry), lambda _: F.lit(False)))
 
-    def number(c: Column) -> Column:
-        return F.coalesce(F.format_string("%.2f", c), F.lit(""))
-
     level = seniority_in(F.col("title_line"))
-    pay = F.concat_ws("|", number(F.col("salary.pay.min")), number(F.col("salary.pay.max")), F.coalesce("salary.pay.currency", F.lit("")))
+    pay = F.concat_ws("|", money_text(F.col("salary.pay.min")), money_text(F.col("salary.pay.max")), F.coalesce("salary.pay.currency", F.lit("")))
     place = F.coalesce("location.place", F.lit(""))
     entries = F.concat(
         maybe(F.col("years").isNotNull(), item("min_years", F.format_string("%.0f", "years.value"), F.col("years.line"))),

@@ -55,7 +55,7 @@ def scan_text_corpus(t):
 HTML_ORACLE = r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|<svg[^>]*>.*?</svg>', ' ', 'g') AS h FROM pages),
  b AS (SELECT page_id, regexp_replace(h, '(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/section)[^>]*>', chr(10), 'g') AS h FROM a),
  d AS (SELECT page_id, regexp_replace(h, '(?s)<[^>]+>', ' ', 'g') AS h FROM b),
- e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS h FROM d),
+ e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS h FROM d),
  l AS (SELECT page_id, generate_subscripts(string_split(h, chr(10)), 1) AS n, unnest(string_split(h, chr(10))) AS x FROM e),
  k AS (SELECT page_id, n, trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(13) || chr(160)) AS x FROM l)
 SELECT page_id, string_agg(x, chr(10) ORDER BY n) AS body FROM k WHERE x <> '' GROUP BY page_id"""
