@@ -132,4 +132,5 @@ def term_index(docs: DataFrame, key: list[str], haystack: Column, vocabulary: Da
     clean_trail = (F.col("trail") == "") | (
         F.col("after").startswith(F.col("trail"))
         & (~exact_tail | (F.col("next_word") == "") | (F.col("foldable") & (F.col("next_word") == "s"))))
-    return hit.where(clean_lead & clean_trail).select(*key, "term").distinct()
+    # one shuffle by document: the distinct here, and any per-document aggregate or window after it, reuse it
+    return hit.where(clean_lead & clean_trail).select(*key, "term").repartition(*key).distinct()

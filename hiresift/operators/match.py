@@ -116,20 +116,27 @@ def keyword_coverage(keywords: DataFrame, index: DataFrame, *, doc: str = "doc_i
 
 def top_postings(scored: DataFrame, postings: DataFrame, *, doc: str, docs: DataFrame, k: int = 10,
                  score: str = "score") -> DataFrame:
-    """The k best postings of every document.
+    """The k best postings of every document, each document in full even when it matches nothing.
 
     Only pairs that share a term are scored.  A document with fewer than k of those is filled with the lowest
-    posting ids at score 0: the first k ids always hold enough unmatched ones, so the fill is exact and adds at
-    most k rows per document.
+    posting ids at score 0: the first k ids always hold enough unmatched ones, so the fill is exact.
     """
     # k ids, never more: the only rows that reach the driver
     first_ids = F.array(*[F.lit(r.jd_id) for r in postings.select("jd_id").orderBy("jd_id").limit(k).collect()])
-    short = docs.select(doc).join(scored.groupBy(doc).agg(F.count("*").alias("n")), doc, "left").where(F.coalesce("n", F.lit(0)) < k)
-    zeros = ar.unnest(short, [doc], first_ids, "jd_id").withColumn(score, F.lit(0.0))
-    # scored rows win over fill rows of the same pair
-    rows = scored.select(doc, "jd_id", score).unionByName(zeros).groupBy(doc, "jd_id").agg(F.max(score).alias(score))
     order = W.partitionBy(doc).orderBy(F.col(score).desc_nulls_last(), "jd_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    lists = ranked.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("_n", "jd_id", score))).alias("_best"))
+    found = F.transform("_best", lambda b: F.struct(b["jd_id"].alias("jd_id"), b[score].cast("double").alias("score")))
+
+    def complete(best: Column) -> Column:
+        held = ar.field(best, "jd_id")
+        rest = F.transform(F.array_except(first_ids, held), lambda i: F.struct(i.alias("jd_id"), F.lit(0.0).alias("score")))
+        return F.transform(F.slice(F.concat(best, rest), 1, k), lambda b, i: F.struct(
+            b["jd_id"].alias("jd_id"), b["score"].alias(score), (i + 1).alias("rank")))
+
+    none = F.array().cast("array<struct<jd_id:bigint,score:double>>")
+    full = docs.select(doc).join(lists, doc, "left")
+    return ar.unpack(full, [doc], ar.let(F.coalesce(found, none), complete), "rank")
 
 
 # ------------------------------------------------------------------ posting model
@@ -269,10 +276,15 @@ def paired(pairs: DataFrame, model: DataFrame, documents: DataFrame, *, doc: str
 
 
 def composite(formatting: Column, keyword: Column, fit: Column) -> Column:
-    """Legacy composite; without a fit score the other two weights apply."""
+    """Legacy composite; without a fit score the other two weights apply.  Decimal arithmetic, so the rounding
+    never depends on how a binary sum happens to fall."""
+    def mean(parts) -> Column:
+        total = sum((c.cast("decimal(9,2)") * F.lit(round(w * 100)) for c, w in parts), F.lit(0))
+        return F.bround((total / 100).cast("decimal(18,4)"), 1).cast("double")
+
     w, nw = V.COMPOSITE_WEIGHTS, V.COMPOSITE_WEIGHTS_NO_FIT
-    full = formatting * w["formatting"] + keyword * w["keyword"] + fit * w["semantic"]
-    return F.bround(F.when(fit.isNotNull(), full).otherwise(formatting * nw["formatting"] + keyword * nw["keyword"]), 1)
+    full = mean([(formatting, w["formatting"]), (keyword, w["keyword"]), (fit, w["semantic"])])
+    return F.when(fit.isNotNull(), full).otherwise(mean([(formatting, nw["formatting"]), (keyword, nw["keyword"])]))
 
 
 # ------------------------------------------------------------------ supplied answers

@@ -10,6 +10,7 @@ from hiresift.operators import screen as sc
 from hiresift.operators import requirements as rq
 from hiresift.plans import derived as D
 from hiresift.plans.tables import Tables
+from hiresift.session import materialize
 from hiresift.sources import bank as bk
 from hiresift.sources import profiles as pf
 
@@ -64,11 +65,12 @@ def bench_keywords(t: Tables) -> DataFrame:
 
 
 def posting_models(t: Tables) -> DataFrame:
-    return mt.posting_model(postings(t))
+    return materialize(mt.posting_model(postings(t)), "postings")
 
 
 def candidate_terms(t: Tables, model: DataFrame) -> DataFrame:
-    return mt.document_terms(resumes(t), mt.vocabulary_of(model), key="candidate_id", max_words=6)
+    vocabulary = materialize(mt.vocabulary_of(model), "vocabulary")
+    return mt.document_terms(resumes(t), vocabulary, key="candidate_id")
 
 
 def screened(t: Tables) -> DataFrame:

@@ -86,7 +86,7 @@ def resume_features(t):
     return f.select("doc_id", "word_count", "has_email", "has_phone", "has_links", c.joined("sections_missing").alias("sections_missing"))
 
 
-RES_FEATURES = f"""rf AS (SELECT candidate_id, file_type, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, regexp_matches(text, '[a-z0-9]+@example') AS em, contains(text, '+91') OR contains(text, '(555)') AS ph,
+RES_FEATURES = f"""rf AS (SELECT candidate_id, file_type, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, regexp_matches(text, '[a-z0-9]+@example') AS em, len(list_filter(regexp_extract_all(text, '[\\d()+][\\d()+\\s.-]{{7,}}\\d'), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) BETWEEN 9 AND 15)) > 0 AS ph,
  regexp_matches(lower(text), '\\bexperience\\b') AS s1, regexp_matches(lower(text), '\\beducation\\b') AS s2, regexp_matches(lower(text), '\\bskills\\b') AS s3, regexp_matches(lower(text), '\\b(summary|objective|profile)\\b') AS s4 FROM ({D.RESUME})),
  rs AS (SELECT *, greatest(0, least(100, 100 - 15 * ((NOT s1)::INT + (NOT s2)::INT + (NOT s3)::INT + (NOT s4)::INT) - 15 * (NOT em)::INT - 10 * (NOT ph)::INT - 20 * (file_type = 'pdf_multicol')::INT - 10 * (file_type = 'docx_tables')::INT - 15 * (words < 100)::INT)) AS fs,
   words >= 100 AND file_type <> 'pdf_multicol' AND em AS safe FROM rf)"""
@@ -163,7 +163,9 @@ def search_visibility(t):
                                F.when(F.col("title") != "", F.array_contains(held, F.col("title"))).alias("title_found"))
 
 
-@query("ats_composite", f"""SELECT app_id, round_even(CASE WHEN manager_score IS NOT NULL THEN recruiter_score * 0.15 + visibility_score * 0.4 + manager_score * 0.45 ELSE recruiter_score * 0.25 + visibility_score * 0.75 END, 1) AS composite FROM ({D.APPLICATION})""")
+# whole hundredths, then half-even to tenths
+@query("ats_composite", f"""SELECT app_id, (n // 10 + CASE WHEN n % 10 > 5 OR (n % 10 = 5 AND (n // 10) % 2 = 1) THEN 1 ELSE 0 END) / 10.0 AS composite FROM (
+ SELECT app_id, CAST(CASE WHEN manager_score IS NOT NULL THEN recruiter_score * 15 + visibility_score * 40 + manager_score * 45 ELSE recruiter_score * 25 + visibility_score * 75 END AS BIGINT) AS n FROM ({D.APPLICATION}))""")
 def ats_composite(t):
     apps = t.sql(D.APPLICATION)
     return apps.select("app_id", mt.composite(F.col("recruiter_score"), F.col("visibility_score"), F.col("manager_score")).alias("composite"))

@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -40,3 +41,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="hiresift-ckpt-")
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a result several consumers share and read it back.
+
+    A written table cuts lineage, outlives lost executors, and gives the optimizer real sizes: small tables
+    are then broadcast because they are known to be small, large ones are not.
+    """
+    folder = f"{checkpoint_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
