@@ -234,14 +234,19 @@ def resume_facts(resumes: DataFrame, as_of_month: int, *, text: str = "text") ->
         "head", F.lower(top_third(F.col(text))))
 
 
+def profile_rows(pairs: DataFrame, profiles: DataFrame, requirements: DataFrame) -> DataFrame:
+    """Pairs with both sides' facts; enough for every check that does not read the document."""
+    renamed = profiles.withColumnsRenamed({"certifications": "profile_certifications", "salary_currency": "profile_currency"})
+    return pairs.join(requirements.drop("certifications"), "jd_id").join(renamed, "candidate_id")
+
+
 def screen(pairs: DataFrame, profiles: DataFrame, requirements: DataFrame, resumes: DataFrame, *,
            must_have: DataFrame | None = None) -> DataFrame:
     """(candidate_id, jd_id, checks): every check of every pair.
 
     `resumes` comes from `resume_facts`; `must_have` is (jd_id, must_have array<string>).
     """
-    renamed = profiles.withColumnsRenamed({"certifications": "profile_certifications", "salary_currency": "profile_currency"})
-    rows = pairs.join(requirements.drop("certifications"), "jd_id").join(renamed, "candidate_id").join(resumes, "candidate_id")
+    rows = profile_rows(pairs, profiles, requirements).join(resumes, "candidate_id")
     if must_have is None:
         rows = rows.withColumn("must_have", F.array().cast("array<string>"))
     else:

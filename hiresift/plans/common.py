@@ -74,8 +74,12 @@ def candidate_terms(t: Tables, model: DataFrame) -> DataFrame:
 
 
 def screened(t: Tables) -> DataFrame:
-    facts = sc.resume_facts(resumes(t).select("candidate_id", "text"), AS_OF_MONTH)
-    return sc.screen(pairs(t), profiles(t), rq.jd_requirements(postings(t)), facts)
+    facts = materialize(sc.resume_facts(resumes(t).select("candidate_id", "text"), AS_OF_MONTH), "facts")
+    return sc.screen(pairs(t), profiles(t), requirements(t), facts)
+
+
+def requirements(t: Tables) -> DataFrame:
+    return materialize(rq.jd_requirements(postings(t)), "requirements")
 
 
 def joined(array_column: str, sep: str = "|"):
