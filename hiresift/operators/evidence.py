@@ -45,7 +45,7 @@ def bullet_terms(bullets: DataFrame, vocabulary: DataFrame, key: str = "candidat
     """(key, role_no, bullet_no, term): vocabulary terms a bullet shows in its text or carries as a tag."""
     ids = [key, "role_no", "bullet_no"]
     by_text = tm.term_index(bullets, ids, tm.searchable(F.col("text")), vocabulary, max_words)
-    tags = ar.unnest(bullets, ids, F.transform("skills", tm.canonical), "term")
+    tags = ar.unnest(bullets, ids, F.transform("skills", lambda x: tm.canonical(x)), "term")
     by_tag = tags.join(vocabulary.select("term").distinct(), "term", "left_semi").select(*ids, "term")
     return by_text.unionByName(by_tag).distinct()
 

@@ -45,13 +45,13 @@ def rewrite_problem(original: Column, rewrite: Column, allowed: Column | None =
 def tag_claims(tags: Column, term: Column) -> Column:
     """A term is claimed when it is a tag or part of a tag's name."""
     c = tm.canonical(term)
-    return ar.let(F.transform(tags, tm.canonical), lambda ts: F.array_contains(ts, c) | F.exists(ts, lambda t: tm.term_in(c, t)))
+    return ar.let(F.transform(tags, lambda x: tm.canonical(x)), lambda ts: F.array_contains(ts, c) | F.exists(ts, lambda t: tm.term_in(c, t)))
 
 
 def truthful_problem(original: Column, current: Column, rewrite: Column, tags: Column, jd_terms: Column,
                      extra: Column | None = None) -> Column:
     """Rewrite check, then: no covered posting term lost, no posting term named that the tags do not claim."""
-    allowed = F.transform(tags, tm.canonical)
+    allowed = F.transform(tags, lambda x: tm.canonical(x))
     if extra is not None:
         allowed = F.concat(allowed, extra)
     covers = lambda text: ar.let(tm.searchable(text), lambda hay: F.filter(jd_terms, lambda t: tm.term_in(t, hay)))
@@ -81,7 +81,7 @@ def target_scores(tags: Column, text: Column, missing: Column) -> Column:
             return F.struct((-score).alias("order"), i.alias("i"), term.alias("term"), score.alias("score"))
         return F.array_sort(F.filter(F.transform(missing, one), lambda s: s["score"] > 0))
 
-    tagged = F.transform(tags, tm.canonical)
+    tagged = F.transform(tags, lambda x: tm.canonical(x))
     ranked = ar.let(tagged, lambda ts: ar.let(F.array_distinct(F.flatten(F.transform(ts, content_words))), lambda tw: ar.let(
         content_words(text), lambda xw: rank(ts, tw, xw))))
     return F.transform(ranked, lambda s: F.struct(s["term"].alias("term"), s["score"].alias("score")))

@@ -154,7 +154,7 @@ def promotional(snippet: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
 
 def promotional_hits(rows: Column) -> Column:
     return F.flatten(F.transform(rows, lambda r: F.transform(
-        F.filter(tx.find_all(r["text"], TRIPLE), promotional), lambda m: _finding(r, "promotional_list", m))))
+        F.filter(tx.find_all(r["text"], TRIPLE), lambda s: promotional(s)), lambda m: _finding(r, "promotional_list", m))))
 
 
 def _findings(docs: DataFrame, key: str, text: str, *makers) -> DataFrame:
