@@ -54,7 +54,7 @@ def outcome_events(t: Tables) -> DataFrame:
     """User events read as outcome events of one application per user."""
     kinds = {"view": "pending", "click": "recruiter_call", "signup": "interview", "purchase": "offer", "error": "rejected_auto"}
     note = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("n"), F.col("event_id").cast("string")))
-    return t.events.select("event_id", "ts", F.col("user_id").alias("app_id"), tx.lookup(kinds, F.col("event_type"), F.col("event_type")).alias("outcome"), note.alias("notes"))
+    return t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("app_id"), tx.lookup(kinds, F.col("event_type"), F.col("event_type")).alias("outcome"), note.alias("notes"))
 
 
 def bench_keywords(t: Tables) -> DataFrame:

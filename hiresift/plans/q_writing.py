@@ -75,4 +75,4 @@ def grouped_findings(t):
 
 @query("writing_review")
 def writing_review(t):
-    return wr.review(t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "id")
+    return wr.review(two_page(t), "candidate_id")
