@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def searchable(text: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
 
 def plural_fold(token: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
     stem = F.left(token, F.length(token) - 1)
-    folds = (F.length(token) > 3) & token.endswith("s") & stem.isin(*vocab.taxonomy)
+    folds = (F.length(token) > 3) & token.endswith("s") & tx.among(stem, vocab.taxonomy)
     return F.when(folds, stem).otherwise(token)
 
 
@@ -54,83 +55,103 @@ def term_in(term: Column, haystack: Column) -> Column:
 # ------------------------------------------------------------------ inverted index
 
 RUN = "[a-z0-9]+"
+MARK, STAND_IN = "\x01", "\x02"
+PARTS = r"(?s)^([^a-z0-9]*)(.*?)([^a-z0-9]*)$"
 
 
-def spans(haystack: Column, max_words: int) -> Column:
-    """Distinct word spans of a text, each with exactly the context a boundary test needs: the raw span,
-    the symbols before and after it, and whether they touch another word."""
-    pieces = F.struct(tx.find_all(haystack, RUN).alias("runs"), F.split(haystack, RUN, -1).alias("gaps"))
-    return ar.let(pieces, lambda p: _windows(p["runs"], p["gaps"], max_words))
-
-
-def _windows(runs: Column, gaps: Column, max_words: int) -> Column:
-    def window(n: int) -> Column:
-        def one(run: Column, i: Column) -> Column:
-            body = [run]
-            for step in range(1, n):
-                body += [F.get(gaps, i + step), F.get(runs, i + step)]
-            return F.struct(
-                F.concat(*body).alias("span"),
-                F.get(gaps, i).alias("before"),
-                F.get(gaps, i + n).alias("after"),
-                (i == 0).alias("opens"),
-                F.coalesce(F.get(runs, i + n), F.lit("")).alias("next_word"),
-            )
-
-        return F.filter(F.transform(runs, one), lambda s: s["span"].isNotNull())
-
-    windows = [window(n) for n in range(1, max_words + 1)]
-    compact = F.transform(
-        F.flatten(F.array(*windows)),
-        # plain spaces and line ends carry no symbol: folding them lets repeats collapse
-        lambda s: F.struct(
-            s["span"].alias("span"),
-            F.regexp_replace(s["before"], r"^\s+$", " ").alias("before"),
-            F.regexp_replace(s["after"], r"^\s+$", " ").alias("after"),
-            s["opens"].alias("opens"),
-            F.when((s["after"] == "") | tx.matches(s["after"], r"^\s"), "").otherwise(s["next_word"]).alias("next_word"),
-        ),
-    )
-    return F.array_distinct(compact)
+@dataclass(frozen=True)
+class Shape:
+    """What a vocabulary asks of the index: its longest term in words, the longest gap between two words of a
+    term, and whether any term starts or ends with symbols ("c++", ".net core")."""
+
+    words: int = 1
+    gap: int = 0
+    symbols: bool = False
+
+
+PLAIN_WORDS = Shape()
+
+
+def shape_of(vocabulary: DataFrame, term: str = "term") -> Shape:
+    """One small aggregate over the vocabulary, so that the index covers every term in it and no more."""
+    core = F.regexp_extract(F.col(term), PARTS, 2)
+    inner = F.filter(F.split(core, RUN, -1), lambda g: g != "")
+    row = vocabulary.agg(
+        F.max(F.size(tx.find_all(F.col(term), RUN))).alias("words"), F.max(F.array_max(F.transform(inner, F.length))).alias("gap"),
+        F.bool_or(core != F.col(term)).alias("symbols")).first()
+    return Shape(row.words or 1, row.gap or 0, bool(row.symbols))
+
+
+def spans(haystack: Column, shape: Shape) -> Column:
+    """Distinct word spans of a text.  With symbol-edged terms each span carries the context a boundary test
+    needs (symbols before and after, whether it opens the text, the word it runs into), joined by a mark.
+
+    Spans are plain strings on purpose: distinct strings go through a hash set, distinct structs would compare
+    every pair.
+    """
+    clean = F.translate(haystack, MARK, STAND_IN)
+    pieces = F.struct(tx.find_all(clean, RUN).alias("runs"), F.split(clean, RUN, -1).alias("gaps"))
+
+    def build(p: Column) -> Column:
+        runs, gaps = p["runs"], p["gaps"]
+        # blank gaps say nothing about symbols: folding them lets repeats collapse
+        folded = F.transform(gaps, lambda g: F.when(tx.strip(g) == "", F.lit(" ")).otherwise(g)) if shape.symbols else gaps
+        return ar.let(folded, lambda fs: F.flatten(F.array(*[_window(runs, gaps, fs, n, shape) for n in range(1, shape.words + 1)])))
+
+    return F.array_distinct(ar.let(pieces, build))
+
+
+def _window(runs: Column, gaps: Column, folded: Column, n: int, shape: Shape) -> Column:
+    def one(run: Column, i: Column) -> Column:
+        body = [run]
+        for step in range(1, n):
+            gap = F.get(gaps, i + step)
+            body += [F.when(F.length(gap) <= shape.gap, gap), F.get(runs, i + step)]
+        span = F.concat(*body) if n > 1 else run
+        if not shape.symbols:
+            return span
+        after = F.get(folded, i + n)
+        runs_into = F.when((after == "") | (F.trim(F.left(after, F.lit(1))) == ""), "").otherwise(F.coalesce(F.get(runs, i + n), F.lit("")))
+        before = F.concat(F.when(i == 0, F.lit("^")).otherwise(""), F.get(folded, i))
+        return F.concat(span, F.lit(MARK), before, F.lit(MARK), after, F.lit(MARK), runs_into)
+
+    return F.array_compact(F.transform(runs, one))
 
 
 def with_skeleton(vocabulary: DataFrame, term: str = "term") -> DataFrame:
     """Split each term into leading symbols, word span, trailing symbols; add the plural spelling as a key."""
-    core = F.regexp_extract(F.col(term), r"(?s)^([^a-z0-9]*)(.*?)([^a-z0-9]*)$", 2)
+    part = lambda i: F.regexp_extract(F.col(term), PARTS, i)
     base = vocabulary.select(term).distinct().select(
-        F.col(term).alias("term"),
-        F.regexp_extract(F.col(term), r"(?s)^([^a-z0-9]*)(.*?)([^a-z0-9]*)$", 1).alias("lead"),
-        core.alias("core"),
-        F.regexp_extract(F.col(term), r"(?s)^([^a-z0-9]*)(.*?)([^a-z0-9]*)$", 3).alias("trail"),
-    ).where(F.col("core") != "")
+        F.col(term).alias("term"), part(1).alias("lead"), part(2).alias("core"), part(3).alias("trail")).where(F.col("core") != "")
     foldable = ~F.col("term").endswith("s") & (F.length("term") > 2)
     keys = F.when(foldable & (F.col("trail") == ""), F.array("core", F.concat("core", F.lit("s")))).otherwise(F.array("core"))
     return base.withColumn("foldable", foldable).withColumn("span", F.explode(keys))
 
 
-def longest_term(vocabulary: DataFrame, term: str = "term") -> int:
-    """Words in the longest term: one scalar, so the index covers every term in the vocabulary."""
-    words = F.size(tx.find_all(F.col(term), RUN))
-    return vocabulary.agg(F.max(words)).first()[0] or 1
-
-
 def term_index(docs: DataFrame, key: list[str], haystack: Column, vocabulary: DataFrame,
-               max_words: int | None = None) -> DataFrame:
+               shape: Shape | None = None) -> DataFrame:
     """(key..., term) for every vocabulary term a document contains.
 
     A hash equi-join on word spans, then an exact symbol check on the few surviving rows.  The text itself
     never enters the shuffle.  Which side is broadcast is left to the optimizer's size estimates and to AQE's
     measured sizes, so a vocabulary that has outgrown memory falls back to a shuffled join.
     """
-    width = max_words or longest_term(vocabulary)
-    rows = ar.unpack(docs, key, spans(haystack, width), "span")
-    hit = rows.join(with_skeleton(vocabulary), "span")
-    clean_lead = (F.col("lead") == "") | (
-        F.col("before").endswith(F.col("lead"))
-        & ((F.length("before") > F.length("lead")) | F.col("opens")))
-    exact_tail = F.col("after") == F.col("trail")
-    clean_trail = (F.col("trail") == "") | (
-        F.col("after").startswith(F.col("trail"))
-        & (~exact_tail | (F.col("next_word") == "") | (F.col("foldable") & (F.col("next_word") == "s"))))
+    shape = shape or shape_of(vocabulary)
+    rows = ar.unnest(docs, key, spans(haystack, shape), "span")
+    skeleton = with_skeleton(vocabulary)
+    if shape.symbols:
+        field = lambda i: F.get(F.split(F.col("_s"), MARK, -1), i)
+        rows = rows.withColumnRenamed("span", "_s").select(
+            *key, field(0).alias("span"), field(1).alias("before"), field(2).alias("after"), field(3).alias("next_word"))
+        opens = F.col("before").startswith("^")
+        before = F.regexp_replace("before", r"^\^", "")
+        clean_lead = (F.col("lead") == "") | (
+            before.endswith(F.col("lead")) & ((F.length(before) > F.length("lead")) | opens))
+        clean_trail = (F.col("trail") == "") | (
+            F.col("after").startswith(F.col("trail"))
+            & ((F.col("after") != F.col("trail")) | (F.col("next_word") == "") | (F.col("foldable") & (F.col("next_word") == "s"))))
+        hit = rows.join(skeleton, "span").where(clean_lead & clean_trail)
+    else:
+        hit = rows.join(skeleton.select("span", "term"), "span")
     # one shuffle by document: the distinct here, and any per-document aggregate or window after it, reuse it
-    return hit.where(clean_lead & clean_trail).select(*key, "term").repartition(*key).distinct()
+    return hit.select(*key, "term").repartition(*key).distinct()

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,10 +49,32 @@ def first_match(c: Column, pattern: str, group: int = 0) -> Column:
     return F.when(matches(c, pattern), F.regexp_extract(c, pattern, group))
 
 
+def sql_literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+def constant_array(values) -> Column:
+    """A constant array, parsed from one SQL string instead of one call per element."""
+    return F.expr("array(" + ", ".join(sql_literal(v) for v in values) + ")")
+
+
+_LITERALS: dict = {}
+
+
+def among(c: Column, values) -> Column:
+    """Membership in a constant set; past ten values the optimizer turns it into a hash-set test."""
+    key = (id(SparkContext._active_spark_context), tuple(values))
+    if key not in _LITERALS:
+        _LITERALS[key] = [F.lit(v) for v in key[1]]
+    return c.isin(*_LITERALS[key])
+
+
 def lookup(mapping: dict, key: Column, default: Column | None = None) -> Column:
     """Constant dictionary lookup; the hash-set test keeps the linear map probe off the common path."""
-    table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    hit = F.when(key.isin(*mapping), F.element_at(table, key))
+    table = F.expr("map(" + ", ".join(sql_literal(x) for kv in mapping.items() for x in kv) + ")")
+    hit = F.when(among(key, mapping), F.element_at(table, key))
     return hit if default is None else F.coalesce(hit, default)
 
 
@@ -217,7 +240,7 @@ def slug_name(slug: Column) -> Column:
     parts = F.filter(F.split(s, "[-_]+", -1), lambda w: w != "")
     upper = lambda w: (w == F.upper(w)) & (w != F.lower(w))
     name = F.array_join(F.transform(parts, lambda w: F.when(upper(w), w).otherwise(capitalize(w))), " ")
-    useless = (s == "") | F.lower(s).isin(*V.GENERIC_HOST_LABELS) | matches(s, "^[0-9]+$") | (name == "")
+    useless = (s == "") | among(F.lower(s), V.GENERIC_HOST_LABELS) | matches(s, "^[0-9]+$") | (name == "")
     return F.when(~useless, name)
 
 

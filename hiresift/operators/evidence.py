@@ -41,10 +41,10 @@ def jd_weight_map(keywords: DataFrame) -> DataFrame:
         F.max("weight").alias("weight"), F.min_by("term", "rank").alias("representative")).withColumnRenamed("canonical", "term")
 
 
-def bullet_terms(bullets: DataFrame, vocabulary: DataFrame, key: str = "candidate_id", max_words: int | None = None) -> DataFrame:
+def bullet_terms(bullets: DataFrame, vocabulary: DataFrame, key: str = "candidate_id", shape: tm.Shape | None = None) -> DataFrame:
     """(key, role_no, bullet_no, term): vocabulary terms a bullet shows in its text or carries as a tag."""
     ids = [key, "role_no", "bullet_no"]
-    by_text = tm.term_index(bullets, ids, tm.searchable(F.col("text")), vocabulary, max_words)
+    by_text = tm.term_index(bullets, ids, tm.searchable(F.col("text")), vocabulary, shape)
     tags = ar.unnest(bullets, ids, F.transform("skills", lambda x: tm.canonical(x)), "term")
     by_tag = tags.join(vocabulary.select("term").distinct(), "term", "left_semi").select(*ids, "term")
     return by_text.unionByName(by_tag).distinct()

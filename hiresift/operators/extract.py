@@ -62,7 +62,7 @@ def effective_section(clause: Column, section: Column) -> Column:
 
 def phrase_terms(clause: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
     """Multi-word taxonomy terms that occur anywhere in the alias-normalised clause."""
-    phrases = F.array(*[F.lit(t) for t in vocab.multiword])
+    phrases = tx.constant_array(vocab.multiword)
     return ar.let(tm.searchable(clause, vocab), lambda hay: F.filter(phrases, lambda t: F.contains(hay, t)))
 
 
@@ -72,17 +72,17 @@ def token_terms(clause: Column, shouting: Column, vocab: V.Vocabulary = V.DEFAUL
         def one(tok: Column, i: Column) -> Column:
             clean = tx.rstrip(tok, tx.TOKEN_TAIL)
             def shape(low: Column) -> Column:
-                blocked = low.isin(*V.STOPWORDS, *V.NON_SKILL_ACRONYMS) | (F.length(low) < 2)
+                blocked = tx.among(low, V.STOPWORDS + V.NON_SKILL_ACRONYMS) | (F.length(low) < 2)
                 pair = F.concat(F.lower(F.get(toks, i - 1)), F.lit(" "), low)
                 kind = (
                     F.when(blocked, F.lit(None).cast("string"))
                     .when(tx.matches(clean, ACRONYM) & ~shouting, "acronym")
                     .when(tx.matches(clean, EXAM_CODE), "exam_code")
-                    .when(low.isin(*vocab.taxonomy) | tm.canonical(low, vocab).isin(*vocab.taxonomy), "taxonomy")
+                    .when(tx.among(low, vocab.taxonomy) | tx.among(tm.canonical(low, vocab), vocab.taxonomy), "taxonomy")
                 )
                 return F.struct(
                     clean.alias("token"), tm.canonical(low, vocab).alias("term"), kind.alias("kind"),
-                    F.coalesce((i > 0) & pair.isin(*vocab.multiword), F.lit(False)).alias("in_phrase"))
+                    F.coalesce((i > 0) & tx.among(pair, vocab.multiword), F.lit(False)).alias("in_phrase"))
             return ar.let(tm.plural_fold(F.lower(clean), vocab), shape)
         return F.filter(F.transform(toks, one), lambda s: s["kind"].isNotNull() & (s["token"] != ""))
     return ar.let(tx.find_all(clause, tx.TOKEN), classify)
@@ -252,14 +252,14 @@ def skill_tokens(text: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
     word = r"[A-Za-z][A-Za-z0-9+.#/-]{1,}"
 
     def known(hay: Column) -> Column:
-        phrases = F.filter(F.array(*[F.lit(t) for t in vocab.multiword]), lambda t: F.contains(hay, t))
+        phrases = F.filter(tx.constant_array(vocab.multiword), lambda t: F.contains(hay, t))
         folded = F.transform(tx.find_all(hay, "[a-z][a-z0-9+.#/-]{1,}"), lambda t: tm.plural_fold(t, vocab))
-        return F.concat(phrases, F.filter(folded, lambda t: t.isin(*vocab.taxonomy)))
+        return F.concat(phrases, F.filter(folded, lambda t: tx.among(t, vocab.taxonomy)))
 
     def shouted(ws: Column) -> Column:
         def one(w: Column, i: Column) -> Column:
             pair = F.concat(F.lower(F.get(ws, i - 1)), F.lit(" "), F.lower(w))
-            inside = F.coalesce((i > 0) & pair.isin(*vocab.multiword), F.lit(False))
+            inside = F.coalesce((i > 0) & tx.among(pair, vocab.multiword), F.lit(False))
             return (F.when(tx.matches(w, ACRONYM) & ~inside, tm.canonical(w, vocab))
                     .when(tx.matches(w, EXAM_CODE), F.lower(w)))
         return F.array_compact(F.transform(ws, one))

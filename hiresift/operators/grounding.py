@@ -195,7 +195,7 @@ def answer_items(answer: Column, norm: Column) -> Column:
     def country_item(v: Column) -> Column:
         def build(n: Column) -> Column:
             q = of(v, "quote")
-            odd = n.isin(*V.NOT_COUNTRIES) | ~tx.matches(n, "^[a-z]+(?: [a-z]+){0,2}$")
+            odd = tx.among(n, V.NOT_COUNTRIES) | ~tx.matches(n, "^[a-z]+(?: [a-z]+){0,2}$")
             seen = F.contains(tx.normalize_quote(q), n) | F.array_contains(tx.countries_in(q), n)
             return _item("countries", n, q, grounded(q, F.when(odd, "not a country").when(~seen, "country not in quote")))
         return ar.let(tx.normalize_country(of(v, "value")), build)
@@ -206,7 +206,7 @@ def answer_items(answer: Column, norm: Column) -> Column:
         def build(t: Column) -> Column:
             q = of(v, "quote")
             size = F.when((F.size(tx.words(t)) > MAX_TERM_WORDS) | (F.length(t) > MAX_TERM_CHARS), "too long for a skill")
-            filler = F.when(t.isin(*V.STOPWORDS, *V.NON_SKILL_ACRONYMS), "boilerplate word")
+            filler = F.when(tx.among(t, V.STOPWORDS + V.NON_SKILL_ACRONYMS), "boilerplate word")
             return _item("skills", t, q, F.coalesce(size, filler, grounded(q, F.when(~term_in_quote(t, q), "term not in quote"))),
                          F.coalesce(of(v, "required") == "true", F.lit(False)))
         return ar.let(tm.canonical(F.coalesce(of(v, "term"), F.lit(""))), build)

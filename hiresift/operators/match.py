@@ -75,7 +75,7 @@ def formatting_score() -> Column:
 def gate_checks() -> Column:
     """array<struct<name, status>> over document_features columns."""
     check = lambda name, ok, bad: F.struct(F.lit(name).alias("name"), F.when(ok, "pass").otherwise(bad).alias("status"))
-    core_missing = F.arrays_overlap("sections_missing", F.array(*map(F.lit, CORE_SECTIONS)))
+    core_missing = F.arrays_overlap("sections_missing", tx.constant_array(CORE_SECTIONS))
     return F.array(
         check("Text extraction", F.col("word_count") >= MIN_WORDS, "fail"),
         check("Single-column layout", ~F.col("multi_column"), "fail"),
@@ -145,7 +145,7 @@ def searchable_terms(keywords: Column, title: Column) -> Column:
     """Up to six requirement terms a recruiter would type, strongest first."""
     initials = F.array_join(F.transform(tx.words(title), lambda w: F.substring(w, 1, 1)), "")
     eligible = F.filter(keywords, lambda k: (
-        ~k["term"].isin(*V.NOT_SEARCHED) & k["section"].isin(*V.HARD_SECTIONS)
+        ~tx.among(k["term"], V.NOT_SEARCHED) & k["section"].isin(*V.HARD_SECTIONS)
         & ~((F.length(k["term"]) >= 2) & F.contains(initials, k["term"])) & ~((title != "") & tm.term_in(k["term"], title))))
     return F.slice(F.array_distinct(ar.field(eligible, "term")), 1, V.MAX_SEARCH_TERMS)
 
@@ -224,9 +224,9 @@ def vocabulary_of(model: DataFrame) -> DataFrame:
 
 
 def document_terms(docs: DataFrame, vocabulary: DataFrame, *, key: str, text: str = "text",
-                   max_words: int | None = None, vocab: V.Vocabulary = V.DEFAULT) -> DataFrame:
+                   shape: tm.Shape | None = None, vocab: V.Vocabulary = V.DEFAULT) -> DataFrame:
     """(key, terms): the vocabulary terms each document holds; documents with none keep an empty array."""
-    index = tm.term_index(docs, [key], tm.searchable(F.col(text), vocab), vocabulary, max_words)
+    index = tm.term_index(docs, [key], tm.searchable(F.col(text), vocab), vocabulary, shape)
     held = index.groupBy(key).agg(F.sort_array(F.collect_set("term")).alias("terms"))
     return docs.select(key).join(held, key, "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 

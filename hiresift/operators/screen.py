@@ -167,7 +167,7 @@ def _authorised() -> Column:
 def location_check() -> Column:
     long_words = lambda c: F.transform(tx.find_all(F.coalesce(c, F.lit("")), "[A-Za-z]{4,}"), F.lower)
     shared = F.array_intersect(long_words(F.col("location")), long_words(F.col("jd_location")))
-    city = F.size(F.array_except(shared, F.array(*map(F.lit, COUNTRY_WORDS)))) > 0
+    city = F.size(F.array_except(shared, tx.constant_array(COUNTRY_WORDS))) > 0
     here = F.concat(tx.countries_in(F.coalesce("location", F.lit(""))), _authorised())
     same = city | F.arrays_overlap(here, F.col("countries"))
     stated = ~blank(F.col("jd_location")) | (F.size("countries") > 0)

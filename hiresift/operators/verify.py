@@ -19,7 +19,7 @@ def kept_numbers(text: Column) -> Column:
 
 
 def named_skills(text: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
-    return F.array_except(ex.skill_tokens(text, vocab), F.array(*map(F.lit, V.NOT_SKILL_IN_REWRITE)))
+    return F.array_except(ex.skill_tokens(text, vocab), tx.constant_array(V.NOT_SKILL_IN_REWRITE))
 
 
 def rewrite_problem(original: Column, rewrite: Column, allowed: Column | None = None,

@@ -143,9 +143,9 @@ def promotional(snippet: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
     items = F.filter(F.transform(F.split(F.btrim(snippet, F.lit(" .!?;:")), r",\s*(?:and\s+)?|\s+and\s+", -1), lambda i: tx.strip(i)), lambda i: i != "")
 
     def test(xs: Column) -> Column:
-        buzz = F.size(F.filter(xs, lambda i: F.lower(i).isin(*V.PROMOTIONAL_ITEMS))) >= 2
-        taxonomy = F.array(*[F.lit(t) for t in vocab.taxonomy])
-        known = F.exists(xs, lambda i: tm.canonical(i, vocab).isin(*vocab.taxonomy) | ar.let(
+        buzz = F.size(F.filter(xs, lambda i: tx.among(F.lower(i), V.PROMOTIONAL_ITEMS))) >= 2
+        taxonomy = tx.constant_array(vocab.taxonomy)
+        known = F.exists(xs, lambda i: tx.among(tm.canonical(i, vocab), vocab.taxonomy) | ar.let(
             tm.alias_normalize(i, vocab), lambda n: F.exists(taxonomy, lambda t: tm.term_in(t, n))))
         return F.when((F.size(xs) == 3) & buzz, ~known).otherwise(False)
 

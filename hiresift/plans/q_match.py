@@ -27,7 +27,7 @@ def query(name, oracle=None):
 
 
 def bench_index(t, keywords):
-    return tm.term_index(t.documents, ["doc_id"], tm.searchable(F.col("text")), keywords.select("term").distinct(), 1)
+    return tm.term_index(t.documents, ["doc_id"], tm.searchable(F.col("text")), keywords.select("term").distinct(), tm.PLAIN_WORDS)
 
 
 @query("term_index", f"WITH {c.BENCH_KW}, {c.DOC_INDEX} SELECT doc_id, term FROM idx")

@@ -201,7 +201,7 @@ def top_third_coverage(t):
     must = kw.withColumn("r", F.row_number().over(order)).where("r <= 10").select("jd_id", "term")
     long_enough = t.documents.where(F.size(tx.words(F.col("text"))) >= 30)
     head = F.replace(tm.searchable(sc.top_third(F.col("text"))), F.lit("-"), F.lit(" "))
-    index = tm.term_index(long_enough, ["doc_id"], head, must.select("term").distinct(), 1)
+    index = tm.term_index(long_enough, ["doc_id"], head, must.select("term").distinct(), tm.PLAIN_WORDS)
     sizes = must.groupBy("jd_id").agg(F.count("*").alias("n"))
     hits = index.join(must, "term").groupBy("doc_id", "jd_id").agg(F.count("*").alias("hits"))
     return hits.join(sizes, "jd_id").select("doc_id", "jd_id", tx.ratio_pct(F.col("hits"), F.col("n")).alias("coverage"))

@@ -26,16 +26,19 @@ def query(name, oracle=None):
     return add
 
 
-def arriving(t, df, name, batches=4):
-    """Land a frame as a few files in order of arrival and stream them one file per batch."""
+def arriving(t, df, name, batches=4, per_batch=1):
+    """Land a frame as a few files and stream them, by default one file per batch."""
     folder = scratch(t, name)
     df.repartitionByRange(batches, df.columns[0]).write.parquet(folder)
-    return jobs.file_stream(t.spark, folder, df.schema, "*.parquet")
+    return jobs.file_stream(t.spark, folder, df.schema, "*.parquet", per_batch)
 
 
-def event_stream(t):
+def event_stream(t, per_batch=1):
     events = c.outcome_events(t).select("ts", "event_id", "app_id", "outcome", "notes")
-    return arriving(t, events, "events")
+    return arriving(t, events, "events", per_batch=per_batch)
+
+
+ALL_FILES = 1_000_000  # files land in no set order: read together, none is late for the watermark
 
 
 @query("stream_extract_terms", f"WITH {OFFERS} SELECT jd_id, term, weight, section FROM top WHERE rank <= 40")
@@ -59,7 +62,7 @@ def stream_latest_outcome(t):
 @query("stream_ghost_timeout")
 def stream_ghost_timeout(t):
     """A timeout of one day, so that sessions close inside the month the events cover."""
-    stream = jobs.stream_ghost_timeout(event_stream(t), days=1, delay="1 hour")
+    stream = jobs.stream_ghost_timeout(event_stream(t, ALL_FILES), days=1, delay="1 hour")
     return jobs.run_append(stream, "ghosts").select("app_id", "outcome", F.col("last_ts").cast("string").alias("last_ts"))
 
 
@@ -67,7 +70,7 @@ def stream_ghost_timeout(t):
  SELECT strftime(day, '%Y-%m-%d') AS day, n, reached_human, {RATE} FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev WHERE outcome <> 'pending')""")
 def stream_funnel_tumbling(t):
     """Days the watermark has passed; the last, still open day is not emitted."""
-    daily = jobs.run_append(jobs.stream_funnel_tumbling(event_stream(t)), "funnel")
+    daily = jobs.run_append(jobs.stream_funnel_tumbling(event_stream(t, ALL_FILES)), "funnel")
     return daily.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 

@@ -291,7 +291,7 @@ def plural_fold(t):
  SELECT doc_id, term FROM d, w WHERE contains(x, term) AND regexp_matches(x, '[^a-z0-9]' || term || CASE WHEN ends_with(term, 's') THEN '' ELSE 's?' END || '[^a-z0-9]')""")
 def term_match(t):
     words = ar.unnest(t.benchmark, [], tx.find_all(F.lower("text"), "[a-z]{6,}"), "term").distinct()
-    return tm.term_index(t.documents, ["doc_id"], F.lower("text"), words, 1)
+    return tm.term_index(t.documents, ["doc_id"], F.lower("text"), words, tm.PLAIN_WORDS)
 
 
 @query("normalize_for_quote", r"""SELECT doc_id, trim(regexp_replace(translate(lower(text), '‘’“”"`–—−' || chr(39), '          '), '[^\p{L}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}+#&$₹£€%]+', ' ', 'g')) AS norm FROM documents""")
