@@ -138,7 +138,11 @@ def role_minimums(bullets: Column, weights: Column, max_lines: int = MAX_LINES)
 def fill_budget(bullets: Column, weights: Column, start: Column, max_lines: int = MAX_LINES,
                 max_current: int = MAX_CURRENT, max_other: int = MAX_OTHER) -> Column:
     """Then the best gain per line anywhere, within role caps and the budget, until nothing gains."""
-    def step(state: Column, _: Column) -> Column:
+    def step(run: Column, _: Column) -> Column:
+        return F.when(run["done"], run).otherwise(ar.let(pick(run["s"]), lambda s: F.struct(
+            s.alias("s"), (F.size(s["picked"]) == F.size(run["s"]["picked"])).alias("done"))))
+
+    def pick(state: Column) -> Column:
         taken = lambda role: F.size(F.filter(bullets, lambda x: (x["role_rank"] == role) & F.array_contains(state["picked"], x["bullet_id"])))
         free = F.filter(_open(bullets, state), lambda b: (state["lines"] + b["cost"] <= max_lines)
                         & (taken(b["role_rank"]) < F.when(b["is_current"], max_current).otherwise(max_other)))
@@ -147,7 +151,8 @@ def fill_budget(bullets: Column, weights: Column, start: Column, max_lines: int
         best = F.array_max(F.filter(ranked, lambda r: r["value"] > 0))["b"]
         return ar.let(best, lambda x: _take(state, x, weights))
 
-    return F.aggregate(bullets, start, step)
+    # once a round picks nothing, the remaining rounds pass the state through
+    return F.aggregate(bullets, F.struct(start.alias("s"), F.lit(False).alias("done")), step, lambda run: run["s"])
 
 
 def weight_map(keywords: Column) -> Column:
@@ -160,8 +165,12 @@ def select_evidence(pairs: DataFrame, banks: DataFrame, model: DataFrame, *, max
     """(key, jd_id, bullets, keywords, minimums, picked, lines, counts) for every pair."""
     rows = pairs.select(key, "jd_id").join(banks, key).join(model.select("jd_id", "keywords"), "jd_id")
     def fold(w: Column) -> Column:
-        return ar.let(role_minimums(F.col("bullets"), w, max_lines), lambda first: F.struct(
-            first["picked"].alias("minimums"), fill_budget(F.col("bullets"), w, first, max_lines, max_current, max_other).alias("s")))
+        # only this posting's terms can gain or be counted
+        fields = ("bullet_id", "role_rank", "role_no", "bullet_no", "is_current", "cost", "n_tags", "n_chars")
+        wanted = F.transform("bullets", lambda b: F.struct(
+            *[b[f].alias(f) for f in fields], F.filter(b["covers"], lambda t: F.map_contains_key(w, t)).alias("covers")))
+        return ar.let(wanted, lambda bs: ar.let(role_minimums(bs, w, max_lines), lambda first: F.struct(
+            first["picked"].alias("minimums"), fill_budget(bs, w, first, max_lines, max_current, max_other).alias("s"))))
     done = rows.withColumn("_s", ar.let(weight_map(F.col("keywords")), fold))
     return done.select(key, "jd_id", "bullets", "keywords", "_s.minimums", "_s.s.picked", "_s.s.lines", "_s.s.counts")
 

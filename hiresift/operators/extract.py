@@ -161,7 +161,8 @@ def or_lists(terms: Column, lines: Column) -> Column:
     pattern = F.concat(item, F.lit(r"(?:\s*(?:,\s*or\b|,|/|\bor\b)\s*"), item, F.lit(")+"))
 
     def members(p: Column) -> Column:
-        lists = F.flatten(F.transform(lines, lambda s: F.regexp_extract_all(s, p, 0)))
+        able = F.filter(lines, lambda s: F.contains(s, F.lit("/")) | tx.matches(s, r"\bor\b"))
+        lists = F.flatten(F.transform(able, lambda s: F.regexp_extract_all(s, p, 0)))
         either = F.filter(lists, lambda x: tx.matches(x, r"\bor\b|/"))
         return F.transform(either, lambda x: F.filter(terms, lambda t: tm.term_in(t, x)))
 
@@ -173,11 +174,14 @@ def paren_examples(terms: Column, lines: Column) -> Column:
     pattern = F.concat(F.lit("("), _alternation(terms), F.lit(r")s?(?:\s+\w+)?\s*\(([^)]*)\)"))
 
     def found(p: Column) -> Column:
-        heads = F.flatten(F.transform(lines, lambda s: F.regexp_extract_all(s, p, 1)))
-        bodies = F.flatten(F.transform(lines, lambda s: F.regexp_extract_all(s, p, 2)))
-        groups = F.zip_with(heads, bodies, lambda h, b: F.struct(
-            h.alias("head"), F.filter(terms, lambda t: (t != h) & tm.term_in(t, b)).alias("members")))
-        return F.filter(groups, lambda g: F.size(g["members"]) >= 2)
+        def read(able: Column) -> Column:
+            heads = F.flatten(F.transform(able, lambda s: F.regexp_extract_all(s, p, 1)))
+            bodies = F.flatten(F.transform(able, lambda s: F.regexp_extract_all(s, p, 2)))
+            groups = F.zip_with(heads, bodies, lambda h, b: F.struct(
+                h.alias("head"), F.filter(terms, lambda t: (t != h) & tm.term_in(t, b)).alias("members")))
+            return F.filter(groups, lambda g: F.size(g["members"]) >= 2)
+
+        return ar.let(F.filter(lines, lambda s: F.contains(s, F.lit("("))), read)
 
     return ar.let(pattern, found)
 

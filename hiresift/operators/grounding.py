@@ -249,8 +249,8 @@ def verified_skills(grounded: DataFrame, key: str = "jd_id") -> DataFrame:
 SCALARS = ("title", "seniority", "min_years", "min_degree", "sponsorship_unavailable", "salary")
 
 
-def rule_values(requirements: DataFrame, key: str = "jd_id") -> DataFrame:
-    """(key, field, value) of the rule record, blanks left out, spelled as grounded values are."""
+def rule_scalars() -> Column:
+    """array<struct<field, value>> over requirement-record columns, blanks left out."""
     number = lambda c: F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
     row = lambda f, v: F.struct(F.lit(f).alias("field"), F.nullif(v, F.lit("")).alias("value"))
     paid = F.col("salary_min").isNotNull() | F.col("salary_max").isNotNull()
@@ -258,7 +258,12 @@ def rule_values(requirements: DataFrame, key: str = "jd_id") -> DataFrame:
     rows = F.array(
         row("title", F.col("jd_title")), row("seniority", F.col("seniority")), row("min_years", number(F.col("min_years"))),
         row("min_degree", F.col("min_degree")), row("sponsorship_unavailable", F.when(F.col("sponsorship_unavailable"), "true")), row("salary", pay))
-    return ar.unpack(requirements, [key], F.filter(rows, lambda r: r["value"].isNotNull()), "field")
+    return F.filter(rows, lambda r: r["value"].isNotNull())
+
+
+def rule_values(requirements: DataFrame, key: str = "jd_id") -> DataFrame:
+    """(key, field, value) of the rule record, spelled as grounded values are."""
+    return ar.unpack(requirements, [key], rule_scalars(), "field")
 
 
 def verified_scalars(grounded: DataFrame, key: str = "jd_id") -> DataFrame:

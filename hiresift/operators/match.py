@@ -156,7 +156,11 @@ def family_of(term: Column) -> Column:
 
 def skill_groups(terms: Column, lines: Column) -> Column:
     """OR-groups, strongest first: same-family terms share a group only when one line names both."""
-    named = F.transform(lines, lambda s: ar.let(tm.searchable(s["line"]), lambda hay: F.filter(terms, lambda t: tm.term_in(t, hay))))
+    families = F.array_compact(F.transform(terms, family_of))
+    # lines are read only when two terms could share a group at all
+    shared = F.size(F.array_distinct(families)) < F.size(families)
+    read = F.transform(lines, lambda s: ar.let(tm.searchable(s["line"]), lambda hay: F.filter(terms, lambda t: tm.term_in(t, hay))))
+    named = F.when(shared, read).otherwise(F.array().cast("array<array<string>>"))
 
     def fold(co_lines: Column) -> Column:
         empty = F.array().cast("array<struct<term:string,group_no:int>>")
