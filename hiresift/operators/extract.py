@@ -22,19 +22,29 @@ EXAM_CODE = r"^[A-Z]{2}-\d{3}$"
 
 # ------------------------------------------------------------------ sections
 
+ANY_HEADER = "|".join(p for patterns in V.SECTION_HEADERS.values() for p in patterns)
+
+
 def header_section(line: Column) -> Column:
-    """Section a line opens, null for body lines.  Bullets never open one."""
+    """Section a line opens, null for body lines.  Bullets never open one; one combined pattern rules out most
+    lines before the sections are told apart."""
+    def looks_like_header(lower: Column) -> Column:
+        long_words = F.filter(tx.find_all(line, "[A-Za-z']+"), lambda w: F.length(w) >= 4)
+        shouted = (line == F.upper(line)) & (line != F.lower(line))
+        titled = ar.let(long_words, lambda ws: (F.size(ws) > 0) & (shouted | F.forall(ws, lambda w: tx.matches(w, "^[A-Z]"))))
+        return (F.length(lower) < 40) & (line.endswith(":") | titled)
+
+    def name(lower: Column, headerish: Column) -> Column:
+        chain = None
+        for section, patterns in V.SECTION_HEADERS.items():
+            alt = "|".join(patterns)
+            hit = tx.matches(lower, f"^(?:{alt})$") | (headerish & tx.matches(lower, alt))
+            chain = F.when(hit, section) if chain is None else chain.when(hit, section)
+        return chain
+
     lower = tx.strip(tx.rstrip(F.lower(line), ":"))
-    long_words = F.filter(tx.find_all(line, "[A-Za-z']+"), lambda w: F.length(w) >= 4)
-    shouted = (line == F.upper(line)) & (line != F.lower(line))
-    titled = (F.size(long_words) > 0) & (shouted | F.forall(long_words, lambda w: tx.matches(w, "^[A-Z]")))
-    headerish = (F.length(lower) < 40) & (line.endswith(":") | titled)
-    chain = None
-    for section, patterns in V.SECTION_HEADERS.items():
-        alt = "|".join(patterns)
-        hit = tx.matches(lower, f"^(?:{alt})$") | (headerish & tx.matches(lower, alt))
-        chain = F.when(hit, section) if chain is None else chain.when(hit, section)
-    return F.when(~tx.matches(line, BULLET_START), chain)
+    possible = ~tx.matches(line, BULLET_START) & tx.matches(F.lower(line), ANY_HEADER)
+    return F.when(possible, ar.let(lower, lambda lo: ar.let(looks_like_header(lo), lambda h: name(lo, h))))
 
 
 def sectioned_lines(text: Column) -> Column:
@@ -78,10 +88,10 @@ def token_terms(clause: Column, shouting: Column, vocab: V.Vocabulary = V.DEFAUL
                     F.when(blocked, F.lit(None).cast("string"))
                     .when(tx.matches(clean, ACRONYM) & ~shouting, "acronym")
                     .when(tx.matches(clean, EXAM_CODE), "exam_code")
-                    .when(tx.among(low, vocab.taxonomy) | tx.among(tm.canonical(low, vocab), vocab.taxonomy), "taxonomy")
+                    .when(tx.among(low, vocab.known), "taxonomy")
                 )
                 return F.struct(
-                    clean.alias("token"), tm.canonical(low, vocab).alias("term"), kind.alias("kind"),
+                    clean.alias("token"), tx.lookup(vocab.aliases, low, low).alias("term"), kind.alias("kind"),
                     F.coalesce((i > 0) & tx.among(pair, vocab.multiword), F.lit(False)).alias("in_phrase"))
             return ar.let(tm.plural_fold(F.lower(clean), vocab), shape)
         return F.filter(F.transform(toks, one), lambda s: s["kind"].isNotNull() & (s["token"] != ""))
@@ -128,10 +138,10 @@ def weigh(offered: Column) -> Column:
     def group(rows: Column) -> Column:
         def one(term: Column) -> Column:
             def fold(mine: Column) -> Column:
-                best = F.array_max(ar.field(mine, "best"))
-                weight = F.bround(best["w"] * F.array_max(ar.field(mine, "bump")), 2).cast("decimal(6,2)")
-                return F.struct(term.alias("term"), weight.alias("weight"), best["section"].alias("section"),
-                                F.array_min(ar.field(mine, "pos")).alias("first_pos"))
+                bump = F.array_max(ar.field(mine, "bump"))
+                return ar.let(F.array_max(ar.field(mine, "best")), lambda best: F.struct(
+                    term.alias("term"), F.bround(best["w"] * bump, 2).cast("decimal(6,2)").alias("weight"),
+                    best["section"].alias("section"), F.get(mine, 0)["pos"].alias("first_pos")))
             return ar.let(F.filter(rows, lambda r: r["term"] == term), fold)
         return F.transform(F.array_distinct(ar.field(rows, "term")), one)
 
