@@ -96,14 +96,29 @@ def with_terms(t):
         ar.field(ex.weigh(ex.offers(ls)), "term").alias("terms"), F.transform(ls, lambda s: tm.searchable(s["line"])).alias("norm"))).alias("x"))
 
 
-@query("link_or_lists")
+LINE_NORM = "replace(replace(" + NORM.replace("clause", "line") + ", 'k8s', 'kubernetes'), 'ms excel', 'excel')"
+IN_SPAN = "regexp_matches(' ' || {s} || ' ', '[^a-z0-9]' || regexp_escape(kw.term) || CASE WHEN ends_with(kw.term, 's') OR length(kw.term) <= 2 THEN '' ELSE 's?' END || '[^a-z0-9]')"
+LISTS = rf"""nl AS (SELECT jd_id, line_no, {LINE_NORM} AS x FROM ({POSTING_LINES})),
+ kt AS (SELECT jd_id, string_agg(regexp_escape(term), '|' ORDER BY length(term) DESC, term) AS alt FROM kw GROUP BY 1),
+ ki AS (SELECT jd_id, alt, '(?:(?:advanced|basic|strong)\s+)?(?:' || alt || ')s?' AS item FROM kt),
+ sp0 AS (SELECT nl.jd_id, line_no, regexp_extract_all(x, item || '(?:\s*(?:,\s*or\b|,|/|\bor\b)\s*' || item || ')+') AS l FROM nl JOIN ki ON ki.jd_id = nl.jd_id),
+ sp1 AS (SELECT jd_id, line_no, generate_subscripts(l, 1) AS i, unnest(l) AS span FROM sp0),
+ ol AS (SELECT jd_id, span, row_number() OVER (PARTITION BY jd_id ORDER BY line_no, i) AS list_no FROM sp1 WHERE regexp_matches(span, '\bor\b|/')),
+ om AS (SELECT ol.jd_id, list_no, kw.term FROM ol JOIN kw ON kw.jd_id = ol.jd_id AND {IN_SPAN.format(s='span')}),
+ pp AS (SELECT nl.jd_id, line_no, regexp_extract_all(x, '(' || alt || ')s?(?:\s+\w+)?\s*\(([^)]*)\)', 1) AS h, regexp_extract_all(x, '(' || alt || ')s?(?:\s+\w+)?\s*\(([^)]*)\)', 2) AS b FROM nl JOIN ki ON ki.jd_id = nl.jd_id WHERE contains(x, '(')),
+ pq AS (SELECT jd_id, line_no, unnest(h) AS head, unnest(b) AS body FROM pp),
+ pm AS (SELECT pq.jd_id, line_no, head, kw.term FROM pq JOIN kw ON kw.jd_id = pq.jd_id AND kw.term <> head AND {IN_SPAN.format(s='body')}),
+ pg AS (SELECT jd_id, line_no, head, list(term ORDER BY term) AS members FROM pm GROUP BY 1, 2, 3 HAVING count(*) >= 2)"""
+
+
+@query("link_or_lists", f"WITH {OFFERS}, {LISTS} SELECT jd_id, list_no, string_agg(term, '|' ORDER BY term) AS members FROM om GROUP BY 1, 2")
 def link_or_lists(t):
     groups = ar.let(F.col("x"), lambda x: F.when(F.size(x["terms"]) > 0, F.transform(ex.or_lists(x["terms"], x["norm"]), lambda g, i: F.struct(
         (i + 1).alias("list_no"), F.array_join(F.array_sort(g), "|").alias("members")))))
     return ar.unpack(with_terms(t), ["jd_id"], groups, "list_no")
 
 
-@query("link_paren_examples")
+@query("link_paren_examples", f"WITH {OFFERS}, {LISTS} SELECT jd_id, head, array_to_string(members, '|') AS members FROM pg")
 def link_paren_examples(t):
     groups = ar.let(F.col("x"), lambda x: F.when(F.size(x["terms"]) > 0, F.transform(ex.paren_examples(x["terms"], x["norm"]), lambda g: F.struct(
         g["head"].alias("head"), F.array_join(F.array_sort(g["members"]), "|").alias("members")))))

@@ -11,7 +11,7 @@ from hiresift.operators import extract as ex
 from hiresift.operators import match as mt
 from hiresift.plans import common as c
 from hiresift.plans import derived as D
-from hiresift.plans.q_extract import OFFERS
+from hiresift.plans.q_extract import LISTS, OFFERS
 from hiresift.plans.q_text import BAND, TITLE_LINES, TITLE_SQL
 
 QUERIES, ORACLES = {}, {}
@@ -143,7 +143,19 @@ def pair_rows(t):
     return mt.paired(c.pairs(t), model, c.candidate_terms(t, model))
 
 
-@query("matched_missing_terms")
+# the aliases that occur in the composed documents
+HELD = f"""{OFFERS}, {LISTS}, k40 AS (SELECT * FROM top WHERE rank <= 40),
+ al AS (SELECT a.jd_id, a.term, b.term AS alt FROM om a JOIN om b ON b.jd_id = a.jd_id AND b.list_no = a.list_no UNION SELECT jd_id, head, unnest(members) FROM pg
+  UNION SELECT jd_id, a, b FROM (SELECT jd_id, unnest(members) AS a, members FROM pg), unnest(members) AS u(b)),
+ rh AS (SELECT candidate_id, ' ' || replace(replace(replace(replace(lower(text), 'k8s', 'kubernetes'), 'a/b tests', 'a/b testing'), 'data engineer', 'data engineering'), 'bi analyst', 'business intelligence analyst') || ' ' AS hay FROM ({D.RESUME})),
+ wd AS (SELECT DISTINCT term FROM kw),
+ held AS (SELECT candidate_id, term FROM rh, wd WHERE regexp_matches(hay, '[^a-z0-9]' || regexp_escape(term) || CASE WHEN ends_with(term, 's') OR length(term) <= 2 THEN '' ELSE 's?' END || '[^a-z0-9]')),
+ want AS (SELECT jd_id, term, term AS alt FROM k40 UNION SELECT al.jd_id, al.term, al.alt FROM al),
+ met AS (SELECT DISTINCT pa.candidate_id, pa.jd_id, want.term FROM ({D.PAIR}) pa JOIN want ON want.jd_id = pa.jd_id JOIN held ON held.candidate_id = pa.candidate_id AND held.term = want.alt)"""
+
+
+@query("matched_missing_terms", f"""WITH {HELD} SELECT pa.candidate_id, pa.jd_id, coalesce(string_agg(k40.term, '|' ORDER BY rank) FILTER (met.term IS NOT NULL), '') AS matched, coalesce(string_agg(k40.term, '|' ORDER BY rank) FILTER (met.term IS NULL), '') AS missing
+ FROM ({D.PAIR}) pa JOIN k40 ON k40.jd_id = pa.jd_id LEFT JOIN met ON met.candidate_id = pa.candidate_id AND met.jd_id = pa.jd_id AND met.term = k40.term GROUP BY 1, 2""")
 def matched_missing_terms(t):
     lists = lambda want: ar.let(F.col("terms"), lambda h: mt.matched_terms(F.col("keywords"), h, want))
     return pair_rows(t).select("candidate_id", "jd_id", F.array_join(lists(True), "|").alias("matched"), F.array_join(lists(False), "|").alias("missing"))

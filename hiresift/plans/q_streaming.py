@@ -59,11 +59,14 @@ def stream_latest_outcome(t):
     return jobs.run_keyed(jobs.stream_latest_outcome(event_stream(t)), "latest", "app_id").drop("outcome_ts")
 
 
-@query("stream_ghost_timeout")
+@query("stream_ghost_timeout", f"""WITH {EVENT}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY app_id ORDER BY ts) <= INTERVAL 1 DAY THEN 0 ELSE 1 END AS opens FROM ev),
+ w AS (SELECT *, sum(opens) OVER (PARTITION BY app_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
+ e AS (SELECT app_id, n, arg_max(outcome, (ts, event_id)) AS o, max(ts) AS last_ts FROM w GROUP BY 1, 2)
+ SELECT app_id, CASE WHEN o = 'pending' THEN 'ghosted' ELSE o END AS outcome, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts FROM e WHERE last_ts + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev)""")
 def stream_ghost_timeout(t):
     """A timeout of one day, so that sessions close inside the month the events cover."""
     stream = jobs.stream_ghost_timeout(event_stream(t, ALL_FILES), days=1, delay="1 hour")
-    return jobs.run_append(stream, "ghosts").select("app_id", "outcome", F.col("last_ts").cast("string").alias("last_ts"))
+    return jobs.run_append(stream, "ghosts").select("app_id", "outcome", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss").alias("last_ts"))
 
 
 @query("stream_funnel_tumbling", f"""WITH {EVENT}, d AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, count(*) FILTER (outcome IN {POS}) AS reached_human FROM ev WHERE outcome <> 'pending' GROUP BY 1)
