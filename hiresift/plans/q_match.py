@@ -120,19 +120,35 @@ def searchable_terms(t):
     return ar.unpack(rows, ["jd_id"], F.transform(terms, lambda x, i: F.struct(x.alias("term"), (i + 1).alias("position"))), "term")
 
 
-@query("skill_groups")
+FAM = "(VALUES " + ", ".join(f"('{x}', {i})" for i, fam in enumerate(V.FAMILIES) for x in fam) + ")"
+GROUPS = rf"""{SEARCHABLE.replace(OFFERS, OFFERS + ', ' + LISTS)}, s6 AS (SELECT st.*, f FROM st LEFT JOIN {FAM} fm(ft, f) ON ft = term WHERE n <= 6),
+ nm AS (SELECT s6.jd_id, line_no, term FROM s6 JOIN nl ON nl.jd_id = s6.jd_id AND regexp_matches(' ' || x || ' ', '[^a-z0-9]' || regexp_escape(term) || CASE WHEN ends_with(term, 's') OR length(term) <= 2 THEN '' ELSE 's?' END || '[^a-z0-9]')),
+ pt AS (SELECT a.jd_id, a.n, min(b.n) AS p FROM s6 a JOIN s6 b ON b.jd_id = a.jd_id AND b.n < a.n AND b.f = a.f JOIN nm x ON x.jd_id = a.jd_id AND x.term = a.term JOIN nm y ON y.jd_id = a.jd_id AND y.term = b.term AND y.line_no = x.line_no GROUP BY 1, 2),
+ r1 AS (SELECT s6.jd_id, s6.n, term, coalesce(p, s6.n) AS r FROM s6 LEFT JOIN pt ON pt.jd_id = s6.jd_id AND pt.n = s6.n),
+ r2 AS (SELECT a.jd_id, a.n, a.term, b.r FROM r1 a JOIN r1 b ON b.jd_id = a.jd_id AND b.n = a.r), r4 AS (SELECT a.jd_id, a.n, a.term, b.r FROM r2 a JOIN r2 b ON b.jd_id = a.jd_id AND b.n = a.r),
+ r8 AS (SELECT a.jd_id, a.n, a.term, b.r FROM r4 a JOIN r4 b ON b.jd_id = a.jd_id AND b.n = a.r), gp AS (SELECT jd_id, n, term, dense_rank() OVER (PARTITION BY jd_id ORDER BY r) AS group_no FROM r8),
+ gt AS (SELECT jd_id, group_no, string_agg(term, '|' ORDER BY n) AS terms, count(*) AS size, string_agg(CASE WHEN contains(term, ' ') THEN '"' || term || '"' ELSE term END, ' OR ' ORDER BY n) AS q FROM gp GROUP BY 1, 2),
+ gr AS (SELECT jd_id, group_no, terms, CASE WHEN size = 1 THEN q ELSE '(' || q || ')' END AS q FROM gt),
+ ng AS (SELECT tt.jd_id, title, coalesce(max(group_no), 0) AS n FROM tt LEFT JOIN gp ON gp.jd_id = tt.jd_id GROUP BY 1, 2),
+ se2 AS (SELECT jd_id, title, n, unnest([1, 2, 3, 4, 5, 6]) AS no, unnest(['Job title', 'Title + top requirement', 'Top two requirements', 'Core stack (top three)', 'Title + core stack', 'All top requirements (' || n || ')']) AS name,
+  unnest([true, true, false, false, true, false]) AS uses, unnest([0, 1, 2, 3, 3, n]) AS k, unnest([0, 1, 2, 3, 3, 4]) AS need FROM ng),
+ sr AS (SELECT jd_id, title, name, uses, k, row_number() OVER (PARTITION BY jd_id ORDER BY no) AS search_no FROM se2 WHERE n >= need AND (title <> '' OR NOT uses))"""
+
+
+@query("skill_groups", f"WITH {GROUPS} SELECT jd_id, group_no, terms FROM gt")
 def skill_groups(t):
     groups = F.transform("groups", lambda g, i: F.struct((i + 1).alias("group_no"), F.array_join(g, "|").alias("terms")))
     return ar.unpack(c.posting_models(t), ["jd_id"], groups, "group_no")
 
 
-@query("build_searches")
+@query("build_searches", f"WITH {GROUPS} SELECT jd_id, search_no, name, k + CASE WHEN uses THEN 1 ELSE 0 END AS n_groups FROM sr")
 def build_searches(t):
     rows = F.transform("searches", lambda s, i: F.struct((i + 1).alias("search_no"), s["name"].alias("name"), F.size(s["groups"]).alias("n_groups")))
     return ar.unpack(c.posting_models(t), ["jd_id"], rows, "search_no")
 
 
-@query("render_search_query")
+@query("render_search_query", f"""WITH {GROUPS}, tq AS (SELECT *, CASE WHEN contains(title, ' ') THEN '"' || title || '"' ELSE title END AS t FROM sr)
+ SELECT tq.jd_id, name, CASE WHEN uses THEN t || CASE WHEN k > 0 THEN ' AND ' ELSE '' END ELSE '' END || coalesce(string_agg(gr.q, ' AND ' ORDER BY group_no), '') AS query FROM tq LEFT JOIN gr ON gr.jd_id = tq.jd_id AND group_no <= k GROUP BY tq.jd_id, name, uses, t, k""")
 def render_search_query(t):
     rows = F.transform("searches", lambda s: F.struct(s["name"].alias("name"), mt.render_query(s["groups"]).alias("query")))
     return ar.unpack(c.posting_models(t), ["jd_id"], rows, "name")
@@ -154,6 +170,12 @@ HELD = f"""{OFFERS}, {LISTS}, k40 AS (SELECT * FROM top WHERE rank <= 40),
  met AS (SELECT DISTINCT pa.candidate_id, pa.jd_id, want.term FROM ({D.PAIR}) pa JOIN want ON want.jd_id = pa.jd_id JOIN held ON held.candidate_id = pa.candidate_id AND held.term = want.alt)"""
 
 
+GROUPS_HELD = HELD.replace(f"{OFFERS}, {LISTS}", GROUPS).replace("SELECT DISTINCT term FROM kw)", "SELECT DISTINCT term FROM kw UNION SELECT title FROM tt WHERE title <> '')")
+FOUND = f"""{GROUPS_HELD}, gh AS (SELECT DISTINCT pa.candidate_id, pa.jd_id, group_no FROM ({D.PAIR}) pa JOIN gp ON gp.jd_id = pa.jd_id JOIN held ON held.candidate_id = pa.candidate_id AND held.term = gp.term),
+ hit AS (SELECT pa.candidate_id, pa.jd_id, name, (NOT uses OR held.term IS NOT NULL) AND (SELECT count(*) FROM gh WHERE gh.candidate_id = pa.candidate_id AND gh.jd_id = pa.jd_id AND group_no <= k) = k AS matched
+  FROM ({D.PAIR}) pa JOIN sr ON sr.jd_id = pa.jd_id LEFT JOIN held ON held.candidate_id = pa.candidate_id AND held.term = title)"""
+
+
 @query("matched_missing_terms", f"""WITH {HELD} SELECT pa.candidate_id, pa.jd_id, coalesce(string_agg(k40.term, '|' ORDER BY rank) FILTER (met.term IS NOT NULL), '') AS matched, coalesce(string_agg(k40.term, '|' ORDER BY rank) FILTER (met.term IS NULL), '') AS missing
  FROM ({D.PAIR}) pa JOIN k40 ON k40.jd_id = pa.jd_id LEFT JOIN met ON met.candidate_id = pa.candidate_id AND met.jd_id = pa.jd_id AND met.term = k40.term GROUP BY 1, 2""")
 def matched_missing_terms(t):
@@ -161,13 +183,17 @@ def matched_missing_terms(t):
     return pair_rows(t).select("candidate_id", "jd_id", F.array_join(lists(True), "|").alias("matched"), F.array_join(lists(False), "|").alias("missing"))
 
 
-@query("evaluate_searches")
+@query("evaluate_searches", f"WITH {FOUND} SELECT candidate_id, jd_id, name, matched FROM hit")
 def evaluate_searches(t):
     found = ar.let(F.col("terms"), lambda h: mt.evaluated_searches(F.col("searches"), h))
-    return ar.unpack(pair_rows(t), ["candidate_id", "jd_id"], found, "name")
+    return ar.unpack(pair_rows(t), ["candidate_id", "jd_id"], found, "name").select("candidate_id", "jd_id", "name", "matched")
+
 
+VISIBLE = f"""{FOUND}, vis AS (SELECT pa.candidate_id, pa.jd_id, count(name) AS n_searches, round_even(count(*) FILTER (matched) / nullif(count(name), 0)::DOUBLE * 100, 1) AS visibility_score FROM ({D.PAIR}) pa LEFT JOIN hit ON hit.candidate_id = pa.candidate_id AND hit.jd_id = pa.jd_id GROUP BY 1, 2),
+ vt AS (SELECT vis.*, CASE WHEN title <> '' THEN held.term IS NOT NULL END AS title_found FROM vis JOIN tt ON tt.jd_id = vis.jd_id LEFT JOIN held ON held.candidate_id = vis.candidate_id AND held.term = title)"""
 
-@query("search_visibility")
+
+@query("search_visibility", f"WITH {VISIBLE} SELECT candidate_id, jd_id, n_searches, visibility_score, title_found FROM vt")
 def search_visibility(t):
     held = F.col("terms")
     return pair_rows(t).select("candidate_id", "jd_id", F.size("searches").alias("n_searches"),
@@ -203,12 +229,19 @@ def rubric_score(t):
     return t.sql(RUBRIC).select("id", ar.let(F.try_parse_json("raw"), mt.rubric_score).alias("rubric_score"))
 
 
-@query("score_report")
+NEAR = "(n // 100 + CASE WHEN n % 100 > 50 OR (n % 100 = 50 AND (n // 100) % 2 = 1) THEN 1 ELSE 0 END) / 10.0"
+
+
+@query("score_report", f"""WITH {VISIBLE}, {RES_FEATURES}, ks AS (SELECT pa.candidate_id, pa.jd_id, round_even(CAST(coalesce(sum(weight) FILTER (met.term IS NOT NULL), 0) AS DOUBLE) / CAST(sum(weight) AS DOUBLE) * 100, 1) AS keyword_score
+  FROM ({D.PAIR}) pa JOIN k40 ON k40.jd_id = pa.jd_id LEFT JOIN met ON met.candidate_id = pa.candidate_id AND met.jd_id = pa.jd_id AND met.term = k40.term GROUP BY 1, 2),
+ al2 AS (SELECT vt.*, coalesce(keyword_score, 0.0) AS keyword_score, fs AS formatting_score, safe AS parse_safe, CAST(fs * 250 + round(coalesce(keyword_score, 0) * 10) * 75 AS BIGINT) AS n FROM vt LEFT JOIN ks ON ks.candidate_id = vt.candidate_id AND ks.jd_id = vt.jd_id JOIN rs ON rs.candidate_id = vt.candidate_id),
+ al3 AS (SELECT *, {NEAR} AS composite_score FROM al2)
+ SELECT candidate_id, jd_id, keyword_score, visibility_score, n_searches, formatting_score, parse_safe, title_found, composite_score, {BAND.format(s='visibility_score')} AS visibility_band, {BAND.format(s='composite_score')} AS composite_band FROM al3""")
 def score_report(t):
     model = c.posting_models(t)
     features = mt.document_features(c.resumes(t)).drop("text")
     docs = c.candidate_terms(t, model).join(features, "candidate_id")
-    return mt.score_report(c.pairs(t), model, docs)
+    return mt.score_report(c.pairs(t), model, docs).drop("fit_score", "rubric_score", "rubric_band")
 
 
 FINDINGS = f"""SELECT o_orderkey AS id, {D.pick('o_orderkey', ('{"weak_bullets": [{"bullet": "b1", "problem": "p1", "rewrite": "r1"}, "junk", {"bullet": "b2"}], "interview_risks": ["a", "b", "c", "d", "e"]}', '{"strengths": ["s1"], "gaps": ["g1", "g2"], "reworded_matches": []}', '{"gaps": "none"}', 'broken'))} AS raw FROM orders"""
