@@ -138,7 +138,6 @@ BULLETS = (
 COMPANIES = ("Northwind Analytics", "Contoso Retail", "Fabrikam Ltd", "Tailspin Toys", "Wide World Importers", "Adatum", "Litware")
 ROLE_TITLES = ("BI Analyst", "Senior Data Analyst", "Data Engineer", "Junior Accountant", "Software Developer")
 CITIES = ("Pune, India", "Dubai, UAE", "London", "Toronto, Canada", "Austin, Texas", "", "Berlin")
-RESUME_END = {1: "Present", 2: None, 3: None}
 
 
 def bullet_text(index: str) -> str:

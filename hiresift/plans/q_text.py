@@ -392,7 +392,7 @@ def company_from_url(t):
     return urls.withColumn("company", tx.company_from_url(F.col("url")))
 
 
-COMPANY_JD = pickless = f"""CASE p_partkey % 5 WHEN 0 THEN 'Acme Analytics' WHEN 1 THEN 'Northwind Retail' WHEN 3 THEN 'Fabrikam Ltd' ELSE NULL END"""
+COMPANY_JD = f"""CASE p_partkey % 5 WHEN 0 THEN 'Acme Analytics' WHEN 1 THEN 'Northwind Retail' WHEN 3 THEN 'Fabrikam Ltd' ELSE NULL END"""
 
 
 @query("company_from_jd", f"SELECT p_partkey AS jd_id, {COMPANY_JD} AS company FROM part")
