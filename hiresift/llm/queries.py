@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hiresift.llm import packing, token_file
+from hiresift.llm import near_dedup, packing, quality, token_file, toxicity
 from hiresift.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -15,10 +15,22 @@ def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
+def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op9_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = token_file.write_token_file(table(spark, sf_dir, "documents"), TOKENIZER, end_id=1)
     return token_file.read_token_file(segments)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixture_packing, op10_simple8b_tokens)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixture_packing, op4_pairwise_quality, op8_order_minhash, op9_toxic_sentences, op10_simple8b_tokens)}
 ORACLES: dict[str, str] = {}
