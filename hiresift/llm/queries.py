@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hiresift.llm import near_dedup, packing, quality, token_file, toxicity
+from hiresift.llm import chat, decontaminate, near_dedup, packing, quality, token_counts, token_file, topk, toxicity, wrappers
 from hiresift.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -15,10 +15,31 @@ def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(spark, table(spark, sf_dir, "conversations"))
+
+
+def op7_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, sf_dir, "documents"))
 
@@ -32,5 +53,5 @@ def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_file(segments)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixture_packing, op4_pairwise_quality, op8_order_minhash, op9_toxic_sentences, op10_simple8b_tokens)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixture_packing, op2_benchmark_leaks, op3_maxscore_topk, op4_pairwise_quality, op5_page_wrappers, op6_chat_prefixes, op7_section_tokens, op8_order_minhash, op9_toxic_sentences, op10_simple8b_tokens)}
 ORACLES: dict[str, str] = {}

@@ -17,6 +17,7 @@ from hiresift.llm.common import public_tokenizer
 #: Python's split() takes these for white space, the tokenizers' patterns do not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 TAIL = ".,;:!?"
+WHOLE = re.compile(r"\S+")
 MEMO_WORDS = 1_000_000
 _ENCODERS: dict[tuple, "WordEncoder"] = {}
 
@@ -33,6 +34,7 @@ class WordEncoder:
         wide = self.library.get_vocab_size() > 65536
         self.code, self.dtype = ("I", np.dtype("<u4")) if wide else ("H", np.dtype("<u2"))
         self.memo: dict[str, bytes] = {}
+        self.places: dict[str, bytes] = {}
         self.memo_words = memo_words
 
     def _library(self, words: list[str]) -> list[bytes]:
@@ -74,6 +76,36 @@ class WordEncoder:
                 out[i] = self._library([t])[0]
         return out
 
+    def spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per text the first and the past-the-last character of every token, as the library gives them."""
+        out = []
+        for t in texts:
+            if SEPARATORS.search(t):
+                pairs = np.array(self.library.encode(t, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+            else:
+                found = [(m.start(), m[0]) for m in WHOLE.finditer(t)]
+                local = [self._local(w) for _, w in found]
+                pairs = np.frombuffer(b"".join(local), "<u4").astype(np.int64).reshape(-1, 2)
+                pairs = pairs + np.repeat(np.array([at for at, _ in found], np.int64), [len(x) // 8 for x in local])[:, None]
+            out.append((pairs[:, 0], pairs[:, 1]))
+        return out
+
+    def _local(self, word: str) -> bytes:
+        """Token spans inside a word; a core in letters and its tail are looked up apart, as in `_learn`."""
+        known = self.places.get(word)
+        if known is not None:
+            return known
+        core = word.rstrip(TAIL)
+        low = core.lower()
+        if core.isalpha() and max(core) < "ɐ" and len(low) == len(core) and (low, core) != (core, word):
+            tail = np.frombuffer(self._local(word[len(core):]), "<u4") + np.uint32(len(core)) if len(core) < len(word) else np.zeros(0, "<u4")
+            value = self._local(low) + tail.astype("<u4").tobytes()
+        else:
+            value = np.array(self.library.encode(word, add_special_tokens=False).offsets, "<u4").tobytes()
+        if len(self.places) < self.memo_words:
+            self.places[word] = value
+        return value
+
 
 def word_encoder(name: str) -> WordEncoder:
     """One encoder per worker process and tokenizer file."""
