@@ -7,8 +7,9 @@ are candidates, and candidates are linked if the alignment of their k-mer sequen
 matched / (a + b - matched) >= SIMILARITY of them: a Jaccard similarity that follows the order.
 
 Exact copies are one node from the start.  A group of candidates is not expanded into pairs: its members are first
-verified against two of its members, the links are joined to components, and only members of different components are
-then verified against each other.
+verified against one of them, another in each group, and the links are joined to components.  Only members of different
+components are then compared, in blocks: a pair is verified once, in the first group that it shares, if their samples
+overlap by `LEAST_SHARE` (of 60 samples; at a similarity of 0.8 that is four standard deviations below the mean).
 """
 from __future__ import annotations
 
@@ -27,8 +28,9 @@ K = 5
 SKETCHES = 20
 PICK = 3
 SIMILARITY = 0.8
-#: members of a group of candidates beyond which two agreeing sketches, not one, make a pair of the last round
-LARGE_GROUP = 64
+LEAST_SHARE = 0.58
+#: members of a group of candidates that one task compares with as many others
+BLOCK = 512
 MEMO_WORDS = 500_000
 ODD = np.random.default_rng(11).integers(1 << 62, (1 << 63) - 1, (3, max(SKETCHES, K, PICK)), np.int64).astype(np.uint64) | np.uint64(1)
 
@@ -70,15 +72,20 @@ def kmers(text: str) -> np.ndarray:
     return mixed(s + occurrence * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketches(s: np.ndarray) -> np.ndarray:
-    """SKETCHES signed 64-bit values; the number of the hash function enters each."""
+def sketches(s: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """SKETCHES signed 64-bit values, and the samples behind them as 16-bit values, PICK for each.
+
+    The number of the hash function enters each sketch.  A text of fewer k-mers than PICK repeats its last one.
+    """
     values = s[None, :] * ODD[1, :SKETCHES, None]
     values ^= values >> np.uint64(32)
     if len(s) > PICK:
         picked = np.sort(np.argpartition(values, PICK - 1, axis=1)[:, :PICK], axis=1)
     else:
-        picked = np.tile(np.arange(len(s)), (SKETCHES, 1))
-    return mixed((s[picked] * ODD[2, :picked.shape[1]]).sum(axis=1, dtype=np.uint64) + ODD[1, :SKETCHES]).view(np.int64)
+        picked = np.tile(np.minimum(np.arange(PICK), len(s) - 1), (SKETCHES, 1))
+    samples = s[picked]
+    mark = mixed((samples * ODD[2, :PICK]).sum(axis=1, dtype=np.uint64) + ODD[1, :SKETCHES]).view(np.int64)
+    return mark, (samples >> np.uint64(40)).astype("<u2").tobytes()
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
@@ -118,16 +125,17 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, the text's 128-bit name (h, g), k-mer count n, sketches and k-mers (low 32 bits) of every document."""
+    """doc_id, the text's 128-bit name (h, g), k-mer count n, sketches, samples and k-mers (low 32 bits) of every document."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             texts = text_of(batch.column("text"))
             all_kmers = [kmers(t) for t in texts]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "h": batch.column("h"), "g": batch.column("g"), "n": pa.array([len(s) for s in all_kmers], pa.int32()), "sketches": pa.array([sketches(s) if len(s) else [] for s in all_kmers], pa.list_(pa.int64())), "kmers": pa.array([s.astype("<u4").tobytes() for s in all_kmers], pa.binary())})
+            marks, samples = zip(*[sketches(k) if len(k) else ([], b"") for k in all_kmers], strict=True)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "h": batch.column("h"), "g": batch.column("g"), "n": pa.array([len(s) for s in all_kmers], pa.int32()), "sketches": pa.array(marks, pa.list_(pa.int64())), "samples": pa.array(samples, pa.binary()), "kmers": pa.array([s.astype("<u4").tobytes() for s in all_kmers], pa.binary())})
 
     text = F.coalesce(F.col("text"), F.lit(""))
     named = columns(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text, F.length(text)).alias("g"))
-    return by_arrow(named, apply, "doc_id long, h long, g long, n int, sketches array<long>, kmers binary")
+    return by_arrow(named, apply, "doc_id long, h long, g long, n int, sketches array<long>, samples binary, kmers binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -142,12 +150,59 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return by_arrow(sides.select("a", "b", "x", "y"), apply, "a long, b long")
 
 
-def alike(n: str, m: str, similarity: float):
-    """Counts that a pair of this similarity can have."""
-    return (F.col(n) * (similarity - 1e-9) <= F.col(m)) & (F.col(m) * (similarity - 1e-9) <= F.col(n))
+def rivals(cell: list[dict], similarity: float, least_share: float) -> list[tuple[int, int]]:
+    """The pairs of a cell that are worth verifying: of different components and similar lengths, whose first common
+    sketch is the cell's own and whose samples overlap enough.  Members of the largest component are no rivals."""
+    component, n = np.array([r["component"] for r in cell]), np.array([r["n"] for r in cell])
+    names, counts = np.unique(component, return_counts=True)
+    main = names[np.argmax(counts)]
+    node, side = np.array([r["node"] for r in cell]), np.array([r["side"] for r in cell])
+    marks = np.array([r["sketches"] for r in cell], np.int64)
+    samples = np.frombuffer(b"".join(r["samples"] for r in cell), "<u2").reshape(len(cell), SKETCHES, PICK)
+    at, crossed, out = cell[0]["function"], side.min() != side.max(), []
+    for i in np.flatnonzero(component != main).tolist():
+        fit = (component != component[i]) & ((component == main) | (node > node[i])) & (n * (similarity - 1e-9) <= n[i]) & (n[i] * (similarity - 1e-9) <= n)
+        if crossed:
+            fit &= side != side[i]
+        others = np.flatnonzero(fit)
+        others = others[np.argmax(marks[others] == marks[i], axis=1) == at] if len(others) else others
+        if len(others):
+            share = (samples[others][:, :, :, None] == samples[i][None, :, None, :]).any(axis=3).mean(axis=(1, 2))
+            out += [(min(int(node[i]), k), max(int(node[i]), k)) for k in node[others[share >= least_share]].tolist()]
+    return out
+
+
+def rival_pairs(members: DataFrame, similarity: float, least_share: float, block: int) -> DataFrame:
+    """Pairs (a, b) of `rivals`, from members (sketch, function, node, n, component, size, sketches, samples).
+
+    A group of more than `block` members is dealt into blocks, and each pair of its blocks is a cell; a task holds one
+    cell at a time.
+    """
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "sketch"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    cells = dealt.select("sketch", "low", "high", (F.col("own") == F.col("high")).cast("int").alias("side"), "function", "node", "n", "component", "sketches", "samples")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(cell: list[dict]) -> pa.RecordBatch:
+            a, b = zip(*found, strict=True) if (found := rivals(cell, similarity, least_share)) else ((), ())
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        cell, now = [], None
+        for batch in small_batches(batches):
+            for row in batch.to_pylist():
+                if cell and (row["sketch"], row["low"], row["high"]) != now:
+                    yield pairs(cell)
+                    cell = []
+                now = (row["sketch"], row["low"], row["high"])
+                cell.append(row)
+        if cell:
+            yield pairs(cell)
+
+    return by_arrow(cells.repartition("sketch", "low", "high").sortWithinPartitions("sketch", "low", "high"), apply, "a long, b long")
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, large_group: int = LARGE_GROUP) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, least_share: float = LEAST_SHARE, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id and class size of every document: one row for each row of `docs`.
 
     The class id is the smallest id of the class.  Exact copies share a class whatever their length; texts without a
@@ -157,27 +212,20 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, large_group: in
     rows = written(sketched(docs), "sketches")
     names = written(rows.groupBy("h", "g").agg(F.coalesce(F.min("doc_id"), F.min("h")).alias("node")), "text-names")
     nodes = rows.select("h", "g", "doc_id").join(names, ["h", "g"])
-    member = rows.where("n > 0").select("h", "g", "n", "sketches").dropDuplicates(["h", "g"]).join(names, ["h", "g"]).select("node", "n", F.explode("sketches").alias("sketch"))
-    order = F.xxhash64("node")
-    heads = member.groupBy("sketch").agg(F.min_by("node", order).alias("first"), F.max_by("node", order).alias("last"), F.count("*").alias("size")).where("size > 1")
+    signed = rows.where("n > 0").select("h", "g", "n", "sketches", "samples").dropDuplicates(["h", "g"]).join(names, ["h", "g"])
+    member = signed.select("node", "n", F.posexplode("sketches").alias("function", "sketch"))
+    heads = member.groupBy("sketch").agg(F.min_by("node", F.xxhash64("node", "sketch")).alias("head"), F.count("*").alias("size")).where("size > 1")
     grouped = written(member.join(heads, "sketch"), "sketch-groups")
-    near = grouped.select(F.col("node").alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = grouped.where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     wanted = names.join(grouped.select("node").distinct(), "node", "left_semi")
     kept = written(rows.where("n > 0").select("h", "g", "kmers").join(wanted, ["h", "g"]).dropDuplicates(["h", "g"]).select("node", "kmers"), "candidate-texts")
     links = written(verified(near, kept, similarity), "links")
 
     parts = written(components(links), "components")
-    placed = grouped.join(parts, "node", "left").select("sketch", "node", "n", "size", F.coalesce("component", "node").alias("component"))
+    placed = grouped.join(parts, "node", "left").select("sketch", "function", "node", "n", "size", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("sketch").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("sketch")
-    open_groups = written(placed.join(split, "sketch"), "open-groups")
-    small = open_groups.where(F.col("size") <= large_group).select(F.col("sketch").alias("key"), "node", "n", "component")
-    large = open_groups.where(F.col("size") > large_group)
-    second = large.select("sketch", F.col("node").alias("of"), "n", "component").join(member.select(F.col("node").alias("of"), F.col("sketch").alias("other")), "of").where("sketch <> other").select(F.xxhash64(F.least("sketch", "other"), F.greatest("sketch", "other")).alias("key"), F.col("of").alias("node"), "n", "component").distinct()
-    mates = small.unionByName(second)
-    one = mates.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    two = mates.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = one.join(two, "key").where((F.col("ca") < F.col("cb")) & alike("na", "nb", similarity)).select("a", "b").distinct()
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    members = placed.join(split, "sketch").join(signed.select("node", "sketches", "samples"), "node")
+    rest = rival_pairs(members, similarity, least_share, block).distinct().join(near, ["a", "b"], "left_anti")
     late = written(verified(rest, kept, similarity), "late-links")
     classes = components(links.unionByName(late)).select("node", F.col("component").alias("class_id"))
     out = nodes.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("class_id", "node").alias("class_id"))
