@@ -8,8 +8,9 @@ matched / (a + b - matched) >= SIMILARITY of them: a Jaccard similarity that fol
 
 Exact copies are one node from the start.  A group of candidates is not expanded into pairs: its members are first
 verified against one of them, another in each group, and the links are joined to components.  Only members of different
-components are then compared, in blocks: a pair is verified once, in the first group that it shares, if their samples
-overlap by `LEAST_SHARE` (of 60 samples; at a similarity of 0.8 that is four standard deviations below the mean).
+components are then compared, in blocks, by their `SAMPLE` smallest k-mers: a pair is verified once, in the first group
+that it shares, if the Jaccard similarity of the samples isn't too small.  The samples of texts of up to SAMPLE k-mers
+are whole and so is the comparison; longer ones are given four standard deviations.
 """
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ K = 5
 SKETCHES = 20
 PICK = 3
 SIMILARITY = 0.8
-LEAST_SHARE = 0.58
+SAMPLE = 256
 #: members of a group of candidates that one task compares with as many others
 BLOCK = 512
 MEMO_WORDS = 500_000
@@ -72,10 +73,10 @@ def kmers(text: str) -> np.ndarray:
     return mixed(s + occurrence * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketches(s: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """SKETCHES signed 64-bit values, and the samples behind them as 16-bit values, PICK for each.
+def sketches(s: np.ndarray) -> np.ndarray:
+    """SKETCHES signed 64-bit values; the number of the hash function enters each.
 
-    The number of the hash function enters each sketch.  A text of fewer k-mers than PICK repeats its last one.
+    A text of fewer k-mers than PICK repeats its last one.
     """
     values = s[None, :] * ODD[1, :SKETCHES, None]
     values ^= values >> np.uint64(32)
@@ -83,9 +84,7 @@ def sketches(s: np.ndarray) -> tuple[np.ndarray, bytes]:
         picked = np.sort(np.argpartition(values, PICK - 1, axis=1)[:, :PICK], axis=1)
     else:
         picked = np.tile(np.minimum(np.arange(PICK), len(s) - 1), (SKETCHES, 1))
-    samples = s[picked]
-    mark = mixed((samples * ODD[2, :PICK]).sum(axis=1, dtype=np.uint64) + ODD[1, :SKETCHES]).view(np.int64)
-    return mark, (samples >> np.uint64(40)).astype("<u2").tobytes()
+    return mixed((s[picked] * ODD[2, :PICK]).sum(axis=1, dtype=np.uint64) + ODD[1, :SKETCHES]).view(np.int64)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
@@ -130,8 +129,8 @@ def sketched(docs: DataFrame) -> DataFrame:
         for batch in small_batches(batches):
             texts = text_of(batch.column("text"))
             all_kmers = [kmers(t) for t in texts]
-            marks, samples = zip(*[sketches(k) if len(k) else ([], b"") for k in all_kmers], strict=True)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "h": batch.column("h"), "g": batch.column("g"), "n": pa.array([len(s) for s in all_kmers], pa.int32()), "sketches": pa.array(marks, pa.list_(pa.int64())), "samples": pa.array(samples, pa.binary()), "kmers": pa.array([s.astype("<u4").tobytes() for s in all_kmers], pa.binary())})
+            samples = [np.sort(k.astype("<u4"))[:SAMPLE].tobytes() for k in all_kmers]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "h": batch.column("h"), "g": batch.column("g"), "n": pa.array([len(s) for s in all_kmers], pa.int32()), "sketches": pa.array([sketches(k) if len(k) else [] for k in all_kmers], pa.list_(pa.int64())), "samples": pa.array(samples, pa.binary()), "kmers": pa.array([s.astype("<u4").tobytes() for s in all_kmers], pa.binary())})
 
     text = F.coalesce(F.col("text"), F.lit(""))
     named = columns(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text, F.length(text)).alias("g"))
@@ -150,29 +149,43 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return by_arrow(sides.select("a", "b", "x", "y"), apply, "a long, b long")
 
 
-def rivals(cell: list[dict], similarity: float, least_share: float) -> list[tuple[int, int]]:
+def rivals(cell: list[dict], similarity: float) -> list[tuple[int, int]]:
     """The pairs of a cell that are worth verifying: of different components and similar lengths, whose first common
-    sketch is the cell's own and whose samples overlap enough.  Members of the largest component are no rivals."""
+    sketch is the cell's own and whose samples are alike.  Members of the largest component are no rivals."""
     component, n = np.array([r["component"] for r in cell]), np.array([r["n"] for r in cell])
     names, counts = np.unique(component, return_counts=True)
     main = names[np.argmax(counts)]
+    rest = np.flatnonzero(component != main)
+    if not len(rest):
+        return []
     node, side = np.array([r["node"] for r in cell]), np.array([r["side"] for r in cell])
     marks = np.array([r["sketches"] for r in cell], np.int64)
-    samples = np.frombuffer(b"".join(r["samples"] for r in cell), "<u2").reshape(len(cell), SKETCHES, PICK)
+    samples = [np.frombuffer(r["samples"], "<u4") for r in cell]
+    size = np.array(list(map(len, samples)))
+    values = np.full((len(cell), SAMPLE), 1 << 33, np.int64)
+    for k, x in enumerate(samples):
+        values[k, :len(x)] = x
+    reach = np.where(size < n, values[np.arange(len(cell)), size - 1], 1 << 32)  # what a sample says nothing beyond
     at, crossed, out = cell[0]["function"], side.min() != side.max(), []
-    for i in np.flatnonzero(component != main).tolist():
+    for i in rest.tolist():
         fit = (component != component[i]) & ((component == main) | (node > node[i])) & (n * (similarity - 1e-9) <= n[i]) & (n[i] * (similarity - 1e-9) <= n)
         if crossed:
             fit &= side != side[i]
         others = np.flatnonzero(fit)
         others = others[np.argmax(marks[others] == marks[i], axis=1) == at] if len(others) else others
-        if len(others):
-            share = (samples[others][:, :, :, None] == samples[i][None, :, None, :]).any(axis=3).mean(axis=(1, 2))
-            out += [(min(int(node[i]), k), max(int(node[i]), k)) for k in node[others[share >= least_share]].tolist()]
+        if not len(others):
+            continue
+        own, theirs = values[i, :size[i]], values[others]
+        upto = np.minimum(reach[i], reach[others])
+        within = theirs <= upto[:, None]
+        both = (within & (own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs)).sum(axis=1)
+        union = within.sum(axis=1) + np.searchsorted(own, upto, "right") - both
+        margin = np.where(upto >= 1 << 32, 1e-9, 4 * np.sqrt(similarity * (1 - similarity) / np.maximum(union, 1)))
+        out += [(min(int(node[i]), k), max(int(node[i]), k)) for k in node[others[both >= (similarity - margin) * union]].tolist()]
     return out
 
 
-def rival_pairs(members: DataFrame, similarity: float, least_share: float, block: int) -> DataFrame:
+def rival_pairs(members: DataFrame, similarity: float, block: int) -> DataFrame:
     """Pairs (a, b) of `rivals`, from members (sketch, function, node, n, component, size, sketches, samples).
 
     A group of more than `block` members is dealt into blocks, and each pair of its blocks is a cell; a task holds one
@@ -185,7 +198,7 @@ def rival_pairs(members: DataFrame, similarity: float, least_share: float, block
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(cell: list[dict]) -> pa.RecordBatch:
-            a, b = zip(*found, strict=True) if (found := rivals(cell, similarity, least_share)) else ((), ())
+            a, b = zip(*found, strict=True) if (found := rivals(cell, similarity)) else ((), ())
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         cell, now = [], None
@@ -202,7 +215,7 @@ def rival_pairs(members: DataFrame, similarity: float, least_share: float, block
     return by_arrow(cells.repartition("sketch", "low", "high").sortWithinPartitions("sketch", "low", "high"), apply, "a long, b long")
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, least_share: float = LEAST_SHARE, block: int = BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id and class size of every document: one row for each row of `docs`.
 
     The class id is the smallest id of the class.  Exact copies share a class whatever their length; texts without a
@@ -225,7 +238,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, least_share: fl
     placed = grouped.join(parts, "node", "left").select("sketch", "function", "node", "n", "size", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("sketch").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("sketch")
     members = placed.join(split, "sketch").join(signed.select("node", "sketches", "samples"), "node")
-    rest = rival_pairs(members, similarity, least_share, block).distinct().join(near, ["a", "b"], "left_anti")
+    rest = rival_pairs(members, similarity, block).distinct().join(near, ["a", "b"], "left_anti")
     late = written(verified(rest, kept, similarity), "late-links")
     classes = components(links.unionByName(late)).select("node", F.col("component").alias("class_id"))
     out = nodes.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("class_id", "node").alias("class_id"))
