@@ -26,8 +26,9 @@ from hiresift.llm.common import WORD, by_arrow, columns, small_batches, text_of
 
 K1, B = 1.2, 0.75
 OVERLAP = 0.8
-LEAST_SCORE = 0.6
-BLOCK = 16
+LEAST_SCORE = 0.7
+#: items of a block, and blocks of an index at most: larger indexes have larger blocks
+BLOCK, BLOCKS = 4, 256
 SHINGLE = 5
 #: bytes of item texts held in one index; more items make more indexes, searched one after another
 INDEX_BYTES = 32_000_000
@@ -54,13 +55,19 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
 
 @dataclass
 class Index:
-    """Postings by term: item numbers ascending, their share of the item's own score, and the largest of each block."""
+    """Postings by term: item numbers ascending, and their share of the item's own score.
+
+    `blocks` has a row for each term (its number in `term`) with the largest share in each block of `block` items.
+    """
 
     ids: list = field(default_factory=list)
     question: list = field(default_factory=list)
     answer: list = field(default_factory=list)
     postings: dict = field(default_factory=dict)
     most: dict = field(default_factory=dict)
+    term: dict = field(default_factory=dict)
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros((1, 0)))
+    block: int = BLOCK
     longest: int = 0
 
     @classmethod
@@ -84,60 +91,54 @@ class Index:
                 p = lists.setdefault(t, ([], []))
                 p[0].append(i)
                 p[1].append(float(x / own))
-        for t, (at, share) in lists.items():
-            out.postings[t] = (at, share, [(at[min(k + BLOCK, len(at)) - 1], max(share[k:k + BLOCK])) for k in range(0, len(at), BLOCK)])
+        out.block = max(BLOCK, -(-n // BLOCKS))
+        out.blocks = np.zeros((len(lists) + 1, -(-n // out.block)))  # row 0: words that no item has
+        for k, (t, (at, share)) in enumerate(lists.items(), 1):
+            out.postings[t] = (at, share)
             out.most[t] = max(share)
+            out.term[t] = k
+            np.maximum.at(out.blocks[k], np.array(at) // out.block, share)
         out.longest = max(map(len, words), default=0)
         return out
 
     def search(self, terms: set[str], least: float) -> list[tuple[int, float]]:
         """All (item number, score) of at least `least`: block-max WAND with a fixed threshold.
 
-        Cursors stand on ascending item numbers.  The pivot is the first item that the terms up to it could lift to the
-        threshold; if their blocks' maxima can't, the cursors move past the nearest block's end instead.
+        Blocks whose terms' largest shares don't add up to the threshold are passed over whole.  In the others cursors
+        stand on ascending item numbers; the pivot is the first item that the terms up to it could lift to the threshold
+        by their largest shares in the block, and cursors before it move there.
         """
+        numbers = np.array([self.term[t] for t in terms], np.int64)
+        rows = self.blocks[numbers]
         found = []
-        cursors = [[p[0][0], 0, p, self.most[t]] for t in terms if (p := self.postings.get(t))]
-        while cursors:
-            cursors.sort(key=lambda c: c[0])
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                bound += c[3]
-                if bound >= least:
-                    pivot = k
+        for b in np.flatnonzero(rows.sum(axis=0) >= least - 1e-9).tolist():
+            low, high = b * self.block, (b + 1) * self.block
+            cursors = []
+            for t, most in zip(terms, rows[:, b].tolist(), strict=True):
+                if most:
+                    at, share = self.postings[t]
+                    k = bisect_left(at, low)
+                    cursors.append([at[k], k, at, share, most])
+            while cursors:
+                cursors.sort(key=lambda c: c[0])
+                bound, item = 0.0, -1
+                for c in cursors:
+                    bound += c[4]
+                    if bound >= least - 1e-9:
+                        item = c[0]
+                        break
+                if item < 0:
                     break
-            if pivot < 0:
-                break
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            bound, end = 0.0, None
-            for c in cursors[:pivot + 1]:
-                blocks = c[2][2]
-                k = c[1] // BLOCK
-                while k < len(blocks) and blocks[k][0] < item:
-                    k += 1
-                if k < len(blocks):
-                    bound += blocks[k][1]
-                    end = blocks[k][0] if end is None else min(end, blocks[k][0])
-            if bound < least:
-                target = (item if end is None else end) + 1
-                if pivot + 1 < len(cursors):
-                    target = max(item + 1, min(target, cursors[pivot + 1][0]))
-            else:
-                target = item + 1
-                score = 0.0
-                for c in cursors[:pivot + 1]:
-                    at = bisect_left(c[2][0], item, c[1])
-                    if at < len(c[2][0]) and c[2][0][at] == item:
-                        score += c[2][1][at]
-                if score >= least:
-                    found.append((item, score))
-            for c in cursors[:pivot + 1]:
-                at = bisect_left(c[2][0], target, c[1])
-                c[1] = at
-                c[0] = c[2][0][at] if at < len(c[2][0]) else -1
-            cursors = [c for c in cursors if c[0] >= 0]
+                if cursors[0][0] == item:
+                    score = sum(c[3][c[1]] for c in cursors if c[0] == item)
+                    if score >= least - 1e-9:
+                        found.append((item, score))
+                    item += 1
+                for c in cursors:
+                    if c[0] < item:
+                        c[1] = bisect_left(c[2], item, c[1])
+                        c[0] = c[2][c[1]] if c[1] < len(c[2]) else high
+                cursors = [c for c in cursors if c[0] < high]
         return found
 
     def matches(self, text: str, least: float, overlap: float) -> dict[int, tuple[float, float, float]]:
@@ -151,9 +152,10 @@ class Index:
         sums = np.concatenate([[0.0], np.cumsum(bounds)])
         starts = np.arange(0, max(1, len(words) - self.longest), self.longest)
         ends = np.minimum(starts + size, len(words))
-        for s, e in zip(starts[sums[ends] - sums[starts] >= least - 1e-9].tolist(), ends[sums[ends] - sums[starts] >= least - 1e-9].tolist(), strict=True):
+        able = sums[ends] - sums[starts] >= least - 1e-9
+        for s, e in zip(starts[able].tolist(), ends[able].tolist(), strict=True):
             terms = {w for w in words[s:e] if w in self.most}
-            if sum(map(self.most.__getitem__, terms)) < least:
+            if sum(map(self.most.__getitem__, terms)) < least - 1e-9:
                 continue
             held = None
             for item, score in self.search(terms, least):

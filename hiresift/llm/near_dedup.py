@@ -32,7 +32,7 @@ SIMILARITY = 0.8
 SAMPLE = 256
 #: members of a group of candidates that one task compares with as many others
 BLOCK = 512
-MEMO_WORDS = 500_000
+MEMO_WORDS = 50_000
 ODD = np.random.default_rng(11).integers(1 << 62, (1 << 63) - 1, (3, max(SKETCHES, K, PICK)), np.int64).astype(np.uint64) | np.uint64(1)
 
 

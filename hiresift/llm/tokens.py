@@ -18,7 +18,7 @@ from hiresift.llm.common import public_tokenizer
 SEPARATORS = re.compile("[\x1c-\x1f]")
 TAIL = ".,;:!?"
 WHOLE = re.compile(r"\S+")
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 700_000
 _ENCODERS: dict[tuple, "WordEncoder"] = {}
 
 

@@ -141,13 +141,18 @@ def exact_top_k(items: DataFrame, queries: DataFrame, k: int = 5, scale: int = 2
                     best = sorted(best + found, key=lambda x: (-x[0], x[1]))[:k]
                 out += [(q, i, s) for s, i in best]
             q, i, s = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "exact": pa.array(list(map(str, s)), pa.string())})
+            size, digits = zip(*map(sortable, s), strict=True) if s else ([], [])
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array([max(-(1 << 63), min((1 << 63) - 1, x)) for x in s], pa.int64()), "size": pa.array(size, pa.int32()), "digits": pa.array(digits, pa.string())})
 
-    best = by_arrow(cells, apply, "query_id long, vec_id long, exact string")
-    value = F.col("exact").cast("decimal(38,0)")
-    top = Window.partitionBy("query_id").orderBy(value.desc(), "vec_id")
-    bounded = F.greatest(F.least(value, F.lit((1 << 63) - 1).cast("decimal(38,0)")), F.lit(-(1 << 63)).cast("decimal(38,0)")).cast("long")
-    return best.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", bounded.alias("score"))
+    best = by_arrow(cells, apply, "query_id long, vec_id long, score long, size int, digits string")
+    top = Window.partitionBy("query_id").orderBy(F.desc("size"), F.desc("digits"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def sortable(score: int) -> tuple[int, str]:
+    """A whole number of any size as (signed count of digits, digits), which sort as the number does."""
+    digits = str(abs(score))
+    return (len(digits), digits) if score >= 0 else (-len(digits), digits.translate(str.maketrans("0123456789", "9876543210")))
 
 
 def meet(own: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from hiresift.llm.common import WORD, by_arrow, columns, small_batches, text_of
 from hiresift.llm.training import labelled_sample, remainder
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
-MAX_ROWS = 20_000
+MAX_ROWS = 16_000
 MAX_WORDS = 1_024
 MIN_DOCS = 5
 
@@ -77,8 +77,9 @@ def telling_words(rows: DataFrame, max_words: int, min_docs: int) -> list[str]:
     return [r["word"] for r in counts.orderBy(chi.desc(), "word").limit(max_words).select("word").collect()]
 
 
-def bags(rows: DataFrame, words: list[str]) -> list:
-    """Per training document: label, sentences without a telling word, and the words' numbers of each other sentence."""
+def bags(rows: DataFrame, words: list[str]) -> tuple[np.ndarray, ...]:
+    """Per training document its label and its sentences without a telling word; per other sentence its document; per
+    telling word in a sentence the sentence and the word's number."""
     number = {w: i for i, w in enumerate(words)}
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,16 +91,17 @@ def bags(rows: DataFrame, words: list[str]) -> list:
                 plain.append(len(sets) - len(held[-1]))
             yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "plain": pa.array(plain, pa.int32()), "held": pa.array(held, pa.list_(pa.list_(pa.int32())))})
 
-    return by_arrow(rows.select("text", "y"), collect, "y int, plain int, held array<array<int>>").collect()
+    got = by_arrow(rows.select("text", "y"), collect, "y int, plain int, held array<array<int>>").toArrow().combine_chunks()
+    held = pa.concat_arrays(got["held"].chunks) if got.num_rows else pa.array([], pa.list_(pa.list_(pa.int32())))
+    sentences = held.flatten()
+    doc = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
+    sentence = np.repeat(np.arange(len(sentences)), np.diff(sentences.offsets.to_numpy()))
+    return got["y"].to_numpy().astype(float), got["plain"].to_numpy().astype(float), doc, sentence, sentences.flatten().to_numpy().astype(np.int64)
 
 
-def fit_noisy_or(data: list, n_words: int, rounds: int = 400, step: float = 0.1, ridge: float = 1e-5) -> tuple[float, np.ndarray]:
-    """Bias and weights that maximise the noisy-or likelihood (Adam over all bags; deterministic)."""
-    y = np.array([r[0] for r in data], float)
-    plain = np.array([r[1] for r in data], float)
-    doc = np.array([d for d, r in enumerate(data) for _ in r[2]], np.int64)
-    entries = [(s, w) for s, words in enumerate(x for r in data for x in r[2]) for w in words]
-    sentence, word = (np.array(x, np.int64) for x in zip(*entries, strict=True)) if entries else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def fit_noisy_or(data: tuple[np.ndarray, ...], n_words: int, rounds: int = 400, step: float = 0.1, ridge: float = 1e-5) -> tuple[float, np.ndarray]:
+    """Bias and weights that maximise the noisy-or likelihood of `bags` (Adam over all of them; deterministic)."""
+    y, plain, doc, sentence, word = data
     weight_of = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
     theta = np.zeros(n_words + 1)
     theta[-1] = -6.0
@@ -126,7 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     if len(totals) < 2:
         return ToxicityModel(20.0 if set(totals) == {1} else -20.0)
     words = telling_words(rows, max_words, min_docs)
-    bias, weights = fit_noisy_or([tuple(r) for r in bags(rows, words)], len(words))
+    data = bags(rows, words)
+    if len(np.unique(data[0])) < 2:  # the labelled documents aren't at hand
+        return ToxicityModel()
+    bias, weights = fit_noisy_or(data, len(words))
     return ToxicityModel(bias, {w: float(x) for w, x in zip(words, weights, strict=True) if abs(x) > 1e-3})
 
 
