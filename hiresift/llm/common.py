@@ -11,6 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hiresift.session import materialize
 
@@ -44,12 +45,22 @@ def ship(spark: SparkSession) -> None:
     context._hiresift_shipped = True
 
 
-def by_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def by_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with this package at hand in the tasks."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def keep_rows(docs: DataFrame, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows whose whole texts `keep` accepts, with all their columns, whatever their names."""
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            yield batch.filter(pa.array(keep(text_of(batch.column(at))), pa.bool_()))
+
+    at = docs.columns.index("text")
+    return by_arrow(docs, apply, docs.schema)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Slices of a few rows: what a task holds beside the batch stays small."""
     for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiresift.llm.common import WORD, by_arrow, columns, small_batches, text_of
+from hiresift.llm.common import WORD, by_arrow, columns, keep_rows, small_batches, text_of
 
 K1, B = 1.2, 0.75
 OVERLAP = 0.8
@@ -205,16 +205,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item stands, with the columns they came with."""
     for index in index_parts(benchmark):
-        docs = _filtered(docs, index)
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = keep_rows(docs, lambda texts, shared=shared: [not shared.value.matches(t, LEAST_SCORE, OVERLAP) for t in texts])
     return docs
-
-
-def _filtered(docs: DataFrame, index: Index) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            clean = [not shared.value.matches(t, LEAST_SCORE, OVERLAP) for t in text_of(batch.column("text"))]
-            yield batch.filter(pa.array(clean, pa.bool_()))
-
-    return by_arrow(docs, apply, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

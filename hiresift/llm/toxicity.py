@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiresift.llm.common import WORD, by_arrow, columns, small_batches, text_of
+from hiresift.llm.common import WORD, by_arrow, columns, keep_rows, small_batches, text_of
 from hiresift.llm.training import labelled_sample, remainder
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -165,7 +165,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "sentences")
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents that are not predicted toxic, with the columns they came with."""
-    model = train(docs, labels)
-    return score(docs, model, docs.columns).where("predicted = 0").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    return keep_rows(docs, lambda texts: [shared.value.score(t)[0] < threshold for t in texts])
