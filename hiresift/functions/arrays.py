@@ -24,10 +24,6 @@ def distinct_by(array: Column, key) -> Column:
         array, lambda s, i: F.array_position(keys, F.get(keys, i)) == i + 1))
 
 
-def contains_any(array: Column, values: Column) -> Column:
-    return F.arrays_overlap(array, values)
-
-
 def unpack(df, keys, array, marker: str):
     """One row per struct of `array`, its fields as columns.
 

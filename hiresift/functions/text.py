@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import html5
 
 from pyspark import SparkContext
 from pyspark.sql import Column
@@ -292,24 +293,26 @@ def html_to_text(html: Column) -> Column:
     return F.array_join(F.filter(lines, lambda ln: ln != ""), "\n")
 
 
-# Named entities seen in postings; numeric references are computed, not listed.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—",
-            "hellip": "…", "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”", "bull": "•",
-            "pound": "£", "euro": "€", "eacute": "é", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß",
-            "copy": "©", "reg": "®", "trade": "™", "middot": "·", "amp": "&"}
-ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|" + "|".join(ENTITIES) + ");"
+#: the standard's names; a reference ends with a semicolon here
+ENTITIES = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
+ENTITY = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
 
 
 def _code_point(code: Column) -> Column:
-    """A code point as a one-character string, through its UTF-32 bytes."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32")
+    """A code point as a one-character string, by the rules of HTML: what stands for no character is replaced, and
+    128-159 are read as Windows-1252."""
+    octets = F.unhex(F.lpad(F.hex(code), 8, "0"))
+    western = code.between(128, 159) & ~code.isin(129, 141, 143, 144, 157)
+    sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(western, F.decode(F.unhex(F.hex(code)), "windows-1252")).when(sound, F.decode(octets, "utf-32")).otherwise(REPLACEMENT)
 
 
 def _entity(token: Column) -> Column:
-    body = F.regexp_replace(token, "^&#?|;$", "")
-    code = F.when(matches(token, "^&#[xX]"), F.conv(F.substring(body, 2, 8), 16, 10)).when(
-        matches(token, "^&#[0-9]"), body).cast("bigint")
-    return F.when(code.isNotNull(), _code_point(code)).otherwise(lookup(ENTITIES, body))
+    digits = F.regexp_replace(token, "^&#[xX]?0*|;$", "")
+    base = F.when(matches(token, "^&#[xX]"), 16).otherwise(10)
+    code = F.when(digits == "", 0).when(F.length(digits) > 8, -1).when(base == 16, F.conv(digits, 16, 10).cast("bigint")).otherwise(digits.try_cast("bigint"))
+    return F.when(token.startswith("&#"), _code_point(code)).otherwise(F.coalesce(lookup(ENTITIES, F.regexp_replace(token, "^&|;$", "")), token))
 
 
 def substitute(text: Column, pattern: str, rewrite) -> Column:

@@ -161,7 +161,9 @@ def overall_conversion(apps: DataFrame, *, min_resolved: int = MIN_RESOLVED) ->
     totals = apps.agg(
         F.count("*").alias("total_logged"), F.count_if(F.col("outcome") != "pending").alias("n"),
         F.count_if(reached()).alias("reached_human"))
-    return with_rate(totals).withColumn("calibrated", F.col("n") >= min_resolved)
+    rated, enough = with_rate(totals), F.col("n") >= min_resolved
+    rates = {c: F.when(enough, F.col(c)) for c in ("conversion_pct", "ci_low", "ci_high", "rate")}
+    return rated.withColumns(rates).withColumn("calibrated", enough)
 
 
 def layer_scores(apps: DataFrame, *keep: str) -> DataFrame:

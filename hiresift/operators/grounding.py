@@ -40,13 +40,18 @@ def parse_answer(raw: Column) -> Column:
     as_object = lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
 
     def salvage(t: Column) -> Column:
-        # a prefix that ends in '}' and parses can only be the first balanced object
+        # the first balanced object: one fold over the pieces counts the open braces outside strings
         tail = F.when(F.contains(t, F.lit("{")), F.substring(t, F.instr(t, "{"), F.length(t)))
-        def prefixes(pieces: Column) -> Column:
-            tries = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(pieces) - 1)), lambda i: F.try_parse_json(
-                F.concat(F.array_join(F.slice(pieces, F.lit(1), i), "}"), F.lit("}"))))
-            return ar.first(F.filter(tries, lambda v: v.isNotNull()))
-        return ar.let(F.split(tail, r"\}", -1), prefixes)
+        start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("size"), F.lit(False).alias("closed"))
+
+        def step(state: Column, piece: Column) -> Column:
+            move = F.when(state["quoted"], 0).when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+            depth = state["depth"] + move
+            after = F.struct(depth.alias("depth"), (state["quoted"] != (piece == '"')).alias("quoted"), (state["size"] + F.length(piece)).alias("size"), ((piece == "}") & (depth == 0)).alias("closed"))
+            return F.when(state["closed"], state).otherwise(after)
+
+        balanced = F.aggregate(tx.find_all(tail, r'\\[\s\S]|[{}"]|[^\\{}"]+|\\'), start, step, lambda s: F.when(s["closed"], s["size"]))
+        return F.try_parse_json(ar.let(balanced, lambda n: F.substring(tail, F.lit(1), n)))
 
     def read(t: Column) -> Column:
         whole = F.try_parse_json(F.when(t != "", t))

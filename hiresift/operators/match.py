@@ -300,15 +300,15 @@ def fit_score(answer: Column) -> Column:
     text_number = F.when(tx.matches(F.trim(value), r"^[+-]?\d+$"), F.trim(value)).try_cast("double")
     number = (F.when(kind == "STRING", text_number).when(kind == "BOOLEAN", F.when(value == "true", 1.0).otherwise(0.0))
               .otherwise(value.try_cast("double")))
-    clamped = F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)), F.lit(0)).cast("int")))
-    return F.when(answer.isNotNull(), clamped)
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(number, F.lit(0.0))))
+    return F.when(answer.isNotNull(), F.floor(clamped).cast("int"))
 
 
 def rubric_dimension(answer: Column, name: str) -> Column:
     kind = F.schema_of_variant(F.try_variant_get(answer, f"$.{name}", "variant"))
     value = F.try_variant_get(answer, f"$.{name}", "string").try_cast("double")
     usable = value.isNotNull() & ~F.isnan(value) & (kind != "BOOLEAN")
-    return F.when(usable, F.greatest(F.lit(0), F.least(F.lit(100), F.bround(value, 0).cast("int"))))
+    return F.when(usable, F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)), 0).cast("int"))
 
 
 def rubric_score(answer: Column) -> Column:

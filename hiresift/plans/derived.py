@@ -35,10 +35,10 @@ def lines(*parts: str) -> str:
 K = "p_partkey"
 YEARS = "(1 + p_size % 12)"
 TITLES = (
-    "Job Title: Senior Business Intelligence Manager (Hybrid - Dubai)", "Data Analyst",
+    "Job Title: Senior Warehouse Planning Manager (Remote - Leeds)", "Data Analyst",
     "Lead Data Analyst - Remote", "Role: Software Engineer | Platform", "Staff Software Engineer",
-    "Great place to work", "BUSINESS ANALYST", "Principal Data Engineer @ Northwind",
-    "Sr. Accountant, Finance", "Junior QA Tester", "WE ARE HIRING | BUSINESS ANALYST",
+    "Join a crew that likes puzzles", "SUPPLY ANALYST", "Principal Data Engineer @ Northwind",
+    "Sr. Accountant, Finance", "Junior QA Tester", "OPEN POSITION | SUPPLY ANALYST",
     "Head of Marketing Operations Manager", "Position: Associate Project Manager",
 )
 COMPANY_LINES = ("Company: Acme Analytics", "About Northwind Retail", "About the team", "Employer name: Fabrikam Ltd", "")
@@ -65,7 +65,7 @@ DEGREE_LINES = (
     "- Diploma in engineering", "- PhD in statistics a plus", "- BS in Computing. MS is a bonus", "- Scrum Master, agile",
 )
 SKILL_LINES = (
-    "- Power BI or Tableau or Looker", "- CRM tools (Salesforce, HubSpot, Zoho CRM)", "- Python/R, SQL, or advanced Excel",
+    "- Power BI or Tableau or Looker", "- Cloud hosting (AWS, Azure, GCP)", "- Java/Scala, Kafka, or low-level C++",
     "- PostgreSQL; Snowflake (BigQuery is a plus)", "- k8s, Docker and CI/CD", "- ETL pipelines, KPIs, dashboards",
     "- AWS, Azure or GCP", "- Node.js, React and Next.js", "- Data modelling and A/B testing", "- Jira, RFP/ and GDPR",
     "- C++ and C#",
@@ -117,12 +117,12 @@ POSTING = f"""SELECT {K} AS jd_id, {JD_TEXT} AS jd_text, {pick(K, URLS)} AS url,
 
 C = "c_custkey"
 BULLETS = (
-    ("Built 25+ Power BI dashboards with DAX measures tracking sales KPIs for 4 regional teams", "Power BI; dax;KPI; dashboard"),
-    ("Wrote SQL queries against the data warehouse to feed weekly reporting for leadership", "sql;data warehouse;reporting"),
-    ("Automated recurring reporting in Python, saving the team 6 hours per week", "python;reporting"),
-    ("Partnered with stakeholders to define requirements for new products", "stakeholder management; requirements gathering"),
-    ("Presented monthly findings to leads", "presentation;communication"),
-    ("Cleaned 2 years of transaction data in Excel and SQL for a pricing review", "excel;sql;data analysis"),
+    ("Rolled out 14 Tableau workbooks for branch managers, covering stock and returns in 9 towns", "Tableau; sql;KPI; dashboard"),
+    ("Joined till receipts and loyalty records with SQL in Snowflake ahead of every Monday stock review", "sql;snowflake;reporting"),
+    ("Scripted month-end file checks in Python, which spared the clerks 11 hours of hand work", "python;reconciliation"),
+    ("Collected wishes of store planners and turned them into acceptance notes", "stakeholder management; requirements gathering"),
+    ("Gave quarterly talks on churn to area heads", "presentation;communication"),
+    ("Matched 3 years of freight invoices in Excel and Power BI before the yearly audit", "Power BI; excel;data analysis"),
     ("Moved 12 services to k8s with Docker and CI/CD on AWS", "kubernetes;docker;aws;ci/cd"),
     ("Worked on Node.js and React screens", "node.js;react"),
     ("Ran A/B tests and forecasting for 3 markets", "a/b testing;forecasting;statistics"),
@@ -135,7 +135,7 @@ BULLETS = (
     ("Managed Azure and GCP budgets with Terraform", "azure;gcp;terraform"),
     ("Helped with Tableau training", "tableau"),
 )
-COMPANIES = ("Northwind Analytics", "Contoso Retail", "Fabrikam Ltd", "Tailspin Toys", "Wide World Importers", "Adatum", "Litware")
+COMPANIES = ("Harbour Lane Foods", "Pinewood Freight", "Quillmark Ltd", "Toybarn Trading", "Orchard Street Importers", "Velmora", "Brightwater")
 ROLE_TITLES = ("BI Analyst", "Senior Data Analyst", "Data Engineer", "Junior Accountant", "Software Developer")
 CITIES = ("Pune, India", "Dubai, UAE", "London", "Toronto, Canada", "Austin, Texas", "", "Berlin")
 
@@ -252,7 +252,5 @@ APPLICATION = f"""SELECT {A} AS app_id, CAST(o_orderdate AS DATE) AS applied_dat
  {OUTCOME} AS outcome, CAST(NULL AS DATE) AS outcome_date, 'note ' || CAST({A} % 7 AS STRING) AS notes,
  {COMPONENTS} AS components FROM orders"""
 
-# one posting per order: the smallest part on it
-PAIR = """SELECT o_custkey AS candidate_id, jd_id FROM (
- SELECT l_orderkey, min(l_partkey) AS jd_id FROM lineitem GROUP BY l_orderkey) l
- JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey, jd_id"""
+# every posting of every order
+PAIR = """SELECT DISTINCT o_custkey AS candidate_id, l_partkey AS jd_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""

@@ -29,8 +29,8 @@ def query(name, oracle=None):
 
 
 K = D.K
-TITLE_VALUES = ("business intelligence manager", "data analyst", "data analyst", "software engineer", "software engineer", "", "business analyst",
-                "data engineer", "accountant", "qa tester", "business analyst", "marketing manager", "project manager")
+TITLE_VALUES = ("warehouse planning manager", "data analyst", "data analyst", "software engineer", "software engineer", "", "supply analyst",
+                "data engineer", "accountant", "qa tester", "supply analyst", "marketing manager", "project manager")
 LEVEL_VALUES = ("senior", "", "lead", "", "staff", "", "", "principal", "sr", "junior", "", "head of", "associate")
 DEGREE_VALUES = ("bachelors", "masters", "bachelors", "mba", "bachelors", "masters", "graduate", "diploma", "phd", "bachelor", "masters")
 A_TITLE = f"CASE WHEN {K} % 5 = 0 THEN 'astronaut' ELSE {D.pick(K, TITLE_VALUES)} END"

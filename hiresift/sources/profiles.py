@@ -38,7 +38,7 @@ def coerce_profiles(raw: DataFrame, key: str = "candidate_id") -> DataFrame:
     columns["acceptable_work_modes"] = F.transform(columns["acceptable_work_modes"], F.lower)
     columns["open_to_relocation"] = loose_bool(F.col("open_to_relocation"))
     whole = loose_number(F.col("notice_period_days"))
-    columns["notice_period_days"] = F.when(whole >= 0, F.floor(whole)).otherwise(F.ceil(whole)).cast("int")
+    columns["notice_period_days"] = F.when(whole >= 0, F.floor(whole)).otherwise(F.ceil(whole)).try_cast("int")
     return raw.select(key, *[c.alias(n) for n, c in columns.items()])
 
 
