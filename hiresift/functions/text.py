@@ -296,6 +296,7 @@ def html_to_text(html: Column) -> Column:
 #: the standard's names; a reference ends with a semicolon here
 ENTITIES = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
 ENTITY = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+WESTERN = {str(n): bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
 REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
 
 
@@ -303,9 +304,8 @@ def _code_point(code: Column) -> Column:
     """A code point as a one-character string, by the rules of HTML: what stands for no character is replaced, and
     128-159 are read as Windows-1252."""
     octets = F.unhex(F.lpad(F.hex(code), 8, "0"))
-    western = code.between(128, 159) & ~code.isin(129, 141, 143, 144, 157)
     sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(western, F.decode(F.unhex(F.hex(code)), "windows-1252")).when(sound, F.decode(octets, "utf-32")).otherwise(REPLACEMENT)
+    return F.coalesce(lookup(WESTERN, code.cast("string")), F.when(sound, F.decode(octets, "utf-32")), F.lit(REPLACEMENT))
 
 
 def _entity(token: Column) -> Column:

@@ -98,3 +98,43 @@ def test_countries(column):
 
 def test_metrics_leave_out_phones_and_dates(column):
     assert column(wr.count_metrics, "Call +91 98765 43210\n2019 - 2021\n03/2020 - 04/2021\nCut cost 30% for 12 teams, 5k users") == 3
+
+
+def test_references_without_a_character_are_replaced(spark):
+    page = "&#9999999;|&#xD800;|&#0;|&#99999999999999999999;|&#x80;|&rarr;|&deg;|&#65;|&nosuchname;|&amp;lt;|&bsol;|&apos;"
+    df = spark.createDataFrame([(page,)], ["x"]).select(tx.unescape(F.col("x")).alias("y"))
+    assert df.first().y == "�|�|�|�|€|→|°|A|&nosuchname;|&lt;|\\|'"
+
+
+def test_answer_numbers_are_clamped_before_the_cast(spark):
+    from hiresift.operators import match
+
+    rows = [('{"semantic_score": 5000000000, "scope": 1e12}',), ('{"semantic_score": -7.5, "scope": -1e12}',), ('{"semantic_score": 71.9, "scope": 70.5}',)]
+    v = F.parse_json("x")
+    got = spark.createDataFrame(rows, ["x"]).select(match.fit_score(v).alias("a"), match.rubric_dimension(v, "scope").alias("b")).collect()
+    assert [tuple(r) for r in got] == [(100, 100), (0, 0), (71, 70)]
+
+
+def test_first_balanced_object_of_a_chatty_reply(spark):
+    from hiresift.operators import grounding
+
+    replies = ['Sure: {"a": "}{ \\" }", "b": {"c": 1}} and {"d": 2}', "no object", '{"open": 1', "{bad} {\"d\": 2}", "x {" + '"k": [' + "{}," * 4000 + "{}]} y"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], ["i", "x"])
+    got = [r.v for r in df.select("i", grounding.parse_answer(F.col("x")).cast("string").alias("v")).orderBy("i").collect()]
+    assert got[0] == '{"a":"}{ \\" }","b":{"c":1}}' and got[1:4] == [None, None, None] and got[4].startswith('{"k":[{},')
+
+
+def test_overlong_notice_period_is_null(spark):
+    from hiresift.sources import profiles as pf
+
+    names = ["candidate_id", *dict.fromkeys([*pf.NUMBER_FIELDS, *pf.TEXT_FIELDS, *pf.LIST_FIELDS, "open_to_relocation", "notice_period_days"])]
+    row = [1 if n == "candidate_id" else "99999999999" if n == "notice_period_days" else "" for n in names]
+    assert pf.coerce_profiles(spark.createDataFrame([row], names)).first().notice_period_days is None
+
+
+def test_no_rate_below_the_gate(spark):
+    from hiresift.operators import funnel
+
+    apps = spark.createDataFrame([(1, "offer"), (2, "rejected_auto")], ["app_id", "outcome"])
+    row = funnel.overall_conversion(apps).first()
+    assert (row.n, row.calibrated, row.conversion_pct, row.rate) == (2, False, None, None)
