@@ -7,14 +7,15 @@ are candidates, and candidates are linked if the alignment of their k-mer sequen
 matched / (a + b - matched) >= SIMILARITY of them: a Jaccard similarity that follows the order.
 
 Exact copies are one node from the start.  A group of candidates is not expanded into pairs: its members are first
-verified against one of them, another in each group, and the links are joined to components.  Only members of different
-components are then compared, in blocks, by their `SAMPLE` smallest k-mers: a pair is verified once, in the first group
+verified against one of them, another in each group, and the links are joined to components; members that are still
+apart are verified against the one that shares most of their sketches.  Only members of different components are then
+compared, all of them, in blocks, by their `SAMPLE` smallest k-mers: a pair is verified once, in the first group
 that it shares, if the Jaccard similarity of the samples isn't too small.  The samples of texts of up to SAMPLE k-mers
 are whole and so is the comparison; longer ones are given four standard deviations.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,11 @@ K = 5
 SKETCHES = 20
 PICK = 3
 SIMILARITY = 0.8
-SAMPLE = 256
+SAMPLE = 512
 #: members of a group of candidates that one task compares with as many others
 BLOCK = 512
+#: sketches that a member shares with the one it is verified against before all pairs are compared
+CLOSE = 6
 MEMO_WORDS = 50_000
 ODD = np.random.default_rng(11).integers(1 << 62, (1 << 63) - 1, (3, max(SKETCHES, K, PICK)), np.int64).astype(np.uint64) | np.uint64(1)
 
@@ -138,14 +141,22 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches the similarity."""
+    """The pairs (a, b, salt) whose alignment reaches the similarity.
+
+    A text may stand in very many pairs: its k-mers are copied once for each salt of its pairs and meet them by text
+    and salt, so that no text is one key.
+    """
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
             keep = [aligned(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4"), similarity) >= similarity - 1e-9 for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("kmers").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("kmers").alias("y")), "b")
+    def copies(side: str, kmers: str) -> DataFrame:
+        wanted = pairs.select(F.col(side).alias("node"), "salt").distinct()
+        return wanted.join(texts, "node").select(F.col("node").alias(side), "salt", F.col("kmers").alias(kmers))
+
+    sides = pairs.join(copies("a", "x"), ["a", "salt"]).join(copies("b", "y"), ["b", "salt"])
     return by_arrow(sides.select("a", "b", "x", "y"), apply, "a long, b long")
 
 
@@ -185,21 +196,28 @@ def rivals(cell: list[dict], similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def rival_pairs(members: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs (a, b) of `rivals`, from members (sketch, function, node, n, component, size, sketches, samples).
+def closest(cell: list[dict]) -> list[tuple[int, int]]:
+    """Each member outside the largest component with the one of another component that shares most of its sketches, if
+    at least CLOSE: a pair for a member, most of which are links."""
+    component, node = np.array([r["component"] for r in cell]), np.array([r["node"] for r in cell])
+    names, counts = np.unique(component, return_counts=True)
+    marks = np.array([r["sketches"] for r in cell], np.int64)
+    out = set()
+    for i in np.flatnonzero(component != names[np.argmax(counts)]).tolist():
+        shared = np.where(component != component[i], (marks == marks[i]).sum(axis=1), 0)
+        if shared[k := int(np.argmax(shared))] >= CLOSE:
+            out.add((min(int(node[i]), int(node[k])), max(int(node[i]), int(node[k]))))
+    return sorted(out)
 
-    A group of more than `block` members is dealt into blocks, and each pair of its blocks is a cell; a task holds one
-    cell at a time.
-    """
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "sketch"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    cells = dealt.select("sketch", "low", "high", (F.col("own") == F.col("high")).cast("int").alias("side"), "function", "node", "n", "component", "sketches", "samples")
 
+def by_cell(cells: DataFrame, find: Callable[[list[dict]], list[tuple[int, int]]]) -> DataFrame:
+    """Pairs (a, b, salt) that `find` makes of each cell (sketch, low, high), the salt naming the cell; a task holds one
+    cell at a time."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(cell: list[dict]) -> pa.RecordBatch:
-            a, b = zip(*found, strict=True) if (found := rivals(cell, similarity)) else ((), ())
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            a, b = zip(*found, strict=True) if (found := find(cell)) else ((), ())
+            salt = xxhash.xxh3_64_intdigest(repr(now)) >> 1
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "salt": pa.array([salt] * len(a), pa.int64())})
 
         cell, now = [], None
         for batch in small_batches(batches):
@@ -212,7 +230,41 @@ def rival_pairs(members: DataFrame, similarity: float, block: int) -> DataFrame:
         if cell:
             yield pairs(cell)
 
-    return by_arrow(cells.repartition("sketch", "low", "high").sortWithinPartitions("sketch", "low", "high"), apply, "a long, b long")
+    return by_arrow(cells.repartition("sketch", "low", "high").sortWithinPartitions("sketch", "low", "high"), apply, "a long, b long, salt long")
+
+
+def blocked(members: DataFrame, block: int) -> DataFrame:
+    """Members with the number of their group's blocks, of about `block` members each, and their own block."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    return members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "sketch"), F.col("blocks")).cast("int"))
+
+
+def closest_pairs(members: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b, salt) of `closest`, each block of a group for itself, from members (sketch, node, component, size, sketches)."""
+    cells = blocked(members, block).select("sketch", F.col("own").alias("low"), F.col("own").alias("high"), "node", "component", "sketches")
+    return by_cell(cells, closest).groupBy("a", "b").agg(F.min("salt").alias("salt"))
+
+
+def rival_pairs(members: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Pairs (a, b, salt) of `rivals`, from members (sketch, function, node, n, component, size, sketches, samples).
+
+    A group of more than `block` members is dealt into blocks, and each pair of its blocks is a cell.
+    """
+    dealt = blocked(members, block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    cells = dealt.select("sketch", "low", "high", (F.col("own") == F.col("high")).cast("int").alias("side"), "function", "node", "n", "component", "sketches", "samples")
+    return by_cell(cells, lambda cell: rivals(cell, similarity))
+
+
+def split_groups(grouped: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members, with their components, of the groups that hold several components and more than the pair verified first."""
+    placed = grouped.where("size > 2").join(parts, "node", "left").select("sketch", "function", "node", "n", "size", F.coalesce("component", "node").alias("component"))
+    split = placed.groupBy("sketch").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("sketch")
+    return placed.join(split, "sketch")
+
+
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that links make of earlier ones."""
+    return components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links))
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -229,18 +281,21 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, block: int = BL
     member = signed.select("node", "n", F.posexplode("sketches").alias("function", "sketch"))
     heads = member.groupBy("sketch").agg(F.min_by("node", F.xxhash64("node", "sketch")).alias("head"), F.count("*").alias("size")).where("size > 1")
     grouped = written(member.join(heads, "sketch"), "sketch-groups")
-    near = grouped.where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    share = F.when(F.col("size") > block, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block))).otherwise(0)
+    stars = grouped.where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"), share.alias("salt"))
+    near = written(stars.groupBy("a", "b").agg(F.max("salt").alias("salt")), "stars")
     wanted = names.join(grouped.select("node").distinct(), "node", "left_semi")
     kept = written(rows.where("n > 0").select("h", "g", "kmers").join(wanted, ["h", "g"]).dropDuplicates(["h", "g"]).select("node", "kmers"), "candidate-texts")
     links = written(verified(near, kept, similarity), "links")
 
     parts = written(components(links), "components")
-    placed = grouped.join(parts, "node", "left").select("sketch", "function", "node", "n", "size", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("sketch").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("sketch")
-    members = placed.join(split, "sketch").join(signed.select("node", "sketches", "samples"), "node")
-    rest = rival_pairs(members, similarity, block).distinct().join(near, ["a", "b"], "left_anti")
-    late = written(verified(rest, kept, similarity), "late-links")
-    classes = components(links.unionByName(late)).select("node", F.col("component").alias("class_id"))
+    first = split_groups(grouped, parts).join(signed.select("node", "sketches"), "node")
+    likely = written(closest_pairs(first, block).join(near, ["a", "b"], "left_anti"), "closest")
+    parts = written(joined(parts, verified(likely, kept, similarity)), "components")
+    members = split_groups(grouped, parts).join(signed.select("node", "sketches", "samples"), "node")
+    tried = near.select("a", "b").unionByName(likely.select("a", "b"))
+    rest = written(rival_pairs(members, similarity, block).join(tried, ["a", "b"], "left_anti"), "rivals")
+    classes = joined(parts, verified(rest, kept, similarity)).select("node", F.col("component").alias("class_id"))
     out = nodes.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("class_id", "node").alias("class_id"))
     sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
     return out.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
