@@ -2,20 +2,23 @@
 
 A page is a stream of tokens, one for each block of text: the path of the elements that hold it.  Streams of one host
 are aligned one after another: what repeats inside a stream becomes a repeated group, what only one of two streams has
-becomes optional, and every token is a slot for text.  The result, without alternatives, is the host's wrapper.  Slots
-are then labelled: those inside a page's furniture (menus, adverts, forms, comments and the like) are left out, and of
-the others the slots of the article are kept; where no element says what the article is, the container with most of the
-host's text is taken.
-
-Pages of equal shape give equal streams, so streams are counted before they meet, and a host's wrapper is inferred from
-its distinct streams, first within tasks, then over all.
+becomes optional, and every token is a slot for text.  The result, without alternatives, is the host's wrapper.  Every
+page is then matched against it, and the slots are labelled by the texts they take over the pages of a kind: those inside
+furniture (menus, adverts, forms, comments and the like) and those of one text on every page are the template's, and of
+the others the slots of the article are kept; where no element says what the article is, the container with most varying
+text on a page is taken.  A page's text is what the article's slots take.
+
+Pages of equal shape give equal streams, so a host's wrapper is inferred from its distinct streams, first within parts
+of them, then over the parts.
 """
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
@@ -144,7 +147,7 @@ def folded(items: list[Item]) -> list[Item]:
                     n += 1
                 if n > 1:
                     same = [items[i + k * size:i + (k + 1) * size] for k in range(n)]
-                    merged = [(p[0], p[1], min(s[j][2] for s in same), max(s[j][3] for s in same)) for j, p in enumerate(part)]
+                    merged = [(p[0], _bodies([s[j][1] for s in same]), min(s[j][2] for s in same), max(s[j][3] for s in same)) for j, p in enumerate(part)]
                     if size == 1:
                         out.append((merged[0][0], merged[0][1], merged[0][2], 2))
                     else:
@@ -158,6 +161,15 @@ def folded(items: list[Item]) -> list[Item]:
     return items
 
 
+def _bodies(same: list[tuple]) -> tuple:
+    """One body for all, so that a fold matches what each of its parts matched."""
+    out = same[0]
+    for body in same[1:]:
+        if body != out:
+            out = tuple(aligned(list(out), list(body)))
+    return out
+
+
 def aligned(a: list[Item], b: list[Item]) -> list[Item]:
     """The union-free expression for both: what matches is merged, what doesn't is optional."""
     out: list[Item] = []
@@ -169,35 +181,160 @@ def aligned(a: list[Item], b: list[Item]) -> list[Item]:
     return folded(out)
 
 
-def pattern(items: list[Item], code: dict[str, str]) -> str:
-    """The expression over one letter for each path."""
-    sign = {(1, 1): "", (0, 1): "?", (1, 2): "+", (0, 2): "*"}
-    return "".join((f"(?:{pattern(list(x[1]), code)})" if x[1] else code[x[0]]) + sign[x[2], min(x[3], 2)] for x in items)
+#: pages from which a slot of one and the same text is read as part of the template
+REPEATED = 3
 
 
-def paths_of(items: list[Item]) -> list[str]:
-    return [p for x in items for p in (paths_of(list(x[1])) if x[1] else [x[0]])]
+def bits(x: int) -> Iterator[int]:
+    while x:
+        low = x & -x
+        yield low.bit_length() - 1
+        x ^= low
 
 
 @dataclass
 class Wrapper:
-    """A host's expression and the slots that hold its article."""
+    """A host's expression, and what its slots were labelled from the host's pages.
+
+    Slots are the places for text of the expression, numbered from left to right.  A page's stream is matched by
+    the sets of slots that each of its blocks can take, so time is linear in the page, and every block gets one slot.
+    `labels` has for each kind of page (see kind_of) the slots of its template and the containers, fullest first.
+    """
 
     items: list
-    article: frozenset
+    labels: dict
 
     def __post_init__(self) -> None:
-        self.code = {p: chr(0xE000 + k) for k, p in enumerate(dict.fromkeys(paths_of(self.items)))}
-        self.expression = re.compile(pattern(self.items, self.code))
+        self.paths: list[str] = []
+        self.follow: list[int] = []
+        self.nullable, self.first, self.last = self._sequence(self.items)
+        self.before = [0] * len(self.paths)
+        self.at: dict[str, int] = {}
+        for p, path in enumerate(self.paths):
+            self.at[path] = self.at.get(path, 0) | 1 << p
+            for q in bits(self.follow[p]):
+                self.before[q] |= 1 << p
+        self.labels = dict(self.labels)
+        self.steps: dict[int, int] = {}
+
+    def _link(self, ends: int, starts: int) -> None:
+        for p in bits(ends):
+            self.follow[p] |= starts
+
+    def _sequence(self, items: list[Item]) -> tuple[bool, int, int]:
+        """Whether the items can be empty, and the slots they can begin and end with."""
+        nullable, first, last = True, 0, 0
+        for key, body, least, most in items:
+            if body:
+                empty, starts, ends = self._sequence(list(body))
+            else:
+                empty, starts, ends = False, 1 << len(self.paths), 1 << len(self.paths)
+                self.paths.append(key)
+                self.follow.append(0)
+            if most > 1:
+                self._link(ends, starts)
+            empty = empty or least == 0
+            self._link(last, starts)
+            first |= starts if nullable else 0
+            last = ends | (last if empty else 0)
+            nullable = nullable and empty
+        return nullable, first, last
+
+    def _step(self, now: int) -> int:
+        if now not in self.steps:
+            if len(self.steps) > 20_000:
+                self.steps.clear()
+            reach = 0
+            for p in bits(now):
+                reach |= self.follow[p]
+            self.steps[now] = reach
+        return self.steps[now]
+
+    def slots(self, paths: list[str]) -> list[int] | None:
+        """The slot of every block, or None where the expression doesn't match."""
+        sets, reach = [], self.first
+        for path in paths:
+            now = reach & self.at.get(path, 0)
+            if not now:
+                return None
+            sets.append(now)
+            reach = self._step(now)
+        if not sets:
+            return [] if self.nullable else None
+        out, can = [], self.last
+        for now in reversed(sets):
+            if not now & can:
+                return None
+            p = next(bits(now & can))
+            out.append(p)
+            can = self.before[p]
+        return out[::-1]
 
     def matches(self, paths: list[str]) -> bool:
-        return all(p in self.code for p in paths) and bool(self.expression.fullmatch("".join(self.code[p] for p in paths)))
+        return self.slots(paths) is not None
+
+    def extract(self, found: list[tuple[str, str]]) -> tuple[str, bool]:
+        """The texts captured by the article's slots, and whether the expression matches."""
+        paths = [p for p, _ in found]
+        taken = self.slots(paths)
+        if taken is None:
+            return by_own_paths(found), False
+        kind = kind_of(paths)
+        label = self.labels.get(kind, {})
+        template = frozenset(label.get("template", ()))
+        kept = [(self.paths[k], t) for k, (_, t) in zip(taken, found, strict=True) if k not in template and "!" not in self.paths[k]]
+        if kind == "body":
+            best = next((c for c in label.get("containers", ()) if any(p.rpartition("/")[0] == c for p, _ in kept)), None)
+            chosen = [t for p, t in kept if best is not None and within(p, best)]
+        else:
+            chosen = [t for p, t in kept if inside(p, kind)]
+        return ("\n".join(chosen) if chosen else by_own_paths(found)), True
+
+
+def by_own_paths(found: list[tuple[str, str]]) -> str:
+    """The fallback, for a page that the wrapper doesn't match or of which its article's slots hold nothing: the path rule on this page alone."""
+    chars: Counter = Counter()
+    for p, t in found:
+        chars[p] += len(t)
+    own = article_of(chars)
+    return "\n".join(t for p, t in found if p in own)
+
+
+def inside(path: str, kind: str) -> bool:
+    if kind == "words":
+        return any(words_of(e.partition(".")[2]) & ARTICLE_WORDS for e in path.split("/"))
+    return any(e.split(".")[0] == kind for e in path.split("/"))
+
+
+def within(path: str, container: str) -> bool:
+    return path == container or path.startswith(container + "/") or not container
+
+
+def kind_of(paths: list[str]) -> str:
+    """How a page says what its article is; pages of a host are labelled with those of their kind only."""
+    clean = {p for p in paths if "!" not in p}
+    return next((k for k in ("article", "main", "words") if any(inside(p, k) for p in clean)), "body")
+
+
+def labels_of(paths: list[str], seen: list[tuple[str, int, int, int, bool]]) -> dict:
+    """From (kind, slot, pages, chars, varies) of a host: slots whose text never varies are the template's where others' does.
 
-    def text(self, page: str) -> str:
-        """The article's blocks; a page that the wrapper doesn't match is labelled by its own paths alone."""
-        found = blocks(page)
-        own = self.article if all(p in self.code for p, _ in found) else self.article | article_of(Counter({p: 0 for p, _ in found}) + Counter(p for p, t in found for _ in t))
-        return "\n".join(t for p, t in found if p in own)
+    Of pages without an element for the article, the containers are ordered by the varying text they hold on a page.
+    """
+    out: dict = {}
+    for kind in sorted({r[0] for r in seen}):
+        mine = [r[1:] for r in seen if r[0] == kind and "!" not in paths[r[1]]]
+        telling = any(varies and pages >= REPEATED for _, pages, _, varies in mine)
+        template = sorted(slot for slot, pages, _, varies in mine if telling and not varies and pages >= REPEATED)
+        chars, most = Counter(), Counter()
+        for slot, pages, n, _ in mine:
+            if kind == "body" and slot not in template:
+                parent = paths[slot].rpartition("/")[0]
+                chars[parent] += n
+                most[parent] = max(most[parent], pages)
+        # two pages more: one long page alone doesn't outweigh what many pages show
+        out[kind] = {"template": template, "containers": sorted(chars, key=lambda c: (-chars[c] / (most[c] + 2), len(c), c))}
+    return out
 
 
 def article_of(chars: Counter) -> frozenset:
@@ -237,22 +374,14 @@ def host_of(url: str):
 
 
 def shapes(pages: DataFrame) -> DataFrame:
-    """(host, stream, pages, chars): distinct folded token streams of each host and the text behind each path."""
+    """(host, stream): the distinct folded token streams of each host."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 500):
-            seen: dict[tuple[str, str], Counter] = {}
-            for host, page in zip(batch.column("host").to_pylist(), text_of(batch.column("html")), strict=True):
-                found = blocks(page)
-                shape = "\n".join(_unfold(folded([slot(p) for p, _ in found])))
-                counts = seen.setdefault((host, shape), Counter())
-                for p, t in found:
-                    counts[p] += len(t)
-            rows = [(h, s, p, n) for (h, s), c in seen.items() for p, n in (c or {"": 0}).items()]
-            h, s, p, n = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_pydict({"host": pa.array(h, pa.string()), "stream": pa.array(s, pa.string()), "path": pa.array(p, pa.string()), "chars": pa.array(n, pa.int64())})
+            seen = {(host, "\n".join(_unfold(folded([slot(p) for p, _ in blocks(page)])))) for host, page in zip(batch.column("host").to_pylist(), text_of(batch.column("html")), strict=True)}
+            h, s = zip(*sorted(seen), strict=True) if seen else ((), ())
+            yield pa.RecordBatch.from_pydict({"host": pa.array(h, pa.string()), "stream": pa.array(s, pa.string())})
 
-    each = by_arrow(pages.select("host", "html"), apply, "host string, stream string, path string, chars long")
-    return each.groupBy("host", "stream", "path").agg(F.sum("chars").alias("chars"))
+    return by_arrow(pages.select("host", "html"), apply, "host string, stream string").distinct()
 
 
 def _unfold(items: list[Item]) -> list[str]:
@@ -260,24 +389,111 @@ def _unfold(items: list[Item]) -> list[str]:
     return [p for x in items for _ in range(min(x[3], 2)) for p in (_unfold(list(x[1])) if x[1] else [x[0]])]
 
 
+def _dumped(items: list[Item]) -> str:
+    """Every path stands once."""
+    number: dict[str, int] = {}
+
+    def plain(x: Item) -> list:
+        return [number.setdefault(x[0], len(number)), [plain(y) for y in x[1]], x[2], x[3]]
+
+    return json.dumps([[plain(x) for x in items], list(number)], ensure_ascii=False, separators=(",", ":"))
+
+
+def _loaded(text: str) -> list[Item]:
+    items, names = json.loads(text)
+
+    def whole(x: list) -> Item:
+        return (names[x[0]], tuple(whole(y) for y in x[1]), x[2], x[3])
+
+    return [whole(x) for x in items]
+
+
+#: parts of a host's streams that are inferred apart before they are merged
+PARTS = 16
+
+
+def _merged(rows: DataFrame, keys: list[str], read: Callable[[str], list[Item]]) -> DataFrame:
+    """One expression for each key, folded from its rows' one by one: a task holds the expression and not the rows."""
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        out: list[Item] | None = None
+        known: Wrapper | None = None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"host": [key[0]], "expression": [_dumped(out or [])]})
+
+        for batch in batches:
+            for *k, text in zip(*(batch.column(c).to_pylist() for c in [*keys, "expression"]), strict=True):
+                if tuple(k) != key:
+                    if key is not None:
+                        yield done()
+                    key, out, known = tuple(k), None, None
+                mine = read(text)
+                if not mine:  # an empty page makes nothing optional
+                    continue
+                if known is None and out is not None:
+                    known = Wrapper(out, {})
+                if out is None:
+                    out = folded(mine)
+                elif not (all(not x[1] and x[2] == x[3] == 1 for x in mine) and known.matches([x[0] for x in mine])):
+                    out, known = aligned(out, folded(mine)), None
+        if key is not None:
+            yield done()
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc(F.length("expression")), "expression")
+    return by_arrow(dealt.select(*keys, "expression"), apply, "host string, expression string")
+
+
+def expressions(pages: DataFrame) -> DataFrame:
+    """(host, expression): inferred within parts of a host's distinct streams, then over the parts; one row for each host."""
+    dealt = shapes(pages).select("host", F.pmod(F.xxhash64("stream"), F.lit(PARTS)).alias("part"), F.col("stream").alias("expression"))
+    return _merged(_merged(dealt, ["host", "part"], lambda s: [slot(p) for p in s.split("\n")] if s else []), ["host"], _loaded)
+
+
+def slot_texts(pages: DataFrame) -> DataFrame:
+    """(host, kind, slot, pages, chars, varies) of the slots of the hosts' expressions, on the pages that match."""
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 200):
+            rows: dict[tuple, list] = {}
+            for host, page, text in zip(batch.column("host").to_pylist(), text_of(batch.column("html")), batch.column("expression").to_pylist(), strict=True):
+                found, w = blocks(page), wrapper_of(text, None)
+                paths = [p for p, _ in found]
+                taken, kind = w.slots(paths), kind_of(paths)
+                on_page: dict[int, list[str]] = {}
+                for k, (_, t) in zip(taken or (), found if taken else (), strict=True):
+                    on_page.setdefault(k, []).append(t)
+                for k, texts in on_page.items():
+                    digests = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() for t in texts]
+                    low, high = min(digests), max(digests)
+                    r = rows.setdefault((host, kind, k), [0, 0, low, low, high, high])
+                    r[:] = r[0] + 1, r[1] + sum(map(len, texts)), min(r[2], low), max(r[3], low), min(r[4], high), max(r[5], high)
+            out = [(*k, *r) for k, r in rows.items()]
+            cols = list(zip(*out, strict=True)) if out else [()] * 9
+            types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), *[pa.string()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "kind", "slot", "pages", "chars", "low", "low2", "high", "high2"])
+
+    each = by_arrow(pages.select("host", "html", "expression"), apply, "host string, kind string, slot int, pages long, chars long, low string, low2 string, high string, high2 string")
+    return each.groupBy("host", "kind", "slot").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), ((F.min("low") != F.max("low2")) | (F.min("high") != F.max("high2"))).alias("varies"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, streams, paths, chars) of each host: what its wrapper is inferred from; one row for each host."""
-    counted = written(shapes(pages), "page-shapes")
-    streams = counted.groupBy("host").agg(F.array_sort(F.collect_set("stream")).alias("streams"))
-    chars = counted.groupBy("host", "path").agg(F.sum("chars").alias("chars")).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "chars"))).alias("chars"))
-    return streams.join(chars, "host")
+    """(host, expression, seen) of each host: its expression and what its slots hold; one row for each host."""
+    inferred = written(expressions(pages), "page-expressions")
+    seen = slot_texts(pages.join(inferred, "host")).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("kind", "slot", "pages", "chars", "varies"))).alias("seen"))
+    return inferred.join(seen, "host", "left")
 
 
 _WRAPPERS: dict[tuple, Wrapper] = {}
 
 
-def wrapper_of(streams: list[str], chars: dict[str, int]) -> Wrapper:
-    """Inferred once per worker and host."""
-    key = (tuple(streams), tuple(sorted(chars.items())))
+def wrapper_of(expression: str | None, seen: list[dict] | None) -> Wrapper:
+    """Compiled once per worker and host."""
+    key = (expression, seen is not None and tuple(tuple(r.values()) for r in seen))
     if key not in _WRAPPERS:
         if len(_WRAPPERS) > 1000:
             _WRAPPERS.clear()
-        _WRAPPERS[key] = Wrapper(infer([s.split("\n") for s in sorted(streams, key=lambda s: (-len(s), s)) if s]), article_of(Counter(chars)))
+        w = _WRAPPERS[key] = Wrapper(_loaded(expression) if expression else [], {})
+        w.labels = labels_of(w.paths, [tuple(r.values()) for r in seen or ()])
     return _WRAPPERS[key]
 
 
@@ -293,11 +509,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 200):
             texts, fits = [], []
-            for page, streams, chars in zip(text_of(batch.column("html")), batch.column("streams").to_pylist(), batch.column("chars").to_pylist(), strict=True):
-                w = wrapper_of(streams or [], dict(chars or []))
-                texts.append(w.text(page))
-                fits.append(w.matches([p for p, _ in blocks(page)]))
+            for page, expression, seen in zip(text_of(batch.column("html")), batch.column("expression").to_pylist(), batch.column("seen").to_pylist(), strict=True):
+                text, fit = wrapper_of(expression, seen).extract(blocks(page))
+                texts.append(text)
+                fits.append(fit)
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": pa.array(list(map(len, texts)), pa.int64()), "fits": fits})
 
-    joined = own.join(learnt, "host", "left").select("page_id", "url", "html", "streams", "chars")
+    joined = own.join(learnt, "host", "left").select("page_id", "url", "html", "expression", "seen")
     return by_arrow(joined, apply, "page_id long, url string, text string, n_chars long, fits boolean")

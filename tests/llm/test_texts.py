@@ -160,3 +160,26 @@ def test_chats_and_rewriting_templates(spark):
     assert rewrites and [text[s[2]:s[3]] for s in spans] == ["one", "two", "three"]
     text, spans, rewrites = chat.located(chat.chatml, turns)
     assert not rewrites and [text[s[2]:s[3]] for s in spans] == ["one", "two", "three"] and spans[-1][1] == len(text)
+
+
+def test_page_text_is_what_the_article_slots_take(spark):
+    """A line of one text on every page is the template's, inside an article too; it is kept where the wrapper doesn't say so."""
+    page = "<body><nav><p>Home</p></nav><article><h1>Title {0}</h1><div><b>Written by our staff</b></div><p>Story {0}</p></article></body>"
+    plain = "<body><div class=top><p>Shop of all things, with a long welcome to every visitor who comes here</p></div><div class=x><p>Offer {0}</p><p>Terms {0}</p></div></body>"
+    rows = [(k, "http://a.example/", page.format(k)) for k in range(5)] + [(10 + k, "http://b.example/", plain.format(k)) for k in range(5)] + [(20, "http://c.example/", page.format(0))]
+    got = {r.page_id: (r.text, r.fits) for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == (f"Title {k}\nStory {k}", True) and got[10 + k] == (f"Offer {k}\nTerms {k}", True) for k in range(5))
+    assert got[20] == ("Title 0\nWritten by our staff\nStory 0", True)
+
+
+def test_wrapper_slots_follow_the_expression():
+    w = wrappers.Wrapper(wrappers.infer([["h", "p", "f"], ["h", "p", "p", "q", "p", "q", "f"], ["p", "f"]]), {})
+    got = w.slots(["h", "p", "p", "p", "q", "p", "q", "p", "q", "f"])
+    assert got is not None and [w.paths[k] for k in got] == ["h", "p", "p", "p", "q", "p", "q", "p", "q", "f"]
+    assert w.slots(["f", "h"]) is None and w.slots(["h", "z"]) is None
+
+
+def test_streams_with_other_repeats_inside_a_group_still_match():
+    streams = [["a", "b", "a", "b", "b", "a", "b"], ["a", "b", "c", "a", "b", "b", "c"], ["c"] * 3, ["a", "c", "c", "b"]]
+    w = wrappers.Wrapper(wrappers.infer(streams), {})
+    assert all(w.matches(s) for s in streams)
