@@ -183,3 +183,14 @@ def test_streams_with_other_repeats_inside_a_group_still_match():
     streams = [["a", "b", "a", "b", "b", "a", "b"], ["a", "b", "c", "a", "b", "b", "c"], ["c"] * 3, ["a", "c", "c", "b"]]
     w = wrappers.Wrapper(wrappers.infer(streams), {})
     assert all(w.matches(s) for s in streams)
+
+
+def test_templates_of_one_host_are_labelled_apart(spark):
+    """Pages with an article element, with a main one and with plain containers share a host, or have none."""
+    forms = ["<article><h1>A {0}</h1><p>Told {0}</p></article><div><p>Beside {0}</p></div>", "<div class=a><p>First {0}</p><p>Then {0}</p></div><div class=x><p>x{0}</p></div>", "<main><p>Main {0}</p></main><p>Out {0}</p>", "<div class=b><h2>Head {0}</h2><p>Second {0}</p></div><div class=x><p>y{0}</p></div>"]
+    want = ["A {0}\nTold {0}", "First {0}\nThen {0}", "Main {0}", "Head {0}\nSecond {0}"]
+    for urls in (["http://mixed.example/"], [None, "x/y", "http:///"]):
+        rows = [(k, urls[k % len(urls)], "<body><nav><p>Home</p></nav>" + forms[k % 4].format(k) + "</body>") for k in range(24)]
+        rows += [(24, urls[0], "<p>alone")]
+        got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {k: want[k % 4].format(k) for k in range(24)} | {24: "alone"}
