@@ -48,17 +48,81 @@ def words_of(value: str) -> set[str]:
     return set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
 
 
-def element(name: str, attributes: str) -> tuple[str, bool]:
+#: how sure it is that an element is furniture: not, by a word or as a form (which may hold the whole page), by its name or hidden
+CLEAN, SOFT, HARD = 0, 1, 2
+
+
+def element(name: str, attributes: str) -> tuple[str, int]:
     """How an element is written in a path (name and class or id), and whether it is hidden or furniture."""
-    label, bad = name, name in FURNITURE
+    label, bad = name, SOFT if name == "form" else HARD if name in FURNITURE else CLEAN
     for m in ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if kind == "hidden" or (kind == "aria-hidden" and value == "true"):
-            bad = True
+            bad = HARD
         elif value:
-            bad = bad or bool(words_of(value) & FURNITURE_WORDS) and name not in ("html", "body", "article", "main")
+            if words_of(value) & FURNITURE_WORDS and name not in ("html", "body", "article", "main"):
+                bad = max(bad, SOFT)
             label += "." + re.sub(r"[\s/]+", ".", re.sub(r"\d+", "0", value.strip()))
-    return label + ("!" if bad else ""), bad
+    return label, bad
+
+
+@dataclass(eq=False, slots=True)
+class Node:
+    """An open element: its name, how it is written, its mark, and whether something stands below it."""
+
+    name: str
+    label: str
+    bad: int
+    deep: bool = False
+
+
+#: of the text in a marked element, the least share that must stand clean on the page for the mark to hold
+CLEAN_SHARE = 0.1
+
+
+def unmarked(found: list[tuple[tuple[Node, ...], str]]) -> None:
+    """Lift the marks of containers of the page itself, such as `content-sidebar-wrap`, `no-ads`, or a form around all.
+
+    Where every article or main element stands in furniture, the marks above the fullest are lifted if it holds more text
+    than stands outside of furniture.  Where there is none,
+    a container that holds over half of the page's text is lifted if next to nothing stands outside of furniture, the
+    outermost first.  Elements that are furniture by name, and hidden ones, keep their mark.
+    """
+    if not any(n.bad == SOFT for nodes, _ in found for n in nodes):
+        return
+    articles: Counter = Counter()
+    for nodes, t in found:
+        for k, n in enumerate(nodes):
+            if n.name in ("article", "main") and n.bad != HARD:
+                above = nodes[:k + 1]
+                if all(x.bad == CLEAN for x in above):
+                    return
+                if all(x.bad != HARD for x in above):
+                    articles[above] += len(t)
+                break
+
+    def clean() -> int:
+        return sum(len(t) for nodes, t in found if all(x.bad == CLEAN for x in nodes))
+
+    if articles:
+        best = max(articles, key=articles.__getitem__)
+        if articles[best] > clean():  # else teasers beside a text that no element marks
+            for n in best:
+                n.bad = CLEAN
+        return
+    if any(n.name in ("article", "main") for nodes, _ in found for n in nodes):
+        return
+    total = sum(len(t) for _, t in found)
+    held: Counter = Counter()
+    for nodes, t in found:
+        for n in nodes:
+            if n.bad == HARD:
+                break
+            if n.bad == SOFT and n.deep:
+                held[n] += len(t)
+    for n, chars in held.items():  # in page order, the outer before the inner
+        if 2 * chars > total and clean() < CLEAN_SHARE * chars:
+            n.bad = CLEAN
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
@@ -67,15 +131,15 @@ def blocks(page: str) -> list[tuple[str, str]]:
     Tags that never close, or close what isn't open, are read as a browser would roughly: a block ends an open
     paragraph, an item ends the one before, an end tag closes up to its element or is ignored.
     """
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []
+    out: list[tuple[tuple[Node, ...], str]] = []
+    stack: list[Node] = []
     buffer: list[str] = []
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            out.append(("/".join(label for _, label in stack), text))
+            out.append((tuple(stack), text))
 
     skip = ""
     for piece in PIECE.findall(page):
@@ -107,19 +171,22 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         flush()
         if closing:
-            names = [n for n, _ in stack]
+            names = [n.name for n in stack]
             if name in names:
                 del stack[len(names) - 1 - names[::-1].index(name):]
             continue
-        if name in CLOSES_P and stack and stack[-1][0] == "p":
+        if name in CLOSES_P and stack and stack[-1].name == "p":
             stack.pop()
-        if stack and stack[-1][0] in IMPLIED.get(name, ()):
+        if stack and stack[-1].name in IMPLIED.get(name, ()):
             stack.pop()
         if name not in VOID and not piece.endswith("/>"):
-            stack.append((name, element(name, piece[tag.end():])[0]))
+            if stack:
+                stack[-1].deep = True
+            stack.append(Node(name, *element(name, piece[tag.end():])))
     if not skip or skip == "title":
         flush()
-    return out
+    unmarked(out)
+    return [("/".join(n.label + "!" if n.bad else n.label for n in nodes), text) for nodes, text in out]
 
 
 Item = tuple  # (key, body, least, most): a slot has its path as key and no body; a group's body is a tuple of items

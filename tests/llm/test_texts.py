@@ -194,3 +194,18 @@ def test_templates_of_one_host_are_labelled_apart(spark):
         rows += [(24, urls[0], "<p>alone")]
         got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
         assert got == {k: want[k % 4].format(k) for k in range(24)} | {24: "alone"}
+
+
+def test_furniture_words_on_containers_of_the_page():
+    def text(page):
+        return wrappers.by_own_paths(wrappers.blocks(page))
+
+    story = "<p>A story that goes on</p><p>for a while</p>"
+    for wrap in ("<div class='content-sidebar-wrap'>{}</div>", "<body class='no-ads'><div class='has-sidebar'>{}</div>", "<div id=post-with-comments><div class='no-ads'>{}</div></div>", "<form action=/>{}</form>"):
+        aside = "<div class=sidebar><p>Links to this and that</p></div><nav><p>Menu</p></nav>"
+        for inner in (f"<article>{story}</article>{aside}", f"<main>{story}</main>{aside}", f"<div class=x>{story}</div>{aside}"):
+            assert text(wrap.format(inner)) == "A story that goes on\nfor a while", (wrap, inner)
+    comments = "<div class=comments><p>" + "I said so at length. " * 9 + "</p></div>"
+    assert text(f"<div class=x>{story}</div>{comments}") == text(f"<article>{story}</article>{comments}") == "A story that goes on\nfor a while"
+    assert text(f"<div class=x>{story}</div><div class=related><article>See</article></div>") == "A story that goes on\nfor a while"
+    assert text("<div hidden><article><p>no</p></article></div>") == "" == text("<div class=cookie>Take it</div>")
