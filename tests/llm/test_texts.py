@@ -209,3 +209,31 @@ def test_furniture_words_on_containers_of_the_page():
     assert text(f"<div class=x>{story}</div>{comments}") == text(f"<article>{story}</article>{comments}") == "A story that goes on\nfor a while"
     assert text(f"<div class=x>{story}</div><div class=related><article>See</article></div>") == "A story that goes on\nfor a while"
     assert text("<div hidden><article><p>no</p></article></div>") == "" == text("<div class=cookie>Take it</div>")
+
+
+def test_long_conversations_are_written_in_chunks(spark):
+    """A conversation over many chunks and parts reads as a whole one would; no row holds it all."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 7, 7, 7, k]), rng.randrange(900), rng.choice(["user", "assistant", None]), rng.choice([None, "x <|im_end|>", "漢 word " * rng.randrange(90)])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    chunks = chat.placed(chat.format_chunks(df).localCheckpoint()).collect()
+    whole = {r.conv_id: r for r in chat.format_chats(df.where("conv_id != 7")).collect()}
+    by: dict = {}
+    for r in sorted(chunks, key=lambda r: r.start):
+        by.setdefault(r.conv_id, []).append(r)
+    assert len(by[7]) > 20 and max(len(r.formatted) for r in chunks) < 3 * chat.CHUNK_CHARS and max(len(r.turns) for r in chunks) <= chat.CHUNK_TURNS
+    for conv, parts in by.items():
+        text, spans, loss = "", [], []
+        for r in parts:
+            assert r.start == len(text)
+            spans += [tuple(x + r.start for x in s) for s in r.turns]
+            loss += [tuple(x + r.start for x in s) for s in r.loss]
+            text += r.formatted
+        turns = sorted(((t is not None, t or 0, r is not None, r or "", x is not None, x or "") for c, t, r, x in rows if c == conv))
+        turns = [(t[3], t[5]) for t in turns]
+        assert text == chat.chatml(turns) and [text[s[2]:s[3]] for s in spans] == [chat.escape(t) for _, t in turns]
+        assert conv not in whole or (whole[conv].formatted == text and [tuple(s) for s in whole[conv].turns] == spans and [tuple(s) for s in whole[conv].loss] == loss)
+    got = {r.conv_id: r for r in chat.chat_digests(spark, df).collect()}
+    plain = {r.conv_id: r for r in chat.read_chats(chat.format_chats(df.where("conv_id IS NULL OR conv_id > 20 AND conv_id < 90")).withColumns({"part": F.lit(0), "chunk": F.lit(0)})).collect()}
+    assert all(got[c] == r for c, r in plain.items()) and len(got) == len(by) + 1 - (-1 in by)
+    assert chat.appends(chat.chatml) and not chat.appends(lambda turns: "<s>" + chat.chatml(turns)) and not chat.appends(lambda turns: "".join(f"{k}{t}" for k, (_, t) in enumerate(turns)))
