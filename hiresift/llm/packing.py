@@ -94,13 +94,77 @@ def cut(offset: np.ndarray, length: np.ndarray, place: np.ndarray, totals: np.nd
     return doc, start, size, at
 
 
+def placed_quanta(bases: DataFrame, rates: DataFrame, quantum: int) -> DataFrame:
+    """(queue, u, at): the place of every quantum in the packed stream, with a row for each and no total on the driver.
+
+    Quanta are sorted by the time they fall due, then queue, in ranges; sums within a range, then over the ranges.
+    """
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            ends = before + np.cumsum(size)
+            yield pa.RecordBatch.from_pydict({"queue": batch.column("queue"), "u": batch.column("u"), "size": size, "part": pa.array(np.full(len(size), part), pa.int32()), "before": ends - size})
+            before = int(ends[-1]) if len(ends) else before
+
+    totals = bases.groupBy("queue").agg(F.sum("ids").alias("total")).join(rates, "queue", "left") if rates is not None else bases.groupBy("queue").agg(F.sum("ids").alias("total")).withColumn("rate", F.col("total").cast("double"))
+    span = bases.join(totals, "queue").selectExpr("queue", "total", "coalesce(rate, 1.0D) AS rate", f"(base + {quantum - 1}) div {quantum} AS first", f"(base + ids + {quantum - 1}) div {quantum} - 1 AS last").where("first <= last")
+    quanta = span.select("queue", "total", "rate", F.explode(F.sequence("first", "last")).alias("u"))
+    timed = quanta.select("queue", "u", F.least(F.lit(quantum).cast("long"), F.col("total") - F.col("u") * quantum).alias("size"), ((F.col("u") + F.lit(0.5)) * (F.lit(float(quantum)) / F.col("rate"))).alias("due"))
+    ordered = timed.repartitionByRange("due", "queue").sortWithinPartitions("due", "queue").select("queue", "u", "size")
+    sums = written(by_arrow(ordered, running, "queue string, u long, size long, part int, before long"), "packing-quanta")
+    parts = sums.groupBy("part").agg(F.sum("size").alias("ids"))  # a row for each range: few
+    shifts = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("shift"))
+    return sums.join(shifts, "part").select("queue", "u", (F.col("before") + F.col("shift")).alias("at"))
+
+
+def pack_sorted(tokens: DataFrame, bases: DataFrame, weights: dict[str, float] | None, quantum: int, window: int, with_ids: bool) -> DataFrame:
+    """The same pieces as pack's closed form, for any number of queues: documents are cut at quanta, which are placed by a sort."""
+    def cut_quanta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 500):
+            n = batch.column("n").to_numpy()
+            offset = batch.column("base").to_numpy() + batch.column("before").to_numpy()
+            first = offset // quantum
+            per_doc = (offset + n - 1) // quantum - first + 1
+            doc = np.repeat(np.arange(len(n)), per_doc)
+            u = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc) + first[doc]
+            begin, end = np.maximum(u * quantum, offset[doc]), np.minimum((u + 1) * quantum, (offset + n)[doc])
+            start, raw = begin - offset[doc], batch.column("ids").to_pylist()
+            width = [len(x) // k for x, k in zip(raw, n.tolist(), strict=True)]
+            own = [raw[d][a * width[d]:(a + k) * width[d]] for d, a, k in zip(doc.tolist(), start.tolist(), (end - begin).tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(doc)), "queue": batch.column("queue").take(pa.array(doc)), "u": u, "start": start, "length": end - begin, "inside": begin - u * quantum, "doc_tokens": n[doc], "ids": pa.array(own, pa.binary())})
+
+    def at_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 2000):
+            size, start, at = (batch.column(c).to_numpy() for c in ("length", "start", "at"))
+            raw, skip, doc = batch.column("ids").to_pylist(), np.zeros(len(size), np.int64), np.arange(len(size))
+            edge = (at // window + 1) * window - at
+            over = np.flatnonzero(edge < size)
+            width = [len(x) // k for x, k in zip(raw, size.tolist(), strict=True)]
+            doc, skip, at = np.append(doc, over), np.append(skip, edge[over]), np.append(at, at[over] + edge[over])
+            size = np.append(np.minimum(size, edge), size[over] - edge[over])
+            own = [np.frombuffer(raw[d][a * width[d]:(a + k) * width[d]], f"<u{width[d]}") for d, a, k in zip(doc.tolist(), skip.tolist(), size.tolist(), strict=True)]
+            rows = pa.array(doc)
+            out = {"doc_id": batch.column("doc_id").take(rows), "start": start[doc] + skip, "length": size, "ids_crc32": pa.array([zlib.crc32(x.astype("<u4")) for x in own], pa.int64()), "doc_tokens": batch.column("doc_tokens").take(rows), "sequence_id": at // window, "offset": at % window, "queue": batch.column("queue").take(rows)}
+            if with_ids:
+                out["ids"] = pa.array([x.tobytes() for x in own], pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
+
+    rates = None if weights is None else tokens.sparkSession.createDataFrame([(q, max(float(w), 1e-12)) for q, w in weights.items()], "queue string, rate double")
+    given = tokens.join(bases.select("queue", "chunk", "base"), ["queue", "chunk"]).select("doc_id", "queue", "before", "base", "n", "ids")
+    pieces = by_arrow(given, cut_quanta, "doc_id long, queue string, u long, start long, length long, inside long, doc_tokens long, ids binary")
+    at = placed_quanta(bases, rates, quantum)
+    placed = pieces.join(at, ["queue", "u"]).select("doc_id", "queue", "start", "length", "doc_tokens", "ids", (F.col("at") + F.col("inside")).alias("at"))
+    return by_arrow(placed, at_windows, PIECES + (", ids binary" if with_ids else ""))
+
+
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, window: int = WINDOW, quantum: int = QUANTUM, weights: dict[str, float] | None = None, max_queues: int = MAX_QUEUES, with_ids: bool = False) -> DataFrame:
     """Pack every document into sequences of `window` ids; one row for each piece.
 
     Sequences are filled without padding, but for the last, which the reader pads.  Null texts are empty (the end id
     alone), a null source is the queue "", repeated rows are packed as often as they stand.  The queues' totals are
-    the only rows that reach the driver; more than `max_queues` sources share that many queues by hash.  `with_ids`
-    adds the piece's ids (little-endian 16 or 32 bit, by the vocabulary's size).
+    the only rows that reach the driver; of more than `max_queues` sources none does, and quanta are placed by a sort
+    to the same result (see pack_sorted).  `with_ids` adds the piece's ids (little-endian 16 or 32 bit, by the vocabulary's size).
     """
     if not 0 < quantum <= window:
         raise ValueError("a quantum must fit a window")
@@ -108,10 +172,11 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     tokens = written(tokenised(docs, tokenizer, end_id), "packing-tokens")
     sums = tokens.groupBy("queue", "chunk").agg(F.sum("n").alias("ids"))
     n_queues = sums.select(F.countDistinct("queue")).first()[0]
-    group = F.col("queue") if n_queues <= max_queues else F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string")
-    ordered = Window.partitionBy("group").orderBy("chunk", "queue")
-    bases = written(sums.withColumn("group", group).select("queue", "chunk", "group", "ids", (F.sum("ids").over(ordered) - F.col("ids")).alias("base")), "packing-bases")
-    per_queue = sorted((r["group"], int(r["ids"])) for r in bases.groupBy("group").agg(F.sum("ids").alias("ids")).collect())
+    ordered = Window.partitionBy("queue").orderBy("chunk")
+    bases = written(sums.select("queue", "chunk", "ids", (F.sum("ids").over(ordered) - F.col("ids")).alias("base")), "packing-bases")
+    if n_queues > max_queues:
+        return pack_sorted(tokens, bases, weights, quantum, window, with_ids)
+    per_queue = sorted((r["queue"], int(r["ids"])) for r in bases.groupBy("queue").agg(F.sum("ids").alias("ids")).collect())
     place_of = {g: i for i, (g, _) in enumerate(per_queue)}
     totals = np.array([n for _, n in per_queue], np.int64)
     rates = totals.astype(np.float64) if weights is None else np.array([max(float(weights.get(g, 1.0)), 1e-12) for g, _ in per_queue])
@@ -119,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2000):
             n = batch.column("n").to_numpy()
-            place = np.array([place_of[g] for g in batch.column("group").to_pylist()], np.int64)
+            place = np.array([place_of[g] for g in batch.column("queue").to_pylist()], np.int64)
             offset = batch.column("base").to_numpy() + batch.column("before").to_numpy()
             doc, start, size, at = cut(offset, n, place, totals, rates, quantum, window)
             width = np.dtype("<u2") if sum(map(len, (raw := batch.column("ids").to_pylist()))) == 2 * n.sum() else np.dtype("<u4")
@@ -130,5 +195,5 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
                 out["ids"] = pa.array([x.tobytes() for x in own], pa.binary())
             yield pa.RecordBatch.from_pydict(out)
 
-    placed = tokens.join(bases.select("queue", "chunk", "group", "base"), ["queue", "chunk"]).select("doc_id", "queue", "group", "before", "base", "n", "ids")
+    placed = tokens.join(bases.select("queue", "chunk", "base"), ["queue", "chunk"]).select("doc_id", "queue", "before", "base", "n", "ids")
     return by_arrow(placed, pieces, PIECES + (", ids binary" if with_ids else ""))

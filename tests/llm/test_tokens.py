@@ -97,3 +97,11 @@ def test_sections_count_each_token_by_the_rule(texts, library):
     assert token_counts.allocate(starts, ends, [(0, 6), (6, 10)], "most")[0].tolist() == [1, 2]
     assert token_counts.allocate(starts, ends, [(0, 6), (6, 10)], "each")[0].tolist() == [2, 2]
     assert token_counts.allocate(starts, ends, [(5, 6)], "first")[1] == 3
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 1.0, "b": 3.0}])
+def test_packing_is_the_same_with_more_sources_than_queues(texts, weights):
+    def rows(most):
+        return sorted(map(tuple, packing.pack(texts.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).coalesce(1).sortWithinPartitions("doc_id"), NAME, 2, 64, 8, weights, max_queues=most, with_ids=True).collect()))
+
+    assert rows(1) == rows(4096)
