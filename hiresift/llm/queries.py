@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hiresift.llm import chat, decontaminate, near_dedup, packing, quality, token_counts, token_file, topk, toxicity, wrappers
+from hiresift.llm import bpe_automaton, chat, decontaminate, manifest, near_dedup, packing, phrases, quality, token_counts, token_file, topk, toxicity, wrappers
 from hiresift.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -53,5 +53,21 @@ def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_file(segments)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixture_packing, op2_benchmark_leaks, op3_maxscore_topk, op4_pairwise_quality, op5_page_wrappers, op6_chat_prefixes, op7_section_tokens, op8_order_minhash, op9_toxic_sentences, op10_simple8b_tokens)}
-ORACLES: dict[str, str] = {}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"), manifest.lower_cased_thirds)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.encode_decode(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+ALL = (
+    op1_mixture_packing, op2_benchmark_leaks, op3_maxscore_topk, op4_pairwise_quality, op5_page_wrappers, op6_chat_prefixes, op7_section_tokens,
+    op8_order_minhash, op9_toxic_sentences, op10_simple8b_tokens, op11_merkle_manifest, op12_phrase_collocations, op13_bpe_automaton,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": manifest.oracle(), "op12_phrase_collocations": phrases.oracle()}

@@ -45,8 +45,8 @@ class WordEncoder:
         memo, parts, whole, cores = self.memo, [], [], set()
         for word in unseen:
             core = word.rstrip(TAIL)
-            if core.isalpha() and max(core) < "ɐ":  # letters are lowered one by one, so case and tail come apart
-                low, tail = core.lower(), word[len(core):]
+            low, tail = core.lower(), word[len(core):]
+            if core.isalpha() and max(core) < "ɐ" and len(low) == len(core):  # letters are lowered one by one, so case and tail come apart
                 parts.append((word, low, tail))
                 cores.update(x for x in (low, tail) if x and x not in memo)
             elif word not in memo:

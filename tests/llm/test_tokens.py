@@ -27,7 +27,7 @@ def library():
 def test_words_give_the_library_s_ids_and_spans(library):
     rng = random.Random(3)
     letters = "abcÀéßİΣσς ﬁ漢字0٣²’'.,!?<|>-_\n\t\x1c ́e"
-    texts = ["", "don't we'll <|endoftext|> a.b.c", *("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(300))]
+    texts = ["", "don't we'll <|endoftext|> a.b.c", "BİTTİ. Ali ALİ, geldi", *(f"Aİ{a}{b} İ{a}" for a in ".,;:!?" for b in ("", ".", "x")), *("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(300))]
     for memo in (0, 5, 10_000):
         encoder = WordEncoder(public_tokenizer(NAME), memo)
         for _ in range(2):
