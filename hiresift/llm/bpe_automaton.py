@@ -7,9 +7,9 @@ and ab leads, from wherever a can be read, to the state behind b.  All arcs of o
 automaton is a state for each token, a class for each token as a label, and one bit for each state and class: may a
 token of this class be read here?  Tokens share a state or a class until a gadget tells them apart.
 
-After the last merge the only path that spells a word is its encoding.  A word is read symbol by symbol; for each of
-its prefixes the one token that ends there and may be read where it begins is found in the tables, which gives the
-state behind that prefix.  A path's labels, one after another, are the decoded text.
+After the last merge the only path that spells a word is its encoding, and every prefix of a word has one path at
+most.  A word is read along arcs that the tables allow, the longest label first; a place from which the word cannot be
+ended is not tried again.  A path's labels, one after another, are the decoded text.
 """
 from __future__ import annotations
 
@@ -28,7 +28,10 @@ from hiresift.llm.common import by_arrow, columns, public_tokenizer, small_batch
 from hiresift.llm.tokens import SEPARATORS
 
 START = 0
-MEMO_BYTES = 64 << 20
+END = 0  # in the tree of tokens: the word ends here
+TAIL = ".,;:!?"
+MEMO_BYTES = 192 << 20
+WORD_BYTES = 200  # of a word in the memo beside its characters and ids
 MEMO_WORD = 64  # longer words are encoded each time
 #: the tokenizer's own split pattern, a fixed value of its file: a word in ASCII letters is one piece
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -102,34 +105,61 @@ class Automaton:
         self.bits = np.packbits(arcs, axis=1, bitorder="little").tobytes()
         #: token -> (id, the bit and byte of its class, the state behind it)
         self.token = {t: (vocabulary[t], label[t] >> 3, 1 << (label[t] & 7), state[t]) for t in state if t in vocabulary}
-        self.longest = max(len(t.removesuffix(end)) for t in self.token)
         labels = {i: t for t, i in vocabulary.items()} | {i: t for t, i in special.items()}
         self.labels = [labels.get(i, "") for i in range(max(labels) + 1)]
 
     def nbytes(self) -> int:
         return len(self.bits)
 
-    def encode(self, word: str) -> list[int]:
-        """ids of one pre-split word, written in the byte alphabet."""
-        bits, row, token, n = self.bits, self.row, self.token.get, len(word)
-        whole = token(word + self.end)
-        if whole and bits[whole[1]] & whole[2]:
-            return [whole[0]]
-        states, back = [START] * (n + 1), [None] * (n + 1)
-        for at in range(1, n + 1):
-            close = self.end if at == n else ""
-            for begin in range(max(0, at - self.longest), at):
-                found = token(word[begin:at] + close)
-                if found and (begin == 0 or back[begin]) and bits[states[begin] * row + found[1]] & found[2]:
-                    states[at], back[at] = found[3], (begin, found[0])
+    def trie(self) -> dict:
+        """The tokens as a tree of symbols; under None the token that ends there, under END one that ends the word."""
+        root: dict = {}
+        for t, entry in self.token.items():
+            node = root
+            ends = t.endswith(self.end) and t != self.end
+            for c in t.removesuffix(self.end) if ends else t:
+                node = node.setdefault(c, {})
+            node[END if ends else None] = entry
+        return root
+
+    def encode(self, word: str, trie: dict) -> list[int]:
+        """ids of one pre-split word, written in the byte alphabet.
+
+        From each place the longest token is tried first.  A prefix has one path at most, so a place that led nowhere
+        once never leads anywhere.
+        """
+        bits, row, n, dead = self.bits, self.row, len(word), set()
+        at, state, ids, back = 0, START, [], []
+        options = None
+        while True:
+            if options is None:
+                options, node = [], trie
+                for end in range(at, n):
+                    node = node.get(word[end])
+                    if node is None:
+                        break
+                    if None in node:
+                        options.append((end + 1, node[None]))
+                else:
+                    if END in node:
+                        options.append((-1, node[END]))
+            while options:
+                end, (one, byte, bit, behind) = options.pop()
+                if end < 0:
+                    if bits[state * row + byte] & bit:
+                        ids.append(one)
+                        return ids
+                elif end < n and end not in dead and bits[state * row + byte] & bit:
+                    back.append((at, state, options))
+                    ids.append(one)
+                    at, state, options = end, behind, None
                     break
-        if back[n] is None:
-            raise ValueError(f"no path spells {word!r}")
-        ids, at = [], n
-        while at:
-            at, one = back[at]
-            ids.append(one)
-        return ids[::-1]
+            else:
+                if not back:
+                    raise ValueError(f"no path spells {word!r}")
+                dead.add(at)
+                at, state, options = back.pop()
+                ids.pop()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The labels of the arcs that the ids name, with a space between them, as the library writes them."""
@@ -152,46 +182,66 @@ def compile_tokenizer(path: str) -> Automaton:
 class Coder:
     """Whole texts through an automaton, with a memo of words bounded in bytes; special strings keep their own ids.
 
-    What is no word in ASCII letters is normalised and split by the tokenizer file's own rules.
+    A word of letters below U+0250 with punctuation behind it is two pieces, known apart; any other word is normalised
+    and split by the tokenizer file's own rules.
     """
 
     def __init__(self, automaton: Automaton, path: str, memo_bytes: int = MEMO_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.automaton, self.memo, self.room = automaton, {}, memo_bytes
+        self.automaton, self.trie, self.memo, self.room = automaton, automaton.trie(), {}, memo_bytes
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(automaton.special, key=len, reverse=True))) + ")") if automaton.special else None
-        rules = Tokenizer.from_file(path)
+        rules, alphabet = Tokenizer.from_file(path), byte_alphabet()
         self.normalise, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
-
-    def _plain(self, piece: str) -> list[int]:
-        if piece.isascii() and piece.isalpha():
-            return self.automaton.encode(piece.lower())
-        out = []
-        for part, _ in self.split(self.normalise(piece)):
-            out.extend(self.automaton.encode(part))
-        return out
-
-    def _word(self, word: str) -> bytes:
-        known = self.memo.get(word)
-        if known is None:
-            ids = []
-            for i, part in enumerate(self.special.split(word) if self.special else [word]):
-                ids.extend([self.automaton.special[part]] if i % 2 else self._plain(part))
-            known = array("I", ids).tobytes()
-            cost = 150 + 4 * len(word) + len(known)
-            if len(word) <= MEMO_WORD and cost <= self.room:
-                self.memo[word] = known
+        self.written = {i: "".join(alphabet[b] for b in chr(i).encode()) for i in range(0x300)}
+
+    def _ruled(self, word: str) -> list[int]:
+        ids = []
+        for i, part in enumerate(self.special.split(word) if self.special else [word]):
+            if i % 2:
+                ids.append(self.automaton.special[part])
+            else:
+                for piece, _ in self.split(self.normalise(part)):
+                    ids.extend(self.automaton.encode(piece, self.trie))
+        return ids
+
+    def _learn(self, words: Iterable[str]) -> list[str]:
+        """Put words into the memo; returns every key added."""
+        memo, added, encode, written, trie = self.memo, [], self.automaton.encode, self.written, self.trie
+        for word in words:
+            core = word.rstrip(TAIL)
+            low = core.lower()
+            if core.isalpha() and max(low) < "\u0250" and max(core) < "\u0250" and len(low) == len(core):
+                ids = b""
+                for piece in (low, word[len(core):]):
+                    if piece:
+                        known = memo.get(piece)
+                        if known is None:
+                            known = memo[piece] = array("I", encode(piece.translate(written), trie)).tobytes()
+                            added.append(piece)
+                        ids += known
+                if word != low:
+                    memo[word] = ids
+                    added.append(word)
+            elif word not in memo:
+                memo[word] = array("I", self._ruled(word)).tobytes()
+                added.append(word)
+        return added
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """ids of whole texts as little-endian 32-bit integers.  White space ends a word and is not read."""
+        words = [[t] if SEPARATORS.search(t) else t.split() for t in texts]
+        added = self._learn(set().union(*words).difference(self.memo))
+        get = self.memo.__getitem__
+        out = [b"".join(map(get, w)) for w in words]
+        for word in added:
+            cost = WORD_BYTES + 2 * len(word) + len(self.memo[word])
+            if len(word) > MEMO_WORD or cost > self.room:
+                del self.memo[word]
+            else:
                 self.room -= cost
-        return known
-
-    def encode(self, text: str) -> bytes:
-        """ids of a whole text as little-endian 32-bit integers.  White space ends a word and is not read."""
-        words = [text] if SEPARATORS.search(text) else text.split()
-        get, out = self.memo.get, []
-        for w in words:
-            out.append(get(w) or self._word(w))
-        return b"".join(out)
+        return out
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
@@ -214,8 +264,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> Da
         for batch in small_batches(batches, 200):
             rows = {"doc_id": batch.column("doc_id"), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             kept, decoded = [], []
-            for text in text_of(batch.column("text")):
-                ids = coder.encode(text)
+            for ids in coder.encode(text_of(batch.column("text"))):
                 words = compiled.decode(np.frombuffer(ids, "<u4").tolist())
                 rows["n_tokens"].append(len(ids) // 4)
                 rows["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
