@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hiresift.llm.common import by_arrow, columns, small_batches, text_of, written
-from hiresift.llm.tokens import word_encoder
+from hiresift.llm.common import by_arrow, columns, small_batches, written
+from hiresift.llm.tokens import by_bytes, word_encoder
 
 WINDOW = 4096
 QUANTUM = 512
@@ -37,11 +37,12 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Every whole text's ids with the end id, and how many ids of its source precede it in its chunk (a read task)."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, chunk, sums = word_encoder(tokenizer), TaskContext.get().partitionId(), {}
-        end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in small_batches(batches, 500):
-            ids = [raw + end for raw in encoder.encode(text_of(batch.column("text")))]
+        for batch in by_bytes(batches):
+            flat, offsets = encoder.encode_column(batch.column("text"), end_id)
+            raw, width = flat.tobytes(), flat.dtype.itemsize
+            ids = [raw[a * width:b * width] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             queues = batch.column("queue").to_pylist()
-            counts, before = [len(x) // encoder.dtype.itemsize for x in ids], []
+            counts, before = np.diff(offsets).tolist(), []
             for q, n in zip(queues, counts, strict=True):
                 before.append(sums.get(q, 0))
                 sums[q] = before[-1] + n

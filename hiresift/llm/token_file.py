@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hiresift.llm.common import by_arrow, columns, small_batches, text_of, written
-from hiresift.llm.tokens import word_encoder
+from hiresift.llm.common import by_arrow, columns, small_batches, written
+from hiresift.llm.tokens import by_bytes, word_encoder
 
 #: (ids in a word, bits of each) by selector: the fixed Simple-8b table without its run selectors; 15 escapes.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -132,15 +132,16 @@ SEGMENT_ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("ids_
 def write_token_file(docs: DataFrame, tokenizer: str, end_id: int, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Encode every whole text, end each document with `end_id`, and write segments in ascending doc_id order.
 
-    Null texts are empty (only the end id), null ids sort first, rows of equal id stand in text order.  Returns the
-    segments as read back from the written folder.
+    Null texts are empty (only the end id), null ids sort first, rows of equal id stand in the order of their texts'
+    hashes, so that rows of one id are ranged over tasks too.  Returns the segments as read back from the written folder.
     """
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = word_encoder(tokenizer), TaskContext.get().partitionId()
         number, before, held, doc_ids, ids = 0, 0, 0, [], []
-        for batch in small_batches(batches, 500):
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(text_of(batch.column("text"))), strict=True):
-                doc = np.append(np.frombuffer(raw, encoder.dtype).astype(np.uint64), np.uint64(end_id))
+        for batch in by_bytes(batches):
+            flat, offsets = encoder.encode_column(batch.column("text"), end_id)
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                doc = flat[a:b]
                 doc_ids.append(doc_id)
                 ids.append(doc)
                 held += len(doc)
@@ -151,7 +152,8 @@ def write_token_file(docs: DataFrame, tokenizer: str, end_id: int, segment_ids:
         if ids:
             yield pa.RecordBatch.from_pylist([_segment(part, number, before, doc_ids, ids)[0]], SEGMENT_ARROW)
 
-    ordered = columns(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    hashed = columns(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    ordered = hashed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return written(by_arrow(ordered, segments, SEGMENT), "token-file")
 
 
