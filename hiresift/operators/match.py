@@ -7,7 +7,6 @@ the cost is one compact row per pair instead of one per pair and term.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hiresift import vocab as V
@@ -92,53 +91,13 @@ def parse_gate(features: DataFrame, key: str) -> DataFrame:
     return ar.unpack(features.withColumn("safe", parse_safe()), [key, "safe"], gate_checks(), "name")
 
 
-# ------------------------------------------------------------------ coverage over whole tables
+# ------------------------------------------------------------------ keywords over whole tables (see ranking)
 
 def merged_keywords(keywords: DataFrame, vocab: V.Vocabulary = V.DEFAULT) -> DataFrame:
     """One row per (posting, canonical term) with the larger weight; repeats never add up."""
     return keywords.groupBy("jd_id", tm.canonical(F.col("term"), vocab).alias("term")).agg(F.max("weight").alias("weight"))
 
 
-def keyword_coverage(keywords: DataFrame, index: DataFrame, *, doc: str = "doc_id") -> DataFrame:
-    """Coverage of each posting by each document that shows at least one of its terms.
-
-    Partial sums combine before the pair shuffle, since all terms of a document sit in few partitions.
-    """
-    merged = merged_keywords(keywords)
-    totals = merged.groupBy("jd_id").agg(F.sum("weight").alias("total_weight"), F.count("*").alias("n_terms"))
-    hits = (index.join(merged, "term").groupBy(doc, "jd_id")
-            .agg(F.sum("weight").alias("matched_weight"), F.count("*").alias("n_matched")))
-    return hits.join(totals, "jd_id").select(
-        doc, "jd_id", "n_matched", "n_terms", F.col("matched_weight").cast("double").alias("matched_weight"),
-        F.col("total_weight").cast("double").alias("total_weight"),
-        tx.ratio_pct(F.col("matched_weight"), F.col("total_weight")).alias("score"))
-
-
-def top_postings(scored: DataFrame, postings: DataFrame, *, doc: str, docs: DataFrame, k: int = 10,
-                 score: str = "score") -> DataFrame:
-    """The k best postings of every document, each document in full even when it matches nothing.
-
-    Only pairs that share a term are scored.  A document with fewer than k of those is filled with the lowest
-    posting ids at score 0: the first k ids always hold enough unmatched ones, so the fill is exact.
-    """
-    # k ids, never more: the only rows that reach the driver
-    first_ids = F.array(*[F.lit(r.jd_id) for r in postings.select("jd_id").orderBy("jd_id").limit(k).collect()])
-    order = W.partitionBy(doc).orderBy(F.col(score).desc_nulls_last(), "jd_id")
-    ranked = scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
-    lists = ranked.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("_n", "jd_id", score))).alias("_best"))
-    found = F.transform("_best", lambda b: F.struct(b["jd_id"].alias("jd_id"), b[score].cast("double").alias("score")))
-
-    def complete(best: Column) -> Column:
-        held = ar.field(best, "jd_id")
-        rest = F.transform(F.array_except(first_ids, held), lambda i: F.struct(i.alias("jd_id"), F.lit(0.0).alias("score")))
-        return F.transform(F.slice(F.concat(best, rest), 1, k), lambda b, i: F.struct(
-            b["jd_id"].alias("jd_id"), b["score"].alias(score), (i + 1).alias("rank")))
-
-    none = F.array().cast("array<struct<jd_id:bigint,score:double>>")
-    full = docs.select(doc).join(lists, doc, "left")
-    return ar.unpack(full, [doc], ar.let(F.coalesce(found, none), complete), "rank")
-
-
 # ------------------------------------------------------------------ posting model
 
 def searchable_terms(keywords: Column, title: Column) -> Column:
@@ -227,6 +186,12 @@ def vocabulary_of(model: DataFrame) -> DataFrame:
     return model.select(F.explode_outer(wanted).alias("term")).where("term <> ''").distinct()
 
 
+def vocabulary_of_searches(model: DataFrame) -> DataFrame:
+    """(term) of every group of every search."""
+    wanted = F.flatten(F.flatten(F.transform("searches", lambda s: s["groups"])))
+    return model.select(F.explode_outer(wanted).alias("term")).where("term <> ''").distinct()
+
+
 def document_terms(docs: DataFrame, vocabulary: DataFrame, *, key: str, text: str = "text",
                    shape: tm.Shape | None = None, vocab: V.Vocabulary = V.DEFAULT) -> DataFrame:
     """(key, terms): the vocabulary terms each document holds; documents with none keep an empty array."""

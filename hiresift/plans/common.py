@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hiresift import vocab as V
+from hiresift.functions import arrays as ar
 from hiresift.functions import text as tx
 from hiresift.operators import match as mt
 from hiresift.operators import screen as sc
@@ -57,11 +59,37 @@ def outcome_events(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("app_id"), tx.lookup(kinds, F.col("event_type"), F.col("event_type")).alias("outcome"), note.alias("notes"))
 
 
-def bench_keywords(t: Tables) -> DataFrame:
-    """Benchmark passages read as postings: words of six or more letters, the first line carrying requirements."""
+BENCH_WORD = r"[\p{L}\p{N}]*[a-z0-9][\p{L}\p{N}]*"
+
+
+def bench_words(t: Tables) -> DataFrame:
+    """(jd_id, n, pos, term): the words of benchmark passages, read as postings, by line and place.  Every word that
+    has a letter a-z or a digit counts; others have no end that a boundary test could see."""
     lines = t.benchmark.select(F.col("item_id").alias("jd_id"), F.posexplode(F.split(F.lower("text"), "\n")).alias("n", "line"))
-    words = lines.select("jd_id", F.when(F.col("n") == 0, 3.0).otherwise(1.0).cast("decimal(6,2)").alias("weight"), F.explode(tx.find_all(F.col("line"), "[a-z]{6,}")).alias("term"))
-    return words.groupBy("jd_id", "term").agg(F.max("weight").alias("weight"))
+    return lines.select("jd_id", "n", F.posexplode(tx.find_all(F.col("line"), BENCH_WORD)).alias("pos", "term"))
+
+
+def bench_titles(t: Tables) -> DataFrame:
+    """(jd_id, title): the first two words of the first line, a term of two words."""
+    first = bench_words(t).where("n = 0 and pos < 2").groupBy("jd_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("w"))
+    return first.select("jd_id", F.array_join(ar.field(F.col("w"), "term"), " ").alias("title"))
+
+
+def bench_keywords(t: Tables) -> DataFrame:
+    """Every word of a passage and its title as weighted terms; the first line carries requirements."""
+    words = bench_words(t).select("jd_id", F.when(F.col("n") == 0, 3.0).otherwise(1.0).cast("decimal(6,2)").alias("weight"), "term")
+    titles = bench_titles(t).select("jd_id", F.lit(3.0).cast("decimal(6,2)").alias("weight"), F.col("title").alias("term"))
+    return words.unionByName(titles).groupBy("jd_id", "term").agg(F.max("weight").alias("weight"))
+
+
+def bench_searches(t: Tables, keywords: DataFrame) -> DataFrame:
+    """(jd_id, searches) of every passage: its title and its six heaviest, then longest words, a group each."""
+    order = F.struct((-F.col("weight")).alias("w"), (-F.length("term")).alias("l"), F.col("term"))
+    words = keywords.where(~F.contains("term", F.lit(" ")))
+    top = words.groupBy("jd_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, V.MAX_SEARCH_TERMS).alias("top"))
+    items = t.benchmark.select(F.col("item_id").alias("jd_id")).join(top, "jd_id", "left").join(bench_titles(t), "jd_id", "left")
+    groups = F.transform(F.coalesce("top", F.array().cast(top.schema["top"].dataType)), lambda s: F.array(s["term"]))
+    return items.select("jd_id", mt.build_searches(F.coalesce("title", F.lit("")), groups).alias("searches"))
 
 
 def posting_models(t: Tables) -> DataFrame:
@@ -99,11 +127,11 @@ def oracle_lines(src: str, key: str, text: str) -> str:
     return ORACLE_LINES.format(src=src, key=key, text=text, ws=WS)
 
 
-BENCH_KW = """kw AS (SELECT jd_id, term, max(weight) AS weight FROM (
- SELECT jd_id, CASE WHEN n = 1 THEN 3.0 ELSE 1.0 END AS weight, unnest(regexp_extract_all(line, '[a-z]{6,}')) AS term FROM (
-  SELECT item_id AS jd_id, unnest(string_split(lower(text), chr(10))) AS line, generate_subscripts(string_split(lower(text), chr(10)), 1) AS n FROM benchmark))
- GROUP BY 1, 2)"""
-DOC_INDEX = """tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM documents),
- terms AS (SELECT DISTINCT term FROM kw),
- idx AS (SELECT doc_id, term FROM tok JOIN terms ON tok = term UNION
-         SELECT doc_id, term FROM tok JOIN terms ON tok = term || 's' AND NOT ends_with(term, 's'))"""
+BENCH_KW = r"""bw AS (SELECT jd_id, n, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (
+  SELECT jd_id, n, regexp_extract_all(line, '[\p{L}\p{N}]*[a-z0-9][\p{L}\p{N}]*') AS w FROM (
+   SELECT item_id AS jd_id, unnest(string_split(lower(text), chr(10))) AS line, generate_subscripts(string_split(lower(text), chr(10)), 1) AS n FROM benchmark))),
+ bti AS (SELECT jd_id, string_agg(term, ' ' ORDER BY pos) AS title FROM bw WHERE n = 1 AND pos <= 2 GROUP BY 1),
+ kw AS (SELECT jd_id, term, max(weight) AS weight FROM (SELECT jd_id, CASE WHEN n = 1 THEN 3.0 ELSE 1.0 END AS weight, term FROM bw UNION ALL SELECT jd_id, 3.0, title FROM bti) GROUP BY 1, 2)"""
+# every document against every term, by the boundary test itself
+DOC_INDEX = """hay AS (SELECT doc_id, ' ' || lower(text) || ' ' AS x FROM documents), terms AS (SELECT DISTINCT term FROM kw),
+ idx AS (SELECT doc_id, term FROM hay, terms WHERE contains(x, term) AND regexp_matches(x, '[^a-z0-9]' || term || CASE WHEN ends_with(term, 's') OR length(term) <= 2 THEN '' ELSE 's?' END || '[^a-z0-9]'))"""

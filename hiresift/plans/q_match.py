@@ -9,10 +9,12 @@ from hiresift.functions import terms as tm
 from hiresift.functions import text as tx
 from hiresift.operators import extract as ex
 from hiresift.operators import match as mt
+from hiresift.operators import ranking as rk
 from hiresift.plans import common as c
 from hiresift.plans import derived as D
 from hiresift.plans.q_extract import LISTS, OFFERS
 from hiresift.plans.q_text import BAND, TITLE_LINES, TITLE_SQL
+from hiresift.session import materialize
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,7 +29,14 @@ def query(name, oracle=None):
 
 
 def bench_index(t, keywords):
-    return tm.term_index(t.documents, ["doc_id"], tm.searchable(F.col("text")), keywords.select("term").distinct(), tm.PLAIN_WORDS)
+    """(doc_id, term) over every term of the passages; a word of letters beside a-z is found by its parts and symbols."""
+    return tm.term_index(t.documents, ["doc_id"], F.lower("text"), keywords.select("term").distinct())
+
+
+def bench_documents(t, keywords):
+    """(doc_id, terms) of every document, those that hold nothing too."""
+    held = bench_index(t, keywords).groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
+    return t.documents.select("doc_id").distinct().join(held, "doc_id", "left")
 
 
 @query("term_index", f"WITH {c.BENCH_KW}, {c.DOC_INDEX} SELECT doc_id, term FROM idx")
@@ -43,19 +52,27 @@ COVER = """tot AS (SELECT jd_id, sum(weight) AS tw, count(*) AS n_terms FROM kw
 
 @query("keyword_coverage", f"WITH {c.BENCH_KW}, {c.DOC_INDEX}, {COVER} SELECT * FROM cov")
 def keyword_coverage(t):
-    kw = c.bench_keywords(t)
-    return mt.keyword_coverage(kw, bench_index(t, kw))
+    kw = materialize(mt.merged_keywords(c.bench_keywords(t)), "keywords")
+    return rk.coverage_pairs(bench_documents(t, kw), kw, doc="doc_id")
 
 
-@query("batch_rank", f"""WITH {c.BENCH_KW}, {c.DOC_INDEX}, {COVER},
- fill AS (SELECT doc_id, jd_id, 0.0 AS score FROM documents, (SELECT item_id AS jd_id FROM benchmark ORDER BY 1 LIMIT 5)),
- a AS (SELECT doc_id, jd_id, max(score) AS score FROM (SELECT doc_id, jd_id, score FROM cov UNION ALL SELECT * FROM fill) GROUP BY 1, 2)
- SELECT doc_id, jd_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, jd_id) AS rank FROM a) WHERE rank <= 5""")
+BENCH_SEARCHES = """sg AS (SELECT jd_id, term, row_number() OVER (PARTITION BY jd_id ORDER BY weight DESC, length(term) DESC, term) AS g FROM kw WHERE NOT contains(term, ' ')),
+ ng AS (SELECT item_id AS jd_id, coalesce(title, '') AS title, (SELECT count(*) FROM sg WHERE sg.jd_id = item_id AND g <= 6) AS n FROM benchmark LEFT JOIN bti ON bti.jd_id = item_id),
+ bs AS (SELECT jd_id, title, unnest([true, true, false, false, true, false]) AS uses, unnest([0, 1, 2, 3, 3, n]) AS k, unnest([0, 1, 2, 3, 3, 4]) AS need, n FROM ng),
+ sr AS (SELECT * FROM bs WHERE n >= need AND (title <> '' OR NOT uses)),
+ first AS (SELECT doc_id, jd_id, coalesce(min(g) FILTER (idx.term IS NULL), 7) - 1 AS k FROM (SELECT doc_id, sg.* FROM documents, sg WHERE g <= 6) x LEFT JOIN idx USING (doc_id, term) GROUP BY 1, 2),
+ vis AS (SELECT d.doc_id, ng.jd_id, count(sr.k) AS n_searches, count(*) FILTER (sr.k <= coalesce(f.k, 0) AND (NOT uses OR h.term IS NOT NULL)) AS n_matched
+  FROM (SELECT DISTINCT doc_id FROM documents) d CROSS JOIN ng LEFT JOIN sr ON sr.jd_id = ng.jd_id LEFT JOIN first f ON f.doc_id = d.doc_id AND f.jd_id = ng.jd_id LEFT JOIN idx h ON h.doc_id = d.doc_id AND h.term = ng.title GROUP BY 1, 2)"""
+
+
+@query("batch_rank", f"""WITH {c.BENCH_KW}, {c.DOC_INDEX}, {BENCH_SEARCHES}, s AS (SELECT *, round_even(n_matched / nullif(n_searches, 0)::DOUBLE * 100, 1) AS score FROM vis)
+ SELECT doc_id, jd_id, n_searches, n_matched, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC NULLS LAST, jd_id) AS rank FROM s) WHERE rank <= 5""")
 def batch_rank(t):
-    """Flagship: every document against every posting, five best postings each."""
-    kw = c.bench_keywords(t)
-    scored = mt.keyword_coverage(kw, bench_index(t, kw))
-    return mt.top_postings(scored, t.benchmark.select(F.col("item_id").alias("jd_id")), doc="doc_id", docs=t.documents, k=5)
+    """Flagship: every document against every posting's searches, the five that find it best, unscored postings last."""
+    kw = materialize(c.bench_keywords(t), "keywords")
+    asked = materialize(c.bench_searches(t, kw), "searches")
+    wanted = mt.vocabulary_of_searches(asked)
+    return rk.best_postings(bench_documents(t, wanted), asked, doc="doc_id", k=5)
 
 
 ALTS = """alt AS (SELECT jd_id, term, term AS wanted, weight FROM kw UNION SELECT k.jd_id, k.term, a.term, k.weight FROM kw k JOIN kw a ON a.jd_id = k.jd_id AND a.term[1:4] = k.term[1:4])"""

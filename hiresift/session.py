@@ -1,8 +1,10 @@
 """Session defaults. Nothing here overrides what a cluster has already set."""
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     folder = f"{checkpoint_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context: tasks import it by name there."""
+    context = spark.sparkContext
+    if getattr(context, "_hiresift_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{root.name}", "zip", root.parent, root.name))
+    context._hiresift_shipped = True

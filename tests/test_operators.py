@@ -161,11 +161,3 @@ def test_correlation_needs_points_and_variance(spark):
     df = spark.createDataFrame(rows, "layer string, score double, outcome string")
     got = [r.layer for r in fn.summarize_correlation(df.groupBy("layer")).collect()]
     assert got == ["good"]
-
-
-def test_top_postings_fills_every_document(spark):
-    scored = spark.createDataFrame([(1, 7, 50.0), (1, 2, 80.0)], "doc_id bigint, jd_id bigint, score double")
-    postings = spark.createDataFrame([(i,) for i in range(1, 9)], "jd_id bigint")
-    docs = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
-    got = {(r.doc_id, r["rank"]): (r.jd_id, r.score) for r in mt.top_postings(scored, postings, doc="doc_id", docs=docs, k=3).collect()}
-    assert got == {(1, 1): (2, 80.0), (1, 2): (7, 50.0), (1, 3): (1, 0.0), (2, 1): (1, 0.0), (2, 2): (2, 0.0), (2, 3): (3, 0.0)}
