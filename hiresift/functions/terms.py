@@ -23,6 +23,46 @@ def alias_pattern(vocab: V.Vocabulary) -> str:
     return r"(?i)(?<![a-z0-9.])(?:" + "|".join(literal_pattern(v) for v in variants) + r")(?![a-z0-9]|\.[a-z0-9])"
 
 
+# ------------------------------------------------------------------ vocabularies, as literals or as a row's own
+
+@dataclass(frozen=True)
+class RowVocabulary:
+    """The terms of a large vocabulary that can matter to a row, as an array column beside it (see row_vocabulary)."""
+
+    terms: Column
+    aliases: dict
+
+    @property
+    def alias_variants(self) -> dict:
+        return dict(self.aliases)
+
+
+def in_taxonomy(c: Column, vocab: V.Vocabulary | RowVocabulary) -> Column:
+    return F.array_contains(vocab.terms, c) if isinstance(vocab, RowVocabulary) else tx.among(c, vocab.taxonomy)
+
+
+def is_known(c: Column, vocab: V.Vocabulary | RowVocabulary) -> Column:
+    """A term, or an alias of one."""
+    if isinstance(vocab, RowVocabulary):
+        return F.array_contains(vocab.terms, c) | F.array_contains(vocab.terms, tx.lookup(vocab.aliases, c, c))
+    return tx.among(c, vocab.known)
+
+
+def is_phrase(c: Column, vocab: V.Vocabulary | RowVocabulary) -> Column:
+    """A term of several words."""
+    if isinstance(vocab, RowVocabulary):
+        return F.contains(c, F.lit(" ")) & F.array_contains(vocab.terms, c)
+    return tx.among(c, vocab.multiword)
+
+
+def phrases_of(vocab: V.Vocabulary | RowVocabulary) -> Column:
+    """Terms of several words, longest first."""
+    if not isinstance(vocab, RowVocabulary):
+        return tx.constant_array(vocab.multiword)
+    long = F.filter(vocab.terms, lambda t: F.contains(t, F.lit(" ")))
+    return ar.field(F.array_sort(F.transform(long, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), "t")
+
+
 def canonical(term: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
     t = F.lower(tx.strip(term))
     return tx.lookup(vocab.aliases, t, t)
@@ -40,7 +80,7 @@ def searchable(text: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
 
 def plural_fold(token: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
     stem = F.left(token, F.length(token) - 1)
-    folds = (F.length(token) > 3) & token.endswith("s") & tx.among(stem, vocab.taxonomy)
+    folds = (F.length(token) > 3) & token.endswith("s") & in_taxonomy(stem, vocab)
     return F.when(folds, stem).otherwise(token)
 
 
@@ -155,3 +195,73 @@ def term_index(docs: DataFrame, key: list[str], haystack: Column, vocabulary: Da
         hit = rows.join(skeleton.select("span", "term"), "span")
     # one shuffle by document: the distinct here, and any per-document aggregate or window after it, reuse it
     return hit.select(*key, "term").repartition(*key).distinct()
+
+
+# ------------------------------------------------------------------ phrase index
+
+REST = 3  # characters after a phrase's first word that its key holds
+
+
+def _key(kind: str, c: Column) -> Column:
+    return F.xxhash64(F.lit(kind), c)
+
+
+def vocabulary_keys(vocabulary: DataFrame, term: str = "term") -> DataFrame:
+    """(probe, term): a term's own key, and of a phrase its first word with the characters behind it."""
+    space = F.instr(F.col(term), " ")
+    phrase = _key("p", F.left(F.col(term), space + REST))
+    return vocabulary.select(F.col(term).alias("term")).distinct().select(
+        F.explode(F.when(F.instr("term", " ") > 0, F.array(_key("e", F.col("term")), phrase)).otherwise(F.array(_key("e", F.col("term"))))).alias("probe"), "term")
+
+
+def phrase_probes(hay: Column) -> Column:
+    """Keys of every phrase that a text could contain: a phrase may begin inside a word and end inside one, so each
+    end of a word before a blank is tried with the next characters."""
+    def pairs(words: Column) -> Column:
+        def at(word: Column, i: Column) -> Column:
+            rest = F.left(F.array_join(F.slice(words, i + 2, REST + 1), " "), F.lit(REST))
+            ends = F.when((F.length(word) > 0) & (i + 1 < F.size(words)), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word))), lambda n: F.right(word, n)))
+            return ar.let(rest, lambda r: F.flatten(F.transform(ends, lambda e: F.array(*[_key("p", F.concat(e, F.lit(" "), F.left(r, F.lit(n)))) for n in range(1, REST + 1)]))))
+        return F.flatten(F.array_compact(F.transform(words, at)))
+
+    return F.array_distinct(ar.let(F.split(hay, " ", -1), pairs))
+
+
+def phrase_index(docs: DataFrame, key: list[str], haystack: Column, vocabulary: DataFrame) -> DataFrame:
+    """(key..., term) for every phrase of the vocabulary that stands anywhere in a text, within words too.
+
+    The vocabulary is a table of any size: texts and phrases meet as hashed keys, and what meets is held against the
+    text by id.  Terms of one word have no blank to meet at and are not found here.  Null texts hold nothing.
+    """
+    hay = docs.select(*key, F.coalesce(haystack, F.lit("")).alias("_hay"))
+    probes = ar.unnest(hay, key, phrase_probes(F.col("_hay")), "probe")
+    may = probes.join(vocabulary_keys(vocabulary), "probe").where(F.contains("term", F.lit(" "))).groupBy(*key).agg(F.collect_set("term").alias("_may"))
+    return ar.unnest(hay.join(may, key), key, F.filter("_may", lambda t: F.contains(F.col("_hay"), t)), "term").distinct()
+
+
+def row_vocabulary(docs: DataFrame, key: str, pieces: Column, vocabulary: DataFrame, aliases: dict) -> DataFrame:
+    """(key, terms): the terms of a vocabulary table that can matter to each row, a superset of those it shows.
+
+    `pieces` is the array of texts (clauses, lines) that will be read.  A row's terms are bounded by its own text, so
+    with them the literal operators give what they would give with the whole vocabulary.
+    """
+    small = RowVocabulary(F.array().cast("array<string>"), aliases)
+
+    def probes(piece: Column) -> Column:
+        def tokens(toks: Column) -> Column:
+            def one(tok: Column, i: Column) -> Column:
+                low = F.lower(tx.rstrip(tok, tx.TOKEN_TAIL))
+                pair = F.concat(F.lower(F.get(toks, i - 1)), F.lit(" "))
+                def of(x: Column) -> Column:
+                    stem = F.left(x, F.length(x) - 1)
+                    names = [x, stem, tx.lookup(aliases, x, x), tx.lookup(aliases, stem, stem)]
+                    return F.array(*[_key("e", n) for n in names], *[_key("e", F.concat(pair, n)) for n in (x, stem)])
+                return ar.let(low, of)
+            return F.flatten(F.transform(toks, one))
+        raw = ar.let(F.concat(tx.find_all(piece, tx.TOKEN), F.array(F.lit(""))), tokens)
+        normal = ar.let(searchable(piece, small), lambda hay: F.concat(phrase_probes(hay), ar.let(F.concat(tx.find_all(hay, tx.TOKEN), F.array(F.lit(""))), tokens)))
+        return F.concat(raw, normal)
+
+    rows = ar.unnest(docs, [key], F.array_distinct(F.flatten(F.transform(pieces, probes))), "probe")
+    held = rows.join(vocabulary_keys(vocabulary), "probe").groupBy(key).agg(F.collect_set("term").alias("terms"))
+    return docs.select(key).distinct().join(held, key, "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))

@@ -72,8 +72,7 @@ def effective_section(clause: Column, section: Column) -> Column:
 
 def phrase_terms(clause: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
     """Multi-word taxonomy terms that occur anywhere in the alias-normalised clause."""
-    phrases = tx.constant_array(vocab.multiword)
-    return ar.let(tm.searchable(clause, vocab), lambda hay: F.filter(phrases, lambda t: F.contains(hay, t)))
+    return ar.let(tm.searchable(clause, vocab), lambda hay: F.filter(tm.phrases_of(vocab), lambda t: F.contains(hay, t)))
 
 
 def token_terms(clause: Column, shouting: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
@@ -88,11 +87,11 @@ def token_terms(clause: Column, shouting: Column, vocab: V.Vocabulary = V.DEFAUL
                     F.when(blocked, F.lit(None).cast("string"))
                     .when(tx.matches(clean, ACRONYM) & ~shouting, "acronym")
                     .when(tx.matches(clean, EXAM_CODE), "exam_code")
-                    .when(tx.among(low, vocab.known), "taxonomy")
+                    .when(tm.is_known(low, vocab), "taxonomy")
                 )
                 return F.struct(
                     clean.alias("token"), tx.lookup(vocab.aliases, low, low).alias("term"), kind.alias("kind"),
-                    F.coalesce((i > 0) & tx.among(pair, vocab.multiword), F.lit(False)).alias("in_phrase"))
+                    F.coalesce((i > 0) & tm.is_phrase(pair, vocab), F.lit(False)).alias("in_phrase"))
             return ar.let(tm.plural_fold(F.lower(clean), vocab), shape)
         return F.filter(F.transform(toks, one), lambda s: s["kind"].isNotNull() & (s["token"] != ""))
     return ar.let(tx.find_all(clause, tx.TOKEN), classify)
@@ -249,16 +248,30 @@ def keywords_of(text: Column, *, top_n: int = 40, alternatives: bool = True,
         weigh(offers(lines, vocab)), lambda every: ranked(lines, every)))
 
 
-def keyword_arrays(postings: DataFrame, *, text: str = "jd_text", **options) -> DataFrame:
-    """The posting rows plus `keywords`."""
-    options.pop("key", None)
-    return postings.withColumn("keywords", keywords_of(F.col(text), **options))
+def with_vocabulary(postings: DataFrame, vocab: V.Vocabulary, vocabulary: DataFrame | None = None, *, key: str = "jd_id",
+                    text: str = "jd_text") -> tuple[DataFrame, V.Vocabulary | tm.RowVocabulary]:
+    """The rows and the vocabulary to read them with: literals while they are few, else each row's own terms of the table."""
+    if vocabulary is None:
+        if len(vocab.taxonomy) <= V.MAX_LITERAL_TERMS:
+            return postings, vocab
+        vocabulary = postings.sparkSession.createDataFrame([(t,) for t in vocab.taxonomy], "term string")
+    pieces = F.flatten(F.transform(tx.kept_lines(F.col(text)), lambda s: F.concat(F.array(s["line"]), tx.clauses(s["line"]))))
+    own = tm.row_vocabulary(postings, key, pieces, vocabulary, vocab.aliases).withColumnRenamed("terms", "_terms")
+    return postings.join(own, key, "left"), tm.RowVocabulary(F.col("_terms"), vocab.aliases)
 
 
-def jd_keywords(postings: DataFrame, **options) -> DataFrame:
+def keyword_arrays(postings: DataFrame, *, key: str = "jd_id", text: str = "jd_text", vocab: V.Vocabulary = V.DEFAULT,
+                   vocabulary: DataFrame | None = None, **options) -> DataFrame:
+    """The posting rows plus `keywords`.  `vocabulary` (term) is a taxonomy of any size; `vocab` then gives the aliases."""
+    rows, vocab = with_vocabulary(postings, vocab, vocabulary, key=key, text=text)
+    return rows.withColumn("keywords", keywords_of(F.col(text), vocab=vocab, **options)).drop("_terms")
+
+
+def jd_keywords(postings: DataFrame, *, key: str = "jd_id", text: str = "jd_text", vocab: V.Vocabulary = V.DEFAULT,
+                vocabulary: DataFrame | None = None, **options) -> DataFrame:
     """Long form: one row per (posting, term)."""
-    key, text = options.pop("key", "jd_id"), options.pop("text", "jd_text")
-    return ar.unpack(postings, [key], keywords_of(F.col(text), **options), "term")
+    rows, vocab = with_vocabulary(postings, vocab, vocabulary, key=key, text=text)
+    return ar.unpack(rows, [key], keywords_of(F.col(text), vocab=vocab, **options), "term")
 
 
 def skill_tokens(text: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
@@ -266,14 +279,14 @@ def skill_tokens(text: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
     word = r"[A-Za-z][A-Za-z0-9+.#/-]{1,}"
 
     def known(hay: Column) -> Column:
-        phrases = F.filter(tx.constant_array(vocab.multiword), lambda t: F.contains(hay, t))
+        phrases = F.filter(tm.phrases_of(vocab), lambda t: F.contains(hay, t))
         folded = F.transform(tx.find_all(hay, "[a-z][a-z0-9+.#/-]{1,}"), lambda t: tm.plural_fold(t, vocab))
-        return F.concat(phrases, F.filter(folded, lambda t: tx.among(t, vocab.taxonomy)))
+        return F.concat(phrases, F.filter(folded, lambda t: tm.in_taxonomy(t, vocab)))
 
     def shouted(ws: Column) -> Column:
         def one(w: Column, i: Column) -> Column:
             pair = F.concat(F.lower(F.get(ws, i - 1)), F.lit(" "), F.lower(w))
-            inside = F.coalesce((i > 0) & tx.among(pair, vocab.multiword), F.lit(False))
+            inside = F.coalesce((i > 0) & tm.is_phrase(pair, vocab), F.lit(False))
             return (F.when(tx.matches(w, ACRONYM) & ~inside, tm.canonical(w, vocab))
                     .when(tx.matches(w, EXAM_CODE), F.lower(w)))
         return F.array_compact(F.transform(ws, one))

@@ -57,6 +57,17 @@ def multiword_terms(t):
     return ar.unpack(c.postings(t), ["jd_id"], rows, "phrase")
 
 
+TWO_WORDS = r"""tp AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)))"""
+
+
+@query("phrase_index", f"WITH {TWO_WORDS} SELECT DISTINCT doc_id, term FROM documents, tp WHERE contains(lower(text), term)")
+def phrase_index(t):
+    """Which pairs of neighbouring benchmark words stand in which documents, by the index for large vocabularies."""
+    words = t.benchmark.select(tx.find_all(F.lower("text"), r"[\p{L}\p{N}]+").alias("w"))
+    pairs = ar.unnest(words, [], F.transform(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1))), "term").distinct()
+    return tm.phrase_index(t.documents, ["doc_id"], F.lower("text"), pairs)
+
+
 def token_rows(t):
     rows = F.flatten(F.transform(tx.kept_lines(F.col("jd_text")), lambda s: ar.let(tx.is_shouting(s["line"]), lambda sh: F.flatten(F.transform(
         tx.clauses(s["line"]), lambda x, i: F.transform(ex.token_terms(x, sh), lambda k: F.struct(
