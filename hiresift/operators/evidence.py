@@ -1,12 +1,13 @@
 """Evidence selection under a line budget.
 
 A bank and a posting meet as one row per pair: an array of bullets (role, cost, covered terms) and an array of
-weighted terms.  Greedy selection is a fold over that row, so all pairs advance in parallel with no iterative
+weighted terms.  Greedy selection is arithmetic on that row, so all pairs advance in parallel with no iterative
 jobs, no growing lineage and nothing to checkpoint.  Both arrays are inputs of one person and one posting; no
 group is collected to build them beyond what the nested bank row already holds.
 """
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from hiresift.functions import arrays as ar
 from hiresift.functions import dates as dt
 from hiresift.functions import terms as tm
 from hiresift.functions import text as tx
+from hiresift.session import ship
 
 MAX_LINES, MAX_CURRENT, MAX_OTHER = 26, 5, 3
 MIN_CURRENT, MIN_OTHER = 4, 2
@@ -81,78 +83,103 @@ def marginal_gain(covers: DataFrame, bullets: DataFrame, counts: DataFrame | Non
         *ids, "cost", F.col("value").cast("double").alias("value"), F.bround(F.col("value").cast("double") / F.col("cost"), 4).alias("gain_per_line"))
 
 
-# ------------------------------------------------------------------ greedy selection, one fold per pair
+# ------------------------------------------------------------------ greedy selection, one row per pair
 
-def _held(counts: Column, term: Column) -> Column:
-    return F.coalesce(F.try_element_at(counts, term), F.lit(0))
+SELECTION = "struct<minimums:array<int>,picked:array<int>,lines:int,counts:map<string,int>>"
+MOVES = "array<struct<move:string,out_id:int,in_id:int,role_rank:int,gain:double>>"
+TENTHS = tuple(round(s * 10) for s in V.SATURATION)  # weights are hundredths: values are whole numbers
 
 
-def _value(b: Column, state: Column, weights: Column) -> Column:
-    """Saturated value in hundredths of a weight unit times ten, so sums are exact integers."""
-    scale = F.array(*[F.lit(int(round(s * 10))) for s in V.SATURATION])
-    gain = lambda t: F.coalesce(F.try_element_at(weights, t), F.lit(0)) * F.coalesce(F.get(scale, _held(state["counts"], t)), F.lit(0))
-    return F.aggregate(b["covers"], F.lit(0), lambda acc, t: acc + gain(t))
+def choose(roles: list[int], current: list[bool], cost: list[int], tags: list[int], chars: list[int], covers: list[list[str]],
+           weights: dict[str, int], max_lines: int, max_current: int, max_other: int) -> tuple[list[int], list[int], int, dict[str, int]]:
+    """(first picks of the roles, all picks, lines, how often each term is covered) for one pair.
 
-
-def _take(state: Column, best: Column, weights: Column) -> Column:
-    """Next state after picking `best`; unchanged when there is none."""
-    added = F.map_from_entries(F.transform(
-        F.filter(best["covers"], lambda t: F.map_contains_key(weights, t)), lambda t: F.struct(t, _held(state["counts"], t) + 1)))
-    counts = F.map_concat(F.map_filter(state["counts"], lambda k, v: ~F.array_contains(best["covers"], k)), added)
-    return F.when(best.isNull(), state).otherwise(F.struct(
-        F.concat(state["picked"], F.array(best["bullet_id"])).alias("picked"), (state["lines"] + best["cost"]).alias("lines"), counts.alias("counts")))
-
-
-def _open(bullets: Column, state: Column) -> Column:
-    return F.filter(bullets, lambda b: ~F.array_contains(state["picked"], b["bullet_id"]))
-
-
-def _start() -> Column:
-    return F.struct(F.array().cast("array<int>").alias("picked"), F.lit(0).alias("lines"), F.create_map().cast("map<string,int>").alias("counts"))
-
-
-def _best_in_role(candidates: Column, state: Column, weights: Column) -> Column:
-    """Largest value, then most tags, then shortest text, then first in the bank."""
-    ranked = F.transform(candidates, lambda b: F.struct(
-        _value(b, state, weights).alias("value"), b["n_tags"].alias("n_tags"), (-b["n_chars"]).alias("short"), (-b["bullet_id"]).alias("first"), b.alias("b")))
-    return F.array_max(F.transform(ranked, lambda r: F.struct(r["value"], r["n_tags"], r["short"], r["first"], r["b"].alias("b"))))["b"]
-
-
-def role_minimums(bullets: Column, weights: Column, max_lines: int = MAX_LINES) -> Column:
-    """First picks of every role in role order; a role's first bullet is kept even over budget."""
-    roles = F.array_sort(F.array_distinct(ar.field(bullets, "role_rank")))
-    slots = F.flatten(F.transform(roles, lambda r: F.transform(
-        F.sequence(F.lit(1), F.when(F.exists(bullets, lambda b: (b["role_rank"] == r) & b["is_current"]), MIN_CURRENT).otherwise(MIN_OTHER)),
-        lambda i: F.struct(r.alias("role"), i.alias("slot")))))
-
-    def step(state: Column, slot: Column) -> Column:
-        def choose(mine: Column) -> Column:
-            fits = F.filter(mine, lambda b: state["lines"] + b["cost"] <= max_lines)
-            pool = F.when((F.size(fits) == 0) & (slot["slot"] == 1), mine).otherwise(fits)
-            return ar.let(ar.let(pool, lambda p: _best_in_role(p, state, weights)), lambda best: _take(state, best, weights))
-        return ar.let(F.filter(_open(bullets, state), lambda b: b["role_rank"] == slot["role"]), choose)
-
-    return F.aggregate(slots, _start(), step)
-
-
-def fill_budget(bullets: Column, weights: Column, start: Column, max_lines: int = MAX_LINES,
-                max_current: int = MAX_CURRENT, max_other: int = MAX_OTHER) -> Column:
-    """Then the best gain per line anywhere, within role caps and the budget, until nothing gains."""
-    def step(run: Column, _: Column) -> Column:
-        return F.when(run["done"], run).otherwise(ar.let(pick(run["s"]), lambda s: F.struct(
-            s.alias("s"), (F.size(s["picked"]) == F.size(run["s"]["picked"])).alias("done"))))
-
-    def pick(state: Column) -> Column:
-        taken = lambda role: F.size(F.filter(bullets, lambda x: (x["role_rank"] == role) & F.array_contains(state["picked"], x["bullet_id"])))
-        free = F.filter(_open(bullets, state), lambda b: (state["lines"] + b["cost"] <= max_lines)
-                        & (taken(b["role_rank"]) < F.when(b["is_current"], max_current).otherwise(max_other)))
-        ranked = F.transform(free, lambda b: ar.let(_value(b, state, weights), lambda v: F.struct(
-            (v / b["cost"]).alias("ratio"), v.alias("value"), (-b["bullet_id"]).alias("first"), b.alias("b"))))
-        best = F.array_max(F.filter(ranked, lambda r: r["value"] > 0))["b"]
-        return ar.let(best, lambda x: _take(state, x, weights))
-
-    # once a round picks nothing, the remaining rounds pass the state through
-    return F.aggregate(bullets, F.struct(start.alias("s"), F.lit(False).alias("done")), step, lambda run: run["s"])
+    Bullets stand in role order.  Each role's minimum comes first: its largest value, then most tags, then shortest
+    text, then first in the bank; a role's first bullet is kept even over budget.  Then the best value per line
+    anywhere, within role caps and the budget, until nothing gains.  A pick changes the value of bullets that share
+    one of its terms and of no others, so only those are valued again.
+    """
+    holders: dict[str, list[int]] = {}
+    value = [0] * len(roles)
+    for b, terms in enumerate(covers):
+        for t in terms:
+            if t in weights:
+                holders.setdefault(t, []).append(b)
+                value[b] += weights[t] * TENTHS[0]
+    counts: dict[str, int] = {}
+    free, taken, picked, lines = set(range(len(roles))), dict.fromkeys(roles, 0), [], 0
+
+    def worth(n: int) -> int:
+        return TENTHS[n] if n < len(TENTHS) else 0
+
+    def take(b: int) -> None:
+        nonlocal lines
+        free.discard(b)
+        taken[roles[b]] += 1
+        picked.append(b)
+        lines += cost[b]
+        for t in covers[b]:
+            if t in weights:
+                n = counts.get(t, 0)
+                counts[t] = n + 1
+                if worth(n):
+                    for other in holders[t]:
+                        value[other] += weights[t] * (worth(n + 1) - worth(n))
+
+    for role in sorted(set(roles)):
+        mine = [b for b in range(len(roles)) if roles[b] == role]
+        for slot in range(MIN_CURRENT if any(current[b] for b in mine) else MIN_OTHER):
+            fits = [b for b in mine if b in free and lines + cost[b] <= max_lines]
+            pool = fits or ([b for b in mine if b in free] if slot == 0 else [])
+            if not pool:
+                break
+            take(max(pool, key=lambda b: (value[b], tags[b], -chars[b], -b)))
+    first = list(picked)
+    while True:
+        able = [b for b in free if value[b] > 0 and lines + cost[b] <= max_lines and taken[roles[b]] < (max_current if current[b] else max_other)]
+        if not able:
+            return first, picked, lines, counts
+        take(max(able, key=lambda b: (value[b] / cost[b], value[b], -b)))
+
+
+def moves_of(roles: list[int], current: list[bool], cost: list[int], covers: list[list[str]], weights: dict[str, int], picked: list[int],
+             lines: int, max_lines: int, max_current: int, max_other: int) -> list[tuple]:
+    """(move, bullet out or -1, bullet in, role, gain) of every same-role swap and allowed addition.
+
+    With the number of picks that cover each term, what a bullet adds is the weight of its uncovered terms and what
+    one takes away that of terms only it covers, less what the two share: a move costs one pass over its terms.
+    """
+    own = [[t for t in terms if t in weights] for terms in covers]
+    counts: dict[str, int] = {}
+    for b in picked:
+        for t in own[b]:
+            counts[t] = counts.get(t, 0) + 1
+    only = {b: {t for t in own[b] if counts[t] == 1} for b in picked}
+    loss = {b: sum(weights[t] for t in only[b]) for b in picked}
+    by_role: dict[int, list[int]] = {}
+    for b in sorted(picked):
+        by_role.setdefault(roles[b], []).append(b)
+    out = []
+    for b in sorted(set(range(len(roles))) - set(picked)):
+        same = by_role.get(roles[b], [])
+        gain = sum(weights[t] for t in own[b] if t not in counts)
+        for c in same:
+            if lines - cost[c] + cost[b] <= max_lines:
+                kept = sum(weights[t] for t in own[b] if t in only[c])
+                out.append(("swap", c, b, roles[b], (gain + kept - loss[c]) / 100.0))
+        if same and len(same) < (max_current if current[b] else max_other) and lines + cost[b] <= max_lines:
+            out.append(("add", -1, b, roles[b], gain / 100.0))
+    return out
+
+
+def _weights(terms: list[str] | None, weights: list[int] | None) -> dict[str, int]:
+    """The first weight of each term."""
+    return dict(zip(reversed(terms or []), reversed(weights or []), strict=True))
+
+
+def _coded(keywords: Column, bullets: Column, fields: tuple[str, ...]) -> list[Column]:
+    """The arrays that a pair's arithmetic reads, in order: bullet fields, terms, weights in hundredths."""
+    return [*(ar.field(bullets, f) for f in fields), ar.field(keywords, "term"), F.transform(keywords, lambda k: (k["weight"] * 100).cast("int"))]
 
 
 def weight_map(keywords: Column) -> Column:
@@ -162,17 +189,25 @@ def weight_map(keywords: Column) -> Column:
 
 def select_evidence(pairs: DataFrame, banks: DataFrame, model: DataFrame, *, max_lines: int = MAX_LINES,
                     max_current: int = MAX_CURRENT, max_other: int = MAX_OTHER, key: str = "candidate_id") -> DataFrame:
-    """(key, jd_id, bullets, keywords, minimums, picked, lines, counts) for every pair."""
+    """(key, jd_id, bullets, keywords, minimums, picked, lines, counts) for every pair.
+
+    Pairs meet both sides by id; a pair's arrays go through `choose` in Arrow batches, whatever their number.
+    """
+    ship(pairs.sparkSession)
+
+    @F.arrow_udf(SELECTION)
+    def chosen(roles: pa.Array, current: pa.Array, cost: pa.Array, tags: pa.Array, chars: pa.Array, covers: pa.Array, terms: pa.Array, weights: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (roles, current, cost, tags, chars, covers, terms, weights)), strict=True)
+        found = [choose(r, cu, co, ta, ch, cv, _weights(t, w), max_lines, max_current, max_other) for r, cu, co, ta, ch, cv, t, w in rows]
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        ints, number = pa.list_(pa.int32()), pa.map_(pa.string(), pa.int32())
+        parts = [pa.array(columns[0], ints), pa.array(columns[1], ints), pa.array(columns[2], pa.int32()), pa.array([list(c.items()) for c in columns[3]], number)]
+        return pa.StructArray.from_arrays(parts, names=["minimums", "picked", "lines", "counts"])
+
     rows = pairs.select(key, "jd_id").join(banks, key).join(model.select("jd_id", "keywords"), "jd_id")
-    def fold(w: Column) -> Column:
-        # only this posting's terms can gain or be counted
-        fields = ("bullet_id", "role_rank", "role_no", "bullet_no", "is_current", "cost", "n_tags", "n_chars")
-        wanted = F.transform("bullets", lambda b: F.struct(
-            *[b[f].alias(f) for f in fields], F.filter(b["covers"], lambda t: F.map_contains_key(w, t)).alias("covers")))
-        return ar.let(wanted, lambda bs: ar.let(role_minimums(bs, w, max_lines), lambda first: F.struct(
-            first["picked"].alias("minimums"), fill_budget(bs, w, first, max_lines, max_current, max_other).alias("s"))))
-    done = rows.withColumn("_s", ar.let(weight_map(F.col("keywords")), fold))
-    return done.select(key, "jd_id", "bullets", "keywords", "_s.minimums", "_s.s.picked", "_s.s.lines", "_s.s.counts")
+    fields = ("role_rank", "is_current", "cost", "n_tags", "n_chars", "covers")
+    done = rows.withColumn("_s", chosen(*_coded(F.col("keywords"), F.col("bullets"), fields)))
+    return done.select(key, "jd_id", "bullets", "keywords", "_s.minimums", "_s.picked", "_s.lines", "_s.counts")
 
 
 def selection_rows(selected: DataFrame, key: str = "candidate_id") -> DataFrame:
@@ -198,30 +233,19 @@ def selection_summary(selected: DataFrame, skills: DataFrame, key: str = "candid
 def swap_add_moves(selected: DataFrame, *, max_lines: int = MAX_LINES, max_current: int = MAX_CURRENT,
                    max_other: int = MAX_OTHER, key: str = "candidate_id") -> DataFrame:
     """Every same-role swap or allowed addition, with its change in plain weighted coverage."""
-    def moves(w: Column, bullets: Column, picked: Column) -> Column:
-        is_in = lambda b: F.array_contains(picked, b["bullet_id"])
-        chosen, spare = F.filter(bullets, is_in), F.filter(bullets, lambda b: ~is_in(b))
-        cover = lambda bs: F.array_distinct(F.flatten(ar.field(bs, "covers")))
-        worth = lambda terms: F.aggregate(terms, F.lit(0), lambda acc, t: acc + F.coalesce(F.try_element_at(w, t), F.lit(0)))
-        base = worth(cover(chosen))
-        row = lambda kind, out, b, after: F.struct(
-            F.lit(kind).alias("move"), out.alias("out_id"), b["bullet_id"].alias("in_id"), b["role_rank"].alias("role_rank"),
-            ((after - base) / 100.0).alias("gain"))
-
-        def per_spare(b: Column) -> Column:
-            same = F.filter(chosen, lambda c: c["role_rank"] == b["role_rank"])
-            swaps = F.transform(
-                F.filter(same, lambda c: F.col("lines") - c["cost"] + b["cost"] <= max_lines),
-                lambda c: row("swap", c["bullet_id"], b, worth(F.array_union(
-                    cover(F.filter(chosen, lambda x: x["bullet_id"] != c["bullet_id"])), b["covers"]))))
-            room = (F.size(same) > 0) & (F.size(same) < F.when(b["is_current"], max_current).otherwise(max_other)) & (F.col("lines") + b["cost"] <= max_lines)
-            add = F.when(room, F.array(row("add", F.lit(-1), b, worth(F.array_union(cover(chosen), b["covers"])))))
-            return F.concat(swaps, F.coalesce(add, F.filter(swaps, lambda _: F.lit(False))))
-
-        return F.flatten(F.transform(spare, per_spare))
-
-    found = ar.let(weight_map(F.col("keywords")), lambda w: moves(w, F.col("bullets"), F.col("picked")))
-    return ar.unpack(selected, [key, "jd_id"], found, "move")
+    ship(selected.sparkSession)
+
+    @F.arrow_udf(MOVES)
+    def moves(roles: pa.Array, current: pa.Array, cost: pa.Array, covers: pa.Array, terms: pa.Array, weights: pa.Array, picked: pa.Array, lines: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (roles, current, cost, covers, terms, weights, picked, lines)), strict=True)
+        found = [moves_of(r, cu, co, cv, _weights(t, w), p, n, max_lines, max_current, max_other) for r, cu, co, cv, t, w, p, n in rows]
+        names = ("move", "out_id", "in_id", "role_rank", "gain")
+        kind = pa.struct(list(zip(names, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)))
+        return pa.array([[dict(zip(names, m, strict=True)) for m in row] for row in found], pa.list_(kind))
+
+    fields = ("role_rank", "is_current", "cost", "covers")
+    found = selected.withColumn("_m", moves(*_coded(F.col("keywords"), F.col("bullets"), fields), F.col("picked"), F.col("lines")))
+    return ar.unpack(found, [key, "jd_id"], F.col("_m"), "move")
 
 
 def best_move(moves: DataFrame, key: str = "candidate_id") -> DataFrame:
@@ -263,17 +287,24 @@ def month_text(month: Column) -> Column:
     return F.coalesce(F.concat(name, F.lit(" "), dt.year_of(month).cast("string")), F.lit("?"))
 
 
+CONTACT_LINE = ("email", "phone", "location", "linkedin", "github", "website")
+CLAIMS = 5
+
+
 def assemble_documents(selected: DataFrame, banks: DataFrame, skills: DataFrame, key: str = "candidate_id") -> DataFrame:
     """(key, jd_id, document): the rendered plain-text document of each pair.
 
-    `banks` is the nested bank, `skills` the output of `ordered_skills`.
+    `banks` is the nested bank, `skills` the output of `ordered_skills`.  Bullet numbers are those of the whole
+    bank, confirmed or not.  The contact line has those of CONTACT_LINE that the bank holds; without a headline the first role's title heads the summary; without covered
+    terms the chosen bullets' own tags are claimed, in the order shown.
     """
     from hiresift.sources.bank import clean_roles
 
     shown = skills.groupBy(key, "jd_id").agg(F.sort_array(F.collect_list(F.struct("skill_no", "shown"))).alias("_s")).select(
         key, "jd_id", F.array_join(F.transform("_s", lambda s: s["shown"]), ", ").alias("skills_line"))
-    texts = banks.select(key, "contact", "headline", "education", "certifications", F.filter(
-        clean_roles(F.col("roles")), lambda r: F.lit(True)).alias("roles"))
+    first_title = tx.strip(F.coalesce(F.get(F.col("roles"), 0)["title"], F.lit("")))
+    head = F.when(tx.strip(F.coalesce("headline", F.lit(""))) != "", tx.strip(F.col("headline"))).otherwise(first_title)
+    texts = banks.select(key, "contact", head.alias("headline"), "education", "certifications", clean_roles(F.col("roles")).alias("roles"))
     rows = selected.join(texts, key).join(shown, [key, "jd_id"], "left")
 
     def role_block(roles: Column, bullets: Column, picked: Column) -> Column:
@@ -286,14 +317,23 @@ def assemble_documents(selected: DataFrame, banks: DataFrame, skills: DataFrame,
             return F.when(F.size(mine) > 0, F.concat(F.array(head), body, F.array(F.lit(""))))
         return F.flatten(F.array_compact(F.transform(roles, one)))
 
-    claims = ar.let(weight_map(F.col("keywords")), lambda w: F.transform(F.slice(F.array_sort(F.transform(
-        F.map_keys("counts"), lambda t: F.struct((-F.coalesce(F.try_element_at(w, t), F.lit(0))).alias("w"), t.alias("t")))), 1, 5),
-        lambda s: tx.display_case(s["t"])))
+    covered = ar.let(weight_map(F.col("keywords")), lambda w: ar.field(F.array_sort(F.transform(
+        F.map_keys("counts"), lambda t: F.struct((-F.coalesce(F.try_element_at(w, t), F.lit(0))).alias("w"), t.alias("t")))), "t"))
+
+    def own_tags(roles: Column, bullets: Column, picked: Column) -> Column:
+        in_order = F.array_sort(F.transform(F.transform(picked, lambda p: F.get(bullets, p)), lambda b, i: F.struct(b["role_rank"].alias("r"), i.alias("i"), b["bullet_no"].alias("n"))))
+        tags = F.flatten(F.transform(in_order, lambda s: F.get(F.get(roles, s["r"] - 1)["bullets"], s["n"] - 1)["skills"]))
+        return F.array_distinct(F.transform(tags, lambda x: tm.canonical(x)))
+
+    shown_tags = ar.let(F.col("bullets"), lambda bs: ar.let(F.col("picked"), lambda ps: own_tags(F.col("roles"), bs, ps)))
+    backed = F.when(F.size(F.map_keys("counts")) > 0, covered).otherwise(shown_tags)
+    claims = F.transform(F.slice(backed, 1, CLAIMS), lambda t: tx.display_case(t))
     summary = ar.let(claims, lambda cs: F.when(F.size(cs) > 0, F.concat(
         F.col("headline"), F.lit(" with hands-on experience in "), join_and(cs), F.lit("."))).otherwise(
         F.concat(F.col("headline"), F.lit(" with professional experience delivering reporting and analysis."))))
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
-    contact = F.array_join(F.filter(F.array("contact.email", "contact.phone"), lambda c: ~blank(c)), " | ")
+    held = [f for f in CONTACT_LINE if f in banks.schema["contact"].dataType.names]
+    contact = F.array_join(F.filter(F.array(*[F.col(f"contact.{f}") for f in held]), lambda c: ~blank(c)), " | ")
     schools = F.transform("education", lambda e: F.concat(
         F.array_join(F.filter(F.array(e["degree"], e["institution"]), lambda x: ~blank(x)), " - "),
         F.when(blank(e["year"]), "").otherwise(F.concat(F.lit(" ("), e["year"], F.lit(")")))))
@@ -312,6 +352,13 @@ def assemble_documents(selected: DataFrame, banks: DataFrame, skills: DataFrame,
 GAP_ORDER = {"nothing-in-bank": 0, "unconfirmed": 1, "not-shown": 2}
 
 
+def declared_terms(banks: DataFrame, vocabulary: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """(key, term): vocabulary terms that a bank's extras and certifications name, without a bullet."""
+    listed = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("skills_extra", "certifications")])
+    rows = banks.select(key, F.posexplode(listed).alias("bullet_no", "text")).select(key, F.lit(0).alias("role_no"), "bullet_no", "text", F.array("text").alias("skills"))
+    return bullet_terms(rows, vocabulary, key).select(key, "term").distinct()
+
+
 def truth_gaps(missing: DataFrame, confirmed: DataFrame, unconfirmed: DataFrame, key: str = "candidate_id") -> DataFrame:
     """Why each missing term is missing.  `missing` is (key, jd_id, term, weight, section); the others (key, term)."""
     c = confirmed.select(key, "term").distinct().withColumn("_c", F.lit(True))

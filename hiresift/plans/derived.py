@@ -212,7 +212,9 @@ BANK = {
     "reviewed": pick(f"{C} + r + b", ("true", "", "no", "yes", "1")),
 }
 BANK_CONTACT = {"email": pick(C, ("x@example.com", "y@example.com", "")), "phone": pick(C, ("+1 555 010 9999", "")),
-                "headline": pick(f"{C} + 1", ("BI Analyst", "", "Data Engineer"))}
+                "headline": pick(f"{C} + 1", ("BI Analyst", "", "Data Engineer")), "location": pick(f"{C} + 1", CITIES),
+                "linkedin": pick(C, ("", ("sql", f"'linkedin.com/in/p' || CAST({C} AS STRING)"))), "website": pick(f"{C} + 1", ("", "", "p.example.org"))}
+BANK_CERTS = pick(C, ('PMP', '', 'PL-300;CSM'))
 EXTRA_SKILLS = pick(C, ("excel;git", "sql", "tableau; rfp", ""))
 
 BANK_FLAT_ORACLE = f"""SELECT candidate_id, role_no, bullet_no, company, title, s AS start, e AS "end", t AS text, tags, reviewed FROM (
@@ -221,7 +223,8 @@ BANK_FLAT_ORACLE = f"""SELECT candidate_id, role_no, bullet_no, company, title,
  FROM (SELECT *, unnest([1, 2, 3, 4]) AS b FROM (SELECT *, unnest([1, 2, 3]) AS r FROM customer)))"""
 
 BANK_NESTED = f"""SELECT {C} AS candidate_id,
- named_struct('name', c_name, 'email', {BANK_CONTACT['email']}, 'phone', {BANK_CONTACT['phone']}) AS contact,
+ named_struct('name', c_name, 'email', {BANK_CONTACT['email']}, 'phone', {BANK_CONTACT['phone']}, 'location', {BANK_CONTACT['location']},
+   'linkedin', {BANK_CONTACT['linkedin']}, 'website', {BANK_CONTACT['website']}) AS contact,
  {BANK_CONTACT['headline']} AS headline,
  transform(sequence(1, 3), r -> named_struct('company', {BANK['company']}, 'title', {BANK['title']},
    'start', {BANK['start']}, 'end', {BANK['end']},
@@ -229,7 +232,7 @@ BANK_NESTED = f"""SELECT {C} AS candidate_id,
        'skills', split({BANK['tags']}, ';'), 'reviewed', {BANK['reviewed']})))) AS roles,
  split({EXTRA_SKILLS}, ';') AS skills_extra,
  array(named_struct('degree', 'BBA', 'institution', 'Example College', 'year', '2014')) AS education,
- split({pick(C, ('PMP', '', 'PL-300;CSM'))}, ';') AS certifications
+ split({BANK_CERTS}, ';') AS certifications
  FROM customer"""
 
 # ------------------------------------------------------------------ applications, from orders
