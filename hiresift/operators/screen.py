@@ -20,6 +20,7 @@ RESUME, CANDIDACY = "resume", "candidacy"
 GATE, STRONG, SOFT = 3.0, 2.0, 1.0
 CREDIT = {"pass": 1.0, "warn": 0.5, "fail": 0.0}
 GAP_MONTHS = 6
+MUST_HAVE, MIN_HEAD_WORDS = 10, 30
 COUNTRY_WORDS = tuple(sorted({w for name in V.COUNTRY_ALIASES for w in name.split()}))
 PROFILE_LEVEL = r"(?i)\b(intern|trainee|junior|jr\.?|associate|senior|sr\.?|staff|principal|lead|head of|director|vp|manager)\b"
 STANDARD_TOPICS = ("Current & expected salary", "Why are you leaving", "Why this role / company")
@@ -82,12 +83,41 @@ def top_third(text: Column) -> Column:
         F.slice(ws, F.lit(1), F.greatest(F.lit(30), F.floor(F.size(ws) / 3).cast("int"))), " "))
 
 
+def fold_hyphens(c: Column) -> Column:
+    return F.replace(F.lower(c), F.lit("-"), F.lit(" "))
+
+
 def top_third_coverage(text: Column, terms: Column) -> Column:
-    """% of terms in the top third, hyphens folded; null under 30 words or without terms."""
+    """% of terms in the top third, hyphens folded; null under 30 words or without terms.  For one document beside its
+    terms; whole tables go through `head_terms`."""
     head = F.replace(tm.searchable(top_third(text)), F.lit("-"), F.lit(" "))
-    folded = F.transform(terms, lambda t: F.replace(F.lower(t), F.lit("-"), F.lit(" ")))
+    folded = F.transform(terms, fold_hyphens)
     hits = ar.let(head, lambda h: F.size(F.filter(folded, lambda t: tm.term_in(t, h))))
-    return F.when((F.size(tx.words(text)) >= 30) & (F.size(terms) > 0), tx.ratio_pct(hits, F.size(terms)))
+    return F.when((F.size(tx.words(text)) >= MIN_HEAD_WORDS) & (F.size(terms) > 0), tx.ratio_pct(hits, F.size(terms)))
+
+
+def must_have_terms(model: DataFrame, n: int = MUST_HAVE) -> DataFrame:
+    """(jd_id, must_have): the heaviest terms of each posting, canonical and with hyphens folded."""
+    return model.select("jd_id", F.transform(F.slice("keywords", 1, n), lambda k: fold_hyphens(tm.canonical(k["term"]))).alias("must_have"))
+
+
+def head_terms(resumes: DataFrame, must_have: DataFrame, *, key: str = "candidate_id", text: str = "text") -> DataFrame:
+    """(key, head_terms): the must-have terms that stand in the top third of each document, null under 30 words.
+
+    One index of the heads; pairs then compare arrays, and no text meets a pair.
+    """
+    wanted = must_have.select(F.explode("must_have").alias("term")).distinct()
+    head = F.replace(tm.searchable(top_third(F.col(text))), F.lit("-"), F.lit(" "))
+    held = tm.term_index(resumes, [key], head, wanted).groupBy(key).agg(F.collect_set("term").alias("_t"))
+    long_enough = F.size(tx.words(F.col(text))) >= MIN_HEAD_WORDS
+    return resumes.select(key, long_enough.alias("_long")).join(held, key, "left").select(
+        key, F.when(F.col("_long"), F.coalesce("_t", F.array().cast("array<string>"))).alias("head_terms"))
+
+
+def shown_share() -> Column:
+    """% of a pair's must-have terms that the head shows; null for a short document and a posting without terms."""
+    return F.when(F.col("head_terms").isNotNull() & (F.size("must_have") > 0), tx.ratio_pct(
+        F.size(F.filter("must_have", lambda t: F.array_contains("head_terms", t))), F.size("must_have")))
 
 
 # ------------------------------------------------------------------ checks
@@ -116,7 +146,7 @@ def years_checks() -> Column:
 
 
 def degree_check() -> Column:
-    need, have = rq.education_rank(F.col("min_degree")), rq.education_rank(F.col("education_level"))
+    need, have = F.col("degree_rank"), F.col("education_rank")
     known = ~blank(F.col("min_degree")) & ~blank(F.col("education_level"))
     optional = ~F.col("degree_mandatory")
     status = F.when(~known, "skipped").when(have >= need, "pass").when(optional, "warn").otherwise("fail")
@@ -124,19 +154,28 @@ def degree_check() -> Column:
     return check("Education", status, CANDIDACY, weight, F.when(known, F.col("degree_line")), F.when(known & (have < need), "Education"))
 
 
+def held_certificates(pairs: DataFrame, requirements: DataFrame, profiles: DataFrame, resumes: DataFrame) -> DataFrame:
+    """(candidate_id, held_certs): of the certificates that a candidate's postings name, those in the profile or the text.
+
+    Names, not texts, are gathered by candidate; each text is read once.
+    """
+    asked = requirements.where(F.size("certs") > 0).select("jd_id", F.explode(F.array_distinct(ar.field(F.col("certs"), "cert"))).alias("cert"))
+    wanted = pairs.select("candidate_id", "jd_id").join(asked, "jd_id").groupBy("candidate_id").agg(F.collect_set("cert").alias("_wanted"))
+    own = F.lower(F.concat(F.array_join(F.coalesce("certifications", F.array().cast("array<string>")), " "), F.lit(" "), F.coalesce("text", F.lit(""))))
+    rows = resumes.select("candidate_id", "text").join(profiles.select("candidate_id", "certifications"), "candidate_id").join(wanted, "candidate_id", "left")
+    return rows.select("candidate_id", ar.let(own, lambda h: F.filter(
+        F.coalesce("_wanted", F.array().cast("array<string>")), lambda w: F.contains(h, F.lower(w)))).alias("held_certs"))
+
+
 def certification_checks() -> Column:
-    held = F.lower(F.concat(F.array_join("profile_certifications", " "), F.lit(" "), F.col("text")))
-
-    def one(h: Column) -> Column:
-        def row(c: Column) -> Column:
-            name = F.concat(F.lit("Certification: "), c["cert"])
-            has = F.contains(h, F.lower(c["cert"]))
-            status = F.when(has, "pass").when(c["mandatory"], "fail").otherwise("warn")
-            weight = F.when(has | c["mandatory"], STRONG).otherwise(SOFT)
-            return check(name, status, CANDIDACY, weight, c["line"], F.when(~has & c["mandatory"], name))
-        return F.transform("certs", row)
-
-    return F.when(F.size("certs") > 0, ar.let(held, one)).otherwise(
+    def row(c: Column) -> Column:
+        name = F.concat(F.lit("Certification: "), c["cert"])
+        has = F.array_contains("held_certs", c["cert"])
+        status = F.when(has, "pass").when(c["mandatory"], "fail").otherwise("warn")
+        weight = F.when(has | c["mandatory"], STRONG).otherwise(SOFT)
+        return check(name, status, CANDIDACY, weight, c["line"], F.when(~has & c["mandatory"], name))
+
+    return F.when(F.size("certs") > 0, F.transform("certs", row)).otherwise(
         F.array(check("Certifications", "skipped", CANDIDACY, SOFT)))
 
 
@@ -160,16 +199,12 @@ def salary_check() -> Column:
     return check("Salary", status, CANDIDACY, weight, F.when(known, F.col("salary_line")), topic)
 
 
-def _authorised() -> Column:
-    return F.transform("work_authorized_in", tx.normalize_country)
+def place_words(c: Column) -> Column:
+    return F.array_except(F.transform(tx.find_all(F.coalesce(c, F.lit("")), "[A-Za-z]{4,}"), F.lower), tx.constant_array(COUNTRY_WORDS))
 
 
 def location_check() -> Column:
-    long_words = lambda c: F.transform(tx.find_all(F.coalesce(c, F.lit("")), "[A-Za-z]{4,}"), F.lower)
-    shared = F.array_intersect(long_words(F.col("location")), long_words(F.col("jd_location")))
-    city = F.size(F.array_except(shared, tx.constant_array(COUNTRY_WORDS))) > 0
-    here = F.concat(tx.countries_in(F.coalesce("location", F.lit(""))), _authorised())
-    same = city | F.arrays_overlap(here, F.col("countries"))
+    same = F.arrays_overlap("place_words", "jd_place_words") | F.arrays_overlap("here", "countries")
     stated = ~blank(F.col("jd_location")) | (F.size("countries") > 0)
     known = stated & (~blank(F.col("location")) | (F.size("work_authorized_in") > 0))
     move, onsite, remote = F.col("open_to_relocation"), F.array_contains("work_modes", "onsite"), F.array_contains("work_modes", "remote")
@@ -181,7 +216,7 @@ def location_check() -> Column:
 
 
 def authorisation_check() -> Column:
-    overlap = F.arrays_overlap("countries", _authorised())
+    overlap = F.arrays_overlap("countries", "authorised")
     both = (F.size("countries") > 0) & (F.size("work_authorized_in") > 0)
     sponsor = F.contains(F.lower(F.coalesce("work_authorization", F.lit(""))), F.lit("sponsor"))
     blocked = F.when(both & ~overlap, "fail").when(overlap, "pass").when(sponsor, "fail").otherwise("warn")
@@ -200,7 +235,7 @@ def notice_check() -> Column:
 
 def title_level_check() -> Column:
     known = ~blank(F.col("seniority")) & ~blank(F.col("current_title"))
-    delta = rq.seniority_rank(F.col("seniority")) - rq.seniority_rank(tx.first_match(F.col("current_title"), PROFILE_LEVEL, 1))
+    delta = F.col("jd_level") - F.col("level")
     status = F.when(~known, "skipped").when(delta <= 0, "pass").otherwise("warn")
     weight = F.when(known & (delta != 1), STRONG).otherwise(SOFT)
     return check("Title alignment", status, CANDIDACY, weight, F.when(known, F.col("title_line")), F.when(known & (delta >= 2), "Step up in level"))
@@ -235,27 +270,44 @@ def resume_facts(resumes: DataFrame, as_of_month: int, *, text: str = "text") ->
 
 
 def profile_rows(pairs: DataFrame, profiles: DataFrame, requirements: DataFrame) -> DataFrame:
-    """Pairs with both sides' facts; enough for every check that does not read the document."""
-    renamed = profiles.withColumnsRenamed({"certifications": "profile_certifications", "salary_currency": "profile_currency"})
-    return pairs.join(requirements.drop("certifications"), "jd_id").join(renamed, "candidate_id")
+    """Pairs with both sides' facts; enough for every check that does not read the document.
+
+    What a check derives from one side alone (ranks, places, countries) is derived there, once for each row of that side.
+    """
+    authorised = F.transform("work_authorized_in", tx.normalize_country)
+    people = profiles.withColumnsRenamed({"certifications": "profile_certifications", "salary_currency": "profile_currency"}).withColumns({
+        "authorised": authorised, "here": F.concat(tx.countries_in(F.coalesce("location", F.lit(""))), authorised),
+        "place_words": place_words(F.col("location")), "education_rank": rq.education_rank(F.col("education_level")),
+        "level": rq.seniority_rank(tx.first_match(F.col("current_title"), PROFILE_LEVEL, 1))})
+    asked = requirements.drop("certifications").withColumns({
+        "jd_place_words": place_words(F.col("jd_location")), "degree_rank": rq.education_rank(F.col("min_degree")),
+        "jd_level": rq.seniority_rank(F.col("seniority"))})
+    return pairs.join(asked, "jd_id").join(people, "candidate_id")
 
 
 def screen(pairs: DataFrame, profiles: DataFrame, requirements: DataFrame, resumes: DataFrame, *,
            must_have: DataFrame | None = None) -> DataFrame:
     """(candidate_id, jd_id, checks): every check of every pair.
 
-    `resumes` comes from `resume_facts`; `must_have` is (jd_id, must_have array<string>).
+    `resumes` comes from `resume_facts`; `must_have` is (jd_id, must_have array<string>), see `must_have_terms`.
+    What the document decides is decided before pairs meet: its timeline, its title, the certificates it names and
+    the must-have terms its head shows.  No text reaches a pair.
     """
-    rows = profile_rows(pairs, profiles, requirements).join(resumes, "candidate_id")
+    none = F.array().cast("array<string>")
+    titles = resumes.join(profiles.select("candidate_id", "current_title"), "candidate_id")
+    facts = titles.select("candidate_id", ar.let(F.col("timeline"), timeline_checks).alias("timeline_checks"), title_visible_check(F.col("head")).alias("title_check"))
+    facts = facts.join(held_certificates(pairs, requirements, profiles, resumes), "candidate_id")
+    rows = profile_rows(pairs, profiles, requirements)
     if must_have is None:
-        rows = rows.withColumn("must_have", F.array().cast("array<string>"))
+        facts, rows = facts.withColumn("head_terms", F.lit(None).cast("array<string>")), rows.withColumn("must_have", none)
     else:
-        rows = rows.join(must_have, "jd_id", "left").withColumn("must_have", F.coalesce("must_have", F.array().cast("array<string>")))
+        facts = facts.join(head_terms(resumes, must_have), "candidate_id")
+        rows = rows.join(must_have, "jd_id", "left").withColumn("must_have", F.coalesce("must_have", none))
+    rows = rows.join(facts, "candidate_id")
     checks = F.concat(
         years_checks(), F.array(degree_check()), certification_checks(),
         F.array(work_mode_check(), salary_check(), location_check(), authorisation_check(), notice_check(), title_level_check()),
-        ar.let(F.col("timeline"), timeline_checks),
-        F.array(ar.let(top_third_coverage(F.col("text"), F.col("must_have")), top_third_check), title_visible_check(F.col("head"))))
+        F.col("timeline_checks"), F.array(ar.let(shown_share(), top_third_check), F.col("title_check")))
     located = ~blank(F.col("location")) | (F.size("work_modes") > 0)
     return rows.select("candidate_id", "jd_id", checks.alias("checks"), located.alias("asks_location"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hiresift import vocab as V
 from hiresift.functions import arrays as ar
 from hiresift.functions import text as tx
+from hiresift.operators import extract as ex
 from hiresift.operators import match as mt
 from hiresift.operators import screen as sc
 from hiresift.operators import requirements as rq
@@ -103,7 +104,13 @@ def candidate_terms(t: Tables, model: DataFrame) -> DataFrame:
 
 def screened(t: Tables) -> DataFrame:
     facts = materialize(sc.resume_facts(resumes(t).select("candidate_id", "text"), AS_OF_MONTH), "facts")
-    return sc.screen(pairs(t), profiles(t), requirements(t), facts)
+    return sc.screen(pairs(t), profiles(t), requirements(t), facts, must_have=must_have(t))
+
+
+def must_have(t: Tables) -> DataFrame:
+    """The ten heaviest terms of every posting."""
+    keywords = ex.keyword_arrays(postings(t), alternatives=False).select("jd_id", "keywords")
+    return materialize(sc.must_have_terms(keywords), "must-have")
 
 
 def requirements(t: Tables) -> DataFrame:

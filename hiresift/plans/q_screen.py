@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 from hiresift import vocab as V
 from hiresift.functions import arrays as ar
 from hiresift.functions import dates as dt
-from hiresift.functions import terms as tm
 from hiresift.functions import text as tx
 from hiresift.operators import screen as sc
 from hiresift.plans import common as c
 from hiresift.plans import derived as D
-from hiresift.plans.q_extract import WIDE_SQL
+from hiresift.plans.q_extract import OFFERS, WIDE_SQL
 from hiresift.plans.q_text import EXACT_COUNTRY, PROFILE_TYPED, RESUME_LINES, country_sql
 
 QUERIES, ORACLES = {}, {}
@@ -77,7 +76,8 @@ def check_degree(t):
  SELECT {IDS}, 'Certification: ' || cert AS name, CASE WHEN has THEN 'pass' WHEN mandatory THEN 'fail' ELSE 'warn' END AS status, CASE WHEN has OR mandatory THEN 2.0 ELSE 1.0 END AS importance, line AS citation FROM k
  UNION ALL SELECT {IDS}, 'Certifications', 'skipped', 1.0, '' FROM pr WHERE certs IS NULL""")
 def check_certifications(t):
-    with_text = rows(t).join(c.resumes(t).select("candidate_id", "text"), "candidate_id")
+    held = sc.held_certificates(c.pairs(t), c.requirements(t), c.profiles(t), c.resumes(t))
+    with_text = rows(t).join(held, "candidate_id")
     return many(with_text, sc.certification_checks())
 
 
@@ -187,24 +187,20 @@ def check_gaps_tenure_dates(t):
 HEAD = r"list_filter(regexp_split_to_array(text, '[\s\x{a0}\x0b\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+'), lambda w: w <> '')"
 
 
-@query("top_third_coverage", f"""WITH {c.BENCH_KW}, mh AS (SELECT jd_id, term FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY weight DESC, term) AS r FROM kw) WHERE r <= 10),
- w AS (SELECT doc_id, {HEAD} AS w FROM documents), h AS (SELECT doc_id, replace(lower(array_to_string(w[1:greatest(30, len(w) // 3)], ' ')), '-', ' ') AS head FROM w WHERE len(w) >= 30),
- tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(head, '[a-z0-9]+')) AS tok FROM h),
- m AS (SELECT DISTINCT doc_id, jd_id, term FROM (SELECT doc_id, jd_id, term FROM tok JOIN mh ON tok = term UNION ALL SELECT doc_id, jd_id, term FROM tok JOIN mh ON tok = term || 's' AND NOT ends_with(term, 's')))
- SELECT doc_id, m.jd_id, round_even(count(*) / n::DOUBLE * 100, 1) AS coverage FROM m JOIN (SELECT jd_id, count(*) AS n FROM mh GROUP BY 1) s ON s.jd_id = m.jd_id GROUP BY doc_id, m.jd_id, n""")
-def top_third_coverage(t):
-    """Bulk form: the heads' index against every posting's top ten terms; pairs without a hit cover 0%."""
-    from pyspark.sql import Window as W
+RESUME_ALIASES = "replace(replace(replace(replace({x}, 'k8s', 'kubernetes'), 'a/b tests', 'a/b testing'), 'data engineer', 'data engineering'), 'bi analyst', 'business intelligence analyst')"
+HEADS = f"""mh AS (SELECT jd_id, replace(term, '-', ' ') AS t FROM top WHERE rank <= 10), rw AS (SELECT candidate_id, {HEAD} AS w FROM ({D.RESUME})),
+ hd AS (SELECT candidate_id, len(w) >= 30 AS long, ' ' || replace({RESUME_ALIASES.format(x="lower(array_to_string(w[1:greatest(30, len(w) // 3)], ' '))")}, '-', ' ') || ' ' AS head FROM rw),
+ ht AS (SELECT candidate_id, t FROM hd, (SELECT DISTINCT t FROM mh) WHERE regexp_matches(head, '[^a-z0-9]' || regexp_escape(t) || CASE WHEN ends_with(t, 's') OR length(t) <= 2 THEN '' ELSE 's?' END || '[^a-z0-9]')),
+ tc AS (SELECT pa.candidate_id, pa.jd_id, CASE WHEN any_value(long) AND count(mh.t) > 0 THEN round_even(count(ht.t) / count(mh.t)::DOUBLE * 100, 1) END AS coverage FROM ({D.PAIR}) pa JOIN hd ON hd.candidate_id = pa.candidate_id
+  LEFT JOIN mh ON mh.jd_id = pa.jd_id LEFT JOIN ht ON ht.candidate_id = pa.candidate_id AND ht.t = mh.t GROUP BY 1, 2)"""
+
 
-    kw = c.bench_keywords(t)
-    order = W.partitionBy("jd_id").orderBy(F.desc("weight"), "term")
-    must = kw.withColumn("r", F.row_number().over(order)).where("r <= 10").select("jd_id", "term")
-    long_enough = t.documents.where(F.size(tx.words(F.col("text"))) >= 30)
-    head = F.replace(tm.searchable(sc.top_third(F.col("text"))), F.lit("-"), F.lit(" "))
-    index = tm.term_index(long_enough, ["doc_id"], head, must.select("term").distinct(), tm.PLAIN_WORDS)
-    sizes = must.groupBy("jd_id").agg(F.count("*").alias("n"))
-    hits = index.join(must, "term").groupBy("doc_id", "jd_id").agg(F.count("*").alias("hits"))
-    return hits.join(sizes, "jd_id").select("doc_id", "jd_id", tx.ratio_pct(F.col("hits"), F.col("n")).alias("coverage"))
+@query("top_third_coverage", f"WITH {OFFERS}, {HEADS} SELECT candidate_id, jd_id, coverage FROM tc")
+def top_third_coverage(t):
+    """How much of each posting's ten heaviest terms the top of each document shows; null where there is nothing to show."""
+    must = c.must_have(t)
+    heads = sc.head_terms(c.resumes(t), must)
+    return c.pairs(t).join(must, "jd_id").join(heads, "candidate_id").select("candidate_id", "jd_id", sc.shown_share().alias("coverage"))
 
 
 @query("check_title_visible", f"""WITH pf AS ({PROFILE_TYPED}), r AS (SELECT candidate_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM ({D.RESUME}))
@@ -239,12 +235,19 @@ _PER_DOC = f"""SELECT pa.candidate_id, jd_id, name, status, importance, CASE WHE
  FROM ({D.PAIR}) pa JOIN ({ORACLES['check_gaps_tenure_dates']}) g ON g.candidate_id = pa.candidate_id"""
 _TITLE = f"""SELECT pa.candidate_id, jd_id, 'Title visibility' AS name, status, CASE WHEN status = 'skipped' THEN 1.0 ELSE 2.0 END AS importance, 'resume' AS category
  FROM ({D.PAIR}) pa JOIN ({ORACLES['check_title_visible']}) g ON g.candidate_id = pa.candidate_id"""
+_TOP = f"""SELECT candidate_id, jd_id, 'Top-third visibility' AS name, CASE WHEN coverage IS NULL THEN 'skipped' WHEN coverage >= 60 THEN 'pass' WHEN coverage >= 35 THEN 'warn' ELSE 'fail' END AS status,
+ CASE WHEN coverage IS NULL THEN 1.0 ELSE 3.0 END AS importance, 'resume' AS category FROM ({ORACLES['top_third_coverage']})"""
 ALL_CHECKS = " UNION ALL ".join([
     _status("check_years"), _status("check_overqualified"), _status("check_degree"), _status("check_certifications"), _status("check_work_mode", "Work mode"),
     _status("check_salary", "Salary"), _status("check_location", "Location"), _status("check_work_authorisation", "Work authorisation"),
-    _status("check_notice_period", "Notice period"), _status("check_title_level", "Title alignment"), _PER_DOC, _TITLE])
+    _status("check_notice_period", "Notice period"), _status("check_title_level", "Title alignment"), _PER_DOC, _TITLE, _TOP])
 CRED = "sum(CASE status WHEN 'pass' THEN 1.0 WHEN 'warn' THEN 0.5 ELSE 0.0 END * importance) FILTER (status <> 'skipped'{f}) / sum(importance) FILTER (status <> 'skipped'{f}) * 100"
 ORACLES["screen_scores"] = f"""SELECT candidate_id, jd_id, coalesce(round_even({CRED.format(f='')}, 1), 0.0) AS criteria_met_pct,
  round_even({CRED.format(f=" AND category = 'resume'")}, 1) AS resume_pct, round_even({CRED.format(f=" AND category = 'candidacy'")}, 1) AS candidacy_pct FROM ({ALL_CHECKS}) GROUP BY 1, 2"""
 BLOCK_ORDER = "CASE name WHEN 'Years of experience' THEN 1 WHEN 'Education' THEN 2 WHEN 'Work mode' THEN 4 WHEN 'Salary' THEN 5 WHEN 'Location' THEN 6 WHEN 'Work authorisation' THEN 7 ELSE 9 END"
 ORACLES["screen_blockers"] = f"""SELECT candidate_id, jd_id, string_agg(name, '|' ORDER BY {BLOCK_ORDER}) AS blockers, bool_or(category = 'candidacy') AS no_apply FROM ({ALL_CHECKS}) WHERE status = 'fail' AND importance >= 3 GROUP BY 1, 2"""
+ORACLES["screen_expectations"] = f"""WITH k AS ({ALL_CHECKS}), lt AS (WITH {PLACE} SELECT {IDS}, CASE WHEN decided AND NOT same THEN CASE WHEN open_to_relocation THEN 'Relocation' WHEN onsite THEN 'Location' END END AS topic, location <> '' OR coalesce(len(modes), 0) > 0 AS asks FROM pd)
+ SELECT {IDS}, CASE name WHEN 'Years of experience' THEN 'Experience level' WHEN 'Work mode' THEN 'Work arrangement' WHEN 'Salary' THEN 'Salary expectations' WHEN 'Title alignment' THEN 'Step up in level' WHEN 'Employment gaps' THEN 'Employment gap' WHEN 'Tenure pattern' THEN 'Short tenure' ELSE name END AS topic, 'derived' AS source
+ FROM k WHERE (name IN ('Years of experience', 'Education', 'Overqualification', 'Employment gaps', 'Tenure pattern') AND status IN ('warn', 'fail')) OR (name IN ('Work mode', 'Work authorisation') AND status = 'fail') OR (name LIKE 'Certification: %' AND status = 'fail')
+  OR (name = 'Salary' AND (status = 'fail' OR (status = 'warn' AND importance = 1.0))) OR (name = 'Notice period' AND importance = 2.0) OR (name = 'Title alignment' AND status = 'warn' AND importance = 2.0)
+ UNION ALL SELECT {IDS}, topic, 'derived' FROM lt WHERE topic IS NOT NULL UNION ALL SELECT {IDS}, unnest([{', '.join("'" + x.replace("'", "''") + "'" for x in sc.STANDARD_TOPICS)}]), 'standard' FROM ({D.PAIR}) UNION ALL SELECT {IDS}, 'Location & relocation', 'standard' FROM lt WHERE asks"""
