@@ -1,6 +1,9 @@
 """Writing review: line findings per document, computed inside the document's row."""
 from __future__ import annotations
 
+from collections import Counter
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,45 +54,67 @@ def short_role_header(excerpt: Column, previous: Column, following: Column) -> C
             & ~tx.matches(previous, CONNECTOR))
 
 
-def review_records(text: Column) -> Column:
-    """Wrapped lines joined to the bullet or paragraph above: array<struct<line_no, text, before, after>>.
+BLANK, SKILLS, HEADING, BREAKS, BULLETED, FLOWS = "bshtuf"
+
+
+def line_flags(text: Column) -> Column:
+    """array<string>: what each line is by itself and beside its neighbours, a letter for each mark."""
+    def flags(raw: Column) -> Column:
+        def one(ln: Column, i: Column) -> Column:
+            def bits(line: Column) -> Column:
+                skills = tx.matches(line, SKILLS_HEADING)
+                above, after = tx.strip(F.coalesce(F.get(raw, i - 1), F.lit(""))), F.coalesce(F.get(raw, i + 1), F.lit(""))
+                breaks = tx.matches(ln, BULLET) | role_boundary(line) | short_role_header(line, above, after)
+                flows = tx.matches(line, r"^\p{Ll}") | tx.matches(ln, r"(?U)^\s")
+                marks = ((line == "", BLANK), (skills, SKILLS), (skills | tx.matches(line, OTHER_HEADING), HEADING), (breaks, BREAKS),
+                         (tx.matches(line, BULLET), BULLETED), (flows, FLOWS))
+                return F.concat(*[F.when(on, F.lit(letter)).otherwise("") for on, letter in marks])
+            return ar.let(tx.strip(ln), bits)
+        return F.transform(raw, one)
+
+    return ar.let(tx.line_array(text), flags)
 
-    A fold over the document's lines; `before` and `after` are the raw neighbours of the first line.
+
+def islands(lines: list[str]) -> list[tuple[int, int]]:
+    """(first, last): runs of lines, from 0, that make one record, by one scan of their marks.
+
+    A line joins the run above when that line is text outside a skills section, nothing breaks here, and either the
+    line reads on (lower case, indented) or the run began with a bullet.  Blank lines end a run and belong to none.
+    """
+    runs, in_skills, open_above, from_bullet = [], False, False, False
+    for i, marks in enumerate(lines):
+        if BLANK in marks:
+            open_above = False
+            continue
+        in_skills = SKILLS in marks or (in_skills and HEADING not in marks)
+        stops = in_skills or HEADING in marks or BREAKS in marks
+        if open_above and not stops and (FLOWS in marks or from_bullet):
+            runs[-1] = (runs[-1][0], i)
+        else:
+            runs.append((i, i))
+            from_bullet = BULLETED in marks
+        open_above = HEADING not in marks and not in_skills
+    return runs
+
+
+def review_records(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, records): wrapped lines joined to the bullet or paragraph above, array<struct<line_no, text, before, after>>.
+
+    Islands of lines, found in one scan; `before` and `after` are the raw neighbours of the first line.
     """
-    record = "array<struct<line_no:int,text:string,before:string,after:string>>"
-
-    def prepare(raw: Column) -> Column:
-        return F.transform(raw, lambda ln, i: F.struct(
-            (i + 1).alias("line_no"), ln.alias("raw"), tx.strip(ln).alias("line"),
-            F.coalesce(F.get(raw, i - 1), F.lit("")).alias("before"), F.coalesce(F.get(raw, i + 1), F.lit("")).alias("after")))
-
-    def step(acc: Column, s: Column) -> Column:
-        skills = tx.matches(s["line"], SKILLS_HEADING)
-        heading = skills | tx.matches(s["line"], OTHER_HEADING)
-        in_skills = F.when(skills, True).when(heading, False).otherwise(acc["in_skills"])
-        last = F.when(F.size(acc["records"]) > 0, F.element_at(acc["records"], -1))
-        above = F.coalesce(last["text"], F.lit(""))
-        flows = tx.matches(s["line"], r"^\p{Ll}") | tx.matches(s["raw"], r"(?U)^\s") | tx.matches(above, BULLET)
-        breaks = (heading | in_skills | tx.matches(s["raw"], BULLET) | role_boundary(s["line"])
-                  | short_role_header(s["line"], above, s["after"]))
-        joins = last.isNotNull() & acc["can_join"] & flows & ~breaks
-        fresh = F.struct(s["line_no"].alias("line_no"), s["line"].alias("text"), s["before"].alias("before"), s["after"].alias("after"))
-        merged = F.struct(last["line_no"].alias("line_no"), F.concat(above, F.lit(" "), s["line"]).alias("text"),
-                          last["before"].alias("before"), last["after"].alias("after"))
-        kept = F.when(joins, F.concat(F.slice(acc["records"], F.lit(1), F.greatest(F.lit(0), F.size(acc["records"]) - 1)), F.array(merged))).otherwise(
-            F.concat(acc["records"], F.array(fresh)))
-        blank = s["line"] == ""
+    def record(raw: Column, r: Column) -> Column:
         return F.struct(
-            F.when(blank, acc["records"]).otherwise(kept).cast(record).alias("records"),
-            F.when(blank, acc["in_skills"]).otherwise(in_skills).alias("in_skills"),
-            F.when(blank, False).otherwise(~heading & ~in_skills).alias("can_join"))
+            (r["first"] + 1).alias("line_no"),
+            F.array_join(F.transform(F.slice(raw, r["first"] + 1, r["last"] - r["first"] + 1), lambda ln: tx.strip(ln)), " ").alias("text"),
+            F.coalesce(F.get(raw, r["first"] - 1), F.lit("")).alias("before"), F.coalesce(F.get(raw, r["first"] + 1), F.lit("")).alias("after"))
 
-    start = F.struct(F.array().cast(record).alias("records"), F.lit(False).alias("in_skills"), F.lit(False).alias("can_join"))
-    return F.aggregate(ar.let(tx.line_array(text), prepare), start, step, lambda acc: acc["records"])
+    given = F.coalesce(F.col(text), F.lit(""))
+    rows = ar.scanned(docs.select(F.col(key), given.alias("_text"), line_flags(given).alias("_flags")), "_runs", "array<struct<first:int,last:int>>", "_flags", islands)
+    return rows.select(key, ar.let(tx.line_array(F.col("_text")), lambda raw: F.transform("_runs", lambda r: record(raw, r))).alias("records"))
 
 
-def with_roles(records: Column) -> Column:
-    """array<struct<line_no, text, body, is_bullet, role>>; a role starts at each header-like record."""
+def with_roles(records: DataFrame, key: str) -> DataFrame:
+    """(key, rows): array<struct<line_no, text, body, is_bullet, role>>; a role starts at each header-like record."""
     def mark(r: Column) -> Column:
         bullet = tx.matches(r["text"], BULLET)
         header = ~bullet & (role_boundary(r["text"]) | short_role_header(r["text"], r["before"], r["after"])
@@ -97,18 +122,22 @@ def with_roles(records: Column) -> Column:
         return F.struct(r["line_no"].alias("line_no"), r["text"].alias("text"), bullet.alias("is_bullet"), header.alias("header"),
                         tx.strip(F.regexp_replace(r["text"], BULLET, "")).alias("body"))
 
-    def place(rows: Column) -> Column:
-        heads = F.transform(F.filter(rows, lambda r: r["header"]), lambda r: r["line_no"])
-        return ar.let(heads, lambda hs: F.transform(rows, lambda r: F.struct(
-            r["line_no"].alias("line_no"), r["text"].alias("text"), r["body"].alias("body"), r["is_bullet"].alias("is_bullet"),
-            F.size(F.filter(hs, lambda h: h <= r["line_no"])).alias("role"))))
+    marked = records.select(key, F.transform("records", mark).alias("_marked"))
+    headers = marked.withColumn("_headers", ar.field(F.col("_marked"), "header"))
+    counted = ar.scanned(headers, "_roles", "array<int>", "_headers", running)
+    return counted.select(key, F.transform("_marked", lambda r, i: F.struct(
+        r["line_no"].alias("line_no"), r["text"].alias("text"), r["body"].alias("body"), r["is_bullet"].alias("is_bullet"),
+        F.get("_roles", i).alias("role"))).alias("rows"))
 
-    return ar.let(F.transform(records, mark), place)
+
+def running(flags: list[bool]) -> list[int]:
+    """How many of the flags up to each place are set."""
+    return list(accumulate(map(int, flags)))
 
 
 def join_continuations(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    out = F.transform(review_records(F.col(text)), lambda r: F.struct(r["line_no"].alias("line_no"), r["text"].alias("text")))
-    return ar.unpack(docs, [key], out, "line_no")
+    out = F.transform("records", lambda r: F.struct(r["line_no"].alias("line_no"), r["text"].alias("text")))
+    return ar.unpack(review_records(docs, key, text), [key], out, "line_no")
 
 
 # ------------------------------------------------------------------ findings
@@ -128,14 +157,24 @@ def rule_hits(rows: Column) -> Column:
     return F.flatten(F.transform(rows, hits))
 
 
+def often(names: list[str]) -> list[bool]:
+    """Whether each of the names, if it isn't empty, stands OPENER_REPEATS times or more among them."""
+    n = Counter(names)
+    return [x != "" and n[x] >= OPENER_REPEATS for x in names]
+
+
+def opener(r: Column) -> Column:
+    return F.lower(F.regexp_extract(r["body"], "[A-Za-z]+", 0))
+
+
+def opener_keys(rows: Column) -> Column:
+    """One key for each record: role and first word of a bullet, the empty string otherwise."""
+    return F.transform(rows, lambda r: F.when(r["is_bullet"] & tx.matches(r["body"], "[A-Za-z]"), F.concat_ws("|", r["role"].cast("string"), opener(r))).otherwise(""))
+
+
 def opener_hits(rows: Column) -> Column:
-    """Bullets whose first word opens three or more bullets of the same role."""
-    opener = lambda r: F.lower(F.regexp_extract(r["body"], "[A-Za-z]+", 0))
-    keyed = F.transform(F.filter(rows, lambda r: r["is_bullet"] & tx.matches(r["body"], "[A-Za-z]")), lambda r: F.struct(
-        F.concat_ws("|", r["role"].cast("string"), opener(r)).alias("k"), r.alias("r")))
-    return ar.let(keyed, lambda ks: F.transform(
-        F.filter(ks, lambda x: F.size(F.filter(ks, lambda y: y["k"] == x["k"])) >= OPENER_REPEATS),
-        lambda x: _finding(x["r"], "repeated_opener", opener(x["r"]))))
+    """Bullets whose first word opens three or more bullets of the same role; `_repeated` says which, see `_findings`."""
+    return F.transform(F.filter(rows, lambda r, i: F.get("_repeated", i)), lambda r: _finding(r, "repeated_opener", opener(r)))
 
 
 def promotional(snippet: Column, vocab: V.Vocabulary = V.DEFAULT) -> Column:
@@ -158,8 +197,10 @@ def promotional_hits(rows: Column) -> Column:
 
 
 def _findings(docs: DataFrame, key: str, text: str, *makers) -> DataFrame:
-    rows = with_roles(review_records(F.col(text)))
-    return ar.unpack(docs, [key], ar.let(rows, lambda rs: F.concat(*[m(rs) for m in makers])), "rule")
+    rows = with_roles(review_records(docs, key, text), key)
+    if opener_hits in makers:  # openers are counted once for a document
+        rows = ar.scanned(rows.withColumn("_openers", opener_keys(F.col("rows"))), "_repeated", "array<boolean>", "_openers", often)
+    return ar.unpack(rows, [key], F.concat(*[m(F.col("rows")) for m in makers]), "rule")
 
 
 def rule_findings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
