@@ -29,6 +29,7 @@ from hiresift.llm.tokens import by_bytes, word_encoder
 WINDOW = 4096
 QUANTUM = 512
 MAX_QUEUES = 4096
+BATCH_BYTES = 8 << 20
 TOKENS = "doc_id long, queue string, chunk int, before long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
 
@@ -37,7 +38,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Every whole text's ids with the end id, and how many ids of its source precede it in its chunk (a read task)."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, chunk, sums = word_encoder(tokenizer), TaskContext.get().partitionId(), {}
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, size=BATCH_BYTES):
             flat, offsets = encoder.encode_column(batch.column("text"), end_id)
             raw, width = flat.tobytes(), flat.dtype.itemsize
             ids = [raw[a * width:b * width] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
