@@ -147,12 +147,12 @@ def weigh(offered: Column) -> Column:
     return F.filter(ar.let(placed, group), lambda k: k["section"] != "about")
 
 
-def strongest(keywords: Column, n: int) -> Column:
-    """Top n by weight, then first mention, then name."""
+def strongest(keywords: Column, n: int | None) -> Column:
+    """Top n by weight, then first mention, then name; all of them without n."""
     ranked = F.array_sort(F.transform(keywords, lambda k: F.struct(
         (-k["weight"]).alias("order"), k["first_pos"].alias("first_pos"), k["term"].alias("term"),
         k["weight"].alias("weight"), k["section"].alias("section"))))
-    return F.transform(F.slice(ranked, 1, n), lambda k, i: F.struct(
+    return F.transform(ranked if n is None else F.slice(ranked, 1, n), lambda k, i: F.struct(
         k["term"].alias("term"), k["weight"].alias("weight"), k["section"].alias("section"),
         k["first_pos"].alias("first_pos"), (i + 1).alias("rank")))
 
@@ -218,7 +218,7 @@ def posting_offers(postings: DataFrame, text: str = "jd_text", key: str = "jd_id
     return ar.unpack(postings, [key], placed, "term")
 
 
-def keywords_of(text: Column, *, top_n: int = 40, alternatives: bool = True,
+def keywords_of(text: Column, *, top_n: int | None = 40, alternatives: bool = True,
                 vocab: V.Vocabulary = V.DEFAULT) -> Column:
     """array<struct<term, weight, section, first_pos, rank, alternatives>> of one posting.
 

@@ -166,14 +166,20 @@ def overall_conversion(apps: DataFrame, *, min_resolved: int = MIN_RESOLVED) ->
     return rated.withColumns(rates).withColumn("calibrated", enough)
 
 
+def calibrated(result: DataFrame, apps: DataFrame, min_resolved: int = MIN_RESOLVED) -> DataFrame:
+    """`result` once enough outcomes are resolved to mean anything, no rows before: one scalar aggregate of the log."""
+    n = apps.agg(F.count_if(F.col("outcome") != "pending").alias("n")).scalar()
+    return result.where(n >= min_resolved)
+
+
 def layer_scores(apps: DataFrame, *keep: str) -> DataFrame:
     return apps.unpivot(list(keep), list(LAYERS.values()), "_column", "score").select(
         *keep, tx.lookup({c: n for n, c in LAYERS.items()}, F.col("_column")).alias("layer"), "score").where("score is not null")
 
 
-def conversion_by_band(apps: DataFrame) -> DataFrame:
+def conversion_by_band(apps: DataFrame, *, min_resolved: int = MIN_RESOLVED) -> DataFrame:
     banded = layer_scores(resolved(apps), "outcome").withColumn("band", tx.log_band(F.col("score")))
-    return with_rate(counts(banded, "layer", "band"))
+    return calibrated(with_rate(counts(banded, "layer", "band")), apps, min_resolved)
 
 
 def summarize_correlation(grouped) -> DataFrame:
@@ -188,8 +194,8 @@ def summarize_correlation(grouped) -> DataFrame:
             .withColumn("reading", st.reading(F.col("r"), F.col("low"), F.col("high"), F.col("n"))).drop("r", "low", "high"))
 
 
-def score_outcome_correlation(apps: DataFrame) -> DataFrame:
-    return summarize_correlation(layer_scores(resolved(apps), "outcome").groupBy("layer"))
+def score_outcome_correlation(apps: DataFrame, *, min_resolved: int = MIN_RESOLVED) -> DataFrame:
+    return calibrated(summarize_correlation(layer_scores(resolved(apps), "outcome").groupBy("layer")), apps, min_resolved)
 
 
 COMPONENT_SCHEMA = ("visibility struct<searches_matched:double,searches_total:double,parse_safe:boolean>, "
@@ -221,22 +227,22 @@ def flatten_components(apps: DataFrame, *keep: str) -> DataFrame:
     return ar.unpack(apps, list(keep), numeric_components(F.col("components")), "component")
 
 
-def component_ranking(apps: DataFrame) -> DataFrame:
+def component_ranking(apps: DataFrame, *, min_resolved: int = MIN_RESOLVED) -> DataFrame:
     """One row per component: evidence first, then size, then name.  Components are a bounded label set, so
     the single-partition rank sorts a handful of rows."""
     summary = summarize_correlation(flatten_components(resolved(apps), "outcome").groupBy("component"))
     order = W.orderBy((~F.col("distinguishable")).cast("int"), -F.abs(F.col("correlation")), "component")
-    return summary.withColumn("rank", F.row_number().over(order))
+    return calibrated(summary.withColumn("rank", F.row_number().over(order)), apps, min_resolved)
 
 
 def timing_bucket(days: Column) -> Column:
     return F.when(days <= 2, "0-2 days").when(days <= 7, "3-7 days").when(days <= 14, "8-14 days").when(days.isNotNull(), "15+ days")
 
 
-def apply_timing(apps: DataFrame) -> DataFrame:
+def apply_timing(apps: DataFrame, *, min_resolved: int = MIN_RESOLVED) -> DataFrame:
     bucketed = resolved(apps).where("days_after_posting is not null").withColumn("bucket", timing_bucket(F.col("days_after_posting")))
     order = tx.lookup({"0-2 days": 1, "3-7 days": 2, "8-14 days": 3, "15+ days": 4}, F.col("bucket"))
-    return with_rate(counts(bucketed, "bucket")).withColumn("bucket_no", order)
+    return calibrated(with_rate(counts(bucketed, "bucket")).withColumn("bucket_no", order), apps, min_resolved)
 
 
 def components_from_report(report: DataFrame, checks: Column, dimensions: Column | None = None) -> DataFrame:

@@ -267,14 +267,23 @@ def rule_scalars() -> Column:
 
 
 def rule_values(requirements: DataFrame, key: str = "jd_id") -> DataFrame:
-    """(key, field, value) of the rule record, spelled as grounded values are."""
-    return ar.unpack(requirements, [key], rule_scalars(), "field")
+    """(key, field, value) of the rule record, spelled as grounded values are: scalars, the sorted work modes, and
+    whether a stated degree is mandatory."""
+    row = lambda f, v: F.struct(F.lit(f).alias("field"), F.nullif(v, F.lit("")).alias("value"))
+    more = F.array(row("work_modes", F.array_join(F.array_sort(F.array_distinct("work_modes")), "|")),
+                   row("degree_mandatory", F.when(F.col("min_degree").isNotNull(), F.col("degree_mandatory").cast("string"))))
+    return ar.unpack(requirements, [key], F.concat(rule_scalars(), F.filter(more, lambda r: r["value"].isNotNull())), "field")
 
 
 def verified_scalars(grounded: DataFrame, key: str = "jd_id") -> DataFrame:
-    """One verified value per field; a stated false is silence, not a claim."""
-    kept = verified_items(grounded).where(F.col("field").isin(*SCALARS)).where("not (field = 'sponsorship_unavailable' and value = 'false')")
-    return kept.groupBy(key, "field").agg(F.min_by("value", "item_no").alias("value"))
+    """One verified value per field; a stated false is silence, not a claim.  Work modes are one sorted list, and a
+    verified degree brings whether it is mandatory."""
+    items = verified_items(grounded)
+    kept = items.where(F.col("field").isin(*SCALARS)).where("not (field = 'sponsorship_unavailable' and value = 'false')")
+    single = kept.groupBy(key, "field").agg(F.min_by("value", "item_no").alias("value"))
+    modes = items.where("field = 'work_modes'").groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("value")), "|").alias("value"))
+    degree = items.where("field = 'min_degree'").groupBy(key).agg(F.min_by("flag", "item_no").cast("string").alias("value")).where("value is not null")
+    return single.unionByName(modes.select(key, F.lit("work_modes").alias("field"), "value")).unionByName(degree.select(key, F.lit("degree_mandatory").alias("field"), "value"))
 
 
 def merge_hybrid_fields(rules: DataFrame, verified: DataFrame, key: str = "jd_id") -> DataFrame:
@@ -325,7 +334,7 @@ def merge_hybrid_skills(keywords: DataFrame, skills: DataFrame, key: str = "jd_i
 
 def extraction_conflicts(fields: DataFrame, skills: DataFrame, key: str = "jd_id") -> DataFrame:
     """(key, field, llm, rules): every disagreement between the two readings."""
-    scalar = fields.where("rule_value is not null and llm_value is not null and rule_value <> llm_value").select(
+    scalar = fields.where("rule_value is not null and llm_value is not null and rule_value <> llm_value and field <> 'degree_mandatory'").select(
         key, "field", F.col("llm_value").alias("llm"), F.col("rule_value").alias("rules"))
     moved = skills.where("change = 'moved'").select(
         key, F.concat(F.lit("skill:"), "term").alias("field"), F.col("section").alias("llm"), F.col("rule_section").alias("rules"))

@@ -207,6 +207,30 @@ def keyword_met(k: Column, held: Column) -> Column:
     return F.array_contains(held, k["term"]) | F.arrays_overlap(k["alternatives"], held)
 
 
+def alternative_edges(model: DataFrame) -> DataFrame:
+    """(jd_id, term, alternative): what stands in for what, as written.  Directed: a head is met by its members, a member
+    by the others of its list, never a member by its head."""
+    edges = F.flatten(F.transform("keywords", lambda k: F.transform(k["alternatives"], lambda a: F.struct(k["term"].alias("term"), a.alias("alternative")))))
+    return ar.unpack(model, ["jd_id"], edges, "term").distinct()
+
+
+def met_keywords(pairs: DataFrame, model: DataFrame, edges: DataFrame, documents: DataFrame, *, doc: str = "candidate_id") -> DataFrame:
+    """(doc, jd_id, n_met, n_by_alternative, met_weight) of each pair: keywords held, or met by an edge to a term that is.
+
+    Edges are gathered by posting, a list bounded by its own text; pairs compare them with the terms a document holds.
+    """
+    by_posting = edges.groupBy("jd_id").agg(F.collect_list(F.struct("term", "alternative")).alias("edges"))
+    asked = model.select("jd_id", F.transform("keywords", lambda k: F.struct(k["term"].alias("term"), k["weight"].alias("weight"))).alias("keywords")).join(by_posting, "jd_id", "left")
+    rows = pairs.select(doc, "jd_id").join(asked, "jd_id").join(documents.select(doc, "terms"), doc)
+    stood_in = ar.field(F.filter(F.coalesce("edges", F.array().cast("array<struct<term:string,alternative:string>>")), lambda e: F.array_contains("terms", e["alternative"])), "term")
+    by_edge = rows.withColumn("_in", stood_in)
+    held = F.filter("keywords", lambda k: F.array_contains("terms", k["term"]))
+    other = F.filter("keywords", lambda k: ~F.array_contains("terms", k["term"]) & F.array_contains("_in", k["term"]))
+    return by_edge.select(doc, "jd_id", held.alias("_h"), other.alias("_o")).select(
+        doc, "jd_id", (F.size("_h") + F.size("_o")).alias("n_met"), F.size("_o").alias("n_by_alternative"),
+        weight_of(F.concat("_h", "_o")).cast("double").alias("met_weight"))
+
+
 def weight_of(keywords: Column) -> Column:
     zero = F.lit(0).cast("decimal(18,2)")
     return F.aggregate(ar.field(keywords, "weight"), zero, lambda acc, w: (acc + w).cast("decimal(18,2)"))

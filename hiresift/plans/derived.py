@@ -65,7 +65,7 @@ DEGREE_LINES = (
     "- Diploma in engineering", "- PhD in statistics a plus", "- BS in Computing. MS is a bonus", "- Scrum Master, agile",
 )
 SKILL_LINES = (
-    "- Power BI or Tableau or Looker", "- SQL engines (PostgreSQL, Snowflake, BigQuery)", "- Java/Scala, SQL, or low-level C++",
+    "- Power BI or Tableau or Looker", "- Scrum routines (Jira, Kanban, Agile)", "- Java/Scala, SQL, or low-level C++",
     "- PostgreSQL; Snowflake (BigQuery is a plus)", "- k8s, Docker and CI/CD", "- ETL pipelines, KPIs, dashboards",
     "- AWS, Azure or GCP", "- Node.js, React and Next.js", "- Data modelling and A/B testing", "- Jira, RFP/ and GDPR",
     "- C++ and C#",

@@ -72,7 +72,7 @@ NEEDLE = "SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_na
 def needles(t):
     part = t.part.select("p_partkey", "p_name")
     pick = F.col("p_partkey") % 4
-    return part.select(F.when(pick == 0, F.col("p_name")).when(pick == 1, F.substring("p_name", 2, 1000)).when(
+    return part.select(F.when(pick == 0, F.col("p_name")).when(pick == 1, F.expr("substring(p_name, 2)")).when(
         pick == 2, F.replace("p_name", F.lit("e"), F.lit("a"))).otherwise(F.concat("p_name", F.lit("x"))).alias("needle")).distinct()
 
 
@@ -103,11 +103,13 @@ def overall_conversion(t):
     return fn.overall_conversion(t.sql(D.APPLICATION)).drop("rate")
 
 
+#: no rate, band or correlation before so many outcomes are resolved
+GATE = f"(SELECT count(*) FROM app WHERE outcome <> 'pending') >= {fn.MIN_RESOLVED}"
 LAYERS = "ly AS (SELECT app_id, outcome, y, unnest(['visibility', 'ats', 'recruiter', 'manager']) AS layer, unnest([visibility_score, ats_score, recruiter_score, manager_score]) AS score FROM app WHERE outcome <> 'pending')"
 LOGBAND = "CASE WHEN score >= 80 THEN '80-100 (Strong)' WHEN score >= 60 THEN '60-79 (Workable)' WHEN score >= 40 THEN '40-59 (Weak)' ELSE '0-39 (Very weak)' END"
 
 
-@query("conversion_by_band", f"""WITH {APP}, {LAYERS} SELECT *, {RATE} FROM (SELECT layer, {LOGBAND} AS band, count(*) AS n, count(*) FILTER (y = 1) AS reached_human FROM ly WHERE score IS NOT NULL GROUP BY 1, 2)""")
+@query("conversion_by_band", f"""WITH {APP}, {LAYERS} SELECT *, {RATE} FROM (SELECT layer, {LOGBAND} AS band, count(*) AS n, count(*) FILTER (y = 1) AS reached_human FROM ly WHERE score IS NOT NULL GROUP BY 1, 2) WHERE {GATE}""")
 def conversion_by_band(t):
     return fn.conversion_by_band(t.sql(D.APPLICATION)).drop("rate")
 
@@ -130,7 +132,7 @@ def corr_sql(group: str, src: str) -> str:
  SELECT *, lo > 0 OR hi < 0 AS d FROM (SELECT *, {FLO} AS lo, {FHI} AS hi FROM (SELECT {group}, count(*) AS n, {CORR} AS r FROM {src} WHERE score IS NOT NULL GROUP BY 1) WHERE r IS NOT NULL))"""
 
 
-@query("score_outcome_correlation", f"WITH {APP}, {LAYERS} SELECT layer, n, correlation FROM ({corr_sql('layer', 'ly')})")
+@query("score_outcome_correlation", f"WITH {APP}, {LAYERS} SELECT layer, n, correlation FROM ({corr_sql('layer', 'ly')}) WHERE {GATE}")
 def score_outcome_correlation(t):
     return fn.score_outcome_correlation(t.sql(D.APPLICATION)).select("layer", "n", "correlation")
 
@@ -167,7 +169,7 @@ def flatten_components(t):
 
 
 @query("component_ranking", f"""WITH {APP}, {COMPONENTS}, rc AS (SELECT * FROM cp WHERE outcome <> 'pending') SELECT component, n, correlation, distinguishable, strength,
- row_number() OVER (ORDER BY CASE WHEN distinguishable THEN 0 ELSE 1 END, -abs(correlation), component) AS rank FROM ({corr_sql('component', 'rc')})""")
+ row_number() OVER (ORDER BY CASE WHEN distinguishable THEN 0 ELSE 1 END, -abs(correlation), component) AS rank FROM ({corr_sql('component', 'rc')}) WHERE {GATE}""")
 def component_ranking(t):
     return fn.component_ranking(t.sql(D.APPLICATION)).select("component", "n", "correlation", "distinguishable", "strength", "rank")
 
@@ -176,7 +178,7 @@ BUCKET = "CASE WHEN days_after_posting <= 2 THEN '0-2 days' WHEN days_after_post
 
 
 @query("apply_timing", f"""WITH {APP} SELECT *, {RATE} FROM (SELECT {BUCKET} AS bucket, CASE {BUCKET} WHEN '0-2 days' THEN 1 WHEN '3-7 days' THEN 2 WHEN '8-14 days' THEN 3 ELSE 4 END AS bucket_no, count(*) AS n, count(*) FILTER (y = 1) AS reached_human
- FROM app WHERE outcome <> 'pending' AND days_after_posting IS NOT NULL GROUP BY 1, 2)""")
+ FROM app WHERE outcome <> 'pending' AND days_after_posting IS NOT NULL GROUP BY 1, 2) WHERE {GATE}""")
 def apply_timing(t):
     return fn.apply_timing(c.applications(t)).drop("rate")
 
@@ -205,10 +207,11 @@ def resolve_outcome_target(t):
 
 
 SLO, SHI = wilson_sql("k", "n")
+SPELLED = "CASE candidate_id % 4 WHEN 0 THEN ' K8s ' WHEN 1 THEN 'PowerBI' WHEN 2 THEN 'node js' ELSE 'Excel' END"
 
 
-@query("sql_functions", f"""SELECT candidate_id, k, n, round(({SLO}), 6) AS low, round(({SHI}), 6) AS high, {BAND.format(s='s')} AS band FROM (SELECT o_custkey AS candidate_id, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n, CAST(max(o_orderkey % 101) AS DOUBLE) AS s FROM orders GROUP BY 1)""")
+@query("sql_functions", f"""SELECT candidate_id, k, n, round(({SLO}), 6) AS low, round(({SHI}), 6) AS high, {BAND.format(s='s')} AS band, {alias_case("lower(trim(" + SPELLED + "))")} AS term FROM (SELECT o_custkey AS candidate_id, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n, CAST(max(o_orderkey % 101) AS DOUBLE) AS s FROM orders GROUP BY 1)""")
 def sql_functions(t):
     sqlfuncs.register(t.spark)
-    return t.sql("""SELECT candidate_id, k, n, round(wilson_low(k, n), 6) AS low, round(wilson_high(k, n), 6) AS high, score_band(s) AS band FROM (
+    return t.sql(f"""SELECT candidate_id, k, n, round(wilson_low(k, n), 6) AS low, round(wilson_high(k, n), 6) AS high, score_band(s) AS band, canonical_term({SPELLED}) AS term FROM (
         SELECT o_custkey AS candidate_id, count_if(o_orderstatus = 'F') AS k, count(*) AS n, CAST(max(o_orderkey % 101) AS DOUBLE) AS s FROM orders GROUP BY o_custkey)""")

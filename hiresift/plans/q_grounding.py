@@ -41,7 +41,7 @@ BODY = " || ".join([
     f"'{{\"title\": {{\"value\": \"' || {A_TITLE} || '\", ' || {Q('title')}",
     f"', \"seniority\": {{\"value\": \"' || {A_LEVEL} || '\", ' || {Q('title')}",
     f"', \"min_years\": {{\"value\": ' || CAST({D.YEARS} AS STRING) || ', \"mandatory\": ' || CASE {K} % 2 WHEN 0 THEN 'true' ELSE 'false' END || ', ' || {Q('years')}",
-    f"', \"degree\": {{\"value\": \"' || {A_DEGREE} || '\", ' || {Q('degree')}",
+    f"', \"degree\": {{\"value\": \"' || {A_DEGREE} || '\", \"mandatory\": ' || CASE {K} % 3 WHEN 0 THEN 'false' ELSE 'true' END || ', ' || {Q('degree')}",
     f"', \"certifications\": [{{\"name\": \"PMP\", ' || {Q('cert')} || ']'",
     f"', \"work_modes\": [{{\"value\": \"remote\", ' || {Q('mode')} || ', {{\"value\": \"On-site\", ' || {Q('mode')} || ', {{\"value\": \"lunar\", ' || {Q('mode')} || ']'",
     f"', \"sponsorship_unavailable\": {{\"value\": true, ' || {Q('visa')}",
@@ -113,8 +113,11 @@ def rejected_items(t):
 MERGE = f"""{WIDE_SQL}, {CASES}, ru AS (SELECT jd_id, 'title' AS field, jd_title AS value FROM req WHERE jd_title <> '' UNION ALL SELECT jd_id, 'seniority', seniority FROM req WHERE seniority <> ''
  UNION ALL SELECT jd_id, 'min_years', CAST(CAST(min_years AS BIGINT) AS VARCHAR) FROM req WHERE min_years IS NOT NULL UNION ALL SELECT jd_id, 'min_degree', min_degree FROM req WHERE min_degree IS NOT NULL
  UNION ALL SELECT jd_id, 'sponsorship_unavailable', 'true' FROM req WHERE no_sponsor_line IS NOT NULL
+ UNION ALL SELECT jd_id, 'degree_mandatory', CAST(degree_mandatory AS VARCHAR) FROM req WHERE min_degree IS NOT NULL UNION ALL SELECT jd_id, 'work_modes', array_to_string(list_sort(list_distinct(modes)), '|') FROM req WHERE len(modes) > 0
  UNION ALL SELECT jd_id, 'salary', coalesce(printf('%.2f', CAST(salary_min AS DOUBLE)), '') || '|' || coalesce(printf('%.2f', CAST(salary_max AS DOUBLE)), '') || '|' || coalesce(salary_currency, '') FROM req WHERE salary_currency IS NOT NULL),
- ve AS (SELECT jd_id, field, value FROM gf WHERE reason IS NULL AND field IN ('title', 'seniority', 'min_years', 'min_degree', 'sponsorship_unavailable', 'salary')),
+ ve AS (SELECT jd_id, field, value FROM gf WHERE reason IS NULL AND field IN ('title', 'seniority', 'min_years', 'min_degree', 'sponsorship_unavailable', 'salary')
+  UNION ALL SELECT jd_id, 'work_modes', string_agg(DISTINCT value, '|' ORDER BY value) FROM gf WHERE reason IS NULL AND field = 'work_modes' GROUP BY 1
+  UNION ALL SELECT gf.jd_id, 'degree_mandatory', CASE gf.jd_id % 3 WHEN 0 THEN 'false' ELSE 'true' END FROM gf JOIN it ON it.jd_id = gf.jd_id WHERE reason IS NULL AND field = 'min_degree'),
  mf AS (SELECT coalesce(ru.jd_id, ve.jd_id) AS jd_id, coalesce(ru.field, ve.field) AS field, ru.value AS rule_value, ve.value AS llm_value FROM ru FULL JOIN ve ON ve.jd_id = ru.jd_id AND ve.field = ru.field)"""
 
 
@@ -142,7 +145,7 @@ SKILLS_MERGE = f"""{OFFERS}, {CASES}, vs AS (SELECT jd_id, value AS term, value
 
 
 def merged_skills(t, g):
-    keywords = ex.jd_keywords(c.postings(t), top_n=1000, alternatives=False)
+    keywords = ex.jd_keywords(c.postings(t), top_n=None, alternatives=False)
     return gr.merge_hybrid_skills(keywords, gr.verified_skills(g))
 
 
@@ -151,7 +154,7 @@ def merge_hybrid_skills(t):
     return merged_skills(t, grounded(t)).drop("rule_section")
 
 
-@query("extraction_conflicts", f"""SELECT * FROM (WITH {MERGE} SELECT jd_id, field, llm_value AS llm, rule_value AS rules FROM mf WHERE llm_value <> rule_value)
+@query("extraction_conflicts", f"""SELECT * FROM (WITH {MERGE} SELECT jd_id, field, llm_value AS llm, rule_value AS rules FROM mf WHERE llm_value <> rule_value AND field <> 'degree_mandatory')
  UNION ALL SELECT * FROM (WITH {SKILLS_MERGE} SELECT jd_id, 'skill:' || term, section, rule_section FROM mr WHERE change = 'moved')""")
 def extraction_conflicts(t):
     g = materialize(grounded(t), "grounded")
@@ -163,7 +166,7 @@ LEARN = f"""{OFFERS}, {CASES}, lc AS (SELECT value AS term, count(*) AS count, a
 
 
 def learned(t):
-    keywords = ex.jd_keywords(c.postings(t), top_n=1000, alternatives=False)
+    keywords = ex.jd_keywords(c.postings(t), top_n=None, alternatives=False)
     return gr.learned_candidates(gr.verified_skills(grounded(t)), keywords)
 
 

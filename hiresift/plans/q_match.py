@@ -75,32 +75,20 @@ def batch_rank(t):
     return rk.best_postings(bench_documents(t, wanted), asked, doc="doc_id", k=5)
 
 
-ALTS = """alt AS (SELECT jd_id, term, term AS wanted, weight FROM kw UNION SELECT k.jd_id, k.term, a.term, k.weight FROM kw k JOIN kw a ON a.jd_id = k.jd_id AND a.term[1:4] = k.term[1:4])"""
-
-
-@query("alternatives_match", f"""WITH {c.BENCH_KW}, {c.DOC_INDEX}, {ALTS},
- met AS (SELECT DISTINCT doc_id, jd_id, alt.term, weight FROM alt JOIN idx ON idx.term = wanted)
- SELECT doc_id, jd_id, count(*) AS n_met, CAST(sum(weight) AS DOUBLE) AS met_weight FROM met GROUP BY 1, 2""")
-def alternatives_match(t):
-    """Terms of one posting that share a four-letter stem stand in for each other."""
-    kw = c.bench_keywords(t)
-    stems = kw.withColumn("stem", F.left("term", F.lit(4)))
-    alt = stems.groupBy("jd_id", "stem").agg(F.collect_set("term").alias("alternatives"))
-    wanted = ar.unnest(stems.join(alt, ["jd_id", "stem"]), ["jd_id", "term", "weight"], F.col("alternatives"), "wanted")
-    index = bench_index(t, kw).withColumnRenamed("term", "wanted")
-    met = index.join(wanted, "wanted").select("doc_id", "jd_id", "term", "weight").distinct()
-    return met.groupBy("doc_id", "jd_id").agg(F.count("*").alias("n_met"), F.sum("weight").cast("double").alias("met_weight"))
-
-
 @query("resume_features", r"""WITH f AS (SELECT doc_id, text, lower(text) AS lo, len(list_filter(regexp_split_to_array(text, '[\s\x{a0}\x0b\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+'), lambda w: w <> '')) AS words FROM documents)
  SELECT doc_id, words AS word_count, regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}') AS has_email,
  len(list_filter(regexp_extract_all(text, '[\d()+][\d()+\s.-]{7,}\d'), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) BETWEEN 9 AND 15)) > 0 AS has_phone,
  regexp_matches(text, '(?i)(?:https?://|www\.)[^\s,;|]+|\b(?:linkedin|github|gitlab)\.com/[^\s,;|]+') AS has_links,
  array_to_string(list_filter([CASE WHEN NOT regexp_matches(lo, '\bexperience\b|\bemployment history\b') THEN 'experience' END, CASE WHEN NOT regexp_matches(lo, '\beducation\b|\bacademic background\b') THEN 'education' END,
-  CASE WHEN NOT regexp_matches(lo, '\bskills\b|\bcore competencies\b') THEN 'skills' END, CASE WHEN NOT regexp_matches(lo, '\b(summary|objective|profile)\b') THEN 'summary' END], lambda x: x IS NOT NULL), '|') AS sections_missing FROM f""")
+  CASE WHEN NOT regexp_matches(lo, '\bskills\b|\bcore competencies\b') THEN 'skills' END, CASE WHEN NOT regexp_matches(lo, '\b(summary|objective|profile)\b') THEN 'summary' END], lambda x: x IS NOT NULL), '|') AS sections_missing,
+ array_to_string(list_filter(['experience', 'education', 'skills', 'summary'], lambda x: NOT list_contains(string_split(sections_missing, '|'), x)), '|') AS sections_found,
+ array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?\s+(?:19|20)\d{2}\b') THEN 'Mon YYYY' END, CASE WHEN regexp_matches(text, '\b(?:0?[1-9]|1[0-2])/(?:19|20)\d{2}\b') THEN 'MM/YYYY' END,
+  CASE WHEN regexp_matches(text, '\b(?:19|20)\d{2}-(?:0?[1-9]|1[0-2])\b') THEN 'YYYY-MM' END], lambda x: x IS NOT NULL), '|') AS date_styles,
+ array_to_string(list_filter([CASE WHEN words < 100 THEN 'few words' END, CASE WHEN NOT has_email THEN 'no email' END, CASE WHEN NOT has_phone THEN 'no phone' END, CASE WHEN NOT has_links THEN 'no profile link' END,
+  CASE WHEN contains(date_styles, '|') THEN 'mixed date formats' END, CASE WHEN sections_missing <> '' THEN 'missing sections' END], lambda x: x IS NOT NULL), '|') AS warnings FROM f""")
 def resume_features(t):
     f = mt.document_features(t.documents, file_type=None)
-    return f.select("doc_id", "word_count", "has_email", "has_phone", "has_links", c.joined("sections_missing").alias("sections_missing"))
+    return f.select("doc_id", "word_count", "has_email", "has_phone", "has_links", *[c.joined(n).alias(n) for n in ("sections_missing", "sections_found", "date_styles", "warnings")])
 
 
 RES_FEATURES = f"""rf AS (SELECT candidate_id, file_type, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, regexp_matches(text, '[a-z0-9]+@example') AS em, len(list_filter(regexp_extract_all(text, '[\\d()+][\\d()+\\s.-]{{7,}}\\d'), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) BETWEEN 9 AND 15)) > 0 AS ph,
@@ -200,6 +188,16 @@ def matched_missing_terms(t):
     return pair_rows(t).select("candidate_id", "jd_id", F.array_join(lists(True), "|").alias("matched"), F.array_join(lists(False), "|").alias("missing"))
 
 
+@query("alternatives_match", f"""WITH {HELD}, own AS (SELECT pa.candidate_id, pa.jd_id, k40.term FROM ({D.PAIR}) pa JOIN k40 ON k40.jd_id = pa.jd_id JOIN held ON held.candidate_id = pa.candidate_id AND held.term = k40.term)
+ SELECT pa.candidate_id, pa.jd_id, count(met.term) AS n_met, count(met.term) FILTER (own.term IS NULL) AS n_by_alternative, CAST(coalesce(sum(k40.weight) FILTER (met.term IS NOT NULL), 0) AS DOUBLE) AS met_weight FROM ({D.PAIR}) pa LEFT JOIN k40 ON k40.jd_id = pa.jd_id
+  LEFT JOIN met ON met.candidate_id = pa.candidate_id AND met.jd_id = pa.jd_id AND met.term = k40.term LEFT JOIN own ON own.candidate_id = pa.candidate_id AND own.jd_id = pa.jd_id AND own.term = k40.term GROUP BY 1, 2""")
+def alternatives_match(t):
+    """Requirements that a document meets, by the term itself or by one that the posting lets stand in for it."""
+    model = c.posting_models(t)
+    edges = materialize(mt.alternative_edges(model), "edges")
+    return mt.met_keywords(c.pairs(t), model, edges, c.candidate_terms(t, model))
+
+
 @query("evaluate_searches", f"WITH {FOUND} SELECT candidate_id, jd_id, name, matched FROM hit")
 def evaluate_searches(t):
     found = ar.let(F.col("terms"), lambda h: mt.evaluated_searches(F.col("searches"), h))
