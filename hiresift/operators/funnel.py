@@ -13,6 +13,7 @@ from hiresift import vocab as V
 from hiresift.functions import arrays as ar
 from hiresift.functions import stats as st
 from hiresift.functions import text as tx
+from hiresift.session import materialize
 
 LAYERS = {"visibility": "visibility_score", "ats": "ats_score", "recruiter": "recruiter_score", "manager": "manager_score"}
 MIN_RESOLVED = 20
@@ -66,55 +67,64 @@ def close_ratio(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / longer.cast("double")
 
 
-def distinct_ints(column: DataFrame) -> list[int]:
-    """Distinct lengths of short strings: at most as many as the longest string has characters."""
-    return sorted(r[0] for r in column.distinct().collect())
-
-
-def name_windows(names: DataFrame, sizes: list[int]) -> DataFrame:
-    """(company, pos, piece): each name cut into windows of the given sizes."""
+def grams(names: DataFrame, name: str, sizes: tuple[int, ...]) -> DataFrame:
+    """(name, size, pos, gram): every run of 1, 2, ... letters of each name, with its place."""
     def cut(size: int) -> Column:
-        starts = F.when(F.length("company") >= size, F.sequence(F.lit(1), F.length("company") - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.substring(F.col("company"), i, F.lit(size)).alias("piece")))
+        n = F.length(name) - size + 1
+        starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), n))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos"), F.substring(F.col(name), i, F.lit(size)).alias("gram")))
 
-    none = F.array().cast("array<struct<pos:int,piece:string>>")
-    return ar.unpack(names, ["company"], F.concat(none, *[cut(n) for n in sizes]), "piece")
+    return ar.unpack(names, [name], F.concat(*[cut(n) for n in sizes]), "gram")
 
 
 def find_company(needles: DataFrame, names: DataFrame, *, cutoff: float = CLOSE_RATIO, top: int = 5) -> DataFrame:
     """(needle, company, how, ratio): substring hits, else up to five close spellings.
 
-    Names are matched once per distinct name.  Substring hits come from name fragments: every needle is looked
-    up as an equal-length window of the name, an equi-join on (length, window).  Close spellings are blocked by a
-    pigeonhole on pieces: a name within d edits of the needle shares one of the needle's d+1 pieces unchanged, so
-    blocking loses nothing above the cutoff.
+    Names are matched once per distinct name.  Both searches are prefix filters on an index of short grams: a needle
+    looks up only its rarest grams, so a gram that many names share is looked up when a needle has no better one.
     """
     q = needles.select(F.lower(tx.strip(F.col("needle"))).alias("needle")).where("needle <> ''").distinct()
     n = names.select(F.lower(tx.strip(F.col("company"))).alias("company")).where("company <> ''").distinct()
-    windows = name_windows(n, distinct_ints(q.select(F.length("needle")))).select("company", F.col("piece").alias("needle")).distinct()
-    hits = q.join(windows, "needle").select("needle", "company", F.lit("substring").alias("how"), F.lit(1.0).alias("ratio"))
+    index = materialize(grams(n, "company", (1, 2, 3)).select("company", "size", "pos", "gram", F.length("company").alias("letters")), "grams")
+    common = materialize(index.groupBy("gram").agg(F.count("*").alias("times")), "gram-counts")
+    hits = materialize(substrings(q, index, common), "company-hits")
     rest = q.join(hits.select("needle").distinct(), "needle", "left_anti")
-    close = close_spellings(rest, n, cutoff=cutoff)
+    close = close_spellings(rest, index, common, cutoff=cutoff)
     order = W.partitionBy("needle").orderBy(F.col("ratio").desc(), "company")
     best = close.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).drop("_r")
-    return hits.unionByName(best.withColumn("how", F.lit("close")))
+    whole = hits.select("needle", "company", F.lit("substring").alias("how"), F.lit(1.0).alias("ratio"))
+    return whole.unionByName(best.withColumn("how", F.lit("close")))
+
+
+def substrings(needles: DataFrame, index: DataFrame, common: DataFrame) -> DataFrame:
+    """(needle, company) where the needle stands in the name: met at the needle's rarest gram, then held against the name.
+
+    A needle with a gram that no name has is in none of them.
+    """
+    longest = F.least(F.lit(3), F.length("needle"))
+    own = grams(needles, "needle", (1, 2, 3)).where(F.col("size") == longest)
+    counted = own.join(common, "gram", "left").groupBy("needle").agg(
+        F.min_by("gram", F.struct(F.col("times"), F.col("gram"))).alias("gram"), F.count_if(F.col("times").isNull()).alias("unknown")).where("unknown = 0")
+    return counted.select("needle", "gram").join(index.select("gram", "company").distinct(), "gram").where(F.contains("company", F.col("needle"))).select("needle", "company")
 
 
-def close_spellings(needles: DataFrame, names: DataFrame, *, cutoff: float) -> DataFrame:
-    """(needle, company, ratio) with ratio >= cutoff, via shared pieces.
+def close_spellings(needles: DataFrame, index: DataFrame, common: DataFrame, *, cutoff: float) -> DataFrame:
+    """(needle, company, ratio) with ratio >= cutoff.
 
-    ratio >= c means at most (1-c)*longer edits, and longer <= len(needle)/c.  Cutting the needle into d+1 pieces
-    for that bound d, one piece survives inside the name, shifted by at most d.
+    A ratio >= c allows at most (1 - c) * longer edits, and the longer has at most len(needle) / c letters: d edits.
+    An edit spoils at most q grams of q letters, so of any q * d + 1 of the needle's grams one stands unspoilt in the
+    name, no more than d places off.  The rarest q * d + 1 are looked up: pairs of letters where the needle has that
+    many, else single letters, of which there are always d + 1.  Names of other lengths than d allows are left out.
     """
-    bound = F.floor((1 - cutoff) * F.length("needle") / F.lit(cutoff)).cast("int")
-    pieces = F.least(bound + 1, F.length("needle"))
-    cut = needles.withColumn("d", bound).withColumn("p", pieces).select("needle", "d", F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(
-            (F.floor(i * F.length("needle") / F.col("p")) + 1).cast("int").alias("at"),
-            (F.floor((i + 1) * F.length("needle") / F.col("p")) - F.floor(i * F.length("needle") / F.col("p"))).cast("int").alias("len")))).alias("s")).select(
-        "needle", "d", "s.at", "s.len", F.substring(F.col("needle"), F.col("s.at"), F.col("s.len")).alias("piece"))
-    grams = name_windows(names, distinct_ints(cut.select("len")))
-    pairs = cut.join(grams, "piece").where(F.abs(F.col("pos") - F.col("at")) <= F.col("d")).select("needle", "company").distinct()
+    letters = F.length("needle")
+    d = F.floor((1 - cutoff) * letters / F.lit(cutoff) + F.lit(1e-9)).cast("int")
+    size = F.when(letters - 1 >= 2 * d + 1, 2).otherwise(1)
+    own = grams(needles, "needle", (1, 2)).withColumns({"d": d, "wanted": size}).where("size = wanted")
+    rare = W.partitionBy("needle").orderBy(F.coalesce("times", F.lit(0)), "gram", "pos")
+    probe = own.join(common, "gram", "left").withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= F.col("size") * F.col("d") + 1)
+    met = probe.select("needle", "gram", "size", "d", F.col("pos").alias("at")).join(index, ["gram", "size"]).where(
+        (F.abs(F.col("pos") - F.col("at")) <= F.col("d")) & (F.abs(F.col("letters") - F.length("needle")) <= F.col("d")))
+    pairs = met.select("needle", "company").distinct()
     return pairs.withColumn("ratio", close_ratio(F.col("needle"), F.col("company"))).where(F.col("ratio") >= cutoff)
 
 

@@ -333,12 +333,15 @@ def answer_findings(answers: DataFrame, key: list[str], answer: str = "answer")
 
 # ------------------------------------------------------------------ full report
 
+NOTES = {"fit_score": "fit not scored: formatting and keywords only", "rubric_score": "rubric not scored", "recruiter_score": "no screen of this pair"}
+
+
 def score_report(pairs: DataFrame, model: DataFrame, documents: DataFrame, *, doc: str = "candidate_id",
-                 answers: DataFrame | None = None) -> DataFrame:
-    """One row per pair with every measured layer and its band.
+                 answers: DataFrame | None = None, screened: DataFrame | None = None) -> DataFrame:
+    """One row per pair with every measured layer, its band, and a note for each layer that is missing.
 
-    `documents` carries the feature columns, `terms`, and optionally `recruiter_score`; `answers` carries
-    `fit` and `rubric` answers as VARIANT columns.
+    `documents` carries the feature columns and `terms`; `answers` carries `fit` and `rubric` answers as VARIANT
+    columns; `screened` is the screen's scores of the pairs (criteria_met_pct, resume_pct, candidacy_pct).
     """
     rows = paired(pairs, model, documents, doc=doc)
     if answers is not None:
@@ -346,14 +349,22 @@ def score_report(pairs: DataFrame, model: DataFrame, documents: DataFrame, *, do
         rows = rows.withColumn("fit_score", fit_score(F.col("fit"))).withColumn("rubric_score", rubric_score(F.col("rubric")))
     else:
         rows = rows.withColumn("fit_score", F.lit(None).cast("int")).withColumn("rubric_score", F.lit(None).cast("int"))
+    layers = ("criteria_met_pct", "resume_pct", "candidacy_pct")
+    if screened is not None:
+        rows = rows.join(screened.select(doc, "jd_id", *layers), [doc, "jd_id"], "left")
+    else:
+        rows = rows.withColumns({c: F.lit(None).cast("double") for c in layers})
     held = F.col("terms")
     scored = rows.select(
         doc, "jd_id", ar.let(held, lambda h: keyword_score(F.col("keywords"), h)).alias("keyword_score"),
         ar.let(held, lambda h: visibility_score(F.col("searches"), h)).alias("visibility_score"),
         F.size("searches").alias("n_searches"), formatting_score().alias("formatting_score"), parse_safe().alias("parse_safe"),
-        "fit_score", "rubric_score", F.when(F.col("title") != "", F.array_contains(held, F.col("title"))).alias("title_found"))
+        "fit_score", "rubric_score", F.col("criteria_met_pct").alias("recruiter_score"), "resume_pct", "candidacy_pct",
+        F.when(F.col("title") != "", F.array_contains(held, F.col("title"))).alias("title_found"))
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(note)) for c, note in NOTES.items()]))
     return scored.withColumn(
         "composite_score", composite(F.col("formatting_score"), F.col("keyword_score"), F.col("fit_score"))).withColumn(
         "visibility_band", tx.score_band(F.col("visibility_score"))).withColumn(
         "composite_band", tx.score_band(F.col("composite_score"))).withColumn(
-        "rubric_band", tx.score_band(F.col("rubric_score")))
+        "recruiter_band", tx.score_band(F.col("recruiter_score"))).withColumn(
+        "rubric_band", tx.score_band(F.col("rubric_score"))).withColumn("notes", missing)

@@ -12,11 +12,14 @@ from hiresift.operators import match as mt
 from hiresift.operators import ranking as rk
 from hiresift.plans import common as c
 from hiresift.plans import derived as D
+from hiresift.operators import screen as sc
 from hiresift.plans.q_extract import LISTS, OFFERS
+from hiresift.plans.q_screen import ORACLES as SCREEN_ORACLES
 from hiresift.plans.q_text import BAND, TITLE_LINES, TITLE_SQL
 from hiresift.session import materialize
 
 QUERIES, ORACLES = {}, {}
+SCREEN_SQL = SCREEN_ORACLES["screen_scores"]
 
 
 def query(name, oracle=None):
@@ -247,16 +250,28 @@ def rubric_score(t):
 NEAR = "(n // 100 + CASE WHEN n % 100 > 50 OR (n % 100 = 50 AND (n // 100) % 2 = 1) THEN 1 ELSE 0 END) / 10.0"
 
 
+FIT_ANSWER = """CASE WHEN (candidate_id + jd_id) % 3 = 0 THEN '{"semantic_score": ' || CAST((candidate_id * 7 + jd_id) % 101 AS STRING) || '}' END"""
+RUBRIC_ANSWER = """CASE WHEN (candidate_id + jd_id) % 4 < 2 THEN '{"quantification": ' || CAST(jd_id % 101 AS STRING) || ', "outcome_focus": ' || CAST(candidate_id % 101 AS STRING) || ', "evidence_backing": 40}' END"""
+
+
 @query("score_report", f"""WITH {VISIBLE}, {RES_FEATURES}, ks AS (SELECT pa.candidate_id, pa.jd_id, round_even(CAST(coalesce(sum(weight) FILTER (met.term IS NOT NULL), 0) AS DOUBLE) / CAST(sum(weight) AS DOUBLE) * 100, 1) AS keyword_score
   FROM ({D.PAIR}) pa JOIN k40 ON k40.jd_id = pa.jd_id LEFT JOIN met ON met.candidate_id = pa.candidate_id AND met.jd_id = pa.jd_id AND met.term = k40.term GROUP BY 1, 2),
- al2 AS (SELECT vt.*, coalesce(keyword_score, 0.0) AS keyword_score, fs AS formatting_score, safe AS parse_safe, CAST(fs * 250 + round(coalesce(keyword_score, 0) * 10) * 75 AS BIGINT) AS n FROM vt LEFT JOIN ks ON ks.candidate_id = vt.candidate_id AND ks.jd_id = vt.jd_id JOIN rs ON rs.candidate_id = vt.candidate_id),
- al3 AS (SELECT *, {NEAR} AS composite_score FROM al2)
- SELECT candidate_id, jd_id, keyword_score, visibility_score, n_searches, formatting_score, parse_safe, title_found, composite_score, {BAND.format(s='visibility_score')} AS visibility_band, {BAND.format(s='composite_score')} AS composite_band FROM al3""")
+ al2 AS (SELECT vt.*, coalesce(keyword_score, 0.0) AS keyword_score, fs AS formatting_score, safe AS parse_safe, CASE WHEN (vt.candidate_id + vt.jd_id) % 3 = 0 THEN (vt.candidate_id * 7 + vt.jd_id) % 101 END AS fit_score,
+  CASE WHEN (vt.candidate_id + vt.jd_id) % 4 < 2 THEN round_even((20 * (vt.jd_id % 101) + 20 * (vt.candidate_id % 101) + 800) / 60.0::DOUBLE, 0) END AS rubric_score FROM vt LEFT JOIN ks ON ks.candidate_id = vt.candidate_id AND ks.jd_id = vt.jd_id JOIN rs ON rs.candidate_id = vt.candidate_id),
+ al3 AS (SELECT *, {NEAR} AS composite_score FROM (SELECT *, CAST(CASE WHEN fit_score IS NULL THEN formatting_score * 250 + round(keyword_score * 10) * 75 ELSE formatting_score * 150 + round(keyword_score * 10) * 40 + fit_score * 450 END AS BIGINT) AS n FROM al2))
+ SELECT al3.candidate_id, al3.jd_id, keyword_score, visibility_score, n_searches, formatting_score, parse_safe, title_found, fit_score, rubric_score, composite_score, criteria_met_pct AS recruiter_score, resume_pct, candidacy_pct,
+  {BAND.format(s='visibility_score')} AS visibility_band, {BAND.format(s='composite_score')} AS composite_band, {BAND.format(s='criteria_met_pct')} AS recruiter_band, {BAND.format(s='rubric_score')} AS rubric_band,
+  array_to_string(list_filter([CASE WHEN fit_score IS NULL THEN '{mt.NOTES['fit_score']}' END, CASE WHEN rubric_score IS NULL THEN '{mt.NOTES['rubric_score']}' END], lambda x: x IS NOT NULL), '; ') AS notes
+ FROM al3 JOIN ({SCREEN_SQL}) sq ON sq.candidate_id = al3.candidate_id AND sq.jd_id = al3.jd_id""")
 def score_report(t):
+    """Every layer: searches, keywords, formatting, the screen, and answers where a pair has them."""
     model = c.posting_models(t)
     features = mt.document_features(c.resumes(t)).drop("text")
     docs = c.candidate_terms(t, model).join(features, "candidate_id")
-    return mt.score_report(c.pairs(t), model, docs).drop("fit_score", "rubric_score", "rubric_band")
+    pairs = c.pairs(t)
+    answers = pairs.select("candidate_id", "jd_id", F.try_parse_json(F.expr(FIT_ANSWER)).alias("fit"), F.try_parse_json(F.expr(RUBRIC_ANSWER)).alias("rubric"))
+    report = mt.score_report(pairs, model, docs, answers=answers, screened=sc.screen_scores(c.screened(t)))
+    return report.withColumn("notes", c.joined("notes", "; "))
 
 
 FINDINGS = f"""SELECT o_orderkey AS id, {D.pick('o_orderkey', ('{"weak_bullets": [{"bullet": "b1", "problem": "p1", "rewrite": "r1"}, "junk", {"bullet": "b2"}], "interview_risks": ["a", "b", "c", "d", "e"]}', '{"strengths": ["s1"], "gaps": ["g1", "g2"], "reworded_matches": []}', '{"gaps": "none"}', 'broken'))} AS raw FROM orders"""

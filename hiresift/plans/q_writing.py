@@ -34,7 +34,7 @@ def records_sql(text):
         return f"(regexp_matches({x}, '^\\p{{Lu}}') AND {words} <= 4 AND regexp_matches(after, '{wr.BULLET}') AND NOT regexp_matches({above}, '{wr.CONNECTOR}'))"
 
     by = "PARTITION BY candidate_id ORDER BY line_no"
-    return f"""l0 AS (SELECT candidate_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM ({text})),
+    return rf"""l0 AS (SELECT candidate_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM ({text})),
  l1 AS (SELECT *, trim(raw, {c.WS}) AS line, coalesce(lag(raw) OVER ({by}), '') AS before, coalesce(lead(raw) OVER ({by}), '') AS after FROM l0),
  l2 AS (SELECT *, line = '' AS blank, regexp_matches(line, '{wr.SKILLS_HEADING}') AS skills, regexp_matches(line, '{wr.SKILLS_HEADING}') OR regexp_matches(line, '{wr.OTHER_HEADING}') AS heading FROM l1),
  l3 AS (SELECT *, coalesce(last_value(CASE WHEN skills THEN 1 WHEN heading THEN 0 END IGNORE NULLS) OVER ({by} ROWS UNBOUNDED PRECEDING), 0) = 1 AS in_skills FROM l2),

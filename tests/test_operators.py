@@ -81,7 +81,8 @@ def test_close_spellings_equal_brute_force(spark):
         return row[-1]
 
     want = {(a, b) for a in needles for b in names if 1 - distance(a, b) / max(len(a), len(b)) >= 0.75}
-    got = fn.close_spellings(spark.createDataFrame([(n,) for n in needles], "needle string"), spark.createDataFrame([(n,) for n in names], "company string"), cutoff=0.75)
+    index = fn.grams(spark.createDataFrame([(n,) for n in names], "company string"), "company", (1, 2, 3)).withColumn("letters", F.length("company"))
+    got = fn.close_spellings(spark.createDataFrame([(n,) for n in needles], "needle string"), index, index.groupBy("gram").agg(F.count("*").alias("times")), cutoff=0.75)
     assert {(r.needle, r.company) for r in got.collect()} == want and want
 
 
@@ -161,3 +162,44 @@ def test_correlation_needs_points_and_variance(spark):
     df = spark.createDataFrame(rows, "layer string, score double, outcome string")
     got = [r.layer for r in fn.summarize_correlation(df.groupBy("layer")).collect()]
     assert got == ["good"]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_companies_are_found_as_by_comparing_every_pair(spark):
+    rng = random.Random(11)
+    names = sorted({"".join(rng.choice("aab") for _ in range(rng.randint(1, 12))) for _ in range(120)} | {"acme traders", "acme trading", "ab"})
+    needles = sorted({n[rng.randint(0, 2):] for n in names[:40]} | {n.replace("b", "c", 1) for n in names[40:90]} | {"acme tradxrs", "a", "", "zzzz"})
+    frame = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    got = {(r.needle, r.company, r.how) for r in fn.find_company(frame(needles, "needle"), frame(names, "company"), top=1000).collect()}
+    want = set()
+    for q in filter(None, needles):
+        inside = {(q, n, "substring") for n in names if q in n}
+        want |= inside or {(q, n, "close") for n in names if 1 - edits(q, n) / max(len(q), len(n)) >= 0.75}
+    assert got == want
+
+
+def test_nothing_is_rated_before_enough_outcomes(spark):
+    columns = "app_id int, outcome string, visibility_score double, ats_score double, recruiter_score double, manager_score double, days_after_posting int, components string"
+    rows = [(i, "offer" if i % 2 else "ghosted", float(i), float(i), 50.0 + i, None, i, '{"keyword_score": ' + str(i) + "}") for i in range(25)]
+    for n, some in ((25, True), (19, False)):
+        apps = spark.createDataFrame(rows[:n], columns)
+        found = [fn.conversion_by_band(apps), fn.score_outcome_correlation(apps), fn.component_ranking(apps), fn.apply_timing(apps)]
+        assert [(f.count() > 0) for f in found] == [some] * 4
+
+
+def test_alternatives_stand_in_one_way(spark):
+    model = mt.posting_model(posting(spark))
+    edges = {(r.term, r.alternative) for r in mt.alternative_edges(model).collect()}
+    assert ("crm", "salesforce") in edges and ("salesforce", "crm") not in edges and ("power bi", "tableau") in edges
+    docs = spark.createDataFrame([(1, ["salesforce"]), (2, ["crm"]), (3, [])], "candidate_id int, terms array<string>")
+    pairs = spark.createDataFrame([(c, 1) for c in (1, 2, 3)], "candidate_id int, jd_id int")
+    met = {r.candidate_id: (r.n_met, r.n_by_alternative) for r in mt.met_keywords(pairs, model, mt.alternative_edges(model), docs).collect()}
+    assert met == {1: (4, 3), 2: (1, 0), 3: (0, 0)}
