@@ -9,6 +9,9 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from pyspark.sql import Observation  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
 from hiresift.plans import registry  # noqa: E402
 from hiresift.session import local_session  # noqa: E402
 
@@ -24,12 +27,13 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = local_session(cpus, "hiresift-bench")
     spark.range(1000).selectExpr("sum(id)").collect()
-    timings = {}
+    timings, rows = {}, {}
     for key in HEADLINE:
         start = time.time()
-        registry.run(key, spark, sf_dir).write.format("noop").mode("overwrite").save()
-        timings[key] = round(time.time() - start, 3)
-    print(json.dumps({"metric": "headline_total", "value": round(sum(timings.values()), 3), "unit": "sec", "queries": timings, "sf": sf_dir.rsplit("sf", 1)[-1]}))
+        seen = Observation(key)
+        registry.run(key, spark, sf_dir).observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+        timings[key], rows[key] = round(time.time() - start, 3), seen.get["rows"]
+    print(json.dumps({"metric": "headline_total", "value": round(sum(timings.values()), 3), "unit": "sec", "queries": timings, "rows": rows, "sf": sf_dir.rsplit("sf", 1)[-1]}))
 
 
 if __name__ == "__main__":

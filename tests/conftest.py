@@ -13,7 +13,7 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 def spark():
     from hiresift.session import local_session
 
-    return local_session(4, "hiresift-tests")
+    return local_session(8, "hiresift-tests")
 
 
 @pytest.fixture(scope="session")
