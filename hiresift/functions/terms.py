@@ -95,6 +95,7 @@ def term_in(term: Column, haystack: Column) -> Column:
 # ------------------------------------------------------------------ inverted index
 
 RUN = "[a-z0-9]+"
+MAX_JOINTS = 1000
 MARK, STAND_IN = "\x01", "\x02"
 PARTS = r"(?s)^([^a-z0-9]*)(.*?)([^a-z0-9]*)$"
 
@@ -102,24 +103,27 @@ PARTS = r"(?s)^([^a-z0-9]*)(.*?)([^a-z0-9]*)$"
 @dataclass(frozen=True)
 class Shape:
     """What a vocabulary asks of the index: its longest term in words, the longest gap between two words of a
-    term, and whether any term starts or ends with symbols ("c++", ".net core")."""
+    term, whether any term starts or ends with symbols ("c++", ".net core"), and, where they are few, what stands
+    between the words of its terms: spans with anything else between their words are in no term."""
 
     words: int = 1
     gap: int = 0
     symbols: bool = False
+    joints: tuple[str, ...] | None = None
 
 
 PLAIN_WORDS = Shape()
 
 
 def shape_of(vocabulary: DataFrame, term: str = "term") -> Shape:
-    """One small aggregate over the vocabulary, so that the index covers every term in it and no more."""
+    """Two small aggregates over the vocabulary, so that the index covers every term in it and no more."""
     core = F.regexp_extract(F.col(term), PARTS, 2)
     inner = F.filter(F.split(core, RUN, -1), lambda g: g != "")
+    joints = vocabulary.select(F.array_join(inner, MARK).alias("j")).where("j <> ''").distinct().limit(MAX_JOINTS + 1).collect()
     row = vocabulary.agg(
         F.max(F.size(tx.find_all(F.col(term), RUN))).alias("words"), F.max(F.array_max(F.transform(inner, F.length))).alias("gap"),
         F.bool_or(core != F.col(term)).alias("symbols")).first()
-    return Shape(row.words or 1, row.gap or 0, bool(row.symbols))
+    return Shape(row.words or 1, row.gap or 0, bool(row.symbols), tuple(sorted(r.j for r in joints)) if len(joints) <= MAX_JOINTS else None)
 
 
 def spans(haystack: Column, shape: Shape) -> Column:
@@ -136,7 +140,8 @@ def spans(haystack: Column, shape: Shape) -> Column:
         runs, gaps = p["runs"], p["gaps"]
         # blank gaps say nothing about symbols: folding them lets repeats collapse
         folded = F.transform(gaps, lambda g: F.when(tx.strip(g) == "", F.lit(" ")).otherwise(g)) if shape.symbols else gaps
-        return ar.let(folded, lambda fs: F.flatten(F.array(*[_window(runs, gaps, fs, n, shape) for n in range(1, shape.words + 1)])))
+        sizes = [n for n in range(1, shape.words + 1) if n == 1 or shape.joints is None or any(j.count(MARK) == n - 2 for j in shape.joints)]
+        return ar.let(folded, lambda fs: F.flatten(F.array(*[_window(runs, gaps, fs, n, shape) for n in sizes])))
 
     return F.array_distinct(ar.let(pieces, build))
 
@@ -148,6 +153,9 @@ def _window(runs: Column, gaps: Column, folded: Column, n: int, shape: Shape) ->
             gap = F.get(gaps, i + step)
             body += [F.when(F.length(gap) <= shape.gap, gap), F.get(runs, i + step)]
         span = F.concat(*body) if n > 1 else run
+        if n > 1 and shape.joints is not None:
+            between = [x for step in range(1, n) for x in (F.get(gaps, i + step), F.lit(MARK))][:-1]
+            span = F.when(tx.among(F.concat(*between) if n > 2 else between[0], [j for j in shape.joints if j.count(MARK) == n - 2]), span)
         if not shape.symbols:
             return span
         after = F.get(folded, i + n)
@@ -180,9 +188,9 @@ def term_index(docs: DataFrame, key: list[str], haystack: Column, vocabulary: Da
     rows = ar.unnest(docs, key, spans(haystack, shape), "span")
     skeleton = with_skeleton(vocabulary)
     if shape.symbols:
-        field = lambda i: F.get(F.split(F.col("_s"), MARK, -1), i)
-        rows = rows.withColumnRenamed("span", "_s").select(
-            *key, field(0).alias("span"), field(1).alias("before"), field(2).alias("after"), field(3).alias("next_word"))
+        # met by the word span alone; what stands around it is read from the rows that met a term
+        met = rows.withColumnRenamed("span", "_s").withColumn("span", F.substring_index("_s", MARK, 1)).join(skeleton, "span")
+        around = met.withColumn("_a", F.split("_s", MARK, -1)).withColumns({n: F.get("_a", i) for i, n in ((1, "before"), (2, "after"), (3, "next_word"))})
         opens = F.col("before").startswith("^")
         before = F.regexp_replace("before", r"^\^", "")
         clean_lead = (F.col("lead") == "") | (
@@ -190,7 +198,7 @@ def term_index(docs: DataFrame, key: list[str], haystack: Column, vocabulary: Da
         clean_trail = (F.col("trail") == "") | (
             F.col("after").startswith(F.col("trail"))
             & ((F.col("after") != F.col("trail")) | (F.col("next_word") == "") | (F.col("foldable") & (F.col("next_word") == "s"))))
-        hit = rows.join(skeleton, "span").where(clean_lead & clean_trail)
+        hit = around.where(clean_lead & clean_trail)
     else:
         hit = rows.join(skeleton.select("span", "term"), "span")
     # one shuffle by document: the distinct here, and any per-document aggregate or window after it, reuse it
