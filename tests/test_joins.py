@@ -36,3 +36,31 @@ def test_keywords_of_all_postings_are_never_broadcast(spark, tables):
     found = gr.learned_candidates(skills, keywords)
     assert "Broadcast" not in plan(found)
     assert [tuple(r) for r in found.collect()] == [("gardening", 1, "q")]
+
+
+def test_pairs_move_twice_and_carry_no_lines(spark):
+    from hiresift.operators import requirements as rq
+    from hiresift.operators import screen as sc
+    from hiresift.sources import profiles as pf
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        postings = spark.createDataFrame([(1, "Data Analyst\nRequirements:\n- 5+ years of SQL\n- PMP required\n- Fully remote")], "jd_id long, jd_text string")
+        fields = ("years_experience current_title education_level certifications location open_to_relocation acceptable_work_modes work_authorization "
+                  "work_authorized_in notice_period_days expected_salary_min expected_salary_max salary_currency").split()
+        raw = spark.createDataFrame([(7, "2", *[""] * (len(fields) - 1))], "candidate_id long, " + ", ".join(f"{n} string" for n in fields))
+        pairs = spark.createDataFrame([(7, 1)], "candidate_id long, jd_id long")
+        facts = sc.resume_facts(spark.createDataFrame([(7, "SQL and a PMP")], "candidate_id long, text string"), 24000)
+        must = spark.createDataFrame([(1, ["sql"])], "jd_id long, must_have array<string>")
+        asked, people = rq.jd_requirements(postings), pf.coerce_profiles(raw)
+        cited, bare = (sc.screen(pairs, people, asked, facts, must_have=must, cited=flag) for flag in (True, False))
+        scores = sc.screen_scores(bare)
+        assert [tuple(r) for r in scores.collect()] == [tuple(r) for r in sc.screen_scores(cited).collect()]
+        checks = {c.name: c for c in bare.first().checks}
+        assert checks["Certification: PMP"].status == "pass" and checks["Years of experience"].status == "fail"
+        assert not any(c.citation for c in checks.values()) and any(c.citation for c in cited.first().checks)
+        depth = [len(x) - len(x.lstrip(" :+-")) for x in plan(scores).splitlines() if "Exchange hashpartitioning(jd_id" in x]
+        top = min(len(x) - len(x.lstrip(" :+-")) for x in plan(scores).splitlines() if "Exchange hashpartitioning(candidate_id" in x)
+        assert top < min(depth), "pairs are dealt by candidate last, and once"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
