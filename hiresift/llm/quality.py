@@ -1,8 +1,9 @@
 """Quality by Bradley-Terry ranking: a document beats another with the logistic of the difference of their scores.
 
 Preference pairs join a document marked 1 with one marked 0; weights come from logistic loss on feature differences, so
-only what tells the two apart matters and no class prior enters.  The scores' quantile that separates the marked rows
-best becomes the threshold.  Features are shares and ratios of the whole text, the same in any language.
+only what tells the two apart matters and no class prior enters.  Every labelled document takes part: documents are dealt
+to groups that hold both classes, pairs are formed inside a group, and Newton's steps add the groups' sums up.  The quantile
+of all labelled documents' scores that separates them best becomes the threshold.  Features are shares and ratios of the whole text, the same in any language.
 """
 from __future__ import annotations
 
@@ -16,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiresift.llm.common import by_arrow, columns, keep_rows, small_batches, text_of
-from hiresift.llm.training import labelled_sample, remainder
+from hiresift.llm.common import by_arrow, columns, keep_rows, small_batches, text_of, written
+from hiresift.llm.training import known_labels, labelled_rows, remainder
 
-MAX_ROWS = 20_000
-MAX_PAIRS = 100_000
+GROUP = 2048  # rows of the larger class in a group, on average
+FEW = 32  # rows of the smaller class in a group, at least and on average
 SYMBOL = re.compile(r"[^\w\s]")
 ODD = re.compile(r"[^\w\s.,;:?'’\"()-]")
 FEATURES = ("words", "upper", "symbols", "odd symbols", "word length", "digits", "repeats", "distinct", "top word", "short words", "sentence ends", "repeated lines", "not ascii", "single symbols", "empty")
@@ -67,55 +68,127 @@ def with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
     return by_arrow(docs.select(*dict.fromkeys([*keep, "text"])), apply, f"{kept}, x array<double>")
 
 
-def fit_pairs(better: np.ndarray, worse: np.ndarray, max_pairs: int, ridge: float = 1e-3, rounds: int = 25) -> np.ndarray:
-    """Bradley-Terry weights by Newton's method on the logistic loss of better minus worse.
-
-    Every row takes part in max_pairs / rows pairs or so: the partners come from a generator with a fixed seed.
-    """
-    rng = np.random.default_rng(7)
-    n = min(max_pairs, 4 * max(len(better), len(worse)))
+def grouped(data: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """(group, y, x): each row of the larger class in one group; rows of the smaller class in as many as it takes for both to meet."""
+    large = max(counts, key=lambda y: (counts[y], y))
+    groups = -(-counts[large] // GROUP)
+    copies = min(groups, max(1, -(-FEW * groups // counts[1 - large])))
+    place = F.when(F.col("y") == large, F.sequence(F.lit(0), F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(copies - 1)))
+    dealt = data.withColumn("_at", F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    dealt = dealt.select("y", "x", "_at", F.explode(place).alias("_copy"))
+    dealt = dealt.withColumn("group", F.pmod(F.pmod("_at", F.lit(groups)) + F.col("_copy"), F.lit(groups)))
+    return dealt.repartition("group").sortWithinPartitions("group", "_at").select("group", "y", "x")
+
+
+def pairs_of(group: int, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Better minus worse for pairs of a group: every row takes part, with partners from a generator with a fixed seed."""
+    rng = np.random.default_rng((7, group))
+    better, worse = z[y == 1], z[y == 0]
+    if not len(better) or not len(worse):
+        return np.zeros((0, z.shape[1]))
+    n = 4 * max(len(better), len(worse))
     i = np.concatenate([rng.permutation(len(better)) for _ in range(-(-n // len(better)))])[:n]
     j = np.concatenate([rng.permutation(len(worse)) for _ in range(-(-n // len(worse)))])[:n]
-    d = better[i] - worse[j]
-    w = np.zeros(d.shape[1])
+    return better[i] - worse[j]
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, y, x) of sorted rows, one group at a time."""
+    now, ys, xs = None, [], []
+    for batch in batches:
+        group, y = batch.column("group").to_numpy(), batch.column("y").to_numpy()
+        x = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if lo == hi:
+                continue
+            if ys and group[lo] != now:
+                yield now, np.concatenate(ys), np.concatenate(xs)
+                ys, xs = [], []
+            now = int(group[lo])
+            ys.append(y[lo:hi])
+            xs.append(x[lo:hi])
+    if ys:
+        yield now, np.concatenate(ys), np.concatenate(xs)
+
+
+def fit_pairs(groups: DataFrame, mean: np.ndarray, spread: np.ndarray, ridge: float = 1e-3, rounds: int = 25) -> np.ndarray:
+    """Bradley-Terry weights by Newton's method on the logistic loss of better minus worse, summed over all groups.
+
+    A round is one pass over the groups; a task leaves one row with its sums.
+    """
+    k = len(mean)
+    w = np.zeros(k)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -40, 40)))
-        gradient = d.T @ (1 - p) / n - ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / n + ridge * np.eye(len(w))
-        move = np.linalg.solve(hessian, gradient)
-        w += move
+        def sums(batches: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            n, gradient, hessian = 0, np.zeros(k), np.zeros((k, k))
+            for group, y, x in groups_of(batches):
+                d = pairs_of(group, y, (x - mean) / spread)
+                p = 1 / (1 + np.exp(-np.clip(d @ w, -40, 40)))
+                n, gradient, hessian = n + len(d), gradient + d.T @ (1 - p), hessian + (d * (p * (1 - p))[:, None]).T @ d
+            yield pa.RecordBatch.from_pydict({"n": [n], "sums": pa.array([[*gradient, *hessian.ravel()]], pa.list_(pa.float64()))})
+
+        parts = sorted(tuple(r) for r in by_arrow(groups, sums, "n long, sums array<double>").collect())
+        n, total = sum(p[0] for p in parts), np.sum([p[1] for p in parts], axis=0)
+        move = np.linalg.solve(total[k:].reshape(k, k) / n + ridge * np.eye(k), total[:k] / n - ridge * w)
+        w = w + move
         if np.abs(move).max() < 1e-6:
             break
     return w
 
 
-def quantile_threshold(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The midpoint after the score quantile under which fewest marked rows stand on the wrong side."""
-    order = np.argsort(scores, kind="stable")
-    s, good, w = scores[order], y[order], weight[order]
-    wrong = np.cumsum(np.where(good > 0, w, -w)) + w[good == 0].sum()  # rows up to here are rejected
-    ends = np.append(s[1:] > s[:-1], True)
-    best = np.flatnonzero(ends)[np.argmin(wrong[ends])]
-    return float((s[best] + s[min(best + 1, len(s) - 1)]) / 2)
+def quantile_threshold(scored: DataFrame) -> float:
+    """The midpoint after the score quantile under which fewest marked rows stand on the wrong side; `scored` is (s, y).
 
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int | None = 4, held_out: int | None = 2, max_rows: int = MAX_ROWS, max_pairs: int = MAX_PAIRS) -> QualityModel:
-    """Fit on at most `max_rows` labelled documents and `max_pairs` pairs; only their feature rows reach the driver.
+    Scores are dealt by ranges; a range leaves its first score, what it adds to the errors, and its own best place.
+    """
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        added, first, least = 0, None, None
+        for batch in batches:
+            for now, change in zip(batch.column("s").to_pylist(), batch.column("change").to_pylist(), strict=True):
+                if least is not None and least[2] is None:
+                    least = (*least[:2], now)
+                first = now if first is None else first
+                added += change
+                if least is None or added < least[0]:
+                    least = (added, now, None)
+        if first is not None:
+            yield pa.RecordBatch.from_pydict({"first": [first], "added": pa.array([added], pa.int64()), "least": pa.array([least[0]], pa.int64()), "at": [least[1]], "next": pa.array([least[2]], pa.float64())})
+
+    steps = scored.groupBy("s").agg(F.sum(F.when(F.col("y") > 0, 1).otherwise(-1)).alias("change"))
+    dealt = steps.repartitionByRange("s").sortWithinPartitions("s")
+    parts = sorted(tuple(r) for r in by_arrow(dealt, best, "first double, added long, least long, at double, next double").collect())
+    before, found = 0, None
+    for i, (_, added, least, at, after) in enumerate(parts):
+        if found is None or before + least < found[0]:
+            follows = after if after is not None else parts[i + 1][0] if i + 1 < len(parts) else at
+            found = (before + least, (at + follows) / 2)
+        before += added
+    return found[1]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int | None = 4, held_out: int | None = 2) -> QualityModel:
+    """Fit on every labelled document; only sums reach the driver.
 
     Without labels of both classes every document gets the one label there is (1 without any).
     """
-    rows, totals = labelled_sample(docs, labels, label, max_rows, modulus, held_out)
-    data = with_features(rows, ["y"]).collect() if len(totals) == 2 else []
-    y = np.array([r["y"] for r in data], float)
-    if not data or y.min() == y.max():
-        k = len(FEATURES)
-        return QualityModel(np.zeros(k), np.ones(k), np.zeros(k), 20.0 if set(totals) == {0} else -20.0)
-    x = np.array([r["x"] for r in data])
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = (x - mean) / spread
-    w = fit_pairs(z[y == 1], z[y == 0], max_pairs)
-    weight = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
-    return QualityModel(mean, spread, w, quantile_threshold(z @ w, y, weight))
+    known = known_labels(labels, label, modulus, held_out)
+    data = written(with_features(labelled_rows(docs, known), ["doc_id", "y"]), f"features-{label}")
+    counts = {int(r["y"]): int(r["count"]) for r in data.groupBy("y").count().collect()}
+    k = len(FEATURES)
+    if len(counts) < 2:
+        totals = {int(r["y"]) for r in known.select("y").distinct().collect()}
+        return QualityModel(np.zeros(k), np.ones(k), np.zeros(k), 20.0 if totals == {0} else -20.0)
+    facts = data.agg(*[f(F.get("x", F.lit(i))) for f in (F.avg, F.stddev_pop) for i in range(k)]).first()
+    mean, spread = np.array(facts[:k]), np.array(facts[k:]) + 1e-6
+    w = fit_pairs(written(grouped(data, counts), f"groups-{label}"), mean, spread)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, k)
+            yield pa.RecordBatch.from_pydict({"s": ((x - mean) / spread * w).sum(axis=1), "y": batch.column("y")})
+
+    return QualityModel(mean, spread, w, quantile_threshold(by_arrow(data.select("x", "y"), scores, "s double, y int")))
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str], threshold: float = 0.7) -> DataFrame:
