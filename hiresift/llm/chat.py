@@ -131,38 +131,33 @@ def format_chunks(rows: DataFrame, template: Template = chatml, learnt: str = "a
     """The same as format_chats as rows of a few turns, for a template that appends: conv_id, part, chunk, start, formatted, turns, loss.
 
     Rows are dealt by ranges of (conv_id, turn, role, text), so that a long conversation is spread over tasks, and none
-    holds more than a chunk.  `start` counts from the conversation's first character in the part (see placed), spans from
+    holds more than a chunk.  Every prefix of a chunk is rendered, as every prefix of a conversation is in format_chats.  `start` counts from the conversation's first character in the part (see placed), spans from
     the chunk's.
     """
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, names = TaskContext.get().partitionId(), ("start", "end", "text_start", "text_end")
-        now, chunk, start, size, turns, held, spans, loss, begun = None, 0, 0, 0, [], [], [], [], False
+        now, chunk, start, size, turns, begun = None, 0, 0, 0, [], False
 
-        def row() -> pa.RecordBatch:
-            if template(turns) != "".join(held):
+        def row() -> tuple[int, pa.RecordBatch]:
+            text, spans, rewrites = located(template, turns)
+            if rewrites or text != "".join(template([turn]) for turn in turns):
                 raise ValueError("the template doesn't append these turns: use format_chats")
-            return pa.RecordBatch.from_pylist([{"conv_id": now, "part": part, "chunk": chunk, "start": start, "formatted": "".join(held), "turns": spans, "loss": loss}], CHUNKS)
+            loss = [{"start": s[2], "end": s[3]} for s, (role, _) in zip(spans, turns, strict=True) if role == learnt]
+            made = {"conv_id": now, "part": part, "chunk": chunk, "start": start, "formatted": text, "turns": [dict(zip(names, s, strict=True)) for s in spans], "loss": loss}
+            return len(text), pa.RecordBatch.from_pylist([made], CHUNKS)
 
         for batch in small_batches(batches):
-            done = []
             for conv, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
-                if begun and (conv != now or size >= CHUNK_CHARS or len(spans) >= CHUNK_TURNS):
-                    done.append(row())
-                    chunk, start = (chunk + 1, start + size) if conv == now else (0, 0)
-                    size, turns, held, spans, loss = 0, [], [], [], []
+                if begun and (conv != now or size >= CHUNK_CHARS or len(turns) >= CHUNK_TURNS):
+                    length, made = row()
+                    yield made
+                    chunk, start = (chunk + 1, start + length) if conv == now else (0, 0)
+                    size, turns = 0, []
                 now, begun = conv, True
-                role, text = role or "", text or ""
-                new = template([(role, text)])
-                head, tail = around(template, [], role, [])
-                turns.append((role, text))
-                held.append(new)
-                spans.append(dict(zip(names, (size, size + len(new), size + head, size + len(new) - tail), strict=True)))
-                if role == learnt:
-                    loss.append({"start": size + head, "end": size + len(new) - tail})
-                size += len(new)
-            yield from done
+                turns.append((role or "", text or ""))
+                size += len(text or "")
         if begun:
-            yield row()
+            yield row()[1]
 
     order = ("conv_id", "turn", "role", "text")
     ordered = columns(rows, *order).repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions(*order)
@@ -228,8 +223,25 @@ def with_control_strings(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return columns(rows, "conv_id", "turn", "role", "text").unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
 
 
+def long_conversations(rows: DataFrame) -> DataFrame:
+    """(conv_id) of those of more than a chunk, whose prefixes are too many or too long to be rendered all."""
+    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("chars"))
+    return sizes.where((F.col("turns") > CHUNK_TURNS) | (F.col("chars") > CHUNK_CHARS)).select("conv_id")
+
+
 def chat_digests(spark: SparkSession, rows: DataFrame, template: Template = chatml) -> DataFrame:
-    """Digests of every conversation; by chunks where the template appends, else a whole conversation in a row."""
+    """Digests of every conversation, from its rendering for every prefix.
+
+    Rendering prefixes costs the square of a conversation's length.  Of a long one, and of no other, the prefixes start
+    anew with every chunk, if the template is shown to append turns whatever stands before them.
+    """
     rows = with_control_strings(spark, rows)
-    chunks = format_chunks(rows, template) if appends(template) else format_chats(rows, template).withColumns({"part": F.lit(0), "chunk": F.lit(0)})
-    return read_chats(written(chunks, "chats"))
+    whole = rows
+    appending = appends(template)
+    if appending:
+        long = written(long_conversations(rows), "long-chats").withColumnRenamed("conv_id", "_long")
+        is_long = F.col("conv_id").eqNullSafe(F.col("_long"))
+        whole = rows.join(long, is_long, "left_anti")
+        parts = format_chunks(rows.join(long, is_long, "left_semi"), template).select("conv_id", "part", "chunk", "formatted", "loss")
+    chats = format_chats(whole, template).select("conv_id", F.lit(0).alias("part"), F.lit(0).alias("chunk"), "formatted", "loss")
+    return read_chats(written(chats.unionByName(parts) if appending else chats, "chats"))
