@@ -264,7 +264,7 @@ def counted_phrases(docs: DataFrame, known: Bitmap, max_words: int, min_count: i
         return out
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, doc_ids, langs in blocks(batches, block, max_words - 1):
+        for held, doc_ids, langs in blocks(batches, block // 2, max_words - 1):
             if not len(held.starts):
                 continue
             rep, lang_of, id_of = same_words(held), pa.array(langs, pa.string()), pa.array(doc_ids, pa.int64())
@@ -279,6 +279,7 @@ def counted_phrases(docs: DataFrame, known: Bitmap, max_words: int, min_count: i
                 phrase = pa.array(texts_at(held, pointer, m), pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_pydict({"lang": lang_of.take(doc), "words": np.full(len(pointer), m, np.int32), "phrase": phrase, "hits": hits.astype(np.int64), "doc_id": id_of.take(doc)})
 
+    # words, runs and their texts are held at once here: blocks of half the size
     entries = by_arrow(docs, count, "lang string, words int, phrase string, hits long, doc_id long")
     added = entries.groupBy("lang", "words", "phrase").agg(F.sum("hits").alias("f"), F.min("doc_id").alias("doc_id"))
     return added.where((F.col("f") >= min_count) | (F.col("words") == 0))
