@@ -89,3 +89,47 @@ def test_declared_terms_need_no_bullet(spark):
     banks = spark.createDataFrame([(1, ["Excel", "k8s"], ["PMP certified", ""]), (2, None, None)], "candidate_id int, skills_extra array<string>, certifications array<string>")
     vocabulary = spark.createDataFrame([("excel",), ("kubernetes",), ("pmp",), ("sql",)], "term string")
     assert {(r.candidate_id, r.term) for r in ev.declared_terms(banks, vocabulary).collect()} == {(1, "excel"), (1, "kubernetes"), (1, "pmp")}
+
+
+def small_case(spark):
+    banks = spark.createDataFrame([(1, [(0, 1, 1, 1, True, 1, 0, 10, ["sql", "excel"]), (1, 1, 1, 2, True, 1, 0, 12, ["sql"])])], f"candidate_id int, bullets array<{ev.BULLET}>")
+    model = spark.sql("SELECT 7 AS jd_id, array(named_struct('term', 'sql', 'weight', CAST(3 AS DECIMAL(6, 2))), named_struct('term', 'dax', 'weight', CAST(1 AS DECIMAL(6, 2)))) AS keywords")
+    return spark.createDataFrame([(1, 7), (1, 7)], "candidate_id int, jd_id int"), banks, model
+
+
+def test_banks_move_to_the_pairs_and_not_with_them(spark):
+    pairs, banks, model = small_case(spark)
+    covered = spark.createDataFrame([(1, 1, 1, "sql"), (1, 1, 2, "excel")], "candidate_id int, role_no int, bullet_no int, term string")
+    weights = model.selectExpr("jd_id", "inline(keywords)")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for df in (ev.select_evidence(pairs, banks, model), ev.bullet_covers(covered, weights, pairs)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            last = next(line for line in plan.splitlines() if "hashpartitioning(" in line)
+            assert "hashpartitioning(candidate_id" in last, plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_covers_and_gains_count_repeats_as_joins_do(spark):
+    pairs, banks, model = small_case(spark)
+    covered = spark.createDataFrame([(1, 1, 1, "sql"), (1, 1, 1, "excel"), (1, 1, 2, "sql"), (2, 1, 1, "sql")], "candidate_id int, role_no int, bullet_no int, term string")
+    covers = ev.bullet_covers(covered, model.selectExpr("jd_id", "inline(keywords)"), pairs)
+    assert sorted((r.candidate_id, r.jd_id, r.role_no, r.bullet_no, r.term, float(r.weight)) for r in covers.collect()) == [(1, 7, 1, b, "sql", 3.0) for b in (1, 1, 2, 2)]
+    chosen = ev.select_evidence(pairs.distinct(), banks, model)
+    assert [tuple(r) for r in ev.times_covered(chosen).collect()] == [(1, 7, "sql", 2)]
+    bullets = spark.createDataFrame([(1, 1, 1, "a b"), (1, 1, 2, "c"), (1, 1, 2, "c")], "candidate_id int, role_no int, bullet_no int, text string")
+    once = covers.distinct()
+    counts = spark.createDataFrame([(1, 7, "sql", 1)], "candidate_id int, jd_id int, term string, n int")
+    assert sorted((r.bullet_no, r.value) for r in ev.marginal_gain(once, bullets, counts).collect()) == [(1, 0.9), (2, 0.9), (2, 0.9)]
+    assert sorted((r.bullet_no, r.value) for r in ev.marginal_gain(once, bullets).collect()) == [(1, 3.0), (2, 3.0), (2, 3.0)]
+
+
+def test_first_weight_of_a_repeated_term_counts(spark):
+    pairs, banks, _ = small_case(spark)
+    model = spark.sql("SELECT 7 AS jd_id, array(named_struct('term', 'excel', 'weight', 1.00BD), named_struct('term', 'excel', 'weight', 9.00BD), named_struct('term', 'dax', 'weight', 1.00BD)) AS keywords")
+    got = ev.select_evidence(pairs.distinct(), banks, model, max_lines=1).first()
+    assert (got.picked, got.lines, got.counts) == ([0], 1, {"excel": 1})
