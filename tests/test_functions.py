@@ -138,3 +138,32 @@ def test_no_rate_below_the_gate(spark):
     apps = spark.createDataFrame([(1, "offer"), (2, "rejected_auto")], ["app_id", "outcome"])
     row = funnel.overall_conversion(apps).first()
     assert (row.n, row.calibrated, row.conversion_pct, row.rate) == (2, False, None, None)
+
+
+def test_aliases_are_tried_by_their_first_character_and_found_as_before():
+    import random
+    import re
+
+    from hiresift import vocab as V
+    from hiresift.functions import terms as tm
+
+    def as_python(pattern):
+        return re.compile(pattern, re.ASCII)
+
+    variants = sorted(V.DEFAULT.alias_variants, key=lambda v: (-len(v), v))
+    flat = as_python(r"(?i)(?<![a-z0-9.])(?:" + "|".join(tm.literal_pattern(v) for v in variants) + r")(?![a-z0-9]|\.[a-z0-9])")
+    grouped = tm.alias_pattern(V.DEFAULT)
+    assert len(grouped.split("(?:")) - 2 == len({v[0].lower() for v in variants})
+    rng = random.Random(3)
+    for _ in range(400):
+        text = "".join(rng.choice((rng.choice(variants), rng.choice(variants).upper(), " ", ", ", "s", ".", "/", "x1", "é")) for _ in range(12))
+        assert [m.span() for m in as_python(grouped).finditer(text)] == [m.span() for m in flat.finditer(text)]
+
+
+def test_a_term_is_sought_by_pattern_only_in_texts_that_contain_it(spark):
+    from hiresift.functions import terms as tm
+
+    rows = [("c++", "c++ and c"), ("c++", "c+"), ("sql", "mysql"), ("sql", "sqls"), ("go", "gos"), ("node.js", "nodexjs"), ("sql", None), (None, "sql")]
+    df = spark.createDataFrame(rows, "t string, x string").selectExpr("*").select("t", "x", tm.term_in(F.col("t"), F.col("x")).alias("r"))
+    assert "contains(" in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [bool(r.r) for r in df.collect()] == [True, False, False, True, False, False, False, False]
