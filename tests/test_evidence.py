@@ -120,11 +120,15 @@ def test_covers_and_gains_count_repeats_as_joins_do(spark):
     covers = ev.bullet_covers(covered, model.selectExpr("jd_id", "inline(keywords)"), pairs)
     assert sorted((r.candidate_id, r.jd_id, r.role_no, r.bullet_no, r.term, float(r.weight)) for r in covers.collect()) == [(1, 7, 1, b, "sql", 3.0) for b in (1, 1, 2, 2)]
     chosen = ev.select_evidence(pairs.distinct(), banks, model)
-    assert [tuple(r) for r in ev.times_covered(chosen).collect()] == [(1, 7, "sql", 2)]
+    assert sorted(tuple(r) for r in ev.times_covered(chosen).collect()) == [(1, 7, "excel", 1), (1, 7, "sql", 2)]
+    twice = ev.select_evidence(pairs.distinct(), banks, model.unionByName(model))
+    assert sorted(tuple(r) for r in ev.times_covered(twice).collect()) == [(1, 7, "excel", 1), (1, 7, "excel", 1), (1, 7, "sql", 2), (1, 7, "sql", 2)]
     bullets = spark.createDataFrame([(1, 1, 1, "a b"), (1, 1, 2, "c"), (1, 1, 2, "c")], "candidate_id int, role_no int, bullet_no int, text string")
     once = covers.distinct()
     counts = spark.createDataFrame([(1, 7, "sql", 1)], "candidate_id int, jd_id int, term string, n int")
     assert sorted((r.bullet_no, r.value) for r in ev.marginal_gain(once, bullets, counts).collect()) == [(1, 0.9), (2, 0.9), (2, 0.9)]
+    repeated = counts.unionByName(counts)
+    assert sorted((r.bullet_no, r.value) for r in ev.marginal_gain(once, bullets, repeated).collect()) == [(1, 0.3), (2, 0.3), (2, 0.3)]
     assert sorted((r.bullet_no, r.value) for r in ev.marginal_gain(once, bullets).collect()) == [(1, 3.0), (2, 3.0), (2, 3.0)]
 
 
@@ -133,3 +137,11 @@ def test_first_weight_of_a_repeated_term_counts(spark):
     model = spark.sql("SELECT 7 AS jd_id, array(named_struct('term', 'excel', 'weight', 1.00BD), named_struct('term', 'excel', 'weight', 9.00BD), named_struct('term', 'dax', 'weight', 1.00BD)) AS keywords")
     got = ev.select_evidence(pairs.distinct(), banks, model, max_lines=1).first()
     assert (got.picked, got.lines, got.counts) == ([0], 1, {"excel": 1})
+
+
+def test_only_moves_that_gain_are_gathered(spark):
+    moves = spark.createDataFrame([(1, 7, "swap", 0, 2, 1, 0.5), (1, 7, "add", -1, 3, 1, 0.5), (1, 7, "swap", 1, 2, 1, 0.0), (2, 7, "swap", 0, 1, 1, -1.0)], "candidate_id int, jd_id int, move string, out_id int, in_id int, role_rank int, gain double")
+    best = ev.best_move(moves)
+    assert [tuple(r) for r in best.collect()] == [(1, 7, "add", -1, 3, 0.5)]
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan[plan.index("Aggregate"):], plan
