@@ -37,6 +37,22 @@ def test_index_agrees_with_the_pair_test(spark):
     assert index == pairs and pairs
 
 
+def test_index_of_known_and_unknown_spans(spark, monkeypatch):
+    """Spans dropped in the tasks and spans dropped by the join give the pairs of the boundary test, each text read in Arrow
+    batches once; contexts that the test can't tell apart leave a task once."""
+    texts = ["über der tür", "tür", "x über, über über", "", None, "\x01a\x01 c++ c++s c++x", "(.net core) x.net core", "té ét éts été t", "power\nbi power bi", "a^b ^b"]
+    terms = ["über", "tür", "c++", ".net core", "té", "ét", "t", "power bi", "^b", "der tür", "+++"]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "power bi"), (None, "t")], "id int, t string")
+    vocab = spark.createDataFrame([(x,) for x in [*terms, "t"]], "term string")
+    wanted = {tuple(r) for r in docs.crossJoin(vocab.where("term <> '+++'")).where(tm.term_in(F.col("term"), F.col("t"))).select("id", "term").collect()}
+    for most in (tm.MAX_KEYS, 3):
+        monkeypatch.setattr(tm, "MAX_KEYS", most)
+        found = [tuple(r) for r in tm.term_index(docs, ["id"], F.col("t"), vocab).collect()]
+        assert set(found) == wanted and len(found) == len(wanted)
+    read = tm.known_spans([("c", "", "+"), ("power bi", "", ""), ("t", "", "")])
+    assert read("a c+ one c+ two t power bi c d") == {tm.MARK.join(("c", " ", "+ ", "x")), "power bi", "t"}
+
+
 @pytest.mark.parametrize("line,title", [
     ("Job Title: Senior Business Intelligence Manager (Hybrid - Dubai)", "business intelligence manager"),
     ("Lead Data Analyst - Remote", "data analyst"), ("Team Lead", "team lead"), ("Staff Accountant", "staff accountant"),
