@@ -64,3 +64,17 @@ def test_pairs_move_twice_and_carry_no_lines(spark):
         assert top < min(depth), "pairs are dealt by candidate last, and once"
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_must_have_terms_of_a_posting_model_are_not_extracted_again(spark, monkeypatch):
+    from hiresift.operators import match as mt
+    from hiresift.plans import common as c
+
+    texts = ["Data Analyst\nRequirements:\n- SQL, Python, Excel, Tableau, Power BI, Snowflake\n- AWS, Azure, Docker, Jira, Agile and Spark\nNice to have:\n- Airflow or dbt", "", None]
+    postings = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "jd_id long, jd_text string")
+    monkeypatch.setattr(c, "postings", lambda t: postings)
+    read = sorted(tuple(r) for r in c.must_have(None).collect())
+    model = mt.posting_model(postings)
+    monkeypatch.setattr(c, "postings", lambda t: pytest.fail("postings are read a second time"))
+    assert sorted(tuple(r) for r in c.must_have(None, model).collect()) == read
+    assert len(read) == 4 and len(read[0][1]) == 10
