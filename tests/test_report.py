@@ -100,3 +100,12 @@ def test_salary_lines_and_countries_are_found_by_any_of_their_names(spark):
     names = [(c, f"x {a.upper()} y") for c, aliases in V.COUNTRY_ALIASES.items() for a in aliases] + [("", "Indiana"), ("", "x"), ("", None)]
     found = spark.createDataFrame(names, "c string, t string").select("c", "t", tx.countries_in(F.col("t")).alias("f")).collect()
     assert all(r.c in r.f if r.c else r.f == [] for r in found)
+
+
+def test_ranges_of_a_document_by_line(spark, column):
+    from hiresift.functions import dates as dt
+
+    month = lambda y, m: y * 12 + m
+    read = column(dt.date_ranges, "A (Jan 2019 - Mar 2021), before 03/2015 to 11/2018\nno year here\nDegree 2010 - 2014", "Sept. 2020 – Present\n2001 until 2003, 1999-now", "5 to 6, 1920s", "", None)
+    assert [None if r is None else [tuple(x) for x in r] for r in read] == [
+        [(month(2019, 1), month(2021, 3)), (month(2015, 3), month(2018, 11))], [(month(2020, 9), None), (month(2001, 1), month(2003, 1)), (month(1999, 1), None)], [], [], None]
