@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hiresift.llm.common import by_arrow, small_batches, written
+from hiresift.session import shuffled
 
 SHARD_ROWS = 4096
 QUERY_ROWS = 1024
@@ -157,8 +158,9 @@ def sortable(score: int) -> tuple[int, str]:
 
 def meet(own: DataFrame, blocks: DataFrame) -> DataFrame:
     """Every shard with every block of queries, dealt over cells by an equi-join: a cell is a bin of shards and a bin
-    of blocks, about one of each."""
+    of blocks, about one of each.  Blocks stand in as many copies as there are shards, which their files' size says
+    nothing of: by that estimate all copies would be collected in the driver for a broadcast."""
     n, m = max(1, own.count()), max(1, blocks.count())
     left = own.withColumn("row", F.pmod(F.xxhash64("ids"), F.lit(n))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")))
     right = blocks.withColumn("column", F.pmod(F.xxhash64("q_ids"), F.lit(m))).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
-    return left.join(right, ["row", "column"]).select("ids", "vectors", "q_ids", "q_vectors")
+    return left.join(shuffled(right), ["row", "column"]).select("ids", "vectors", "q_ids", "q_vectors")

@@ -127,6 +127,8 @@ def test_exact_top_k_with_ties_and_bad_vectors(spark):
         want |= {(i, k): (j, max(-(1 << 63), min((1 << 63) - 1, -s))) for k, (s, j) in enumerate(best, 1)}
     assert got == want
     assert topk.exact_top_k(df.limit(0), df.limit(0)).count() == 0
+    plan = topk.exact_top_k(df, df.where("vec_id % 10 = 0"), shard_rows=40, query_rows=7)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan, plan  # copies of blocks stay out of the driver
 
 
 def test_pages(spark):
