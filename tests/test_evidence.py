@@ -145,3 +145,52 @@ def test_only_moves_that_gain_are_gathered(spark):
     assert [tuple(r) for r in best.collect()] == [(1, 7, "add", -1, 3, 0.5)]
     plan = best._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in plan[plan.index("Aggregate"):], plan
+
+
+def skill_case(spark):
+    """One person with two bullets of a role, shared numbers and extras; one with extras alone; one unknown."""
+    bullets = spark.createDataFrame([
+        (1, 1, 1, 1, True, "made sql run", ["SQL", "k8s"], True), (1, 1, 1, 2, True, "kept books", ["excel"], True), (1, 1, 1, 2, True, "kept books", ["git"], True),
+    ], "candidate_id int, role_rank int, role_no int, bullet_no int, is_current boolean, text string, skills array<string>, reviewed boolean")
+    covered = spark.createDataFrame([(1, 1, 1, "sql"), (1, 1, 2, "excel")], "candidate_id int, role_no int, bullet_no int, term string")
+    extras = spark.createDataFrame([(1, "rfp"), (1, "git"), (2, "dax"), (2, "bi")], "candidate_id int, term string")
+    model = spark.sql("SELECT 7 AS jd_id, array(named_struct('term', 'excel', 'weight', 1.00BD), named_struct('term', 'sql', 'weight', 3.00BD), named_struct('term', 'rfp', 'weight', 2.00BD)) AS keywords")
+    asked = ev.with_asked(model, model.selectExpr("jd_id", "inline(keywords)"))
+    pairs = spark.createDataFrame([(1, 7), (1, 9), (2, 7), (2, None), (3, 7)], "candidate_id int, jd_id int")
+    return pairs, ev.bank_rows(bullets, covered, tagged=True), extras, asked
+
+
+def test_skills_line_of_each_pair_is_made_in_its_row(spark):
+    pairs, banks, extras, asked = skill_case(spark)
+    chosen = ev.select_evidence(pairs, ev.with_skills(banks, extras, how="full"), asked, every=True)
+    got = {(r.candidate_id, r.jd_id): [tuple(s) for s in r.skills] for r in ev.ordered_skills(chosen, once=True).collect()}
+    assert got == {
+        (1, 7): [(1, "sql", "SQL"), (2, "rfp", "RFP"), (3, "excel", "Excel"), (4, "git", "Git"), (5, "kubernetes", "Kubernetes")],
+        (1, 9): [(1, "git", "Git"), (2, "rfp", "RFP")], (2, 7): [(1, "bi", "BI"), (2, "dax", "DAX")], (2, None): [(1, "bi", "BI"), (2, "dax", "DAX")], (3, 7): []}
+    plan = ev.ordered_skills(chosen, once=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan[:plan.index("ArrowEvalPython")], plan
+
+
+def test_a_pair_that_comes_twice_has_the_skills_of_all_its_choices(spark):
+    pairs, banks, extras, asked = skill_case(spark)
+    twice = asked.unionByName(asked.selectExpr("jd_id", "array() AS keywords", "asked"))
+    chosen = ev.select_evidence(pairs.where("jd_id = 7"), ev.with_skills(banks, extras), twice, max_lines=1)
+    lines = {(r.candidate_id, tuple(s.term for s in r.skills)) for r in ev.ordered_skills(chosen).collect()}
+    assert lines == {(1, ("sql", "rfp", "kubernetes", "git"))}
+
+
+def test_documents_take_their_parts_from_the_bank(spark):
+    pairs, banks, extras, asked = skill_case(spark)
+    nested = spark.sql("""SELECT 1 AS candidate_id, named_struct('name', 'Ann', 'email', 'a@example.com') AS contact, '' AS headline,
+     array(named_struct('company', 'Acme', 'title', 'Analyst', 'start', '2021-07', 'end', 'present', 'bullets', array(
+       named_struct('text', 'made sql run', 'skills', array('SQL', 'k8s'), 'reviewed', 'true'), named_struct('text', 'kept books', 'skills', array('excel'), 'reviewed', 'true')))) AS roles,
+     array(named_struct('degree', 'BBA', 'institution', 'College', 'year', '2014')) AS education, array('PMP', '') AS certifications""")
+    rows = ev.with_document_parts(ev.with_skills(banks, extras), nested)
+    chosen = ev.select_evidence(pairs.where("jd_id = 7"), rows, asked)
+    documents = ev.assemble_documents(ev.ordered_skills(chosen, once=True))
+    (got,) = documents.collect()
+    assert got.document.split("\n") == [
+        "Ann", "a@example.com", "", "Summary", "Analyst with hands-on experience in SQL and Excel.", "", "Skills", "SQL, RFP, Excel, Git, Kubernetes", "", "Experience",
+        "Analyst - Acme (Jul 2021 - Present)", "- made sql run", "- kept books", "- kept books", "", "Education", "BBA - College (2014)", "", "Certifications", "PMP"]
+    plan = documents._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(candidate_id" not in plan[:plan.index("ArrowEvalPython")], plan  # nothing moves after the choice
