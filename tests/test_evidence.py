@@ -194,3 +194,13 @@ def test_documents_take_their_parts_from_the_bank(spark):
         "Analyst - Acme (Jul 2021 - Present)", "- made sql run", "- kept books", "- kept books", "", "Education", "BBA - College (2014)", "", "Certifications", "PMP"]
     plan = documents._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(candidate_id" not in plan[:plan.index("ArrowEvalPython")], plan  # nothing moves after the choice
+
+
+def test_skills_lists_reach_pairs_with_their_bank(spark):
+    pairs, banks, model = small_case(spark)
+    listed = ev.with_listed(banks, spark.createDataFrame([(1, ["dax", "git"]), (2, ["sql"])], "candidate_id int, skills array<string>"))
+    summary = ev.selection_summary(ev.select_evidence(pairs.distinct(), listed, model))
+    assert [tuple(r) for r in summary.collect()] == [(1, 7, 2, ["sql"], ["dax"], [])]
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan[:plan.index("ArrowEvalPython")], plan
+    assert "BroadcastHashJoin" not in listed._jdf.queryExecution().executedPlan().toString()
