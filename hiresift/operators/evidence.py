@@ -7,6 +7,7 @@ group is collected to build them beyond what the nested bank row already holds.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -241,39 +242,44 @@ def choose(roles: list[int], current: list[bool], cost: list[int], tags: list[in
     return first, picked, lines, {bank.names[t]: c for t, c in counts.items()}
 
 
-def moves_of(roles: list[int], current: list[bool], cost: list[int], covers: list[list[str]], weights: dict[str, int], picked: list[int],
-             lines: int, max_lines: int, max_current: int, max_other: int) -> list[tuple]:
-    """(move, bullet out or -1, bullet in, role, gain) of every same-role swap and allowed addition.
+def moves_from(bank: Bank, weight: list[int | None], picked: list[int], lines: int, max_lines: int, max_current: int, max_other: int) -> list[tuple[int, int, int]]:
+    """(bullet out or -1 for an addition, bullet in, gain in hundredths) of every same-role swap and allowed addition;
+    `weight` as in `chosen_from`.
 
     With the number of picks that cover each term, what a bullet adds is the weight of its uncovered terms and what
     one takes away that of terms only it covers, less what the two share: a move costs one pass over its terms.
     """
-    own = [[t for t in terms if t in weights] for terms in covers]
-    counts: dict[str, int] = {}
+    roles, cost, own = bank.roles, bank.cost, bank.own
+    counts: dict[int, int] = {}
     for b in picked:
         for t in own[b]:
-            counts[t] = counts.get(t, 0) + 1
-    only = {b: {t for t in own[b] if counts[t] == 1} for b in picked}
-    loss = {b: sum(weights[t] for t in only[b]) for b in picked}
-    by_role: dict[int, list[int]] = {}
-    for b in sorted(picked):
-        by_role.setdefault(roles[b], []).append(b)
-    out = []
-    for b in sorted(set(range(len(roles))) - set(picked)):
-        same = by_role.get(roles[b], [])
-        gain = sum(weights[t] for t in own[b] if t not in counts)
-        for c in same:
-            if lines - cost[c] + cost[b] <= max_lines:
-                kept = sum(weights[t] for t in own[b] if t in only[c])
-                out.append(("swap", c, b, roles[b], (gain + kept - loss[c]) / 100.0))
-        if same and len(same) < (max_current if current[b] else max_other) and lines + cost[b] <= max_lines:
-            out.append(("add", -1, b, roles[b], gain / 100.0))
+            if weight[t] is not None:
+                counts[t] = counts.get(t, 0) + 1
+    by_role: dict[int, list[tuple[int, int, dict[int, int]]]] = {}
+    for c in sorted(picked):
+        only = {t: weight[t] for t in own[c] if counts.get(t) == 1}
+        by_role.setdefault(roles[c], []).append((c, lines - cost[c], only, sum(only.values())))
+    out, chosen = [], set(picked)
+    for b in range(len(roles)):
+        same = by_role.get(roles[b])
+        if same is None or b in chosen:
+            continue
+        mine, more = own[b], cost[b]
+        gain = sum([w for t in mine if t not in counts and (w := weight[t]) is not None])
+        for c, left, only, loss in same:
+            if left + more <= max_lines:
+                out.append((c, b, gain + sum([only[t] for t in mine if t in only]) - loss if only else gain))
+        if len(same) < (max_current if bank.current[b] else max_other) and lines + more <= max_lines:
+            out.append((-1, b, gain))
     return out
 
 
-def _weights(terms: list[str] | None, weights: list[int] | None) -> dict[str, int]:
-    """The first weight of each term."""
-    return dict(zip(reversed(terms or []), reversed(weights or []), strict=True))
+def moves_of(roles: list[int], current: list[bool], cost: list[int], covers: list[list[str]], weights: dict[str, int], picked: list[int],
+             lines: int, max_lines: int, max_current: int, max_other: int) -> list[tuple]:
+    """`moves_from` for a single pair, its terms by name: (move, bullet out or -1, bullet in, role, gain)."""
+    bank = Bank.of(roles, current, cost, [0] * len(roles), [0] * len(roles), covers)
+    found = moves_from(bank, [weights.get(t) for t in bank.names], picked, lines, max_lines, max_current, max_other)
+    return [("add" if c < 0 else "swap", c, b, roles[b], gain / 100.0) for c, b, gain in found]
 
 
 def _coded(keywords: Column, bullets: Column, fields: tuple[str, ...]) -> list[Column]:
@@ -292,6 +298,24 @@ def _spans(array: pa.Array) -> list[int]:
     return [0, *np.cumsum(sizes).tolist()]
 
 
+def _asked_weights(terms: pa.Array, weights: pa.Array) -> Callable[[int, int, Bank], list[int | None]]:
+    """A reader of the weight that row i's posting gives each of its bank's terms, the first of a term that comes twice."""
+    spans, coded, worth = _spans(terms), terms.flatten().dictionary_encode(), weights.flatten().to_pylist()
+    of, code = coded.indices.to_pylist(), {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+    codes: list[int] = []
+    last = -1
+
+    def read(i: int, number: int, bank: Bank) -> list[int | None]:
+        nonlocal last, codes
+        if number != last:
+            last, codes = number, [code.get(t, -1) for t in bank.names]
+        lo, hi = spans[i], spans[i + 1]
+        asked = dict(zip(of[lo:hi][::-1], worth[lo:hi][::-1], strict=True))
+        return [asked.get(c) for c in codes]
+
+    return read
+
+
 def _lists(rows: list[list[int]]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([x for row in rows for x in row], pa.int32()))
@@ -310,20 +334,13 @@ def select_evidence(pairs: DataFrame, banks: DataFrame, model: DataFrame, *, max
 
     @F.arrow_udf(SELECTION)
     def chosen(bank_no: pa.Array, roles: pa.Array, current: pa.Array, cost: pa.Array, tags: pa.Array, chars: pa.Array, covers: pa.Array, terms: pa.Array, weights: pa.Array) -> pa.Array:
-        parts, spans = (roles, current, cost, tags, chars, covers), _spans(terms)
-        coded = terms.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        code = {t: i for i, t in enumerate(words)}
-        of, worth = coded.indices.to_pylist(), weights.flatten().to_pylist()
+        parts, weight_of = (roles, current, cost, tags, chars, covers), _asked_weights(terms, weights)
         firsts, picks, lines, sizes, covered, times = [], [], [], [0], [], []
         last = -1
         for i, number in enumerate(bank_no.to_pylist()):
             if number != last:
                 last, bank = number, Bank.of(*(c[i].as_py() or [] for c in parts))
-                codes = [code.get(t, -1) for t in bank.names]
-            lo, hi = spans[i], spans[i + 1]
-            asked = dict(zip(of[lo:hi][::-1], worth[lo:hi][::-1], strict=True))  # the first weight of each term
-            first, picked, n, counts = chosen_from(bank, [asked.get(c) for c in codes], max_lines, max_current, max_other)
+            first, picked, n, counts = chosen_from(bank, weight_of(i, number, bank), max_lines, max_current, max_other)
             firsts.append(first)
             picks.append(picked)
             lines.append(n)
@@ -382,15 +399,28 @@ def swap_add_moves(selected: DataFrame, *, max_lines: int = MAX_LINES, max_curre
     ship(selected.sparkSession)
 
     @F.arrow_udf(MOVES)
-    def moves(roles: pa.Array, current: pa.Array, cost: pa.Array, covers: pa.Array, terms: pa.Array, weights: pa.Array, picked: pa.Array, lines: pa.Array) -> pa.Array:
-        rows = zip(*(c.to_pylist() for c in (roles, current, cost, covers, terms, weights, picked, lines)), strict=True)
-        found = [moves_of(r, cu, co, cv, _weights(t, w), p, n, max_lines, max_current, max_other) for r, cu, co, cv, t, w, p, n in rows]
-        names = ("move", "out_id", "in_id", "role_rank", "gain")
-        kind = pa.struct(list(zip(names, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)))
-        return pa.array([[dict(zip(names, m, strict=True)) for m in row] for row in found], pa.list_(kind))
+    def moves(bank_no: pa.Array, roles: pa.Array, current: pa.Array, cost: pa.Array, covers: pa.Array, terms: pa.Array, weights: pa.Array, picked: pa.Array, lines: pa.Array) -> pa.Array:
+        weight_of = _asked_weights(terms, weights)
+        taken, picks, used = _spans(picked), picked.flatten().to_pylist(), lines.to_pylist()
+        sizes, ranks, found, last = [0], [], [], -1
+        for i, number in enumerate(bank_no.to_pylist()):
+            if number != last:
+                last, parts = number, [c[i].as_py() or [] for c in (roles, current, cost, covers)]
+                none = [0] * len(parts[0])
+                bank = Bank.of(*parts[:3], none, none, parts[3])
+            new = moves_from(bank, weight_of(i, number, bank), picks[taken[i]:taken[i + 1]], used[i], max_lines, max_current, max_other)
+            ranks += [bank.roles[b] for _, b, _ in new]
+            found += new
+            sizes.append(len(found))
+        outs, ins, gains = zip(*found, strict=True) if found else ((), (), ())
+        outs = pa.array(outs, pa.int32())
+        rows = pa.StructArray.from_arrays(
+            [pc.if_else(pc.less(outs, 0), "add", "swap"), outs, pa.array(ins, pa.int32()), pa.array(ranks, pa.int32()), pc.divide(pa.array(gains, pa.float64()), 100.0)],
+            names=["move", "out_id", "in_id", "role_rank", "gain"])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)
 
     fields = ("role_rank", "is_current", "cost", "covers")
-    found = selected.withColumn("_m", moves(*_coded(F.col("keywords"), F.col("bullets"), fields), F.col("picked"), F.col("lines")))
+    found = selected.withColumn("_m", moves(F.col("bank_no"), *_coded(F.col("keywords"), F.col("bullets"), fields), F.col("picked"), F.col("lines")))
     return ar.unpack(found, [key, "jd_id"], F.col("_m"), "move")
 
 

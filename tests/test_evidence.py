@@ -204,3 +204,25 @@ def test_skills_lists_reach_pairs_with_their_bank(spark):
     plan = summary._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan[:plan.index("ArrowEvalPython")], plan
     assert "BroadcastHashJoin" not in listed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_moves_read_a_bank_once_for_all_its_pairs(spark):
+    rng = random.Random(9)
+    cases = [case(rng) for _ in range(6)]
+    banks = spark.createDataFrame([(k, [(b, r[b], r[b], b, cu[b], co[b], tg[b], ch[b], sorted(cv[b])) for b in range(len(r))]) for k, (r, cu, co, tg, ch, cv, _) in enumerate(cases)], f"candidate_id int, bullets array<{ev.BULLET}>")
+    model = spark.createDataFrame([(j, [(t, f"{w / 100:.2f}") for t, w in c[-1].items()]) for j, c in enumerate(cases)], "jd_id int, keywords array<struct<term: string, weight: string>>").selectExpr(
+        "jd_id", "transform(keywords, k -> named_struct('term', k.term, 'weight', CAST(k.weight AS DECIMAL(6, 2)))) AS keywords")
+    pairs = spark.createDataFrame([(k, j) for k in range(6) for j in range(6)], "candidate_id int, jd_id int")
+    chosen = ev.select_evidence(pairs, banks, model, max_lines=6, max_current=2, max_other=1)
+    got = {}
+    for m in ev.swap_add_moves(chosen, max_lines=8, max_current=3, max_other=2).collect():
+        got.setdefault((m.candidate_id, m.jd_id), []).append((m.move, m.out_id, m.in_id, m.role_rank, m.gain))
+    want = {}
+    for k, (r, cu, co, tg, ch, cv, _) in enumerate(cases):
+        for j, c in enumerate(cases):
+            _, picked, lines, _ = ev.choose(r, cu, co, tg, ch, [sorted(x) for x in cv], c[-1], 6, 2, 1)
+            moves = ev.moves_of(r, cu, co, [sorted(x) for x in cv], c[-1], picked, lines, 8, 3, 2)
+            want |= {(k, j): moves} if moves else {}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    with_numbers = ev.Bank.of([1, 1], [True, True], [1, 1], [0, 0], [0, 0], [["a"], ["b", "a"]])
+    assert ev.moves_from(with_numbers, [100, 300], [0], 1, 9, 5, 3) == [(0, 1, 300), (-1, 1, 300)]
