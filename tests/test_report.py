@@ -109,3 +109,23 @@ def test_ranges_of_a_document_by_line(spark, column):
     read = column(dt.date_ranges, "A (Jan 2019 - Mar 2021), before 03/2015 to 11/2018\nno year here\nDegree 2010 - 2014", "Sept. 2020 – Present\n2001 until 2003, 1999-now", "5 to 6, 1920s", "", None)
     assert [None if r is None else [tuple(x) for x in r] for r in read] == [
         [(month(2019, 1), month(2021, 3)), (month(2015, 3), month(2018, 11))], [(month(2020, 9), None), (month(2001, 1), month(2003, 1)), (month(1999, 1), None)], [], [], None]
+
+
+def test_a_pairs_lists_are_read_from_what_its_posting_asks(spark):
+    model = spark.sql("""SELECT 7 AS jd_id, 'data analyst' AS title, array(named_struct('term', 'sql', 'weight', 3.00BD, 'alternatives', array('postgresql')),
+      named_struct('term', 'excel', 'weight', 1.00BD, 'alternatives', CAST(array() AS array<string>)), named_struct('term', 'dax', 'weight', 1.00BD, 'alternatives', array('bi'))) AS keywords,
+     array(named_struct('name', 'Title', 'groups', array(array('data analyst'))), named_struct('name', 'Both', 'groups', array(array('data analyst'), array('sql', 'dax'), array('excel')))) AS searches""")
+    documents = spark.createDataFrame([(1, ["data analyst", "excel", "postgresql", "unasked"]), (2, ["dax", "excel"]), (3, [])], "candidate_id int, terms array<string>")
+    pairs = spark.createDataFrame([(k, 7) for k in (1, 2, 3)], "candidate_id int, jd_id int")
+    lists = mt.paired(pairs, mt.asked_of(model).select("jd_id", "asked", "alternatives"), documents).select("candidate_id", mt.matched_terms(F.col("terms")).alias("l"))
+    assert {r.candidate_id: (r.l.matched, r.l.missing) for r in lists.collect()} == {
+        1: (["sql", "excel"], ["dax"]), 2: (["excel", "dax"], ["sql"]), 3: ([], ["sql", "excel", "dax"])}
+    found = mt.paired(pairs, mt.searches_of(model), documents).select("candidate_id", mt.evaluated_searches(F.col("terms")).alias("s"))
+    query, rest = '"data analyst" AND (sql OR dax) AND excel', '"data analyst"; (sql OR dax); excel'
+    assert {r.candidate_id: [tuple(s) for s in r.s] for r in found.collect()} == {
+        1: [("Title", '"data analyst"', True, ""), ("Both", query, False, "(sql OR dax)")],
+        2: [("Title", '"data analyst"', False, '"data analyst"'), ("Both", query, False, '"data analyst"')],
+        3: [("Title", '"data analyst"', False, '"data analyst"'), ("Both", query, False, rest)]}
+    met = mt.met_keywords(pairs, model, mt.alternative_edges(model), documents)
+    assert {r.candidate_id: (r.n_met, r.n_by_alternative, r.met_weight) for r in met.collect()} == {1: (2, 1, 4.0), 2: (2, 0, 2.0), 3: (0, 0, 0.0)}
+    assert "array_intersect" in met._jdf.queryExecution().optimizedPlan().toString()  # what a document holds is cut first
