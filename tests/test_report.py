@@ -117,7 +117,7 @@ def test_a_pairs_lists_are_read_from_what_its_posting_asks(spark):
      array(named_struct('name', 'Title', 'groups', array(array('data analyst'))), named_struct('name', 'Both', 'groups', array(array('data analyst'), array('sql', 'dax'), array('excel')))) AS searches""")
     documents = spark.createDataFrame([(1, ["data analyst", "excel", "postgresql", "unasked"]), (2, ["dax", "excel"]), (3, [])], "candidate_id int, terms array<string>")
     pairs = spark.createDataFrame([(k, 7) for k in (1, 2, 3)], "candidate_id int, jd_id int")
-    lists = mt.paired(pairs, mt.asked_of(model).select("jd_id", "asked", "alternatives"), documents).select("candidate_id", mt.matched_terms(F.col("terms")).alias("l"))
+    lists = mt.paired(pairs, mt.asked_terms(model), documents).select("candidate_id", mt.matched_terms(F.col("terms")).alias("l"))
     assert {r.candidate_id: (r.l.matched, r.l.missing) for r in lists.collect()} == {
         1: (["sql", "excel"], ["dax"]), 2: (["excel", "dax"], ["sql"]), 3: ([], ["sql", "excel", "dax"])}
     found = mt.paired(pairs, mt.searches_of(model), documents).select("candidate_id", mt.evaluated_searches(F.col("terms")).alias("s"))
@@ -129,3 +129,14 @@ def test_a_pairs_lists_are_read_from_what_its_posting_asks(spark):
     met = mt.met_keywords(pairs, model, mt.alternative_edges(model), documents)
     assert {r.candidate_id: (r.n_met, r.n_by_alternative, r.met_weight) for r in met.collect()} == {1: (2, 1, 4.0), 2: (2, 0, 2.0), 3: (0, 0, 0.0)}
     assert "array_intersect" in met._jdf.queryExecution().optimizedPlan().toString()  # what a document holds is cut first
+
+
+def test_posting_models_leave_out_what_a_query_does_not_read(spark, tmp_path):
+    from hiresift.plans import common as c
+    from hiresift.plans.tables import Tables
+
+    spark.createDataFrame([(k, 1 + k, 900.0 + k) for k in range(40)], "p_partkey long, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    t = Tables(spark, str(tmp_path))
+    few, whole = c.posting_models(t, "keywords", "title"), c.posting_models(t)
+    assert few.columns == ["jd_id", "keywords", "title"] and whole.columns == ["jd_id", "keywords", "title", "groups", "searches"]
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, whole.select(*few.columns).collect()))
