@@ -351,13 +351,13 @@ def select_evidence(pairs: DataFrame, banks: DataFrame, model: DataFrame, *, max
         return pa.StructArray.from_arrays([_lists(firsts), _lists(picks), pa.array(lines, pa.int32()), found], names=["minimums", "picked", "lines", "counts"])
 
     how, along = "left" if every else "inner", [*(c for c in banks.columns if c not in (key, "bullets")), *({"asked"} & {*model.columns})]
-    asked = model.select("jd_id", F.transform("keywords", lambda k: F.struct(k["term"].alias("term"), k["weight"].alias("weight"))).alias("keywords"), *({"asked"} & {*model.columns}))
+    asked = model.select("jd_id", F.transform("keywords", lambda k: F.struct(k["term"].alias("term"), k["weight"].alias("weight"))).alias("keywords"), *({"asked"} & {*model.columns}), F.lit(True).alias("_known"))
     rows = pairs.select(key, "jd_id").join(asked, "jd_id", how).join(shuffled(banks.withColumn("bank_no", F.monotonically_increasing_id())), key, how)
     fields = ("role_rank", "is_current", "cost", "n_tags", "n_chars", "covers")
     done = rows.withColumn("_s", chosen(F.col("bank_no"), *_coded(F.col("keywords"), F.col("bullets"), fields)))
     picks = {n: F.col(f"_s.{n}") for n in ("minimums", "picked")}
     if every:
-        picks = {n: F.when(F.col("keywords").isNotNull(), c).otherwise(F.array().cast("array<int>")) for n, c in picks.items()}
+        picks = {n: F.when(F.col("_known"), c).otherwise(F.array().cast("array<int>")) for n, c in picks.items()}
     return done.select(key, "jd_id", "bank_no", "bullets", "keywords", *(c.alias(n) for n, c in picks.items()), "_s.lines", "_s.counts", *along)
 
 

@@ -167,6 +167,8 @@ def test_skills_line_of_each_pair_is_made_in_its_row(spark):
     assert got == {
         (1, 7): [(1, "sql", "SQL"), (2, "rfp", "RFP"), (3, "excel", "Excel"), (4, "git", "Git"), (5, "kubernetes", "Kubernetes")],
         (1, 9): [(1, "git", "Git"), (2, "rfp", "RFP")], (2, 7): [(1, "bi", "BI"), (2, "dax", "DAX")], (2, None): [(1, "bi", "BI"), (2, "dax", "DAX")], (3, 7): []}
+    blank = ev.select_evidence(pairs.where("candidate_id = 1"), ev.with_skills(banks, extras, how="full"), asked.selectExpr("jd_id", "if(jd_id = 7, null, keywords) AS keywords", "asked"), every=True)
+    assert sorted(r.jd_id for r in blank.where("size(picked) > 0").collect()) == [7]  # a posting without keywords is a posting
     plan = ev.ordered_skills(chosen, once=True)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Generate" not in plan[:plan.index("ArrowEvalPython")], plan
 
